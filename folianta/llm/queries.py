@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import mixing, sharding, weak_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,8 @@ SELECT doc_id, size, source_size, target,
                   + greatest(0, least(size, quota - quota // source_size * source_size - before)) ELSE 0 END)::BIGINT AS taken
 FROM placed
 """
+
+
+@query
+def op8_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_rules.judged(table(spark, sf_dir, "documents"))
