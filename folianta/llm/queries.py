@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, weak_rules
+from . import line_crf, mixing, sharding, weak_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,9 @@ FROM placed
 @query
 def op8_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_rules.judged(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_crf.score_documents(docs, line_crf.train(docs, table(spark, sf_dir, "labels")))
