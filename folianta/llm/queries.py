@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_crf, mixing, sharding, weak_rules
+from . import language_id, line_crf, mixing, sharding, weak_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,9 @@ def op8_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_crf.score_documents(docs, line_crf.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict_documents(docs, language_id.train(docs))
