@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,3 +19,11 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows, computed now and written to the shared checkpoint folder."""
     ready(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written as Parquet in the shared folder and read again: smaller than a checkpoint where there are long texts."""
+    ready(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

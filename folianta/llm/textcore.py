@@ -61,12 +61,12 @@ def parts(column: pa.Array, limit: int = PART_BYTES) -> Iterator[tuple[int, int,
         a = b
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words (maximal runs of bytes that aren't ASCII white space) and the document of each."""
+def words(data: np.ndarray, offs: np.ndarray, white: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (maximal runs of bytes that aren't ``white``, ASCII white space) and the document of each."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    ink = ~WHITE[data]
+    ink = ~white[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offs] = True
     first = ink.copy()
