@@ -184,7 +184,8 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPLE) -
     if not shares:
         return Model([], [], {})
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.where(F.col("lang").isin(list(shares))).withColumn("_nth", rank).where(F.col("_nth") <= sample)
+    ids = known.select("doc_id", "lang").where(F.col("lang").isin(list(shares))).withColumn("_nth", rank).where(F.col("_nth") <= sample).select("doc_id", "lang").distinct()
+    chosen = known.join(F.broadcast(ids), ["doc_id", "lang"])
     counts: dict[str, Counter] = {lang: Counter() for lang in shares}
     for r in chosen.select("lang", "text").toLocalIterator():
         counts[r["lang"]].update(units(r["text"]))

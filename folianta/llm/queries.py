@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_crf, minhash, mixing, sharding, tiling, weak_rules
+from . import context_mixing, language_id, line_crf, minhash, mixing, sharding, tiling, weak_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,8 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score_documents(table(spark, sf_dir, "documents"))
