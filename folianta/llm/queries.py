@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_mixing, doubling, language_id, line_crf, minhash, mixing, sharding, tiling, weak_rules
+from . import context_mixing, doubling, language_id, line_crf, minhash, mixing, sharding, suffix_dedup, tiling, weak_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +103,8 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubling.repeated_words(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
