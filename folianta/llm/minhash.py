@@ -2,11 +2,12 @@
 
 1. Each document's distinct shingles give ``BANDS * ROWS`` minima. Of each only the low ``BITS`` bits are kept, packed side by side; a band's key hashes the whole
    minima of its rows. Documents with equal shingle sets form one class, and only classes go on.
-2. Classes that share a band's key are candidates. Of a bucket, only pairs with its first member are made, however large it is.
+2. Classes that share a band's key are candidates. Of a bucket, only pairs with its first member are made, however large it is. First is the member that meets the most others in all its buckets: among
+   near copies, the text that the others were made from.
 3. A candidate's similarity is estimated from the packed signatures by bit counts, corrected for low bits that agree by chance; pairs far below the threshold
    go. The others are confirmed on their whole sets.
-4. Buckets whose members are not all in one component by then get further rounds, with four times as many first members in each, in which only members of different components are
-   paired. So no link between members of a bucket is missed, and a bucket of copies never gets all its pairs.
+4. Where a bucket's members are not all in one component by then, its other pairs are looked at too: in a bucket of up to ``SMALL`` members each pair of different components, in a larger one those that
+   can reach the threshold by their rarest shingles (prefix and place filters, which lose no pair). So no link between members of a bucket is missed, and a bucket of copies never gets all its pairs.
 
 At similarity 0.75, no band of a pair agrees with a chance of 2.4e-8 (32 bands of 3); estimates below ``0.75 - 6`` standard deviations are dropped.
 
@@ -32,6 +33,7 @@ BANDS, ROWS, BITS = 32, 3, 4
 N_MINIMA = BANDS * ROWS
 #: Least estimate that is confirmed on whole sets.
 ESTIMATE = PERCENT / 100 - 6 * 0.046
+SMALL = 8
 
 
 def _odd(n: int, salt: int) -> np.ndarray:
@@ -178,33 +180,56 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     every = cut(signatures(docs))
     signed = cut(every.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("packed").alias("packed")))
     keyed = signed.select("cls", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("first")).where("n > 1")
-    buckets = cut(keyed.join(shared, "key").select("key", "cls", "n", "first"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = cut(keyed.join(shared, "key").select("key", "cls", "n"))
+    weight = members.groupBy("cls").agg(F.struct(F.sum("n"), F.col("cls")).alias("weight"))
+    weighed = members.join(weight, "cls")
+    buckets = cut(weighed.join(weighed.groupBy("key").agg(F.max("weight").alias("top")), "key").select("key", "cls", "n", "weight", F.col("top.cls").alias("first")))
     wanted = buckets.select("cls").distinct().join(signed.select("cls", "doc_id"), "cls").where("doc_id is not null")
     few = signed.select("cls", "packed").join(wanted.select("cls"), "cls", "left_semi")
     sets = cut(_sets(docs.select("doc_id", "text"), wanted).dropDuplicates(["cls"]))
     done = cut(buckets.where("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct())
     edges = cut(_confirmed(done, few, sets))
     roots = components(edges)
-    low, high = 1, 1
-    while True:
-        low, high = high, high * 4
-        root = F.coalesce("root", "cls")
-        named = buckets.where(F.col("n") > low + 1).join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", root.alias("root"))
-        mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-        rows = named.join(mixed, "key").withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("cls")))
-        firsts = rows.where((F.col("nth") > low) & (F.col("nth") <= high)).select("key", F.col("cls").alias("a"), F.col("root").alias("ra"), F.col("nth").alias("na"))
-        rest = rows.select("key", F.col("cls").alias("b"), F.col("root").alias("rb"), F.col("nth").alias("nb"))
-        more = cut(firsts.join(rest, "key").where("nb > na and ra <> rb").select("a", "b").distinct().join(done, ["a", "b"], "left_anti"))
-        if not more.take(1):
-            if not buckets.where(F.col("n") > high + 1).take(1):
-                return every.select("doc_id", "n_shingles", "cls"), roots
-            continue
-        done = done.unionByName(more)
-        new = cut(_confirmed(more, few, sets))
-        if new.take(1):
-            edges = edges.unionByName(new)
-            roots = components(edges)
+    root = F.coalesce("root", "cls")
+    named = buckets.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", root.alias("root"))
+    mixed = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    open_ = cut(named.join(mixed, "key"))
+    left, right = (open_.where(F.col("n") <= SMALL).select("key", F.col("cls").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    few_pairs = left.join(right, "key").where("a < b and root_a <> root_b").select("a", "b")
+    more = few_pairs.unionByName(_rare_pairs(open_.where(F.col("n") > SMALL).select("cls", "root").distinct(), sets)).distinct()
+    both = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    new = cut(_confirmed(cut(more.join(both, ["a", "b"], "left_anti")), few, sets))
+    if new.take(1):
+        roots = components(edges.unionByName(new))
+    return every.select("doc_id", "n_shingles", "cls"), roots
+
+
+def _rare_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of classes (cls, root) of different components that may reach the threshold; none that does is left out.
+
+    With each set's shingles in one order for all, sets that reach it share one of their first ``n - ceil(0.75 n) + 1``, and from the first that they share at places i and j they have at most
+    ``1 + min(n - i, m - j)`` in common. In the order of rarity, a copy's own changes come first, so copies that have drifted too far from each other meet in no pair.
+    """
+
+    def spread(batches):
+        for b in batches:
+            for cls, r, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                h = np.frombuffer(blob.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([cls] * len(h), pa.int64()), pa.array([r] * len(h), pa.int64()), pa.array([len(h)] * len(h), pa.int64())], ["shingle", "cls", "root", "n"])
+
+    rows = cut(members.join(sets, "cls").select("cls", "root", "shingles").mapInArrow(spread, "shingle long, cls long, root long, n long"))
+    counted = rows.join(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")), "shingle")
+    place = F.row_number().over(Window.partitionBy("cls").orderBy("df", "shingle"))
+    first = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    prefix = cut(counted.withColumn("place", place).where(F.col("place") <= first).drop("df"))
+    shared = prefix.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("shingle")
+    held = prefix.join(shared, "shingle")
+    left, right = (held.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("cls", "root", "n", "place"))) for side in "ab")
+    most = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
+    fits = (100 + PERCENT) * most >= PERCENT * (F.col("n_a") + F.col("n_b"))
+    pairs = left.join(right, (left["shingle"] == right["shingle"]) & (F.col("cls_a") < F.col("cls_b")) & (F.col("root_a") != F.col("root_b")) & fits)
+    return pairs.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
