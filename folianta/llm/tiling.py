@@ -5,8 +5,8 @@ tokens, are compared by greedy string tiling: the longest matches that do not ov
 Karp-Rabin over the parts of the document that seeds cover. The share of the item's tokens in tiles is its coverage, whatever the order of the tiles, so
 reordered passages count; at ``COVERAGE`` or more the document is contaminated.
 
-The items' seeds go to the tasks in slices of at most ``SLICE_TOKENS`` tokens; a benchmark beyond one slice takes one pass over the documents a slice, so
-nothing of unbounded size is broadcast. Texts are never shuffled.
+The items' seeds go to the tasks in slices of at most ``SLICE_TOKENS`` tokens; a benchmark beyond one slice is looked up slice
+by slice. Texts are never shuffled.
 
 Cases: null or empty texts and items match nothing, nor do items of fewer than ``MIN_TILE`` tokens; repeated documents each get a row, repeated items count each; of
 items with equal coverage the smallest item_id is named; an empty table on either side gives no rows, or no contaminated ones; other columns are carried
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textcore as tc
+from .shared import stored
 
 MIN_TILE = 5
 COVERAGE = 0.5
@@ -141,9 +142,6 @@ class Slice:
         return out
 
 
-FOUND = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("n_covered", T.LongType()), T.StructField("n_items", T.LongType())])
-
-
 def _slices(benchmark: DataFrame) -> list[Slice]:
     """Slices of the items in the order of their ids, each gathered on its own."""
     size = F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)) + 1
@@ -156,31 +154,33 @@ def _slices(benchmark: DataFrame) -> list[Slice]:
     return [Slice([tuple(r) for r in ids.where(part == i).orderBy("item_id", "text").collect()]) for i in range(n)]
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Adds to each row, for each slice, a struct of what it found: an array column ``_found``."""
-    out = []
-    for piece in _slices(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(piece)
-
-        def look(texts, shared=shared):
-            import pandas as pd
-
-            return pd.DataFrame(shared.value.best(pa.array(texts, pa.string(), from_pandas=True)), columns=FOUND.names).astype({"item_id": "Int64"})
-
-        out.append(F.pandas_udf(look, FOUND)(F.col("text")))
-    return docs.withColumn("_found", F.array(*out))
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id (the item that the document covers most), coverage, n_covered, n_items (at or above the threshold), contaminated."""
-    found = with_matches(docs.select("doc_id", "text"), benchmark).drop("text")
-    top = F.array_max(F.transform("_found", lambda f: F.struct(f["coverage"].alias("coverage"), (-F.coalesce(f["item_id"], F.lit(0))).alias("neg"), f["item_id"].alias("item_id"), f["n_covered"].alias("n_covered"))))
-    count = F.aggregate("_found", F.lit(0).cast("long"), lambda n, f: n + f["n_items"])
-    rows = found.select("doc_id", top.alias("top"), count.alias("n_items"))
-    return rows.select("doc_id", "top.item_id", "top.coverage", "top.n_covered", "n_items", (F.col("n_items") > 0).alias("contaminated"))
+    shared = [docs.sparkSession.sparkContext.broadcast(s) for s in _slices(benchmark)]
+    kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("n_covered", T.LongType()), T.StructField("n_items", T.LongType())])
+
+    def look(batches):
+        for b in batches:
+            found = [s.value.best(b.column(1)) for s in shared]
+            best = [max(f, key=lambda x: (x[1], -(x[0] or 0))) for f in zip(*found, strict=True)]
+            n = [sum(x[3] for x in f) for f in zip(*found, strict=True)]
+            columns = [pa.array([x[i] for x in best], t) for i, t in enumerate((pa.int64(), pa.float64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array(n, pa.int64())], kind.names)
+
+    return docs.select("doc_id", "text").mapInArrow(look, kind).withColumn("contaminated", F.col("n_items") > 0)
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows that aren't contaminated, with the input's columns."""
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
-    return with_matches(inner, benchmark).where(~F.exists("_found", lambda f: f["n_items"] > 0)).select("_row.*")
+    at, slices = docs.columns.index("text"), _slices(benchmark)
+    for i, piece in enumerate(slices):
+        shared = docs.sparkSession.sparkContext.broadcast(piece)
+
+        def keep(batches, shared=shared):
+            for b in batches:
+                yield b.filter(pa.array([not x[3] for x in shared.value.best(b.column(at))], pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+        if i + 1 < len(slices):
+            docs = stored(docs)
+    return docs
