@@ -1,6 +1,6 @@
-"""The registered queries and their SQL, gathered from the query modules."""
+"""All registered queries and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import text_queries  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
