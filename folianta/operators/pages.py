@@ -100,7 +100,7 @@ def n_up(pages: DataFrame, rows: int, columns: int) -> DataFrame:
 def booklet(documents: DataFrame) -> DataFrame:
     """(doc_id, sheet, side, left_page, right_page) from (doc_id, pages): pages padded to a multiple of four; 0 is blank."""
     total = (F.ceil(F.col("pages") / 4) * 4).cast("int")
-    sides = documents.where("pages > 0").select("doc_id", "pages", total.alias("_t"), F.explode(F.sequence(F.lit(0), total / 2 - 1)).alias("k"))
+    sides = documents.where("pages > 0").select("doc_id", "pages", total.alias("_t"), F.explode(F.sequence(F.lit(0), (total / 2 - 1).cast("int"))).alias("k"))
     k, t = F.col("k").cast("int"), F.col("_t")
     front = k % 2 == 0
     left, right = F.when(front, t - k).otherwise(k + 1), F.when(front, k + 1).otherwise(t - k)

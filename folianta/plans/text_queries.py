@@ -121,8 +121,9 @@ def pii_mask(spark, sf_dir):
 
 
 @query(r"""WITH h AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '(?i)\b(?:https?://|www\.)[^\s<>"''`{}|\\^]+')) AS raw FROM pages),
-t AS (SELECT doc_id, regexp_replace(raw, '[.,;:!?''"\]]+$', '') AS url FROM h)
-SELECT doc_id, url, count(*) AS n FROM t WHERE contains(regexp_extract(url, '^https?://([^/?#]+)', 1), '.') AND NOT ends_with(url, ')') GROUP BY ALL""")
+t AS (SELECT doc_id, regexp_replace(raw, '[.,;:!?''"\]]+$', '') AS url FROM h),
+u AS (SELECT doc_id, CASE WHEN lower(url) LIKE 'www.%' THEN 'https://' || url ELSE url END AS url FROM t)
+SELECT doc_id, url, count(*) AS n FROM u WHERE contains(regexp_extract(url, '^https?://([^/?#]+)', 1), '.') AND NOT ends_with(url, ')') GROUP BY ALL""")
 def url_hits(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page"), F.col("html").alias("text"))
     return search.find_urls(rows).where(~F.col("url").endswith(")")).groupBy("doc_id", "url").agg(F.count(F.lit(1)).alias("n"))
