@@ -36,8 +36,8 @@ def role_of(tags: DataFrame, role_map: DataFrame, hops: int = 8) -> DataFrame:
     for _ in range(hops):
         step = role_map.select("doc_id", F.col("role").alias("standard_role"), F.col("to").alias("_to"))
         out = out.join(step, ["doc_id", "standard_role"], "left")
-        free = F.col("_to").isNotNull() & ~F.array_contains("_seen", F.col("_to"))
-        out = out.withColumn("_seen", F.when(free, F.array_append("_seen", F.col("_to"))).otherwise(F.col("_seen"))).withColumn("standard_role", F.when(free, F.col("_to")).otherwise(F.col("standard_role"))).drop("_to")
+        out = out.withColumn("_free", F.col("_to").isNotNull() & ~F.array_contains("_seen", F.col("_to")))
+        out = out.withColumn("_seen", F.when(F.col("_free"), F.array_append("_seen", F.col("_to"))).otherwise(F.col("_seen"))).withColumn("standard_role", F.when(F.col("_free"), F.col("_to")).otherwise(F.col("standard_role"))).drop("_to", "_free")
     return out.drop("_seen")
 
 
