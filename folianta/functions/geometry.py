@@ -107,3 +107,56 @@ def cmyk_rgb(c: Column, m: Column, y: Column, k: Column) -> Column:
 
 def rgb_gray(r: Column, g: Column, b: Column) -> Column:
     return r * 0.3 + g * 0.59 + b * 0.11
+
+
+def clamp_page(page: Column, count: Column) -> Column:
+    """A page number within 1..count; anything that is no number is 1."""
+    n = F.floor(F.coalesce(F.nanvl(page.cast("double"), F.lit(1.0)), F.lit(1.0)) + 0.5)
+    return F.greatest(F.lit(1), F.least(count, n)).cast("int")
+
+
+def clamp_zoom(zoom: Column) -> Column:
+    return F.greatest(F.lit(0.25), F.least(F.lit(5.0), F.coalesce(F.nanvl(zoom.cast("double"), F.lit(1.0)), F.lit(1.0))))
+
+
+def match_rect(x: Column, y: Column, width: Column, size: Column, chars: Column, start: Column, end: Column) -> Column:
+    """The box of characters start..end of an upright item: their share of its width with a third of a character around, from below the baseline to above the letters."""
+    step = width / F.greatest(chars, F.lit(1))
+    return rect(x + step * start - step * 0.35, y - size * 0.3, x + step * end + step * 0.35, y + size * 1.1)
+
+
+def crop(box: Column, x: Column, y: Column, width: Column, height: Column) -> Column:
+    """A crop within a visible box: an origin below the box's counts from it, the size is cut to the box; null if nothing is left."""
+    left = F.when(x < box["x0"], box["x0"] + x).otherwise(x)
+    low = F.when(y < box["y0"], box["y0"] + y).otherwise(y)
+    right, top = F.least(left + width, box["x1"]), F.least(low + height, box["y1"])
+    return F.when((right > left) & (top > low), rect(left, low, right, top))
+
+
+def snap(x0: Column, y0: Column, x: Column, y: Column) -> Column:
+    """The end of a line from (x0, y0) on the nearer axis."""
+    flat = F.abs(x - x0) >= F.abs(y - y0)
+    return F.struct(F.when(flat, x).otherwise(x0).alias("x"), F.when(flat, y0).otherwise(y).alias("y"))
+
+
+def fit(width: Column, height: Column, most_width: Column, most_height: Column) -> Column:
+    """A size within bounds, its shape kept, never larger than it is; to hundredths."""
+    scale = F.least(F.lit(1.0), most_width / width, most_height / height)
+    return F.struct(F.round(width * scale, 2).alias("width"), F.round(height * scale, 2).alias("height"))
+
+
+def padded_bounds(box: Column, pad: Column, width: Column, height: Column) -> Column:
+    """A box with a margin, within an image."""
+    return rect(F.greatest(box["x0"] - pad, F.lit(0.0)), F.greatest(box["y0"] - pad, F.lit(0.0)), F.least(box["x1"] + pad, width), F.least(box["y1"] + pad, height))
+
+
+def print_scale(width: Column, height: Column, dpi: float, edge: float, pixels: float) -> Column:
+    """The scale of a page for printing: dpi over 72, within an edge's and all pixels, a tenth at least."""
+    return F.greatest(F.lit(0.1), F.least(F.lit(dpi / 72.0), F.lit(edge) / F.greatest(width, height), F.sqrt(F.lit(pixels) / (width * height))))
+
+
+def unturned_box(turns: Column, x: Column, y: Column, width: Column, height: Column) -> Column:
+    """A normalised box (0..1, y downwards) found on a page turned clockwise by quarter turns, on the page as it was, cut to it."""
+    t = F.pmod(turns.cast("int"), F.lit(4))
+    at = lambda a, b, c, d: F.struct(*[F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), (a, b, c, d), strict=True)])
+    return F.when(t == 1, at(y, 1 - x - width, y + height, 1 - x)).when(t == 2, at(1 - x - width, 1 - y - height, 1 - x, 1 - y)).when(t == 3, at(1 - y - height, x, 1 - y, x + width)).otherwise(at(x, y, x + width, y + height))

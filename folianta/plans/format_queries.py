@@ -107,7 +107,7 @@ def page_orientation(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", geo.turn(F.col("p_size") * 90 - 180).alias("turn"), geo.orientation(F.col("p_size"), F.lit(25)).alias("orientation"))
 
 
-@query("""SELECT p_partkey, round(2.0 * (3 + p_size) + 5, 6) AS x, round(0.5 * (1 + 2 * p_size) - 1, 6) AS y FROM part""")
+@query("""SELECT p_partkey, round((2.0 * (3 + p_size) + 5)::DOUBLE, 6) AS x, round((0.5 * (1 + 2 * p_size) - 1)::DOUBLE, 6) AS y FROM part""")
 def matrix_points(spark, sf_dir):
     s = F.col("p_size").cast("double")
     m = geo.matrix_multiply(F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(3.0), F.lit(1.0)), F.array(F.lit(2.0), F.lit(0.0), F.lit(0.0), F.lit(0.5), F.lit(5.0), F.lit(-1.0)))

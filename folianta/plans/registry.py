@@ -26,9 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: A document's lines as its pages, from 1. DuckDB's side of :func:`pages`.
-PAGES = r"""pages_ AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS page, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))"""
+PAGES = r"""pages_ AS (SELECT doc_id, unnest(range(1, len(l) + 1))::INT AS page, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))"""
 #: A page's words with their places. DuckDB's side of :func:`words`.
-WORDS = PAGES + r""", words_ AS (SELECT doc_id, page, unnest(range(1, len(w) + 1)) AS seq, unnest(w) AS str FROM (SELECT doc_id, page, regexp_extract_all(text, '[^ ]+') AS w FROM pages_))"""
+WORDS = PAGES + r""", words_ AS (SELECT doc_id, page, unnest(range(1, len(w) + 1))::INT AS seq, unnest(w) AS str FROM (SELECT doc_id, page, regexp_extract_all(text, '[^ ]+') AS w FROM pages_))"""
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ _SNIP = """CASE WHEN greatest(0, start - 36) > 0 THEN '…' ELSE '' END
   || regexp_replace(substring(text, greatest(0, start - 36) + 1, least(length(text), start + 4 + 52) - greatest(0, start - 36)), '\\s+', ' ', 'g')
   || CASE WHEN least(length(text), start + 4 + 52) < length(text) THEN '…' ELSE '' END"""
 _MATCHES = f"""WITH {PAGES}, split_ AS (SELECT doc_id, page, text, string_split({_FOLD}, 'tion') AS g FROM pages_),
-m AS (SELECT doc_id, page, text, g, unnest(range(1, len(g))) AS nth FROM split_ WHERE len(g) > 1),
+m AS (SELECT doc_id, page, text, g, unnest(range(1, len(g)))::INT AS nth FROM split_ WHERE len(g) > 1),
 s AS (SELECT doc_id, page, text, nth, (list_sum(list_transform(g[1:nth], lambda x: length(x))) + (nth - 1) * 4)::INT AS start FROM m)
 """
 
@@ -65,7 +65,7 @@ def term_hits(spark, sf_dir):
 
 
 @query(f"""WITH {PAGES}, h AS (SELECT doc_id, page, regexp_extract_all(text, '[A-Z][a-z]+, [a-z]+') AS m FROM pages_)
-SELECT doc_id, page, unnest(range(1, len(m) + 1)) AS nth, unnest(m) AS text FROM h""")
+SELECT doc_id, page, unnest(range(1, len(m) + 1))::INT AS nth, unnest(m) AS text FROM h""")
 def regex_hits(spark, sf_dir):
     return search.find_pattern(pages(spark, sf_dir), "[A-Z][a-z]+, [a-z]+").select("doc_id", "page", "nth", "text")
 
