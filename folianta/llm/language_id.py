@@ -187,7 +187,7 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPLE) -
     ids = known.select("doc_id", "lang").where(F.col("lang").isin(list(shares))).withColumn("_nth", rank).where(F.col("_nth") <= sample).select("doc_id", "lang").distinct()
     chosen = known.join(F.broadcast(ids), ["doc_id", "lang"])
     counts: dict[str, Counter] = {lang: Counter() for lang in shares}
-    for r in chosen.select("lang", "text").toLocalIterator():
+    for r in chosen.select("lang", "text").collect():
         counts[r["lang"]].update(units(r["text"]))
     pieces = fit(counts, read_vocabulary(docs.sparkSession, vocabulary))
     langs = sorted(shares)
