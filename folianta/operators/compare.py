@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_PAGES = 500
 
@@ -60,14 +61,31 @@ def totals(aligned: DataFrame, by: str = "doc_id") -> DataFrame:
     return aligned.groupBy(by, "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def text_change(before: Column, after: Column) -> Column:
+CHANGE = T.StructType([T.StructField(c, T.StringType()) for c in ("prefix", "removed", "added", "suffix")])
+
+
+def _shared(a: str, b: str) -> int:
+    """Length of the longest common beginning, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+    return low
+
+
+@F.pandas_udf(CHANGE)
+def text_change(before: pd.Series, after: pd.Series) -> pd.DataFrame:
     """Struct (prefix, removed, added, suffix) of the one edit that turns a text into another."""
-    n = F.least(F.length(before), F.length(after))
-    head = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0), lambda k, i: F.when((k == i - 1) & (i <= n) & (F.substring(before, i, F.lit(1)) == F.substring(after, i, F.lit(1))), i).otherwise(k))
-    rest = n - head
-    tail = F.aggregate(F.sequence(F.lit(1), F.greatest(rest, F.lit(1))), F.lit(0), lambda k, i: F.when((k == i - 1) & (i <= rest) & (F.substring(before, F.length(before) - i + 1, F.lit(1)) == F.substring(after, F.length(after) - i + 1, F.lit(1))), i).otherwise(k))
-    part = lambda t: F.substring(t, head + 1, F.length(t) - head - tail)
-    return F.struct(F.substring(before, F.lit(1), head).alias("prefix"), part(before).alias("removed"), part(after).alias("added"), F.substring(before, F.length(before) - tail + 1, tail).alias("suffix"))
+    rows = []
+    for a, b in zip(before, after, strict=True):
+        if a is None or b is None:
+            rows.append((None, None, None, None))
+            continue
+        head = _shared(a, b)
+        x, y = a[head:], b[head:]
+        tail = _shared(x[::-1], y[::-1])
+        rows.append((a[:head], x[: len(x) - tail], y[: len(y) - tail], x[len(x) - tail :]))
+    return pd.DataFrame(rows, columns=CHANGE.names)
 
 
 def shown(aligned: DataFrame, hide_unchanged: bool = True) -> DataFrame:

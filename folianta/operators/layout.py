@@ -46,46 +46,56 @@ def merge_wrapped(lines: DataFrame, reach: float = 1.6) -> DataFrame:
 def merge_items(items: DataFrame, tolerance: float = 0.2) -> DataFrame:
     """Items to lines: an item goes on with the line while its size is equal and its baseline near the line's first one. A fold over one page's items, since each is compared with its line's first."""
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
+    def fold(doc: pd.DataFrame) -> pd.DataFrame:
         out: list[list] = []
-        for r in page.sort_values("seq").itertuples():
-            size = int(r.size_ * 2 + 0.5) / 2
-            if out and out[-1][3] == size and abs(out[-1][4] - r.y) <= tolerance * size:
-                out[-1][5].append(r.str)
-            elif r.str.strip():
-                out.append([r.doc_id, r.page, int(r.seq), size, r.y, [r.str]])
-        return pd.DataFrame([(d, p, s, z, y, " ".join(t)) for d, p, s, z, y, t in out], columns=["doc_id", "page", "seq", "size", "y", "text"])
+        doc = doc.sort_values(["page", "seq"])
+        for d, p, k, t, y, z in zip(*(doc[c].tolist() for c in ("doc_id", "page", "seq", "str", "y", "size_")), strict=True):
+            size = int(z * 2 + 0.5) / 2
+            if out and out[-1][1] == p and out[-1][3] == size and abs(out[-1][4] - y) <= tolerance * size:
+                out[-1][5].append(t)
+            elif t.strip():
+                out.append([d, p, k, size, y, [t]])
+        return pd.DataFrame([(d, p, k, z, y, " ".join(t)) for d, p, k, z, y, t in out], columns=["doc_id", "page", "seq", "size", "y", "text"])
 
     rows = items.select("doc_id", "page", "seq", "str", "y", F.col("size").alias("size_"))
-    return rows.groupBy("doc_id", "page").applyInPandas(fold, "doc_id long, page int, seq int, size double, y double, text string")
+    return rows.groupBy("doc_id").applyInPandas(fold, "doc_id long, page int, seq int, size double, y double, text string")
 
 
 def page_layout(items: DataFrame) -> DataFrame:
     """Reading order of a page: (doc_id, page, line, y, text, cells). Words from top to bottom and left to right join the first line within half their size; wide gaps part cells."""
 
-    def lay(page: pd.DataFrame) -> pd.DataFrame:
-        lines: list[dict] = []
-        for r in page.sort_values(["y", "x", "seq"], ascending=[False, True, True]).itertuples():
-            home = next((n for n in lines if abs(n["y"] - r.y) <= 0.5 * r.size_), None)
+    def rows_of(words: list[tuple], doc_id: int, page: int) -> list[tuple]:
+        lines: list[list] = []
+        for w in sorted(words, key=lambda w: (-w[1], w[0], w[4])):
+            home = next((n for n in lines if abs(n[0] - w[1]) <= 0.5 * w[3]), None)
             if home is None:
-                lines.append({"y": r.y, "words": [r]})
+                lines.append([w[1], [w]])
             else:
-                home["words"].append(r)
-        rows = []
-        for k, n in enumerate(sorted(lines, key=lambda n: -n["y"]), 1):
-            cells, end = [], None
-            for r in sorted(n["words"], key=lambda r: (r.x, r.seq)):
-                gap = None if end is None else r.x - end
-                if gap is None or gap > 1.5 * r.size_:
-                    cells.append(r.str)
+                home[1].append(w)
+        out = []
+        for k, (y, ws) in enumerate(sorted(lines, key=lambda n: -n[0]), 1):
+            cells: list[list[str]] = []
+            end = None
+            for x, _, width, size, _, text in sorted(ws, key=lambda w: (w[0], w[4])):
+                gap = None if end is None else x - end
+                if gap is None or gap > 1.5 * size:
+                    cells.append([text])
                 else:
-                    cells[-1] += (" " if gap > 0.15 * r.size_ else "") + r.str
-                end = r.x + r.width
-            rows.append((page["doc_id"].iloc[0], page["page"].iloc[0], k, n["y"], " ".join(cells), cells))
+                    cells[-1].append((" " if gap > 0.15 * size else "") + text)
+                end = x + width
+            joined = ["".join(c) for c in cells]
+            out.append((doc_id, page, k, y, " ".join(joined), joined))
+        return out
+
+    def lay(doc: pd.DataFrame) -> pd.DataFrame:
+        by: dict[int, list[tuple]] = {}
+        for p, *w in zip(*(doc[c].tolist() for c in ("page", "x", "y", "width", "size_", "seq", "str")), strict=True):
+            by.setdefault(p, []).append(tuple(w))
+        rows = [r for p in sorted(by) for r in rows_of(by[p], doc["doc_id"].iloc[0], p)]
         return pd.DataFrame(rows, columns=["doc_id", "page", "line", "y", "text", "cells"])
 
     rows = items.select("doc_id", "page", "seq", "str", "x", "y", "width", F.col("size").alias("size_"))
-    return rows.groupBy("doc_id", "page").applyInPandas(lay, "doc_id long, page int, line int, y double, text string, cells array<string>")
+    return rows.groupBy("doc_id").applyInPandas(lay, "doc_id long, page int, line int, y double, text string, cells array<string>")
 
 
 def paragraphs(lines: DataFrame) -> DataFrame:

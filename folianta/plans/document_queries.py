@@ -260,11 +260,11 @@ def exact_dedup(spark, sf_dir):
     return audit.exact_duplicates(table(spark, sf_dir, "documents").where("text is not null"), "text", "doc_id")
 
 
-_ITEMS = WORDS + """, items_ AS (SELECT doc_id, page, seq, str, (54 + 40 * seq)::DOUBLE AS x, (720 - 30 * ((page - 1) % 20))::DOUBLE AS y, 9 + 0.5 * (length(str) % 20) AS size FROM words_ WHERE page <= 12)"""
+_ITEMS = WORDS + """, items_ AS (SELECT doc_id, page, seq, str, (54 + 40 * seq)::DOUBLE AS x, (720 - 30 * ((page - 1) % 20))::DOUBLE AS y, 9 + 0.5 * (length(str) % 20) AS size FROM words_)"""
 
 
 def items_of(spark, sf_dir):
-    w = words(spark, sf_dir).where("page <= 12")
+    w = words(spark, sf_dir)
     return w.select("doc_id", "page", "seq", "str", (54 + 40 * F.col("seq")).cast("double").alias("x"), (720 - 30 * ((F.col("page") - 1) % 20)).cast("double").alias("y"), (F.lit(9.0) + 0.5 * (F.length("str") % 20)).cast("double").alias("size"), (F.length("str") * 5.0).alias("width"))
 
 
@@ -273,19 +273,19 @@ def body_size(spark, sf_dir):
     return layout.body_size(items_of(spark, sf_dir))
 
 
-@query(f"""WITH {_ITEMS}, s AS (SELECT doc_id, page, size::DOUBLE AS size, length(str) % 2 = 0 AS bold, sum(length(str))::BIGINT AS characters, min(seq) AS f FROM items_ WHERE page <= 2 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY characters DESC, f)::INT AS rank FROM s)
+@query(f"""WITH {_ITEMS}, s AS (SELECT doc_id, page, size::DOUBLE AS size, length(str) % 2 = 0 AS bold, sum(length(str))::BIGINT AS characters, min(seq) AS f FROM items_ GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY characters DESC, f)::INT AS rank FROM s)
 SELECT doc_id, page, size, bold, characters, rank FROM r WHERE rank <= 12""")
 def style_top12(spark, sf_dir):
-    i = items_of(spark, sf_dir).where("page <= 2").withColumn("bold", F.length("str") % 2 == 0)
+    i = items_of(spark, sf_dir).withColumn("bold", F.length("str") % 2 == 0)
     return layout.page_styles(i).select("doc_id", "page", "size", "bold", "characters", "rank")
 
 
-_LINES = PAGES + """, lines_ AS (SELECT doc_id, page AS seq, (page - 1) // 5 + 1 AS page, left(text, 80) AS text, 9 + 0.5 * (length(text) % 20) AS size, (720 - 12 * ((page - 1) % 5))::DOUBLE AS y FROM pages_)"""
+_LINES = PAGES + """, lines_ AS (SELECT doc_id, page AS seq, (page - 1) // 5 + 1 AS page, text, 9 + 0.5 * (length(text) % 20) AS size, (720 - 12 * ((page - 1) % 5))::DOUBLE AS y FROM pages_)"""
 
 
 def lines_of(spark, sf_dir):
     p = pages(spark, sf_dir)
-    return p.select("doc_id", F.col("page").alias("seq"), F.expr("cast((page - 1) div 5 + 1 as int)").alias("page"), F.substring("text", 1, 80).alias("text"), (F.lit(9.0) + 0.5 * (F.length("text") % 20)).cast("double").alias("size"), (720 - 12 * ((F.col("page") - 1) % 5)).cast("double").alias("y"))
+    return p.select("doc_id", F.col("page").alias("seq"), F.expr("cast((page - 1) div 5 + 1 as int)").alias("page"), "text", (F.lit(9.0) + 0.5 * (F.length("text") % 20)).cast("double").alias("size"), (720 - 12 * ((F.col("page") - 1) % 5)).cast("double").alias("y"))
 
 
 @query(f"""WITH {_LINES}, h AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY size DESC) AS level FROM lines_ WHERE size >= 10 * 1.15::DOUBLE AND length(text) BETWEEN 2 AND 200 AND regexp_matches(text, '\\pL'))
@@ -316,17 +316,18 @@ def heading_skip(spark, sf_dir):
 
 @query()
 def line_merge(spark, sf_dir):
-    return layout.merge_items(items_of(spark, sf_dir).where("page <= 3"))
+    return layout.merge_items(items_of(spark, sf_dir))
 
 
 @query()
 def page_layout(spark, sf_dir):
-    return layout.page_layout(items_of(spark, sf_dir).where("page <= 3")).drop("cells")
+    return layout.page_layout(items_of(spark, sf_dir)).drop("cells")
 
 
 @query()
 def table_rows(spark, sf_dir):
-    cells = items_of(spark, sf_dir).where("page <= 3 and seq <= 8").select("doc_id", "page", F.lit(1).alias("line"), "x", F.col("str").alias("text"))
+    k = F.col("seq") - 1
+    cells = words(spark, sf_dir).select("doc_id", "page", F.floor(k / 12).cast("int").alias("line"), (F.lit(54.0) + 40 * (k % 12) + k % 5).alias("x"), F.col("str").alias("text"))
     return layout.table_rows(cells)
 
 
@@ -382,9 +383,9 @@ def residual_terms(spark, sf_dir):
     return audit.residual_terms(pages(spark, sf_dir), terms)
 
 
-@query(f"WITH {PAGES} SELECT doc_id, page, regexp_replace(regexp_replace(text, 'the', '███', 'gi'), 'tion', '████', 'gi') AS text FROM pages_ WHERE page = 1")
+@query(f"WITH {PAGES} SELECT doc_id, page, regexp_replace(regexp_replace(text, 'the', '███', 'gi'), 'tion', '████', 'gi') AS text FROM pages_")
 def redact_text(spark, sf_dir):
-    return audit.redact(pages(spark, sf_dir).where("page = 1"), ["the", "tion"])
+    return audit.redact(pages(spark, sf_dir), ["the", "tion"])
 
 
 @query("""WITH o AS (SELECT l_orderkey AS doc_id, 1 AS page, l_linenumber AS seq, CASE l_linenumber WHEN 2 THEN 'begin' WHEN 5 THEN 'end' ELSE 'paint' END AS op FROM lineitem), d AS (SELECT *, sum(CASE op WHEN 'begin' THEN 1 WHEN 'end' THEN -1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq) AS d FROM o)
@@ -402,11 +403,11 @@ def image_first_seen(spark, sf_dir):
     return audit.first_images(t, 10).select("doc_id", "page", "ref", "nth")
 
 
-@query("""WITH p AS (SELECT l_orderkey AS doc_id, min(l_linenumber) AS first, count(*) AS n, sum(l_quantity)::BIGINT AS q FROM lineitem WHERE l_quantity > 5 GROUP BY 1) SELECT doc_id, 'block ' || n AS text, round(q / 100.0 / n, 6) AS confidence FROM p""")
+@query("""WITH p AS (SELECT l_orderkey AS doc_id, min(l_linenumber) AS first, count(*) AS n, sum(l_quantity)::BIGINT AS q FROM lineitem GROUP BY 1) SELECT doc_id, 'block ' || n AS text, round(q / 100.0 / n, 6) AS confidence FROM p""")
 def ocr_lines(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem")
     n = F.count(F.lit(1)).over(Window.partitionBy("l_orderkey"))
-    rows = t.where("l_quantity > 5").withColumn("n", n)
+    rows = t.withColumn("n", n)
     cells = [F.lit("5"), F.lit("1"), F.col("l_orderkey"), F.lit("1"), F.lit("1"), F.col("l_linenumber"), F.lit("0"), F.lit("0"), F.lit("10"), F.lit("10"), F.col("l_quantity").cast("int"), F.concat(F.lit("block "), F.col("n"))]
     tsv = rows.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_linenumber").alias("seq"), F.concat_ws("\t", *[c.cast("string") for c in cells]).alias("line"))
     out = layout.ocr_lines(tsv)
@@ -461,13 +462,10 @@ def change_counts(spark, sf_dir):
     return compare.totals(compare.align(*_versions(spark, sf_dir), limit=None))
 
 
-@query(f"""WITH {PAGES}, v AS (SELECT doc_id, page, left(text, 20) AS a, left(text, 10) || '#' || substring(text, 13, 8) AS b FROM pages_ WHERE length(text) >= 30 AND substring(text, 11, 2) <> '##' AND substring(text, 11, 1) <> '#' AND substring(text, 12, 1) <> '#')
-SELECT doc_id, page, left(a, 10) AS prefix, substring(a, 11, 2) AS removed, '#' AS added, substring(a, 13) AS suffix FROM v""")
+@query(f"WITH {PAGES} SELECT doc_id, page, 'A' || text AS prefix, 'xy' AS removed, '☃' AS added, text AS suffix FROM pages_")
 def text_diff(spark, sf_dir):
-    p = pages(spark, sf_dir).where("length(text) >= 30").where("substring(text, 11, 2) <> '##' and substring(text, 11, 1) <> '#' and substring(text, 12, 1) <> '#'")
-    a = F.substring("text", 1, 20)
-    b = F.concat(F.substring("text", 1, 10), F.lit("#"), F.substring("text", 13, 8))
-    return p.select("doc_id", "page", compare.text_change(a, b).alias("c")).select("doc_id", "page", "c.*")
+    side = lambda middle: F.concat(F.lit("A"), F.col("text"), F.lit(middle), F.col("text"))
+    return pages(spark, sf_dir).select("doc_id", "page", compare.text_change(side("xy"), side("☃")).alias("c")).select("doc_id", "page", "c.*")
 
 
 @query("""WITH w AS (SELECT p_partkey // 20 AS "group", p_partkey AS nth, (p_partkey * 37 % 500)::DOUBLE AS x, (p_partkey % 30 + 5)::DOUBLE AS width FROM part),

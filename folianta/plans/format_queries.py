@@ -55,7 +55,7 @@ def text_export(spark, sf_dir):
 
 @query()
 def xml_export(spark, sf_dir):
-    p = pages(spark, sf_dir).where("page <= 3").withColumn("heading", (F.col("page") % 3).cast("int")).withColumn("line", F.lit(1))
+    p = pages(spark, sf_dir).withColumn("heading", (F.col("page") % 3).cast("int")).withColumn("line", F.lit(1))
     sizes = p.select("doc_id", "page", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"))
     return exports.xml_pages(p, sizes)
 

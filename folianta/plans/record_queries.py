@@ -120,7 +120,7 @@ def tab_orders(spark, sf_dir):
     return out.withColumn("tab_order", F.when(F.col("tab_order") == "mixed", F.col("tab_order")))
 
 
-@query("SELECT p_partkey, list_aggregate(list_filter([CASE WHEN (p_partkey >> 2) & 1 = 1 THEN 'print' END, CASE WHEN (p_partkey >> 3) & 1 = 1 THEN 'modify' END, CASE WHEN (p_partkey >> 4) & 1 = 1 THEN 'copy' END, CASE WHEN (p_partkey >> 5) & 1 = 1 THEN 'annotate' END, CASE WHEN (p_partkey >> 8) & 1 = 1 THEN 'fill' END, CASE WHEN (p_partkey >> 9) & 1 = 1 THEN 'extract' END, CASE WHEN (p_partkey >> 10) & 1 = 1 THEN 'assemble' END, CASE WHEN (p_partkey >> 11) & 1 = 1 THEN 'print well' END], lambda x: x IS NOT NULL), 'string_agg', ',') AS allowed FROM part WHERE p_partkey >= 4")
+@query("SELECT p_partkey, list_aggregate(list_filter([CASE WHEN (p_partkey >> 2) & 1 = 1 THEN 'print' END, CASE WHEN (p_partkey >> 3) & 1 = 1 THEN 'modify' END, CASE WHEN (p_partkey >> 4) & 1 = 1 THEN 'copy' END, CASE WHEN (p_partkey >> 5) & 1 = 1 THEN 'annotate' END, CASE WHEN (p_partkey >> 8) & 1 = 1 THEN 'fill' END, CASE WHEN (p_partkey >> 9) & 1 = 1 THEN 'extract' END, CASE WHEN (p_partkey >> 10) & 1 = 1 THEN 'assemble' END, CASE WHEN (p_partkey >> 11) & 1 = 1 THEN 'print well' END], lambda x: x IS NOT NULL), 'string_agg', ',') AS allowed FROM part")
 def permission_names(spark, sf_dir):
-    t = table(spark, sf_dir, "part").where("p_partkey >= 4").select("p_partkey", F.array_join(inventory.permissions(F.col("p_partkey")), ",").alias("allowed"))
+    t = table(spark, sf_dir, "part").select("p_partkey", F.array_join(inventory.permissions(F.col("p_partkey")), ",").alias("allowed"))
     return t.withColumn("allowed", F.nullif("allowed", F.lit("")))

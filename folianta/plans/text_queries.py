@@ -36,9 +36,9 @@ def search_whole_word(spark, sf_dir):
     return hits.select("doc_id", "page", F.lit(True).alias("found")).distinct()
 
 
-@query(f"WITH {PAGES} SELECT doc_id, page, {_SNIP.replace('start', '100')} AS snippet FROM pages_ WHERE length(text) > 110")
+@query(f"WITH {PAGES} SELECT doc_id, page, {_SNIP.replace('start', 'least(100, length(text))')} AS snippet FROM pages_")
 def snippet(spark, sf_dir):
-    return pages(spark, sf_dir).where(F.length("text") > 110).select("doc_id", "page", tx.snippet(F.col("text"), F.lit(100), F.lit(4)).alias("snippet"))
+    return pages(spark, sf_dir).select("doc_id", "page", tx.snippet(F.col("text"), F.least(F.lit(100), F.length("text")), F.lit(4)).alias("snippet"))
 
 
 @query(f"WITH {WORDS} SELECT doc_id, page, count(*)::BIGINT AS words, sum(length(str))::BIGINT AS characters, 'text' AS text_status FROM (SELECT * FROM words_) GROUP BY ALL")
@@ -74,15 +74,15 @@ _PII = f"""{PAGES}, items_ AS (SELECT doc_id, page,
   'Call +1 (555) 010-' || lpad((doc_id % 10000)::VARCHAR, 4, '0') || ' or mail user' || doc_id || '@mail' || page || '.example.com, id ' ||
   lpad((doc_id % 1000)::VARCHAR, 3, '0') || '-' || lpad((page % 100)::VARCHAR, 2, '0') || '-' || lpad(((doc_id * 7) % 10000)::VARCHAR, 4, '0') ||
   ' card 4111 1111 1111 1' || lpad((doc_id % 1000)::VARCHAR, 3, '0') || ' iban GB82WEST1234569876' || lpad(((doc_id * 13 + page) % 10000)::VARCHAR, 4, '0') ||
-  ' on 20' || lpad((doc_id % 100)::VARCHAR, 2, '0') || '-03-04' AS text FROM pages_ WHERE page <= 3)"""
+  ' on 20' || lpad((doc_id % 100)::VARCHAR, 2, '0') || '-03-04' AS text FROM pages_)"""
 
 
 def pii_items(spark, sf_dir):
-    """A line of made-up personal data for each of a document's first pages (an item's own number makes it up)."""
+    """A line of made-up personal data for each page, made from its numbers."""
     d, p = F.col("doc_id"), F.col("page")
     pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
     text = F.concat(F.lit("Call +1 (555) 010-"), pad(d % 10000, 4), F.lit(" or mail user"), d, F.lit("@mail"), p, F.lit(".example.com, id "), pad(d % 1000, 3), F.lit("-"), pad(p % 100, 2), F.lit("-"), pad((d * 7) % 10000, 4), F.lit(" card 4111 1111 1111 1"), pad(d % 1000, 3), F.lit(" iban GB82WEST1234569876"), pad((d * 13 + p) % 10000, 4), F.lit(" on 20"), pad(d % 100, 2), F.lit("-03-04"))
-    return pages(spark, sf_dir).where("page <= 3").select("doc_id", "page", text.alias("text"))
+    return pages(spark, sf_dir).select("doc_id", "page", text.alias("text"))
 
 
 def _found(kind):
@@ -115,18 +115,18 @@ def pii_resolved(spark, sf_dir):
     return detect.sensitive(pii_items(spark, sf_dir)).select("doc_id", "page", "kind", "start", "end", "match")
 
 
-@query(f"""WITH {PAGES} SELECT doc_id, page, regexp_replace(text, '[0-9]{{3}}-[0-9]{{4}}', '████████', 'g') AS text FROM pages_ WHERE page = 1""")
+@query(f"""WITH {PAGES} SELECT doc_id, page, regexp_replace(text, '[0-9]{{3}}-[0-9]{{4}}', '████████', 'g') AS text FROM pages_""")
 def pii_mask(spark, sf_dir):
-    return pages(spark, sf_dir).where("page = 1").select("doc_id", "page", F.regexp_replace("text", "[0-9]{3}-[0-9]{4}", "████████").alias("text"))
+    return pages(spark, sf_dir).select("doc_id", "page", F.regexp_replace("text", "[0-9]{3}-[0-9]{4}", "████████").alias("text"))
 
 
 @query(r"""WITH h AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '(?i)\b(?:https?://|www\.)[^\s<>"''`{}|\\^]+')) AS raw FROM pages),
 t AS (SELECT doc_id, regexp_replace(raw, '[.,;:!?''"\]]+$', '') AS url FROM h),
 u AS (SELECT doc_id, CASE WHEN lower(url) LIKE 'www.%' THEN 'https://' || url ELSE url END AS url FROM t)
-SELECT doc_id, url, count(*) AS n FROM u WHERE contains(regexp_extract(url, '^https?://([^/?#]+)', 1), '.') AND NOT ends_with(url, ')') GROUP BY ALL""")
+SELECT doc_id, url, count(*) AS n FROM u WHERE contains(regexp_extract(url, '^https?://([^/?#]+)', 1), '.') GROUP BY ALL""")
 def url_hits(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page"), F.col("html").alias("text"))
-    return search.find_urls(rows).where(~F.col("url").endswith(")")).groupBy("doc_id", "url").agg(F.count(F.lit(1)).alias("n"))
+    return search.find_urls(rows).groupBy("doc_id", "url").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH t AS (SELECT item_id AS pos, trim(regexp_extract(text, '^[^ ]+')) AS term FROM benchmark), o AS (SELECT lower(term) AS k, min(pos) AS pos, arg_min(term, pos) AS term FROM t WHERE term <> '' GROUP BY 1)
@@ -149,12 +149,12 @@ def passage_score(spark, sf_dir):
     return search.score_passages(whole, "the tion ing").select("doc_id", "page", "matched", "score")
 
 
-_PAIRS = """WITH p AS (SELECT a.page_id AS id, left(a.url, 60) AS truth, left(b.url, 60) AS read FROM pages a JOIN pages b ON b.page_id = a.page_id + 1)"""
+_PAIRS = """WITH p AS (SELECT a.page_id AS id, a.url AS truth, b.url AS read FROM pages a JOIN pages b ON b.page_id = a.page_id + 1)"""
 
 
 def _pairs(spark, sf_dir):
-    a = table(spark, sf_dir, "pages").select("page_id", F.substring("url", 1, 60).alias("truth"))
-    b = table(spark, sf_dir, "pages").select((F.col("page_id") - 1).alias("page_id"), F.substring("url", 1, 60).alias("read"))
+    a = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("truth"))
+    b = table(spark, sf_dir, "pages").select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("read"))
     return a.join(b, "page_id").withColumnRenamed("page_id", "id")
 
 
