@@ -5,8 +5,8 @@ tokens, are compared by greedy string tiling: the longest matches that do not ov
 Karp-Rabin over the parts of the document that seeds cover. The share of the item's tokens in tiles is its coverage, whatever the order of the tiles, so
 reordered passages count; at ``COVERAGE`` or more the document is contaminated.
 
-The items' seeds go to the tasks in slices of at most ``SLICE_TOKENS`` tokens; a benchmark beyond one slice is looked up slice
-by slice. Texts are never shuffled.
+The items' seeds go to the tasks in slices by item_id of about ``SLICE_BYTES`` at most; a benchmark beyond one slice is looked up slice
+by slice, of which one at a time is gathered and sent. Texts are never shuffled.
 
 Cases: null or empty texts and items match nothing, nor do items of fewer than ``MIN_TILE`` tokens; repeated documents each get a row, repeated items count each; of
 items with equal coverage the smallest item_id is named; an empty table on either side gives no rows, or no contaminated ones; other columns are carried
@@ -28,7 +28,8 @@ from .shared import stored
 
 MIN_TILE = 5
 COVERAGE = 0.5
-SLICE_TOKENS = 2_000_000
+#: A benchmark up to this goes to the tasks whole, a larger one in slices of about half as much.
+SLICE_BYTES = 16_000_000
 SEPARATORS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _MOD, _RADIX = (1 << 61) - 1, 1_000_003
 
@@ -142,45 +143,61 @@ class Slice:
         return out
 
 
-def _slices(benchmark: DataFrame) -> list[Slice]:
-    """Slices of the items in the order of their ids, each gathered on its own."""
-    size = F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)) + 1
+def _n_slices(benchmark: DataFrame) -> int:
+    """Into how many slices the items' bytes, each with one for its end, call for."""
+    total = benchmark.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
+    return 1 if total <= SLICE_BYTES else 2 * -(-total // SLICE_BYTES)
+
+
+def _slice(benchmark: DataFrame, i: int, n: int) -> Slice:
+    """Slice i of n, gathered on its own: the driver holds one at a time."""
     ids = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = ids.agg(F.sum(size)).first()[0] or 0
-    if total <= SLICE_TOKENS:
-        return [Slice([tuple(r) for r in ids.orderBy("item_id", "text").collect()])]
-    n = -(-total // SLICE_TOKENS) * 2
-    part = F.pmod(F.xxhash64("item_id"), F.lit(n))
-    return [Slice([tuple(r) for r in ids.where(part == i).orderBy("item_id", "text").collect()]) for i in range(n)]
+    own = ids.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i)
+    return Slice([tuple(r) for r in own.orderBy("item_id", "text").collect()])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id (the item that the document covers most), coverage, n_covered, n_items (at or above the threshold), contaminated."""
-    shared = [docs.sparkSession.sparkContext.broadcast(s) for s in _slices(benchmark)]
-    kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("n_covered", T.LongType()), T.StructField("n_items", T.LongType())])
+FOUND = [T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("n_covered", T.LongType()), T.StructField("n_items", T.LongType())]
 
-    def look(batches):
-        for b in batches:
-            found = [s.value.best(b.column(1)) for s in shared]
-            best = [max(f, key=lambda x: (x[1], -(x[0] or 0))) for f in zip(*found, strict=True)]
-            n = [sum(x[3] for x in f) for f in zip(*found, strict=True)]
-            columns = [pa.array([x[i] for x in best], t) for i, t in enumerate((pa.int64(), pa.float64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array(n, pa.int64())], kind.names)
 
-    return docs.select("doc_id", "text").mapInArrow(look, kind).withColumn("contaminated", F.col("n_items") > 0)
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id (the item that the document covers most), coverage, n_covered, n_items (at or above the threshold), contaminated.
+
+    With more than one slice the rows are written after each, with what was found so far, so that only one slice is ever sent out.
+    """
+    n, own = _n_slices(benchmark), docs.select("doc_id", "text")
+    rows = own.select("doc_id", "text", F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("coverage"), F.lit(0).cast("long").alias("n_covered"), F.lit(0).cast("long").alias("n_items"))
+    for i in range(n):
+        shared = docs.sparkSession.sparkContext.broadcast(_slice(benchmark, i, n))
+        carried = own.schema.fields if i + 1 < n else own.schema.fields[:1]
+        kind = T.StructType([*carried, *FOUND])
+
+        def look(batches, shared=shared, k=len(carried), names=kind.names):
+            for b in batches:
+                before = zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)
+                pairs = list(zip(before, shared.value.best(b.column(1)), strict=True))
+                best = [max(p, key=lambda x: (x[1], -(x[0] or 0))) for p in pairs]
+                columns = [pa.array([x[j] for x in best], t) for j, t in enumerate((pa.int64(), pa.float64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*b.columns[:k], *columns, pa.array([x[3] + y[3] for x, y in pairs], pa.int64())], names)
+
+        rows = rows.mapInArrow(look, kind)
+        if i + 1 < n:
+            rows = stored(rows)
+            shared.destroy()
+    return rows.withColumn("contaminated", F.col("n_items") > 0)
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows that aren't contaminated, with the input's columns."""
-    at, slices = docs.columns.index("text"), _slices(benchmark)
-    for i, piece in enumerate(slices):
-        shared = docs.sparkSession.sparkContext.broadcast(piece)
+    at, n = docs.columns.index("text"), _n_slices(benchmark)
+    for i in range(n):
+        shared = docs.sparkSession.sparkContext.broadcast(_slice(benchmark, i, n))
 
         def keep(batches, shared=shared):
             for b in batches:
                 yield b.filter(pa.array([not x[3] for x in shared.value.best(b.column(at))], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
-        if i + 1 < len(slices):
+        if i + 1 < n:
             docs = stored(docs)
+            shared.destroy()
     return docs
