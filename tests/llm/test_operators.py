@@ -195,11 +195,11 @@ def test_tiling_finds_reordered_passages(spark, docs, empty):
 
 
 def test_slices_of_a_benchmark_give_the_same(spark, docs, rows, monkeypatch):
-    texts = [r[1] for r in rows if r[1]]
+    texts = [r[1] for r in rows if r[1] and not r[1].startswith("spam")]
     items = spark.createDataFrame([(i, t[: 40 + 30 * i]) for i, t in enumerate(texts[:40])], "item_id long, text string")
     want, kept = (sorted(map(tuple, f(docs, items).collect()), key=repr) for f in (tiling.contamination, tiling.clean_rows))
-    monkeypatch.setattr(tiling, "SLICE_BYTES", 15_000)
-    assert tiling._n_slices(items) > 1
+    monkeypatch.setattr(tiling, "SLICE_BYTES", 6000)
+    assert tiling._n_slices(items) > 2
     assert sorted(map(tuple, tiling.contamination(docs, items).collect()), key=repr) == want and any(w[-1] for w in want)
     assert sorted(map(tuple, tiling.clean_rows(docs, items).collect()), key=repr) == kept
 
