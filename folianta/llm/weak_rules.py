@@ -23,11 +23,10 @@ MIN_WORDS = 50
 REPEAT_PERCENT = 50
 KEEP_AT = 0.5
 ROUNDS = 50
-START, PRIOR = 0.85, 0.2
+START, SIGN_START, PRIOR = 0.85, 0.6, 0.2
 SYMBOLS = b"#*$%&|<>"
 GOOD, BAD, ABSTAIN = 1, 0, 2
-#: Each detector votes bad on a document at this share or above, and abstains below. The last rule, ``ordinary``, votes good on documents on which
-#: no detector comes near its threshold, and abstains on the others.
+#: Each detector votes bad on a document at this share or above, and abstains below.
 DETECTORS = {
     "repeated_windows": 0.40,
     "symbols_per_word": 0.15,
@@ -39,8 +38,21 @@ DETECTORS = {
     "few_letters": 0.30,
     "odd_word_length": 1.0,
 }
+#: Each of these votes good on a document whose own measure lies in this range, whatever the detectors say, and abstains elsewhere.
+SIGNS = {
+    "word_length": (3.0, 10.0),
+    "sentence_ends": (1 / 60, 1 / 3),
+    "line_words": (5.0, np.inf),
+    "letter_share": (0.80, 1.0),
+    "word_variety": (3.0, np.inf),
+}
 NEAR = 0.5
-RULES = [*DETECTORS, "ordinary"]
+#: The last rule, ``ordinary``, votes good on documents on which no detector comes near its threshold, and abstains on the others.
+RULES = [*DETECTORS, *SIGNS, "ordinary"]
+#: Much of what is bad has ordinary words and sentences too, so a sign starts as weaker evidence than a detector.
+STARTS = np.array([SIGN_START if r in SIGNS else START for r in RULES])
+#: A class counts in the balance of :func:`fit` with this part of all documents more than it has.
+FLOOR = 0.05
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -64,8 +76,8 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
         again = at[tc.repeated_within(h3[at], doc[at])]
         in_repeat = tc.covered(again, 3, len(starts)) if len(starts) else np.zeros(0, bool)
         n_repeat = tc.per_doc(doc[in_repeat], n)
-        dup, lines, unclosed = _lines(data, offs, starts, ends, doc, n)
-        top = _top_word(hashes, doc, n)
+        dup, lines, _ = _lines(data, offs, starts, ends, doc, n)
+        top, distinct = _word_counts(hashes, doc, n)
         w, ch = np.maximum(n_words, 1), np.maximum(word_chars, 1)
         mean = ch / w
         marked = np.add.reduceat(np.isin(data, np.frombuffer(SYMBOLS, np.uint8)).astype(np.int64), starts) > 0 if len(starts) else np.zeros(0, bool)
@@ -80,9 +92,17 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
             "few_letters": 1 - (letters + count(data >= 0xC0)) / ch,
             "odd_word_length": np.where((mean < 2.0) | (mean > 14), 1.0, 0.0),
         }
+        sign = {
+            "word_length": mean,
+            "sentence_ends": tc.per_doc(doc[_ends_sentence(data, starts, ends)], n) / w,
+            "line_words": n_words / np.maximum(lines, 1),
+            "letter_share": (letters + count(data >= 0xC0)) / ch,
+            "word_variety": distinct / np.sqrt(w),
+        }
         bad = np.stack([share[r] >= at for r, at in DETECTORS.items()], 1)
         near = np.stack([share[r] >= NEAR * at for r, at in DETECTORS.items()], 1)
-        votes = np.concatenate([np.where(bad, BAD, ABSTAIN), np.where(near.any(1), ABSTAIN, GOOD)[:, None]], 1)
+        good = np.stack([(sign[r] >= low) & (sign[r] <= high) for r, (low, high) in SIGNS.items()], 1)
+        votes = np.concatenate([np.where(bad, BAD, ABSTAIN), np.where(good, GOOD, ABSTAIN), np.where(near.any(1), ABSTAIN, GOOD)[:, None]], 1)
         votes[n_words == 0] = ABSTAIN
         text = [bytes(v).decode() for v in (votes.astype(np.uint8) + 48)]
         for k, v in zip(COUNTS, (n_words, word_chars, n_symbols, dup, n_repeat), strict=True):
@@ -116,14 +136,28 @@ def _lines(data, offs, starts, ends, doc, n):
     return tc.per_doc(of[later], n), tc.per_doc(of, n), tc.per_doc(of[~closed], n)
 
 
-def _top_word(hashes, doc, n):
-    """Occurrences of each document's most frequent word."""
-    out = np.zeros(n, np.int64)
+def _word_counts(hashes, doc, n):
+    """Occurrences of each document's most frequent word, and its distinct words."""
+    top, distinct = np.zeros(n, np.int64), np.zeros(n, np.int64)
     if len(hashes):
         key = np.sort((doc.astype(np.uint64) << np.uint64(43)) | (hashes >> np.uint64(21)))
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        np.maximum.at(out, (key[new] >> np.uint64(43)).astype(np.int64), np.diff(np.concatenate([new, [len(key)]])))
-    return out
+        of = (key[new] >> np.uint64(43)).astype(np.int64)
+        np.maximum.at(top, of, np.diff(np.concatenate([new, [len(key)]])))
+        distinct = tc.per_doc(of, n)
+    return top, distinct
+
+
+def _ends_sentence(data, starts, ends):
+    """Whether each word ends in a full stop, an exclamation or a question mark, also before one closing quote or bracket or as the last byte of a full-width one."""
+    if not len(starts):
+        return np.zeros(0, bool)
+    last = data[ends - 1]
+    before = np.where(ends - 2 >= starts, data[np.maximum(ends - 2, 0)], last)
+    first = np.where(ends - 3 >= starts, data[np.maximum(ends - 3, 0)], last)
+    wide = ((first == 0xE3) & (before == 0x80) & (last == 0x82)) | ((first == 0xEF) & (before == 0xBC) & ((last == 0x81) | (last == 0x9F)))
+    marks = np.frombuffer(b".!?", np.uint8)
+    return np.isin(np.where(np.isin(last, np.frombuffer(b"\"')]", np.uint8)), before, last), marks) | wide
 
 
 MEASURED = T.StructType([*(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("votes", T.StringType())])
@@ -144,19 +178,24 @@ def fit(patterns: list[tuple[str, int]], rounds: int = ROUNDS) -> np.ndarray:
     """Each rule's accuracy, the chance that a vote it casts is right, from counts of vote patterns.
 
     Expectation-maximisation without labels: from the accuracies follow the documents' posteriors, from these the accuracies again. Both classes
-    have a prior of one half, so that the many good documents do not outvote a rule that finds one kind of bad ones. A rule starts at ``START``,
-    which counts as ``PRIOR`` times the votes that it casts, and is never taken for worse than chance; this fixes which class is the good one.
+    have a prior of one half, so that the many good documents do not outvote a rule that finds one kind of bad ones. For votes of good both classes
+    weigh the same in the accuracy, too: a rule that says good of good and bad documents alike has little to say, however many are good. A vote of bad
+    is right as often as the documents it falls on are bad. A rule starts at its place in ``STARTS``, which counts as ``PRIOR`` times the votes that
+    it casts, and is never taken for worse than chance; this fixes which class is the good one.
     """
-    accuracy = np.full(len(RULES), START)
+    accuracy = STARTS.copy()
     if not patterns:
         return accuracy
     votes = np.array([[ord(c) - 48 for c in p] for p, _ in patterns])
     weight = np.array([c for _, c in patterns], float)
     for _ in range(rounds):
         good = posterior(votes, accuracy)[:, None]
-        cast = ((votes != ABSTAIN) * weight[:, None]).sum(0)
-        right = (((votes == GOOD) * good + (votes == BAD) * (1 - good)) * weight[:, None]).sum(0)
-        accuracy = np.clip((right + START * (PRIOR * cast + 1)) / ((1 + PRIOR) * cast + 1), 0.5, 0.999)
+        own = np.stack([weight * (1 - good[:, 0]), weight * good[:, 0]])
+        even = own * weight.sum() / 2 / (own.sum(1, keepdims=True) + FLOOR * weight.sum())
+        votes_good, votes_bad = (even @ (votes == GOOD)), (own @ (votes == BAD))
+        cast = votes_good.sum(0) + votes_bad.sum(0)
+        right = votes_good[GOOD] + votes_bad[BAD]
+        accuracy = np.clip((right + STARTS * (PRIOR * cast + 1)) / ((1 + PRIOR) * cast + 1), 0.5, 0.999)
     return accuracy
 
 

@@ -364,6 +364,30 @@ def test_weak_rules_counts_and_verdicts(docs, rows, empty):
     assert weak_rules.judged(empty).count() == 0 and weak_rules.keep_rows(empty).count() == 0
 
 
+def test_one_false_alarm_does_not_reject(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 8)))
+    lines = lambda n, w=word: "\n".join(" ".join(w() for _ in range(10)) + "." for _ in range(n))
+    prose = [lines(8) for _ in range(150)]
+    junk = [lines(8, lambda: word() + rng.choice(["###", "$$$", "%%%", "&&&"])) for _ in range(20)]
+    notice = lines(1) + "\n" + "\n".join(["Open from nine to five."] * 8) + "\n" + lines(8)
+    capitals = lines(8).upper()
+    made = [(i, t) for i, t in enumerate([*prose, *junk, notice, capitals])]
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    got = {r.doc_id: r for r in weak_rules.judged(d).collect()}
+    assert all(got[i].kept for i in range(150)) and not any(got[i].kept for i in range(150, 170))
+    assert [got[i].votes[: len(weak_rules.DETECTORS)].count("0") for i in (170, 171)] == [1, 1] and not got[170].base_failed
+    assert got[170].kept and got[171].kept
+    assert {r.doc_id for r in weak_rules.keep_rows(d).collect()} == {i for i, r in got.items() if r.kept}
+
+
+def test_signs_vote_whatever_detectors_say():
+    text = "These words stand in capitals and in plain lines. " * 2 + "\n" + " ".join(f"Word{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)) + ". Fin.\u3002"
+    (votes,) = weak_rules.measure(pa.array([text.upper()]))["votes"]
+    assert votes[list(weak_rules.DETECTORS).index("capitals")] == "0" and votes[-1] == "2"
+    assert votes[len(weak_rules.DETECTORS) : -1] == "11111"
+
+
 def test_label_model_trusts_rules_that_agree():
     n = len(weak_rules.RULES)
     ordinary, junk = "2" * (n - 1) + "1", "00" + "2" * (n - 2)
