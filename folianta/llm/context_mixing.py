@@ -3,11 +3,16 @@
 A text is coded as its style, one of ``STYLES`` clusters of byte frequencies, then its lower-cased words and one end, each word as its bytes and a space, each byte as the binary decisions on the path to it in a prefix code of the training bytes. For every
 decision, several predictors look up what the training corpus did in a hashed context: up to three bytes before, within texts of the style or in all, and the word's whole beginning, again in either. A gate, chosen by how often the long contexts
 were seen and by the place in the word, selects the weights by which the predictors' log-odds are mixed; the weights are learned online, step by step, from decisions that leave their own
-occurrence out of the counts. A last stage refines the mixed probability by what followed such probabilities in training. The sum over decisions is the text's log10-probability; with its bytes it gives bits per byte.
+occurrence out of the counts. A last stage refines the mixed probability by what followed such probabilities in training. The sum over a word's decisions is its log10-probability by itself.
+
+From the running text comes what the word before says: with c(v, w) and c(v) the training counts of a pair and of its first word, where a document's first word follows its end, a word has the chance
+(c(v, w) + K p(w)) / (c(v) + K), p being the mix's. In training documents a token leaves its own occurrence out of both counts. K is the one of ``PULLS`` under which the training documents are likeliest so.
+The sum over words and the style's share is the text's log10-probability; with its bytes it gives bits per byte.
 
 Spark gathers all of it from the whole corpus. The styles come from Lloyd's iterations over all training documents' byte frequencies. Documents are packed into blocks of tokens as indices into the block's own words; the words go to buckets by hash, where their counts over all blocks meet. Contexts,
 weights and refinement come from the buckets' words with their counts, the contexts' tables are of fixed size; the scores of a bucket's words go back to the blocks that hold them. So the cost of the
-model follows the number of distinct words, and no vocabulary is ever in one place.
+mix follows the number of distinct words, and no vocabulary is ever in one place. A block's distinct pairs of words go to buckets by their own hash of ``PAIR_BITS`` bits, so that a frequent word's pairs spread over all
+buckets, and their counts over all blocks come back.
 
 Cases: a null text is empty and has one token, the end; every doc_id that is null counts as training; repeated rows each count and get a row; without training rows counts are 0 and the untrained mix scores; an empty table
 gives no rows; other columns are not looked at.
@@ -27,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import blockwise as bw
 from . import textcore as tc
 from .shared import cut, stored
 
@@ -41,6 +47,9 @@ N_GATES = 36
 STRETCHES = 33
 SMOOTH = 0.1
 BATCH_WORDS = 1024
+PAIR_BITS = 48
+#: How much the mix counts beside a word's followers, as a number of occurrences; the best for the training documents is taken.
+PULLS = tuple(float(4**i) for i in range(9))
 
 
 def held_out(doc_id: Column, folds: int = 10, fold: int = 0) -> Column:
@@ -158,12 +167,31 @@ def bucket_of(keys: list[bytes], n: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(w[1:]) % n for w in keys), np.int64, len(keys))
 
 
+def key_hashes(keys: list[bytes]) -> np.ndarray:
+    """Hashes of the keys' words, each with its space."""
+    end = np.cumsum(np.fromiter(map(len, keys), np.int64, len(keys)))
+    return tc.span_hashes(np.frombuffer(b" ".join([w[1:] for w in keys]) + b" ", np.uint8), np.concatenate([[0], end[:-1]]), end)
+
+
+def word_pairs(tokens: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct pairs of keys: their hashes, ascending; each token's pair; and the key before each token. The document's end is before its first token."""
+    first = np.cumsum(sizes) - sizes
+    before = np.concatenate([tokens[:1], tokens[:-1]])
+    before[first] = tokens[first + sizes - 1]
+    pair, of = np.unique((before.astype(np.int64) << 32) | tokens, return_inverse=True)
+    h = tc.mix64(hashes[pair >> 32] * np.uint64(0x9E3779B97F4A7C15) + hashes[pair & 0xFFFFFFFF]) >> np.uint64(64 - PAIR_BITS)
+    order = np.argsort(h, kind="stable")
+    place = np.empty(len(h), np.int64)
+    place[order] = np.arange(len(h))
+    return h[order], place[of], before
+
+
 PACKED = T.StructType([T.StructField("block", T.LongType()), T.StructField("bucket", T.LongType()), T.StructField("payload", T.BinaryType())])
 
 
 def blocks(docs: DataFrame, n_buckets: int, centres: np.ndarray) -> DataFrame:
-    """Rows of (block, bucket, payload): for each block and bucket the block's keys with their counts in training documents; bucket -1 holds the documents' ids, folds, styles and
-    tokens as indices into the block's keys in order of their buckets."""
+    """Rows of (block, bucket, payload): for each block and bucket the block's keys with their counts in training documents, and in buckets from n_buckets on the pairs' hashes with theirs; bucket -1 holds
+    the documents' ids, folds, styles and tokens as indices into the block's keys in order of their buckets, and these keys' hashes."""
 
     def pack(batches):
         task, seq = TaskContext.get().partitionId(), 0
@@ -184,11 +212,16 @@ def blocks(docs: DataFrame, n_buckets: int, centres: np.ndarray) -> DataFrame:
             counts = np.bincount(flat[train], minlength=len(words)).astype(np.uint32)
             edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
             found = [(b, _pack([words[i] for i in order[x:y]], counts[x:y])) for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]
+            hashes = key_hashes([words[i] for i in order])
+            pairs, of, _ = word_pairs(flat, n, hashes)
+            counts = np.bincount(of[train], minlength=len(pairs)).astype(np.uint32)
+            edges = np.searchsorted(bw.bucket_of(pairs << np.uint64(64 - PAIR_BITS), n_buckets), np.arange(n_buckets + 1))
+            found += [(n_buckets + b, bw.pack(bw.gaps(pairs[x:y]), counts[x:y])) for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]
             head = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(held), pa.array(kinds, pa.int32())], ["doc_id", "held_out", "style"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, head.schema) as w:
                 w.write_batch(head)
-            found.append((-1, _pack([], np.frombuffer(sink.getvalue(), np.uint8), n, flat)))
+            found.append((-1, _pack([], np.frombuffer(sink.getvalue(), np.uint8), n, flat, hashes)))
             block = (task << 32) | seq
             return pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int64()), pa.array([b for b, _ in found], pa.int64()), pa.array([p for _, p in found], pa.binary())], PACKED.names)
 
@@ -214,6 +247,22 @@ def blocks(docs: DataFrame, n_buckets: int, centres: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(pack, PACKED)
 
 
+def pair_counts(pairs: DataFrame) -> DataFrame:
+    """(block, bucket, payload): for each block and bucket of pairs, the pairs' training counts over all blocks, in the block's order."""
+
+    def add(table: pa.Table) -> pa.Table:
+        sent = [bw.unpack(x.as_py()) for x in table.column("payload")]
+        h, counts = np.concatenate([bw.ungap(s[0]) for s in sent]), np.concatenate([s[1] for s in sent]).astype(np.int64)
+        order = np.argsort(h)
+        new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+        total = np.empty(len(h), np.int64)
+        total[order] = np.add.reduceat(counts[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        ends = np.cumsum([len(s[1]) for s in sent])
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "payload": pa.array([bw.pack(total[e - len(s[1]) : e]) for s, e in zip(sent, ends, strict=True)], pa.binary())})
+
+    return pairs.groupBy("bucket").applyInArrow(add, PACKED)
+
+
 def word_table(packed: DataFrame) -> DataFrame:
     """(bucket, payload, n, v): a bucket's distinct keys with their counts over all blocks; n sums them and v counts the words with any."""
 
@@ -226,7 +275,7 @@ def word_table(packed: DataFrame) -> DataFrame:
         counts = np.fromiter(total.values(), np.int64, len(total))
         return pa.table({"bucket": table.column("bucket")[:1], "payload": pa.array([_pack(list(total), counts)], pa.binary()), "n": [int(counts.sum())], "v": [len({w[1:] for w, c in total.items() if c})]})
 
-    return packed.where("bucket >= 0").groupBy("bucket").applyInArrow(merge, "bucket long, payload binary, n long, v long")
+    return packed.groupBy("bucket").applyInArrow(merge, "bucket long, payload binary, n long, v long")
 
 
 # The model
@@ -480,7 +529,8 @@ def score_documents(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
     n_buckets = n_buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     centres, shares = styles(docs)
     packed = stored(blocks(docs, n_buckets, centres))
-    words = cut(word_table(packed))
+    own_words = packed.where((F.col("bucket") >= 0) & (F.col("bucket") < n_buckets))
+    words = cut(word_table(own_words))
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     n_train, n_distinct = int(total[0]), int(total[1])
     model = spark.sparkContext.broadcast(train(words))
@@ -499,23 +549,36 @@ def score_documents(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
             blobs.append(_pack([], np.fromiter((whole[w[1:]] for w in own), np.int64, len(own)), scores[i]))
         return pa.table({"block": vocabulary.column("block"), "bucket": vocabulary.column("bucket"), "payload": pa.array(blobs, pa.binary())})
 
-    replies = packed.where("bucket >= 0").groupBy("bucket").cogroup(words.select("bucket", "payload").groupBy("bucket")).applyInArrow(answer, PACKED)
+    replies = own_words.groupBy("bucket").cogroup(words.select("bucket", "payload").groupBy("bucket")).applyInArrow(answer, PACKED).unionByName(pair_counts(packed.where(F.col("bucket") >= n_buckets)))
     id_type = docs.schema["doc_id"].dataType
-    kind = T.StructType([T.StructField("doc_id", id_type), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    kind = T.StructType([T.StructField("doc_id", id_type), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), *(T.StructField(f"score_{i}", T.DoubleType()) for i in range(len(PULLS)))])
     arrow_id = pa.int64() if isinstance(id_type, T.LongType) else None
 
     def total_up(own: pa.Table, back: pa.Table) -> pa.Table:
-        _, (head, sizes, tokens) = _unpack(own.column("payload")[0].as_py(), np.uint8, np.int64, np.uint32)
-        by = np.argsort(back.column("bucket").to_numpy())
-        got = [_unpack(back.column("payload")[int(i)].as_py(), np.int64, np.float64)[1] for i in by]
-        counts, scores = (np.concatenate([g[k] for g in got])[tokens] for k in (0, 1))
+        _, (head, sizes, tokens, hashes) = _unpack(own.column("payload")[0].as_py(), np.uint8, np.int64, np.uint32, np.uint64)
+        buckets = back.column("bucket").to_numpy()
+        by = np.argsort(buckets)
+        blobs = [back.column("payload")[int(i)].as_py() for i in by]
+        cut_at = int((buckets < n_buckets).sum())
+        got = [_unpack(x, np.int64, np.float64)[1] for x in blobs[:cut_at]]
+        every, scores = (np.concatenate([g[k] for g in got]) for k in (0, 1))
+        _, of, before = word_pairs(tokens, sizes, hashes)
+        both = np.concatenate([bw.unpack(x)[0] for x in blobs[cut_at:]])[of]
+        counts = every[tokens]
         base = np.log10((counts + 0.1) / (n_train + 0.1 * (n_distinct + 1)))
         first = np.cumsum(sizes) - sizes
         rows = pa.ipc.open_stream(pa.BufferReader(head.tobytes())).read_all()
         ids = rows.column("doc_id") if arrow_id is None else rows.column("doc_id").cast(arrow_id)
-        return pa.table({"doc_id": ids, "held_out": rows.column("held_out"), "n_tokens": sizes, "n_known": np.add.reduceat((counts > 0).astype(np.int64), first), "train_tokens": np.full(len(sizes), n_train), "base_score": np.add.reduceat(base, first), "score": np.add.reduceat(scores, first) + np.log10(shares)[rows.column("style").to_numpy()]})
-
-    return packed.where("bucket = -1").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(total_up, kind)
+        left_out = np.repeat(~rows.column("held_out").to_numpy(), sizes).astype(np.int64)
+        above = every[before] - left_out
+        both = np.minimum(both - left_out, above)
+        mixed, share = 10 ** scores[tokens], np.log10(shares)[rows.column("style").to_numpy()]
+        totals = {f"score_{i}": np.add.reduceat(np.log10((both + k * mixed) / (above + k)), first) + share for i, k in enumerate(PULLS)}
+        return pa.table({"doc_id": ids, "held_out": rows.column("held_out"), "n_tokens": sizes, "n_known": np.add.reduceat((counts > 0).astype(np.int64), first), "train_tokens": np.full(len(sizes), n_train), "base_score": np.add.reduceat(base, first), **totals})
+
+    out = cut(packed.where("bucket = -1").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(total_up, kind))
+    fits = out.where("not held_out").agg(*(F.coalesce(F.sum(f"score_{i}"), F.lit(0.0)) for i in range(len(PULLS)))).first()
+    return out.select(*kind.names[: -len(PULLS)], F.col(f"score_{int(np.argmax(fits))}").alias("score"))
 
 
 def bits_per_byte(score: Column, text: Column) -> Column:

@@ -411,6 +411,42 @@ def test_context_mixing_counts_and_distribution(docs, rows, empty):
     assert context_mixing.score_documents(empty, 5).count() == 0
 
 
+def test_order_of_words_tells(spark):
+    rng = random.Random(10)
+    names = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(40)]
+    after = {w: rng.sample(names, 3) for w in names}
+
+    def run(n):
+        out = [rng.choice(names)]
+        while len(out) < n:
+            out.append(rng.choice(after[out[-1]]))
+        return out
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    plain = [(i, run(60)) for i in range(300) if not held(i)]
+    ids = [i for i in range(1000, 1400) if held(i)][:20]
+    tests = {i: run(60) for i in ids[:10]}
+    mixed = dict(zip(ids[10:], (rng.sample(t, len(t)) for t in tests.values()), strict=True))
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in [*plain, *tests.items(), *mixed.items()]], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in context_mixing.score_documents(d, 5).collect()}
+    assert all(got[a] > got[b] + 15 for a, b in zip(ids[:10], ids[10:], strict=True))
+
+
+def test_pair_counts_are_exact():
+    import numpy as np
+
+    keys = [b"0", b"0a", b"0b", b"1", b"1a", b"1b"]
+    tokens, sizes = np.array([1, 2, 1, 2, 0, 4, 5, 3, 0], np.uint32), np.array([5, 3, 1])
+    other = [b"5zz", b"5", b"5b", b"5a"]
+    same = dict(zip(keys + other, context_mixing.key_hashes(keys).tolist() + context_mixing.key_hashes(other).tolist(), strict=True))
+    assert [same[b"5" + w] for w in (b"", b"a", b"b")] == [same[b"0" + w] for w in (b"", b"a", b"b")] == [same[b"1" + w] for w in (b"", b"a", b"b")]
+    pairs, of, before = context_mixing.word_pairs(tokens, sizes, context_mixing.key_hashes(keys))
+    assert before.tolist() == [0, 1, 2, 1, 2, 3, 4, 5, 0] and (np.diff(pairs.astype(np.int64)) >= 0).all()
+    seen = collections.Counter((keys[a][1:], keys[b][1:]) for a, b in zip(before, tokens, strict=True))
+    total = collections.Counter(pairs[of].tolist())
+    assert all(total[int(pairs[o])] == seen[keys[a][1:], keys[b][1:]] for o, a, b in zip(of, before, tokens, strict=True)) and len(total) == len(seen)
+
+
 def test_codes_are_complete_and_decisions_follow_them():
     import numpy as np
 
