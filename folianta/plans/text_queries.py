@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checks
@@ -78,7 +81,7 @@ _PII = f"""{PAGES}, items_ AS (SELECT doc_id, page,
 
 
 def pii_items(spark, sf_dir):
-    """A line of made-up personal data for each page, made from its numbers."""
+    """A line of made-up personal data for each page, made from its numbers: what the queries with SQL are held against. Texts go to pii_candidates, pii_resolved and pii_masked."""
     d, p = F.col("doc_id"), F.col("page")
     pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
     text = F.concat(F.lit("Call +1 (555) 010-"), pad(d % 10000, 4), F.lit(" or mail user"), d, F.lit("@mail"), p, F.lit(".example.com, id "), pad(d % 1000, 3), F.lit("-"), pad(p % 100, 2), F.lit("-"), pad((d * 7) % 10000, 4), F.lit(" card 4111 1111 1111 1"), pad(d % 1000, 3), F.lit(" iban GB82WEST1234569876"), pad((d * 13 + p) % 10000, 4), F.lit(" on 20"), pad(d % 100, 2), F.lit("-03-04"))
@@ -112,7 +115,19 @@ for _kind, _sql in {
 
 @query()
 def pii_resolved(spark, sf_dir):
-    return detect.sensitive(pii_items(spark, sf_dir)).select("doc_id", "page", "kind", "start", "end", "match")
+    return detect.sensitive(pages(spark, sf_dir)).select("doc_id", "page", "kind", "start", "end", "match")
+
+
+@query()
+def pii_candidates(spark, sf_dir):
+    """Each kind's matches in whole texts, before overlaps are resolved. Java's look-arounds have no form in DuckDB."""
+    p = pages(spark, sf_dir)
+    return reduce(DataFrame.unionByName, (detect.candidates(p, k).select("doc_id", "page", F.lit(k).alias("kind"), "start", "match") for k in detect.KINDS))
+
+
+@query()
+def pii_masked(spark, sf_dir):
+    return detect.mask(pages(spark, sf_dir)).select("doc_id", "page", "text")
 
 
 @query(f"""WITH {PAGES} SELECT doc_id, page, regexp_replace(text, '[0-9]{{3}}-[0-9]{{4}}', '████████', 'g') AS text FROM pages_""")

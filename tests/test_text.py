@@ -72,6 +72,28 @@ def test_sensitive_kinds_and_overlaps(spark):
     assert detect.mask(page(spark, "x a@b.org y")).first().text == "x ███████ y"
 
 
+def test_queries_read_whole_texts(spark, tmp_path):
+    import re
+
+    from folianta.plans import catalog
+
+    texts = ["Write to a.b@c.org, or\ncall +44 20 7946 0958. Born 2026-03-04.", "card 4111 1111 1111 1111 and\niban GB82 WEST 1234 5698 7654 32, ssn 123-45-6789", "x" * 3000 + " z@y.net", "none", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    kinds = {0: {"email", "phone", "date"}, 1: {"card", "iban", "ssn"}, 2: {"email"}}
+    found = catalog.QUERIES["pii_resolved"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.kind) for r in found} == {(d, k) for d, ks in kinds.items() for k in ks}
+    lines = {(d, n + 1): line for d, t in enumerate(texts) if t is not None for n, line in enumerate(t.split("\n"))}
+    assert all(r.match == lines[r.doc_id, r.page][r.start : r.end] for r in found)
+    email = r"[A-Za-z0-9_.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+    rows = catalog.QUERIES["pii_candidates"](spark, str(tmp_path)).where("kind = 'email'").collect()
+    assert sorted((r.doc_id, r.page, r.start, r.match) for r in rows) == sorted((d, n, m.start(), m.group()) for (d, n), line in lines.items() for m in re.finditer(email, line))
+    want = {k: list(v) for k, v in lines.items()}
+    for r in found:
+        want[r.doc_id, r.page][r.start : r.end] = "█" * (r.end - r.start)
+    masked = {(r.doc_id, r.page): r.text for r in catalog.QUERIES["pii_masked"](spark, str(tmp_path)).collect()}
+    assert masked == {k: "".join(v) for k, v in want.items()}
+
+
 def test_checks(spark):
     assert one(spark, checks.luhn(F.lit("4111 1111-1111 1111"))) and not one(spark, checks.luhn(F.lit("4111111111111112")))
     assert one(spark, checks.iban(F.lit("GB82 WEST 1234 5698 7654 32"))) and not one(spark, checks.iban(F.lit("GB82WEST12345698765433")))
