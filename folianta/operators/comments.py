@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..llm.shared import cut
 
 
 def threads(comments: DataFrame) -> DataFrame:
@@ -23,16 +26,20 @@ def latest_state(comments: DataFrame) -> DataFrame:
     return states.groupBy("doc_id", F.col("reply_to").alias("id")).agg(F.max_by("review_state", order).alias("state"))
 
 
-def flat_threads(comments: DataFrame, depth: int = 8) -> DataFrame:
-    """Threads in pre-order: each comment with its depth and a sortable path. One join a level down to ``depth``; what hangs in a cycle has no root and is left out."""
+def flat_threads(comments: DataFrame, depth: int | None = None) -> DataFrame:
+    """Threads in pre-order: each comment with its depth and a sortable path. One join a level, each computed once, until a level has no rows or down to ``depth``; what hangs in a cycle has no root and is
+    left out."""
     key = lambda seq: F.lpad(seq.cast("string"), 10, "0")
     parents = comments.select("doc_id", F.col("id").alias("reply_to"), F.lit(True).alias("_there"))
     marked = comments.join(parents, ["doc_id", "reply_to"], "left")
-    level = marked.where("_there is null").drop("_there").withColumn("depth", F.lit(0)).withColumn("path", key(F.col("seq")))
-    out, rest = level, marked.where("_there").drop("_there")
-    for d in range(1, depth + 1):
+    level = cut(marked.where("_there is null").drop("_there").withColumn("depth", F.lit(0)).withColumn("path", key(F.col("seq"))))
+    out, rest = level, cut(marked.where("_there").drop("_there"))
+    for d in count(1) if depth is None else range(1, depth + 1):
         up = level.select("doc_id", F.col("id").alias("reply_to"), F.col("path").alias("_up"))
         level = rest.join(up, ["doc_id", "reply_to"]).withColumn("depth", F.lit(d)).withColumn("path", F.concat("_up", F.lit("/"), key(F.col("seq")))).drop("_up")
+        level = cut(level)
+        if not level.take(1):
+            break
         out = out.unionByName(level)
     return out
 

@@ -17,6 +17,14 @@ def test_review_states_by_time_and_by_order(spark):
     assert comments.latest_state(c).first().state == "accepted"
 
 
+def test_threads_of_any_depth(spark):
+    rows = [(1, i, str(i), None if i == 0 else str(i - 1)) for i in range(13)] + [(2, 1, "a", "b"), (2, 2, "b", "a")]
+    c = spark.createDataFrame(rows, "doc_id long, seq int, id string, reply_to string")
+    got = comments.flat_threads(c).orderBy("path").collect()
+    assert [(r.seq, r.depth) for r in got] == [(i, i) for i in range(13)] and got[-1].path.count("/") == 12
+    assert comments.flat_threads(c, 3).count() == 4
+
+
 def test_page_labels_and_selection(spark):
     p = spark.createDataFrame([(1, i) for i in range(1, 6)], "doc_id long, page int")
     r = spark.createDataFrame([(1, 2, "roman-lower", "p", 1), (1, 4, "decimal", "", 7)], "doc_id long, start_page int, style string, prefix string, first_number int")
