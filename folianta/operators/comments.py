@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..llm.shared import cut
+from ..tables import cut
 
 
 def threads(comments: DataFrame) -> DataFrame:
