@@ -1,29 +1,7 @@
-"""Cutting lineage in the folder that the cluster shares."""
+"""Tables in the folder that the cluster shares."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from ..tables import Tables, cut, small, stored
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def ready(spark: SparkSession) -> None:
-    """Use the folder in ``spark.checkpoint.dir``; a temporary one only where none is set, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folianta-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, computed now and written to the shared checkpoint folder."""
-    ready(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows, written as Parquet in the shared folder and read again: smaller than a checkpoint where there are long texts."""
-    ready(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+__all__ = ["Tables", "cut", "small", "stored"]

@@ -141,6 +141,13 @@ def test_sharding_law_places_and_growth(spark, docs, rows, empty, tmp_path):
     sharding.save_map(v1, str(tmp_path / "m"))
     assert sharding.load_map(spark, str(tmp_path / "m")).first().version == 1 and sharding.load_map(spark, str(tmp_path / "m"), 0).count() == 512
     assert sharding.shard_documents(empty).count() == 0
+    first = sharding.shard_documents(plain, 8, 512, str(tmp_path / "kept")).select("doc_id", "shard", "map_version").collect()
+    again = sharding.shard_documents(plain, 8, 512, str(tmp_path / "kept")).select("doc_id", "shard", "map_version").collect()
+    assert {r.map_version for r in first} == {1} and {r.map_version for r in again} == {2}
+    assert len({tuple(r[:2]) for r in first} & {tuple(r[:2]) for r in again}) > 0.8 * len(first)
+    want = {r.vslot: r.shard for r in v1.collect()}
+    slot = {r.doc_id: r.v for r in plain.select("doc_id", sharding.virtual_slot(F.col("doc_id"), F.col("text"), 512).alias("v")).collect()}
+    assert all(r.shard == want[slot[r.doc_id]] for r in first)
     grown = sharding.rebalance(v1, loads, 9)
     assert grown.select("shard").distinct().count() == 9
 
@@ -176,7 +183,11 @@ def test_mixing_targets_and_repetitions(docs, rows, empty):
         taken[r.source_size] += r.taken
     assert all(taken[n] == int(t + 0.5) for n, t in by_size.items())
     mixed = mixing.mix_rows(docs)
-    assert mixed.columns == [c for c in docs.columns if c in mixed.columns]
+    assert mixed.columns == docs.columns and mixed.dtypes == docs.dtypes
+    assert {(r["size"], r.kept, r.shard, r.taken, r._row) for r in mixed.collect()} == {("x", "y", "z", 5, "r")}
+    clash = docs.select("doc_id", "text", "source", *(F.lit(f"own {c}").alias(c) for c in ("_key", "_source", "_range", "_start", "_before", "size", "row", "nth", "due", "edge", "part", "whole", "taken")))
+    out = mixing.mix_rows(clash)
+    assert out.columns == clash.columns and all(v == f"own {c}" for c, v in out.drop("doc_id", "text", "source").distinct().first().asDict().items())
     assert sum(len(re.findall(WORD, r.text)) for r in mixed.collect()) == sum(taken.values())
 
 
@@ -247,19 +258,62 @@ def test_minhash_components_are_exact(docs, rows, empty):
 
 
 def test_rare_pairs_lose_none(spark):
+    from folianta.llm.shared import Tables
+
     rng = random.Random(4)
-    base = [rng.randrange(10**9) for _ in range(60)]
+    base = [rng.randrange(-(10**9), 10**9) for _ in range(60)]
     made = [sorted(set(base) - set(rng.sample(base, rng.randint(0, 20))) | {rng.randrange(10**9) for _ in range(rng.randint(0, 12))}) for _ in range(40)]
+    made += [rng.sample(base, n) for n in (1, 2, 3, 30, 40, 50, 58)]
+    sets = spark.createDataFrame(list(enumerate(made)), "cls long, shingles array<long>")
+    members = spark.createDataFrame([(i, -(i // 2)) for i in range(len(made))], "cls long, root long")
+    got = {frozenset((r.a, r.b)) for r in minhash._rare_pairs(members, sets, Tables(spark)).collect()}
+    n = 0
+    for i in range(len(made)):
+        for j in range(i + 1, len(made)):
+            a, b = set(made[i]), set(made[j])
+            if 100 * len(a & b) >= 75 * len(a | b) and i // 2 != j // 2:
+                assert frozenset((i, j)) in got
+                n += 1
+    assert n > 50 and all(min(p) // 2 != max(p) // 2 for p in got)
+
+
+def test_estimate_counts_equal_low_bits(spark):
     import numpy as np
 
-    sets = spark.createDataFrame([(i, np.array(s, np.int64).tobytes()) for i, s in enumerate(made)], "cls long, shingles binary")
-    members = spark.createDataFrame([(i, i) for i in range(40)], "cls long, root long")
-    got = {(r.a, r.b) for r in minhash._rare_pairs(members, sets).collect()}
-    for i in range(40):
-        for j in range(i + 1, 40):
-            a, b = set(made[i]), set(made[j])
-            if 100 * len(a & b) >= 75 * len(a | b):
-                assert (i, j) in got
+    rng = np.random.default_rng(3)
+    x = rng.integers(-(2**63), 2**63 - 1, (20, minhash.LONGS))
+    y = np.where(rng.random((20, minhash.LONGS)) < 0.5, x, x ^ rng.integers(0, 2**63 - 1, (20, minhash.LONGS)) & rng.integers(-(2**63), 2**63 - 1, (20, minhash.LONGS)))
+    names = [[f"{s}{i}" for i in range(minhash.LONGS)] for s in "xy"]
+    d = spark.createDataFrame([tuple(map(int, (*a, *b))) for a, b in zip(x, y, strict=True)], ", ".join(f"{n} long" for n in names[0] + names[1]))
+    got = d.select(minhash.estimate(*([F.col(n) for n in side] for side in names)).alias("e")).collect()
+    for r, a, b in zip(got, x.tolist(), y.tolist(), strict=True):
+        same = sum(((p ^ q) >> (4 * i)) & 15 == 0 for p, q in zip(a, b, strict=True) for i in range(16))
+        assert abs(r.e - (same / minhash.N_MINIMA - 1 / 16) / (15 / 16)) < 1e-12
+
+
+def test_ways_up_end_at_the_roots(spark):
+    from folianta.llm.shared import Tables
+
+    rng = random.Random(11)
+    edges = [(i + rng.randint(1, 9), i, 0) for i in range(0, 300) for _ in range(2)] + [(i + 1, i, 0) for i in range(500, 560)]
+    edges = [(a, b, a) for a, b, _ in edges if b % 37]
+    parent = {}
+    find = lambda x: x if parent.get(x, x) == x else find(parent[x])
+    for a, b, _ in edges:
+        parent[find(a)] = find(b)
+    got = {r.node: r.root for r in components.forest_roots(spark.createDataFrame(edges, "a long, b long, weight long"), Tables(spark)).collect()}
+    nodes = {x for e in edges for x in e[:2]}
+    assert len({find(x) for x in nodes}) == len({got.get(x, x) for x in nodes}) == len({(find(x), got.get(x, x)) for x in nodes})
+
+
+def test_one_doc_id_with_two_texts(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    made = [(1, text(1)), (2, text(1)), (2, text(2)), (3, text(2)), (4, text(4)), (4, text(4)), (4, text(5)), (None, text(6)), (9, text(6)), (None, text(7)), (None, text(7) + " end"), (5, ""), (5, None), (5, text(8))]
+    d = spark.createDataFrame(made, "doc_id long, text string")
+    kept = sorted((tuple(r) for r in minhash.keep_first(d).collect()), key=repr)
+    want = [(1, text(1)), (2, text(2)), (4, text(4)), (4, text(5)), (None, text(6)), (9, text(6)), (None, text(7)), (None, text(7) + " end"), (5, text(8))]
+    assert [k for k in kept if k[1]] == sorted(want, key=repr) and len(kept) == len(want) + 1
+    assert minhash.link(d)[1].groupBy("root").count().where("count = 2").count() == 1
 
 
 def test_components(spark):
