@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import Tables, stored
+
 N_SLOTS = 4096
 N_SHARDS = 16
 #: A shard keeps its slots, largest first, up to this part of its fair share; what is above is dealt again.
@@ -76,6 +78,19 @@ def rebalance(slot_map: DataFrame, loads: DataFrame, n_shards: int = N_SHARDS, k
     return dealt.select("version", F.explode("d.put").alias("p")).select("version", "p.vslot", "p.shard")
 
 
+def next_map(spark: SparkSession, loads: DataFrame, path: str | None = None, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS) -> DataFrame:
+    """The stored map's next version: the last one, edited by one rebalance for these loads, appended and read again.
+
+    ``path`` is where the versions lie; a new one begins with version 0. Without a path they lie in the cluster's shared folder and go with the session.
+    """
+    at = path or f"{Tables(spark).at}/slot-map"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(at)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        save_map(first_map(spark, n_shards, n_slots), at)
+    save_map(rebalance(load_map(spark, at), loads, n_shards), at)
+    return load_map(spark, at)
+
+
 def save_map(slot_map: DataFrame, path: str) -> None:
     """Append one version to the table of versions."""
     slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
@@ -109,7 +124,7 @@ def place(docs: DataFrame, slot_map: DataFrame, loads: DataFrame, n_slots: int =
     return rows.withColumn("nth", number).join(F.broadcast(starts), "vslot").select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("nth") - 1).cast("long").alias("slot"), "vslot", "map_version")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS) -> DataFrame:
-    """Places all rows after one rebalance of the first map; the law is `bytes`."""
-    loads = slot_loads(docs, n_slots)
-    return place(docs, rebalance(first_map(docs.sparkSession, n_shards, n_slots), loads, n_shards), loads, n_slots)
+def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
+    """Places all rows by the stored map's next version; the law is `bytes`."""
+    loads = stored(slot_loads(docs, n_slots))
+    return place(docs, next_map(docs.sparkSession, loads, map_path, n_shards, n_slots), loads, n_slots)
