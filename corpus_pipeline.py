@@ -32,8 +32,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row's shard, by the map of virtual slots after one rebalance for these rows."""
-    return sharding.assign(docs, sharding.rebalance(sharding.first_map(spark), sharding.slot_loads(docs)))
+    """Each row's shard, by the stored map of virtual slots after one rebalance for these rows."""
+    return sharding.assign(docs, sharding.next_map(spark, sharding.slot_loads(docs)))
 
 
 STAGES = [
