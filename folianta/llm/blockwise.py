@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from . import textcore as tc
 
 BLOCK_BYTES = 12_000_000
+BUCKET_BYTES = 8_000_000
 LAST = np.iinfo(np.int64).max
 ROWS = T.StructType([T.StructField("block", T.LongType()), T.StructField("bucket", T.LongType()), T.StructField("payload", T.BinaryType())])
 
@@ -52,8 +53,10 @@ def ungap(d: np.ndarray) -> np.ndarray:
     return np.cumsum(d, dtype=np.uint64)
 
 
-def n_buckets(df: DataFrame) -> int:
-    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def n_buckets(docs: DataFrame) -> int:
+    """Two for each shuffle partition, and one for each ``BUCKET_BYTES`` of text at least, so that a bucket does not grow with the input."""
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // BUCKET_BYTES))
 
 
 def bucket_of(g: np.ndarray, n: int) -> np.ndarray:

@@ -36,7 +36,7 @@ from . import blockwise as bw
 from . import textcore as tc
 from .shared import cut, stored
 
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 6_000_000
 TABLE_BITS = 20
 ORDERS = 7
 SHORT, LONG = 5, 6
@@ -80,14 +80,16 @@ def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def _summed(parts: DataFrame, sizes: list[int]) -> list[np.ndarray]:
-    """Sums of vectors that tasks have made (one binary column of doubles, the vectors of ``sizes`` side by side), added up in groups before the driver sees 16 of them."""
+    """Sums of vectors that tasks have made (one binary column of doubles, the vectors of ``sizes`` side by side), added up in groups before the driver sees 16 of them; always in one order, so that reruns agree."""
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py()) for x in table.column("v"))
+        order = np.argsort(table.column("task").to_numpy(), kind="stable")
+        total = sum(np.frombuffer(table.column("v")[int(i)].as_py()) for i in order)
         return pa.table({"g": table.column("g")[:1], "v": pa.array([total.tobytes()], pa.binary())})
 
     total = np.zeros(sum(sizes))
-    for r in parts.select((F.spark_partition_id() % 16).alias("g"), "v").groupBy("g").applyInArrow(add, "g int, v binary").collect():
+    task = F.spark_partition_id()
+    for r in sorted(parts.select((task % 16).alias("g"), task.alias("task"), "v").groupBy("g").applyInArrow(add, "g int, v binary").collect()):
         total += np.frombuffer(r["v"])
     return np.split(total, np.cumsum(sizes)[:-1])
 
@@ -264,7 +266,7 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
 
 
 def word_table(packed: DataFrame) -> DataFrame:
-    """(bucket, payload, n, v): a bucket's distinct keys with their counts over all blocks; n sums them and v counts the words with any."""
+    """(bucket, payload, n, v): a bucket's distinct keys, sorted, with their counts over all blocks; n sums them and v counts the words with any."""
 
     def merge(table: pa.Table) -> pa.Table:
         total: dict[bytes, int] = {}
@@ -272,8 +274,9 @@ def word_table(packed: DataFrame) -> DataFrame:
             words, (counts,) = _unpack(blob.as_py(), np.uint32)
             for w, c in zip(words, counts.tolist(), strict=True):
                 total[w] = total.get(w, 0) + c
-        counts = np.fromiter(total.values(), np.int64, len(total))
-        return pa.table({"bucket": table.column("bucket")[:1], "payload": pa.array([_pack(list(total), counts)], pa.binary()), "n": [int(counts.sum())], "v": [len({w[1:] for w, c in total.items() if c})]})
+        words = sorted(total)
+        counts = np.fromiter((total[w] for w in words), np.int64, len(words))
+        return pa.table({"bucket": table.column("bucket")[:1], "payload": pa.array([_pack(words, counts)], pa.binary()), "n": [int(counts.sum())], "v": [len({w[1:] for w, c in total.items() if c})]})
 
     return packed.groupBy("bucket").applyInArrow(merge, "bucket long, payload binary, n long, v long")
 
@@ -526,7 +529,7 @@ def train(words: DataFrame) -> Model:
 def score_documents(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document."""
     spark = docs.sparkSession
-    n_buckets = n_buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = n_buckets or bw.n_buckets(docs)
     centres, shares = styles(docs)
     packed = stored(blocks(docs, n_buckets, centres))
     own_words = packed.where((F.col("bucket") >= 0) & (F.col("bucket") < n_buckets))
@@ -572,8 +575,12 @@ def score_documents(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
         left_out = np.repeat(~rows.column("held_out").to_numpy(), sizes).astype(np.int64)
         above = every[before] - left_out
         both = np.minimum(both - left_out, above)
-        mixed, share = 10 ** scores[tokens], np.log10(shares)[rows.column("style").to_numpy()]
-        totals = {f"score_{i}": np.add.reduceat(np.log10((both + k * mixed) / (above + k)), first) + share for i, k in enumerate(PULLS)}
+        mixed, share, totals = 10 ** scores[tokens], np.log10(shares)[rows.column("style").to_numpy()], {}
+        for i, k in enumerate(PULLS):
+            chance = k * mixed
+            chance += both
+            chance /= above + k
+            totals[f"score_{i}"] = np.add.reduceat(np.log10(chance, out=chance), first) + share
         return pa.table({"doc_id": ids, "held_out": rows.column("held_out"), "n_tokens": sizes, "n_known": np.add.reduceat((counts > 0).astype(np.int64), first), "train_tokens": np.full(len(sizes), n_train), "base_score": np.add.reduceat(base, first), **totals})
 
     out = cut(packed.where("bucket = -1").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(total_up, kind))

@@ -522,3 +522,13 @@ def test_tasks_read_arrow_slices():
     assert (a, b, not rest) == (0, 3, True) and data.tobytes() == b"a bbccc" and offs.tolist() == [0, 4, 4, 7]
     starts, ends, doc = tc.words(data, offs)
     assert [data[s:e].tobytes() for s, e in zip(starts, ends, strict=True)] == [b"a", b"bb", b"ccc"] and doc.tolist() == [0, 0, 2]
+
+
+def test_scores_agree_on_reruns(spark, rows):
+    made = [r[:2] for r in rows]
+    runs = []
+    for n in (3, 5):
+        random.Random(n).shuffle(made)
+        d = spark.createDataFrame(made, "doc_id long, text string").repartition(n)
+        runs.append(sorted(((r.doc_id, r.n_tokens, round(r.score, 6)) for r in context_mixing.score_documents(d, 5).collect()), key=repr))
+    assert runs[0] == runs[1]
