@@ -286,7 +286,7 @@ def _placed(docs: DataFrame) -> tuple[DataFrame, Tables]:
     """doc_id, n_shingles, cls, root and component_id of each document."""
     rows, classes, tables = link(docs)
     classes = tables.keep(classes)
-    least = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = tables.keep(classes.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     named = classes.join(least, "root").select("cls", "root", "component_id")
     return rows.join(named, "cls", "left").withColumn("component_id", F.coalesce("component_id", "doc_id")), tables
 
