@@ -26,10 +26,20 @@ LAST = np.iinfo(np.int64).max
 ROWS = T.StructType([T.StructField("block", T.LongType()), T.StructField("bucket", T.LongType()), T.StructField("payload", T.BinaryType())])
 
 
+def planes(a: np.ndarray) -> bytes:
+    """An array's first bytes, then its second bytes, and so on: small numbers' upper bytes compress to nothing."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()
+
+
+def from_planes(raw: bytes, kind: str | type, size: int, at: int = 0) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, size, at).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays side by side, each with the name of its type, compressed."""
     heads = b"".join(struct.pack("<2sq", a.dtype.str[1:].encode(), a.nbytes) for a in arrays)
-    return zstandard.ZstdCompressor(1).compress(struct.pack("<q", len(arrays)) + heads + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(1).compress(struct.pack("<q", len(arrays)) + heads + b"".join(planes(a) for a in arrays))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -38,7 +48,7 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     heads = [struct.unpack_from("<2sq", raw, 8 + 10 * i) for i in range(n)]
     at += 10 * n
     for kind, size in heads:
-        out.append(np.frombuffer(raw, "<" + kind.decode(), size // int(kind[1:].decode()), at))
+        out.append(from_planes(raw, "<" + kind.decode() if kind[1:] != b"1" else kind.decode(), size, at))
         at += size
     return out
 

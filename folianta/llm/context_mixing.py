@@ -34,9 +34,9 @@ from pyspark.sql import types as T
 
 from . import blockwise as bw
 from . import textcore as tc
-from .shared import cut, stored
+from .shared import Tables, stored
 
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 8_000_000
 TABLE_BITS = 20
 ORDERS = 7
 SHORT, LONG = 5, 6
@@ -47,9 +47,9 @@ N_GATES = 36
 STRETCHES = 33
 SMOOTH = 0.1
 BATCH_WORDS = 1024
-PAIR_BITS = 48
+WORD_BITS, PAIR_BITS = 40, 44
 #: How much the mix counts beside a word's followers, as a number of occurrences; the best for the training documents is taken.
-PULLS = tuple(float(4**i) for i in range(9))
+PULLS = tuple(float(8**i) for i in range(6))
 
 
 def held_out(doc_id: Column, folds: int = 10, fold: int = 0) -> Column:
@@ -110,7 +110,8 @@ def styles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float16).tobytes() for x in frequencies(b.column(0))], pa.binary())], ["f"])
 
-    points = cut(train.select("text").mapInArrow(measure, "f binary"))
+    tables = Tables(docs.sparkSession)
+    points = tables.keep(train.select("text").mapInArrow(measure, "f binary"))
     some = [r["f"] for r in points.orderBy(F.xxhash64("f"), "f").limit(START_ROWS).collect()]
     if not some:
         return np.zeros((STYLES, DIMENSIONS)), np.full(STYLES, 1 / STYLES)
@@ -140,6 +141,7 @@ def styles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         total, n = _summed(points.mapInArrow(assign, "v binary"), [centres.size, STYLES])
         total = total.reshape(centres.shape)
         centres = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centres)
+    tables.drop(points)
     return centres, (n + 0.5) / (n.sum() + 0.5 * STYLES)
 
 
@@ -147,7 +149,7 @@ def styles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(words: list[bytes], *arrays: np.ndarray) -> bytes:
-    body = [b" ".join(words), *(a.tobytes() for a in arrays)]
+    body = [b" ".join(words), *(bw.planes(a) for a in arrays)]
     return zstandard.ZstdCompressor(3).compress(struct.pack(f"<q{len(body)}q", len(words), *map(len, body)) + b"".join(body))
 
 
@@ -159,7 +161,7 @@ def _unpack(blob: bytes, *kinds: type) -> tuple[list[bytes], list[np.ndarray]]:
     at += sizes[0]
     out = []
     for kind, size in zip(kinds, sizes[1:], strict=True):
-        out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
+        out.append(bw.from_planes(raw, kind, size, at))
         at += size
     return words, out
 
@@ -170,9 +172,9 @@ def bucket_of(keys: list[bytes], n: int) -> np.ndarray:
 
 
 def key_hashes(keys: list[bytes]) -> np.ndarray:
-    """Hashes of the keys' words, each with its space."""
+    """Hashes of the keys' words, each with its space, of ``WORD_BITS`` bits."""
     end = np.cumsum(np.fromiter(map(len, keys), np.int64, len(keys)))
-    return tc.span_hashes(np.frombuffer(b" ".join([w[1:] for w in keys]) + b" ", np.uint8), np.concatenate([[0], end[:-1]]), end)
+    return tc.span_hashes(np.frombuffer(b" ".join([w[1:] for w in keys]) + b" ", np.uint8), np.concatenate([[0], end[:-1]]), end) >> np.uint64(64 - WORD_BITS)
 
 
 def word_pairs(tokens: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,8 +194,8 @@ PACKED = T.StructType([T.StructField("block", T.LongType()), T.StructField("buck
 
 
 def blocks(docs: DataFrame, n_buckets: int, centres: np.ndarray) -> DataFrame:
-    """Rows of (block, bucket, payload): for each block and bucket the block's keys with their counts in training documents, and in buckets from n_buckets on the pairs' hashes with theirs; bucket -1 holds
-    the documents' ids, folds, styles and tokens as indices into the block's keys in order of their buckets, and these keys' hashes."""
+    """Rows of (block, bucket, payload): for each block and bucket the block's keys with their counts in training documents; bucket -1 holds the documents' ids, folds, styles and tokens as ranks of the block's
+    keys by frequency, and these keys' places in the order of their buckets and hashes."""
 
     def pack(batches):
         task, seq = TaskContext.get().partitionId(), 0
@@ -215,15 +217,14 @@ def blocks(docs: DataFrame, n_buckets: int, centres: np.ndarray) -> DataFrame:
             edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
             found = [(b, _pack([words[i] for i in order[x:y]], counts[x:y])) for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]
             hashes = key_hashes([words[i] for i in order])
-            pairs, of, _ = word_pairs(flat, n, hashes)
-            counts = np.bincount(of[train], minlength=len(pairs)).astype(np.uint32)
-            edges = np.searchsorted(bw.bucket_of(pairs << np.uint64(64 - PAIR_BITS), n_buckets), np.arange(n_buckets + 1))
-            found += [(n_buckets + b, bw.pack(bw.gaps(pairs[x:y]), counts[x:y])) for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]
+            often = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable").astype(np.uint32)
+            rank = np.empty(len(words), np.uint32)
+            rank[often] = np.arange(len(words), dtype=np.uint32)
             head = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(held), pa.array(kinds, pa.int32())], ["doc_id", "held_out", "style"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, head.schema) as w:
                 w.write_batch(head)
-            found.append((-1, _pack([], np.frombuffer(sink.getvalue(), np.uint8), n, flat, hashes)))
+            found.append((-1, _pack([], np.frombuffer(sink.getvalue(), np.uint8), n, rank[flat], often, hashes)))
             block = (task << 32) | seq
             return pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int64()), pa.array([b for b, _ in found], pa.int64()), pa.array([p for _, p in found], pa.binary())], PACKED.names)
 
@@ -249,6 +250,29 @@ def blocks(docs: DataFrame, n_buckets: int, centres: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(pack, PACKED)
 
 
+def _open(blob: bytes) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's documents, their numbers of tokens, the tokens as indices into the block's keys in order of their buckets, and the keys' hashes."""
+    _, (head, sizes, ranks, often, hashes) = _unpack(blob, np.uint8, np.int64, np.uint32, np.uint32, np.uint64)
+    return pa.ipc.open_stream(pa.BufferReader(head.tobytes())).read_all(), sizes, often[ranks], hashes
+
+
+def pair_rows(heads: DataFrame, n_buckets: int) -> DataFrame:
+    """(block, bucket, payload): each block's distinct pairs with their counts in training documents, in buckets from n_buckets on."""
+
+    def send(batches):
+        for batch in batches:
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows, sizes, tokens, hashes = _open(blob.as_py())
+                pairs, of, _ = word_pairs(tokens, sizes, hashes)
+                train = np.repeat(~rows.column("held_out").to_numpy(), sizes)
+                counts = np.bincount(of[train], minlength=len(pairs)).astype(np.uint32)
+                edges = np.searchsorted(bw.bucket_of(pairs << np.uint64(64 - PAIR_BITS), n_buckets), np.arange(n_buckets + 1))
+                found = [(n_buckets + b, bw.pack(bw.gaps(pairs[x:y]), counts[x:y])) for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int64()), pa.array([b for b, _ in found], pa.int64()), pa.array([p for _, p in found], pa.binary())], PACKED.names)
+
+    return heads.select("block", "payload").mapInArrow(send, PACKED)
+
+
 def pair_counts(pairs: DataFrame) -> DataFrame:
     """(block, bucket, payload): for each block and bucket of pairs, the pairs' training counts over all blocks, in the block's order."""
 
@@ -266,19 +290,25 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
 
 
 def word_table(packed: DataFrame) -> DataFrame:
-    """(bucket, payload, n, v): a bucket's distinct keys, sorted, with their counts over all blocks; n sums them and v counts the words with any."""
+    """(bucket, payload, places, n, v): a bucket's distinct keys, sorted, with their counts over all blocks, and for each block which of them it sent; n sums the counts and v counts the words with any."""
 
     def merge(table: pa.Table) -> pa.Table:
         total: dict[bytes, int] = {}
-        for blob in table.column("payload"):
+        sent = sorted(zip(table.column("block").to_pylist(), table.column("payload"), strict=True), key=lambda x: x[0])
+        for _, blob in sent:
             words, (counts,) = _unpack(blob.as_py(), np.uint32)
             for w, c in zip(words, counts.tolist(), strict=True):
                 total[w] = total.get(w, 0) + c
         words = sorted(total)
         counts = np.fromiter((total[w] for w in words), np.int64, len(words))
-        return pa.table({"bucket": table.column("bucket")[:1], "payload": pa.array([_pack(words, counts)], pa.binary()), "n": [int(counts.sum())], "v": [len({w[1:] for w, c in total.items() if c})]})
+        at, places = dict(zip(words, range(len(words)), strict=True)), []
+        for _, blob in sent:
+            own, _ = _unpack(blob.as_py(), np.uint32)
+            places.append(np.fromiter((at[w] for w in own), np.uint32, len(own)))
+        places = bw.pack(np.array([b for b, _ in sent], np.int64), np.array([len(x) for x in places], np.int64), np.concatenate(places))
+        return pa.table({"bucket": table.column("bucket")[:1], "payload": pa.array([_pack(words, counts)], pa.binary()), "places": pa.array([places], pa.binary()), "n": [int(counts.sum())], "v": [len({w[1:] for w, c in total.items() if c})]})
 
-    return packed.groupBy("bucket").applyInArrow(merge, "bucket long, payload binary, n long, v long")
+    return packed.groupBy("bucket").applyInArrow(merge, "bucket long, payload binary, places binary, n long, v long")
 
 
 # The model
@@ -532,58 +562,55 @@ def score_documents(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
     n_buckets = n_buckets or bw.n_buckets(docs)
     centres, shares = styles(docs)
     packed = stored(blocks(docs, n_buckets, centres))
-    own_words = packed.where((F.col("bucket") >= 0) & (F.col("bucket") < n_buckets))
-    words = cut(word_table(own_words))
+    own_words, heads = packed.where("bucket >= 0"), packed.where("bucket = -1")
+    words = stored(word_table(own_words))
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     n_train, n_distinct = int(total[0]), int(total[1])
     model = spark.sparkContext.broadcast(train(words))
 
-    def answer(vocabulary: pa.Table, table: pa.Table) -> pa.Table:
-        ws, (counts,) = _unpack(table.column("payload")[0].as_py(), np.int64)
-        at = dict(zip(ws, range(len(ws)), strict=True))
-        whole: dict[bytes, int] = {}
-        for w, c in zip(ws, counts.tolist(), strict=True):
-            whole[w[1:]] = whole.get(w[1:], 0) + c
-        scores = model.value.score(ws)
-        blobs = []
-        for blob in vocabulary.column("payload"):
-            own, _ = _unpack(blob.as_py(), np.uint32)
-            i = np.fromiter((at[w] for w in own), np.int64, len(own))
-            blobs.append(_pack([], np.fromiter((whole[w[1:]] for w in own), np.int64, len(own)), scores[i]))
-        return pa.table({"block": vocabulary.column("block"), "bucket": vocabulary.column("bucket"), "payload": pa.array(blobs, pa.binary())})
-
-    replies = own_words.groupBy("bucket").cogroup(words.select("bucket", "payload").groupBy("bucket")).applyInArrow(answer, PACKED).unionByName(pair_counts(packed.where(F.col("bucket") >= n_buckets)))
+    def answer(batches):
+        for batch in batches:
+            for bucket, payload, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                ws, (counts,) = _unpack(payload.as_py(), np.int64)
+                whole: dict[bytes, int] = {}
+                for w, c in zip(ws, counts.tolist(), strict=True):
+                    whole[w[1:]] = whole.get(w[1:], 0) + c
+                every, scores = np.fromiter((whole[w[1:]] for w in ws), np.int64, len(ws)), model.value.score(ws).astype(np.float32)
+                blocks_, sizes, at = bw.unpack(places.as_py())
+                blobs = [_pack([], every[i], scores[i]) for i in np.split(at, np.cumsum(sizes)[:-1])]
+                yield pa.RecordBatch.from_arrays([pa.array(blocks_), pa.array([bucket] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], PACKED.names)
+
+    replies = words.select("bucket", "payload", "places").mapInArrow(answer, PACKED).unionByName(pair_counts(pair_rows(heads, n_buckets)))
     id_type = docs.schema["doc_id"].dataType
     kind = T.StructType([T.StructField("doc_id", id_type), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), *(T.StructField(f"score_{i}", T.DoubleType()) for i in range(len(PULLS)))])
     arrow_id = pa.int64() if isinstance(id_type, T.LongType) else None
 
     def total_up(own: pa.Table, back: pa.Table) -> pa.Table:
-        _, (head, sizes, tokens, hashes) = _unpack(own.column("payload")[0].as_py(), np.uint8, np.int64, np.uint32, np.uint64)
+        rows, sizes, tokens, hashes = _open(own.column("payload")[0].as_py())
         buckets = back.column("bucket").to_numpy()
         by = np.argsort(buckets)
         blobs = [back.column("payload")[int(i)].as_py() for i in by]
         cut_at = int((buckets < n_buckets).sum())
-        got = [_unpack(x, np.int64, np.float64)[1] for x in blobs[:cut_at]]
+        got = [_unpack(x, np.int64, np.float32)[1] for x in blobs[:cut_at]]
         every, scores = (np.concatenate([g[k] for g in got]) for k in (0, 1))
         _, of, before = word_pairs(tokens, sizes, hashes)
         both = np.concatenate([bw.unpack(x)[0] for x in blobs[cut_at:]])[of]
         counts = every[tokens]
         base = np.log10((counts + 0.1) / (n_train + 0.1 * (n_distinct + 1)))
         first = np.cumsum(sizes) - sizes
-        rows = pa.ipc.open_stream(pa.BufferReader(head.tobytes())).read_all()
         ids = rows.column("doc_id") if arrow_id is None else rows.column("doc_id").cast(arrow_id)
         left_out = np.repeat(~rows.column("held_out").to_numpy(), sizes).astype(np.int64)
         above = every[before] - left_out
         both = np.minimum(both - left_out, above)
-        mixed, share, totals = 10 ** scores[tokens], np.log10(shares)[rows.column("style").to_numpy()], {}
+        mixed, share, totals = (10 ** scores.astype(float))[tokens], np.log10(shares)[rows.column("style").to_numpy()], {}
         for i, k in enumerate(PULLS):
             chance = k * mixed
             chance += both
             chance /= above + k
-            totals[f"score_{i}"] = np.add.reduceat(np.log10(chance, out=chance), first) + share
+            totals[f"score_{i}"] = np.add.reduceat(np.log(chance, out=chance), first) / np.log(10) + share
         return pa.table({"doc_id": ids, "held_out": rows.column("held_out"), "n_tokens": sizes, "n_known": np.add.reduceat((counts > 0).astype(np.int64), first), "train_tokens": np.full(len(sizes), n_train), "base_score": np.add.reduceat(base, first), **totals})
 
-    out = cut(packed.where("bucket = -1").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(total_up, kind))
+    out = stored(heads.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(total_up, kind))
     fits = out.where("not held_out").agg(*(F.coalesce(F.sum(f"score_{i}"), F.lit(0.0)) for i in range(len(PULLS)))).first()
     return out.select(*kind.names[: -len(PULLS)], F.col(f"score_{int(np.argmax(fits))}").alias("score"))
 
