@@ -4,8 +4,8 @@ Each language has a probability for each piece of a fixed public vocabulary (byt
 probability of a word is the sum over all its segmentations into pieces, by the forward algorithm; a text's score in a language is
 the sum of its words' log-probabilities plus the language's log share, and the posterior over languages gives prediction and score.
 
-Piece probabilities are fitted by expectation-maximisation (forward-backward counts) on a bounded sample: at most ``SAMPLE`` training
-documents of each of the ``MAX_LANGS`` most frequent languages, those with the smallest hashes of their id. Scoring covers every word of every text.
+Piece probabilities are fitted by expectation-maximisation (forward-backward counts over whole words) on a bounded sample: at most ``SAMPLE`` training
+documents of each language, those with the smallest hashes of their id, whose words are counted in the tasks. All languages are learned and all pieces are used. Scoring covers every word of every text.
 
 Cases: a null text or one without a letter is ``und`` with score 0; a null language isn't learned; without training rows every text is ``und``; repeated
 rows each get a row; an empty table gives no rows; other columns are not looked at.
@@ -14,6 +14,7 @@ rows each get a row; an empty table gives no rows; other columns are not looked
 from __future__ import annotations
 
 import base64
+import math
 import re
 from collections import Counter
 
@@ -24,9 +25,9 @@ from pyspark.sql import types as T
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 SAMPLE = 300
-MAX_LANGS = 64
 ROUNDS = 2
-MAX_PIECE = 16
+#: Words above this many bytes are summed in logarithms, where products of probabilities would vanish.
+PLAIN_BYTES = 64
 #: Words' scores that a task keeps at most.
 KEPT_WORDS = 300_000
 LETTER = re.compile(r"[^\W\d_]")
@@ -36,7 +37,7 @@ TINY, HUGE = 1e-150, 1e150
 def read_vocabulary(spark: SparkSession, path: str = VOCABULARY) -> list[bytes]:
     """Pieces of a file of base64 pieces and ranks, read by Spark, so that it may be in any store."""
     at = path if "://" in path else f"file://{path}"
-    return sorted(p for p in (base64.b64decode(r[0].split()[0]) for r in spark.read.text(at).collect() if r[0].strip()) if len(p) <= MAX_PIECE)
+    return sorted(base64.b64decode(r[0].split()[0]) for r in spark.read.text(at).collect() if r[0].strip())
 
 
 def units(text: str) -> list[bytes]:
@@ -54,6 +55,7 @@ class Trie:
                 nodes.setdefault(p[:e], len(nodes) + 1)
         self.move = np.zeros((len(nodes) + 1, 256), np.int32)
         self.prob = np.zeros((len(nodes) + 1, n))
+        self.longest = max(map(len, pieces), default=1)
         for p, k in nodes.items():
             if p:
                 self.move[nodes[p[:-1]], p[-1]] = k
@@ -71,7 +73,7 @@ class Trie:
         return out
 
     def _forward(self, words: list[bytes], sizes: np.ndarray) -> np.ndarray:
-        n, longest, ring = len(words), int(sizes[-1]), MAX_PIECE + 1
+        n, longest, ring = len(words), int(sizes[-1]), self.longest + 1
         text = np.frombuffer(b"".join(w.ljust(longest, b"\0") for w in words), np.uint8).reshape(n, longest)
         alpha = np.zeros((ring, n, self.prob.shape[1]))
         alpha[0] = 1.0
@@ -85,7 +87,7 @@ class Trie:
                 if (done := sizes == s).any():
                     out[done] = np.log(np.maximum(from_here[done], 5e-324)) + scale[done]
             node = np.ones(n, np.int32)
-            for e in range(s + 1, min(s + MAX_PIECE, longest) + 1):
+            for e in range(s + 1, min(s + self.longest, longest) + 1):
                 node = self.move[node, text[:, e - 1]]
                 if not node.any():
                     break
@@ -96,13 +98,39 @@ class Trie:
         return out
 
 
+def _arcs(word: bytes, prob: dict[bytes, float], longest: int) -> list[tuple[int, int, bytes]]:
+    return [(s, e, word[s:e]) for e in range(1, len(word) + 1) for s in range(max(0, e - longest), e) if word[s:e] in prob]
+
+
+def _log_add(x: float, y: float) -> float:
+    high, low = (x, y) if x > y else (y, x)
+    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
+
+
+def _expected_in_logs(word: bytes, c: int, prob: dict[bytes, float], longest: int, out: dict[bytes, float]) -> None:
+    n, arcs = len(word), _arcs(word, prob, longest)
+    a, b = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
+    a[0] = b[n] = 0.0
+    for s, e, p in arcs:
+        a[e] = _log_add(a[e], a[s] + math.log(prob[p]))
+    for s, e, p in sorted(arcs, key=lambda x: -x[0]):
+        b[s] = _log_add(b[s], b[e] + math.log(prob[p]))
+    if a[n] > -math.inf:
+        for s, e, p in arcs:
+            if (x := a[s] + math.log(prob[p]) + b[e] - a[n]) > -700:
+                out[p] = out.get(p, 0.0) + c * math.exp(x)
+
+
 def expected(words: dict[bytes, int], prob: dict[bytes, float]) -> dict[bytes, float]:
-    """Expected occurrences of each piece over all segmentations of counted words."""
+    """Expected occurrences of each piece over all segmentations of counted words, each of them whole."""
     out: dict[bytes, float] = {}
-    for word, c in words.items():
-        w = word[:64]
+    longest = max(map(len, prob), default=1)
+    for w, c in words.items():
         n = len(w)
-        arcs = [(s, e, w[s:e]) for e in range(1, n + 1) for s in range(max(0, e - MAX_PIECE), e) if w[s:e] in prob]
+        if n > PLAIN_BYTES:
+            _expected_in_logs(w, c, prob, longest, out)
+            continue
+        arcs = _arcs(w, prob, longest)
         a, b = [0.0] * (n + 1), [0.0] * (n + 1)
         a[0] = b[n] = 1.0
         for s, e, p in arcs:
@@ -113,18 +141,20 @@ def expected(words: dict[bytes, int], prob: dict[bytes, float]) -> dict[bytes, f
             for s, e, p in arcs:
                 if x := a[s] * b[e]:
                     out[p] = out.get(p, 0.0) + c * x * prob[p] / a[n]
+        else:
+            _expected_in_logs(w, c, prob, longest, out)
     return out
 
 
 def fit(counts: dict[str, Counter], vocabulary: list[bytes], rounds: int = ROUNDS) -> dict[bytes, tuple[float, ...]]:
     """Probabilities of the pieces in each language, in sorted order of the languages. Pieces seen in none get one shared floor by staying out, except single bytes."""
-    known = set(vocabulary)
+    known, longest = set(vocabulary), max(map(len, vocabulary), default=1)
     per_lang = []
     for lang in sorted(counts):
         start: Counter = Counter()
         for word, c in counts[lang].items():
             for s in range(len(word)):
-                for e in range(s + 1, min(s + MAX_PIECE, len(word)) + 1):
+                for e in range(s + 1, min(s + longest, len(word)) + 1):
                     if word[s:e] in known:
                         start[word[s:e]] += c * (e - s)
         mass: dict[bytes, float] = dict(start)
@@ -180,22 +210,32 @@ class Model:
 
 def train(docs: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPLE) -> Model:
     known = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
-    shares = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    shares = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not shares:
         return Model([], [], {})
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.select("doc_id", "lang").where(F.col("lang").isin(list(shares))).withColumn("_nth", rank).where(F.col("_nth") <= sample).select("doc_id", "lang").distinct()
+    ids = known.select("doc_id", "lang").withColumn("_nth", rank).where(F.col("_nth") <= sample).select("doc_id", "lang").distinct()
     chosen = known.join(F.broadcast(ids), ["doc_id", "lang"])
+
+    def count(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            own: Counter = Counter()
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own.update((lang, w) for w in units(text))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in own], pa.string()), pa.array([k[1] for k in own], pa.binary()), pa.array(list(own.values()), pa.int64())], ["lang", "word", "n"])
+
     counts: dict[str, Counter] = {lang: Counter() for lang in shares}
-    for r in chosen.select("lang", "text").collect():
-        counts[r["lang"]].update(units(r["text"]))
+    for r in chosen.select("lang", "text").mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy("lang", "word").collect():
+        counts[r["lang"]][bytes(r["word"])] = r["n"]
     pieces = fit(counts, read_vocabulary(docs.sparkSession, vocabulary))
     langs = sorted(shares)
     return Model(langs, [shares[x] / sum(shares.values()) for x in langs], pieces)
 
 
 def predict_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of each document. The model has at most the vocabulary's pieces times ``MAX_LANGS`` numbers."""
+    """doc_id, held_out, lang_pred, score of each document. The model has at most the vocabulary's pieces times the languages in numbers."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def told(batches):

@@ -532,3 +532,29 @@ def test_scores_agree_on_reruns(spark, rows):
         d = spark.createDataFrame(made, "doc_id long, text string").repartition(n)
         runs.append(sorted(((r.doc_id, r.n_tokens, round(r.score, 6)) for r in context_mixing.score_documents(d, 5).collect()), key=repr))
     assert runs[0] == runs[1]
+
+
+def test_expected_pieces_of_whole_words():
+    rng = random.Random(12)
+    pieces = {bytes([c]): 0.02 for c in b"abc"} | {bytes(rng.choices(b"abc", k=rng.randint(2, 20))): rng.random() / 20 for _ in range(30)}
+    words = {bytes(rng.choices(b"abc", k=n)): n for n in (1, 5, 30, 64)}
+    plain, logs = language_id.expected(words, pieces), {}
+    for w, c in words.items():
+        language_id._expected_in_logs(w, c, pieces, 20, logs)
+    assert plain.keys() == logs.keys() and all(abs(plain[p] - logs[p]) < 1e-9 * max(1, plain[p]) for p in plain)
+    long = b"abc" * 3000
+    got = language_id.expected({long: 2}, pieces)
+    assert abs(sum(len(p) * x for p, x in got.items()) - 2 * len(long)) < 1e-4
+
+
+def test_every_language_is_learned(spark):
+    if not os.path.exists(language_id.VOCABULARY):
+        pytest.skip("no vocabulary")
+    names = [f"l{i:02d}" for i in range(70)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    made = [(1000 * k + j, " ".join(f"q{k}z{k}x" for _ in range(6)), n) for k, n in enumerate(names) for j in range(4)]
+    made += [(500_000, "q69z69x q69z69x", None)]
+    d = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.predict_documents(d, language_id.train(d)).collect()}
+    learned = {n for i, _, n in made if n and not held(i)}
+    assert all(got[i] == n for i, _, n in made if n in learned) and len(learned) > 64
