@@ -140,8 +140,8 @@ def snap(x0: Column, y0: Column, x: Column, y: Column) -> Column:
 
 
 def fit(width: Column, height: Column, most_width: Column, most_height: Column) -> Column:
-    """A size within bounds, its shape kept, never larger than it is; to hundredths."""
-    scale = F.least(F.lit(1.0), most_width / width, most_height / height)
+    """A size within bounds, its shape kept, never larger than it is; to hundredths. A side of 0 bounds nothing."""
+    scale = F.least(F.lit(1.0), most_width / F.nullif(width, F.lit(0.0)), most_height / F.nullif(height, F.lit(0.0)))
     return F.struct(F.round(width * scale, 2).alias("width"), F.round(height * scale, 2).alias("height"))
 
 

@@ -16,11 +16,17 @@ def safe_file_name(path: Column, fallback: str = "document") -> Column:
     return F.when(F.coalesce(t, F.lit("")) == "", fallback).otherwise(t)
 
 
+# Words of fonts' names, as Java patterns.
+MONO = r"(?i)mono|courier|consol|menlo|inconsolata|typewriter|fixedsys|\bcode\b"
+SERIF = r"(?i)times|georgia|garamond|cambria|palatino|antiqua|minion|baskerville|caslon|bodoni|century|didot|charter|constantia|tiempos|merriweather|lora|playfair|serif"
+BOLD, ITALIC = r"(?i)bold|black|heavy|semibold|demi|[-,]bd\b", r"(?i)italic|oblique|slanted|[-,]it\b"
+
+
 def standard_font(name: Column) -> Column:
     """The standard style nearest to a font's name: its subset tag goes, then monospace, sans and serif words decide in this order; bold and italic add to it."""
-    t = F.lower(F.regexp_replace(name, r"^[A-Z]{6}\+", ""))
-    family = F.when(t.rlike("mono|courier|consol|typewriter|code"), "Courier").when(t.rlike("sans|arial|helvet|verdana|calibri|tahoma"), "Helvetica").when(t.rlike("serif|times|roman|georgia|garamond|cambria|minion"), "Times").otherwise("Helvetica")
-    bold, italic = t.rlike("bold|black|heavy|semibold"), t.rlike("italic|oblique")
+    t = F.trim(F.regexp_replace(name, r"^[A-Z]{6}\+", ""))
+    family = F.when(t.rlike(MONO), "Courier").when(t.rlike("(?i)sans"), "Helvetica").when(t.rlike(SERIF), "Times").otherwise("Helvetica")
+    bold, italic = t.rlike(BOLD), t.rlike(ITALIC)
     return F.concat(family, F.when(bold & italic, "-BoldItalic").when(bold, "-Bold").when(italic, "-Italic").otherwise(""))
 
 

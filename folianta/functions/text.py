@@ -27,16 +27,17 @@ def literal(term: str) -> str:
     return "\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def match_starts(text: Column, pattern: str, group: int = 0) -> Column:
-    """Places (from 0) and texts of all matches: the gaps between matches tell where each begins."""
-    gaps = F.split(text, pattern, -1)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+def match_starts(text: Column, pattern: str) -> Column:
+    """Places (from 0) and texts of all matches, in one pass: the gaps between matches tell where each begins."""
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.zip_with(hits, F.split(text, pattern, -1), lambda h, g: F.struct(h.alias("h"), F.length(g).alias("g")))
+    none = F.filter(F.array(F.struct(F.lit(0).alias("start"), F.lit("").alias("text"))), lambda x: F.lit(False))
 
-    def place(i: Column) -> Column:
-        before = F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda n, g: n + F.length(g))
-        return before + F.aggregate(F.slice(hits, 1, i), F.lit(0), lambda n, h: n + F.length(h))
+    def put(state: Column, x: Column) -> Column:
+        start = state["at"] + x["g"]
+        return F.struct((start + F.coalesce(F.length(x["h"]), F.lit(0))).alias("at"), F.when(x["h"].isNull(), state["out"]).otherwise(F.concat(state["out"], F.array(F.struct(start.alias("start"), x["h"].alias("text"))))).alias("out"))
 
-    return F.transform(hits, lambda h, i: F.struct(place(i).alias("start"), h.alias("text")))
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), put, lambda s: s["out"])
 
 
 def snippet(text: Column, start: Column, size: Column) -> Column:
@@ -155,12 +156,14 @@ def padded(n: Column, width: Column | int) -> Column:
 
 
 def safe_url(url: Column) -> Column:
-    """The address if its scheme is http, https or mailto; a bare mail address as mailto; else null."""
+    """The address if its scheme is http, https or mailto, with scheme and host in lower case and a path at least; a bare mail address as mailto; else null."""
     t = F.trim(url)
+    part = lambda i: F.regexp_extract(t, r"^([A-Za-z]+://)([^\s/?#]+)(.*)$", i)
+    web = F.concat(F.lower(part(1)), F.lower(part(2)), F.when(part(3).startswith("/"), part(3)).otherwise(F.concat(F.lit("/"), part(3))))
     return (
         F.when(F.lower(t).rlike("^(javascript|vbscript|data|file|about|blob):"), F.lit(None).cast("string"))
-        .when(F.lower(t).rlike("^https?://[^\\s/?#]+"), t)
-        .when(F.lower(t).rlike("^mailto:"), t)
+        .when(t.rlike(r"(?i)^https?://[^\s/?#]+"), web)
+        .when(F.lower(t).rlike("^mailto:"), F.concat(F.lit("mailto:"), F.substring(t, 8, F.length(t))))
         .when(t.rlike(r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+$"), F.concat(F.lit("mailto:"), t))
     )
 

@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .search import held_terms
+
+#: Lists of terms up to this length are broadcast; beyond it they are joined by sorting.
+MAX_TERMS = 100_000
+
 
 def space_audit(objects: DataFrame) -> DataFrame:
-    """(doc_id, category, objects, bytes): what an object was assigned to counts first, then its subtype and type."""
+    """(doc_id, category, objects, bytes): what an object was assigned to counts first, then its subtype and type; where there is a column ``has_title``, objects with a title belong to the bookmarks."""
     kind, sub = F.col("type"), F.col("subtype")
+    titled = F.coalesce(F.col("has_title"), F.lit(False)) if "has_title" in objects.columns else F.lit(False)
     category = (
         F.when(F.col("assigned").isNotNull(), F.col("assigned"))
         .when(sub == "Image", "Images")
@@ -18,7 +24,7 @@ def space_audit(objects: DataFrame) -> DataFrame:
         .when(kind.isin("StructElem", "StructTreeRoot", "MCR", "OBJR"), "Structure tags")
         .when(kind == "Metadata", "Metadata")
         .when(kind.isin("EmbeddedFile", "Filespec"), "Attachments")
-        .when(kind.isin("Outlines", "Action"), "Bookmarks and links")
+        .when(kind.isin("Outlines", "Action") | titled, "Bookmarks and links")
         .when(kind.isin("XRef", "ObjStm", "Pages", "Page", "Catalog"), "Document structure")
         .otherwise("Other")
     )
@@ -71,13 +77,15 @@ def redaction_residual(regions: DataFrame, glyphs: DataFrame) -> DataFrame:
 
 
 def residual_terms(pages: DataFrame, terms: DataFrame, long_term: int = 8) -> DataFrame:
-    """(term, pages): terms (a bounded list, as broadcast) that pages still hold, white space collapsed; long ones also without any."""
-    flat = F.lower(F.regexp_replace("text", r"\s+", " "))
-    bare = F.lower(F.regexp_replace("text", r"\s+", ""))
-    t = F.broadcast(terms.select(F.lower(F.trim("term")).alias("term")).where("term <> ''").distinct())
-    rows = pages.select("doc_id", "page", flat.alias("_flat"), bare.alias("_bare"))
-    found = F.contains("_flat", F.col("term")) | ((F.length("term") >= long_term) & F.contains(F.col("_bare"), F.regexp_replace("term", r"\s+", "")))
-    return rows.join(t, found).groupBy("term").agg(F.count(F.lit(1)).alias("pages"))
+    """(term, pages): terms that pages still hold, white space collapsed; long ones also without any."""
+    t = terms.select(F.lower(F.trim("term")).alias("term")).where("term <> ''").distinct()
+    flat, bare = F.lower(F.regexp_replace("text", r"\s+", " ")), F.lower(F.regexp_replace("text", r"\s+", ""))
+    rows = pages.select("doc_id", "page", flat.alias("flat"), bare.alias("bare"))
+    long = t.where(F.length("term") >= long_term).select("term", F.regexp_replace("term", r"\s+", "").alias("_bare"))
+    whole = held_terms(rows.select("doc_id", "page", "flat"), t, "flat").select("doc_id", "page", "term")
+    packed = held_terms(rows.select("doc_id", "page", "bare"), long.select(F.col("_bare").alias("term")), "bare").select("doc_id", "page", F.col("term").alias("_bare"))
+    both = whole.unionByName(packed.join(F.broadcast(long) if long.count() <= MAX_TERMS else long, "_bare").select("doc_id", "page", "term")).distinct()
+    return both.groupBy("term").agg(F.count(F.lit(1)).alias("pages"))
 
 
 def redact(pages: DataFrame, terms: list[str], mark: str = "█") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..tables import cut
+from ..tables import Tables, cut
 
 
 def threads(comments: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def latest_state(comments: DataFrame) -> DataFrame:
 def flat_threads(comments: DataFrame, depth: int | None = None) -> DataFrame:
     """Threads in pre-order: each comment with its depth and a sortable path. One join a level, each computed once, until a level has no rows or down to ``depth``; what hangs in a cycle has no root and is
     left out."""
-    key = lambda seq: F.lpad(seq.cast("string"), 10, "0")
+    key = lambda seq: tx.padded(seq, 10)
     parents = comments.select("doc_id", F.col("id").alias("reply_to"), F.lit(True).alias("_there"))
     marked = comments.join(parents, ["doc_id", "reply_to"], "left")
     level = cut(marked.where("_there is null").drop("_there").withColumn("depth", F.lit(0)).withColumn("path", key(F.col("seq"))))
@@ -44,13 +44,17 @@ def flat_threads(comments: DataFrame, depth: int | None = None) -> DataFrame:
     return out
 
 
-def with_ancestors(hits: DataFrame, tree: DataFrame, depth: int = 8) -> DataFrame:
-    """(doc_id, id, is_hit): rows that match and all above them, in a tree of (doc_id, id, parent_id)."""
+def with_ancestors(hits: DataFrame, tree: DataFrame) -> DataFrame:
+    """(doc_id, id, is_hit): rows that match and all above them, in a tree of (doc_id, id, parent_id). Levels are followed until nothing new is above."""
+    tables = Tables(tree.sparkSession)
     edges = tree.select("doc_id", "id", "parent_id")
-    level = hits.select("doc_id", "id").distinct().join(edges, ["doc_id", "id"])
-    out = level.select("doc_id", "id", F.lit(1).alias("hit"))
-    for _ in range(depth):
-        level = level.where("parent_id is not null").select("doc_id", F.col("parent_id").alias("id")).distinct().join(edges, ["doc_id", "id"])
+    level = tables.keep(hits.select("doc_id", "id").distinct().join(edges, ["doc_id", "id"]))
+    found = out = level.select("doc_id", "id")
+    out = out.withColumn("hit", F.lit(1))
+    while level.take(1):
+        up = level.where("parent_id is not null").select("doc_id", F.col("parent_id").alias("id")).distinct()
+        level = tables.keep(up.join(found, ["doc_id", "id"], "left_anti").join(edges, ["doc_id", "id"]))
+        found = found.unionByName(level.select("doc_id", "id"))
         out = out.unionByName(level.select("doc_id", "id", F.lit(0).alias("hit")))
     return out.groupBy("doc_id", "id").agg((F.max("hit") == 1).alias("is_hit"))
 

@@ -14,6 +14,7 @@ from ..functions import text as tx
 
 B, A = tx.EDGE_BEFORE, tx.EDGE_AFTER
 KINDS = ("email", "ssn", "card", "iban", "date", "phone")
+# The first letters of months.
 MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
 
 
@@ -23,6 +24,7 @@ def _phone_ok(t: Column) -> Column:
     return bracket & ((t.startswith("+") & n.between(8, 15)) | (n.between(10, 11) & t.rlike("[ ().-]")))
 
 
+# Patterns of the kinds, in the order in which they win.
 #: (kind, pattern, test of the matched text, a cheap text that every match has, or None), in order of precedence.
 RULES = (
     ("email", r"[A-Za-z0-9_.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", lambda t: F.lit(True), "@"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -63,11 +63,12 @@ def spreadsheet_rows(cells: DataFrame) -> DataFrame:
 
 
 def archive_manifest(parts: DataFrame, most: int = 1000) -> DataFrame:
-    """(doc_id, part, pages, file_name) from pages with a part; documents of more than ``most`` files are left out."""
+    """(doc_id, part, pages, file_name) from pages with a part; documents of more than ``most`` files are an error."""
     each = parts.groupBy("doc_id", "part").agg(F.min("page").alias("a"), F.max("page").alias("b"), F.count(F.lit(1)).alias("pages"))
-    count = each.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= most).select("doc_id")
+    many = F.count(F.lit(1)).over(Window.partitionBy("doc_id")) > most
     name = F.when(F.col("a") == F.col("b"), F.concat(F.lit("page-"), F.col("a"))).otherwise(F.concat(F.lit("pages-"), F.col("a"), F.lit("-"), F.col("b")))
-    return each.join(count, "doc_id").select("doc_id", "part", "pages", F.concat(name, F.lit(".pdf")).alias("file_name"))
+    name = F.when(many, F.raise_error(F.lit(f"more than {most} files"))).otherwise(name)
+    return each.select("doc_id", "part", "pages", F.concat(name, F.lit(".pdf")).alias("file_name"))
 
 
 def comparison_report(aligned: DataFrame, before: DataFrame, after: DataFrame, excerpt: int = 400) -> DataFrame:

@@ -32,9 +32,10 @@ def character_error(truth: Column, read: Column) -> Column:
 
 
 def word_error(truth: Column, read: Column) -> Column:
-    """Edit distance over words by the truth's words: each distinct word (of 20,000 at most) becomes one character, for the built-in distance."""
+    """Edit distance over words by the truth's words: each distinct word becomes one character, for the built-in distance; more than 20,000 distinct ones are an error."""
     a, b = (F.filter(F.split(normal(c), " "), lambda w: w != "") for c in (truth, read))
     known = F.array_distinct(F.concat(a, b))
+    known = F.when(F.size(known) > 20_000, F.raise_error(F.lit("more than 20,000 distinct words"))).otherwise(known)
     signs = F.lit("".join(chr(0x4E00 + i) for i in range(20_000)))
     coded = lambda ws: F.array_join(F.transform(ws, lambda w: F.substring(signs, F.array_position(known, w).cast("int"), F.lit(1))), "")
     return F.levenshtein(coded(a), coded(b)) / F.greatest(F.size(a), F.lit(1))

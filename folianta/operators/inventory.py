@@ -74,12 +74,12 @@ def move_bookmarks(bookmarks: DataFrame, target_pages: DataFrame) -> DataFrame:
     return rows.withColumn("unplaced", out).withColumn("page", F.when(~out, F.col("page"))).drop("pages")
 
 
-def remap_bookmarks(bookmarks: DataFrame, mapping: DataFrame, depth: int = 8) -> DataFrame:
+def remap_bookmarks(bookmarks: DataFrame, mapping: DataFrame) -> DataFrame:
     """Bookmarks (doc_id, id, parent_id, page) after a page mapping (doc_id, page, new_page): those that keep a page, and the ancestors of such."""
     from .comments import with_ancestors
 
     moved = bookmarks.join(mapping, ["doc_id", "page"], "left")
-    kept = with_ancestors(moved.where("new_page is not null"), bookmarks, depth)
+    kept = with_ancestors(moved.where("new_page is not null"), bookmarks)
     return moved.join(kept.select("doc_id", "id"), ["doc_id", "id"], "left_semi").select("doc_id", "id", "parent_id", F.col("new_page").alias("page"))
 
 
@@ -106,16 +106,19 @@ def erase_ink(points: DataFrame, erasers: DataFrame, radius: float) -> DataFrame
 
 
 def shift(annotations: DataFrame, dx: float, dy: float, most: int = 500) -> DataFrame:
-    """Annotations (points: array of x, y) moved together; locked ones stay. More than ``most`` a document are left as they are."""
+    """Annotations (points: array of x, y) moved together; locked ones stay. More than ``most`` a document are an error."""
     moved = F.transform("points", lambda p: F.struct((p["x"] + dx).alias("x"), (p["y"] + dy).alias("y")))
-    few = F.count(F.lit(1)).over(Window.partitionBy("doc_id")) <= most
-    return annotations.withColumn("points", F.when(~F.col("locked") & few, moved).otherwise(F.col("points")))
+    many = F.count(F.lit(1)).over(Window.partitionBy("doc_id")) > most
+    return annotations.withColumn("points", F.when(many, F.raise_error(F.lit(f"more than {most} annotations"))).when(~F.col("locked"), moved).otherwise(F.col("points")))
 
 
-def selection_quads(rects: DataFrame, pages: DataFrame) -> DataFrame:
-    """Selection rectangles (doc_id, x0, y0, x1, y1 on the whole scroll) cut to the pages (doc_id, page, top, bottom) that they touch: page, rectangle."""
-    p = pages.select("doc_id", "page", "top", "bottom")
-    rows = rects.join(p, "doc_id").where((F.col("y0") < F.col("bottom")) & (F.col("top") < F.col("y1")))
+def selection_quads(rects: DataFrame, pages: DataFrame, band: float = 1000.0) -> DataFrame:
+    """Selection rectangles (doc_id, x0, y0, x1, y1 on the whole scroll) cut to the pages (doc_id, page, top, bottom) that they touch: page, rectangle. Both are dealt to bands of the scroll, in which they meet."""
+    bands = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / band), F.floor(F.col(b) / band)))
+    p = pages.select("doc_id", "page", "top", "bottom", bands("top", "bottom").alias("_band"))
+    r = rects.withColumn("_band", bands("y0", "y1"))
+    first = F.greatest(F.floor(F.col("top") / band), F.floor(F.col("y0") / band)) == F.col("_band")
+    rows = r.join(p, ["doc_id", "_band"]).where(first & (F.col("y0") < F.col("bottom")) & (F.col("top") < F.col("y1")))
     return rows.select("doc_id", "page", "x0", F.greatest("y0", "top").alias("y0"), "x1", F.least("y1", "bottom").alias("y1"))
 
 

@@ -109,19 +109,19 @@ def booklet(documents: DataFrame) -> DataFrame:
 
 
 def poster(sizes: DataFrame, scale: float, tile_width: float, tile_height: float, overlap: float, most: int = 500) -> DataFrame:
-    """A row for each tile of a page (width, height) at a scale: row, column, x, y of its corner. Pages of more than ``most`` tiles are left out."""
+    """A row for each tile of a page (width, height) at a scale: row, column, x, y of its corner. Pages of more than ``most`` tiles are an error."""
     across = F.greatest(F.ceil((F.col("width") * scale - overlap) / (tile_width - overlap)), F.lit(1)).cast("int")
     down = F.greatest(F.ceil((F.col("height") * scale - overlap) / (tile_height - overlap)), F.lit(1)).cast("int")
-    grid = sizes.withColumn("_a", across).withColumn("_d", down).where(F.col("_a") * F.col("_d") <= most)
+    grid = sizes.withColumn("_a", F.when(across.cast("long") * down > most, F.raise_error(F.lit(f"more than {most} tiles"))).otherwise(across)).withColumn("_d", down)
     tiles = grid.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("_d")))).withColumn("column", F.explode(F.sequence(F.lit(1), F.col("_a"))))
     return tiles.withColumn("x", (F.col("column") - 1) * (tile_width - overlap)).withColumn("y", (F.col("row") - 1) * (tile_height - overlap)).drop("_a", "_d")
 
 
-def bates(files: DataFrame, start: int, width: int, prefix: str = "", suffix: str = "", by: str | None = None) -> DataFrame:
-    """First and last number of each file (nth, pages, ok): numbers run on over the files that succeed; the others take none."""
+def bates(files: DataFrame, start: int, width: int, prefix: str = "", suffix: str = "", by: str = "bundle") -> DataFrame:
+    """First and last number of each file (nth, pages, ok) of a run (``by``): numbers run on over the files that succeed; the others take none."""
     from ..functions.text import padded
 
-    w = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(by).orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     taken = F.when(F.col("ok"), F.col("pages")).otherwise(0)
     first = F.lit(start) + F.coalesce(F.sum(taken).over(w), F.lit(0))
     label = lambda n: F.concat(F.lit(prefix), padded(n, width), F.lit(suffix))

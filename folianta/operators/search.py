@@ -6,10 +6,13 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 
 MAX_PATTERN = 1024
+#: Terms up to this size are looked for in one pass.
+TERM_BYTES = 8_000_000
 
 
 def find_text(pages: DataFrame, query: str, case_sensitive: bool = False, whole_word: bool = False, match_marks: bool = False) -> DataFrame:
@@ -37,11 +40,57 @@ def first_results(matches: DataFrame, limit: int = 250) -> DataFrame:
     return matches.orderBy("doc_id", "page", "nth").limit(limit)
 
 
+def _lists(terms: DataFrame) -> list[list[str]]:
+    """The distinct terms, in lists of about ``TERM_BYTES`` at most: one for any list that a person makes."""
+    total = terms.agg(F.sum(F.octet_length("term") + 1)).first()[0] or 0
+    n = -(-total // TERM_BYTES)
+    lists = ([r[0] for r in terms.where(F.pmod(F.xxhash64("term"), F.lit(n)) == i).orderBy("term").collect()] for i in range(n))
+    return [words for words in lists if words]
+
+
+def held_terms(items: DataFrame, terms: DataFrame, text: str, *more: str) -> DataFrame:
+    """Item columns, term and hits (matches that don't overlap) of each item and term that it holds, as they are written. Further columns in ``more`` hold texts in which a term counts too, without being counted.
+
+    Every item is read once for each list of terms, by one automaton of all terms in it; items and terms are never joined.
+    """
+    out = None
+    for words in _lists(terms.select("term").where("term <> ''").distinct()):
+        names, places = [*items.columns, "term", "hits"], [items.columns.index(c) for c in (text, *more)]
+
+        def look(batches, words=words, names=names, places=places):
+            import ahocorasick
+            import pyarrow as pa
+
+            machine = ahocorasick.Automaton()
+            for i, w in enumerate(words):
+                machine.add_word(w, (i, len(w)))
+            machine.make_automaton()
+            for b in batches:
+                rows, terms_, hits = [], [], []
+                for r, texts in enumerate(zip(*(b.column(i).to_pylist() for i in places), strict=True)):
+                    count, after = {}, {}
+                    for n, t in enumerate(texts):
+                        for end, (i, size) in machine.iter(t) if t else ():
+                            if n:
+                                count.setdefault(i, 0)
+                            elif end - size >= after.get(i, -1):
+                                count[i], after[i] = count.get(i, 0) + 1, end
+                    rows += [r] * len(count)
+                    terms_ += [words[i] for i in count]
+                    hits += count.values()
+                if rows:
+                    yield pa.RecordBatch.from_arrays([*b.take(pa.array(rows, pa.int64())).columns, pa.array(terms_, pa.string()), pa.array(hits, pa.int32())], names)
+
+        kind = T.StructType([*items.schema.fields, T.StructField("term", T.StringType()), T.StructField("hits", T.IntegerType())])
+        found = items.mapInArrow(look, kind)
+        out = found if out is None else out.unionByName(found)
+    return items.withColumn("term", F.lit("")).withColumn("hits", F.lit(0)).limit(0) if out is None else out
+
+
 def find_terms(items: DataFrame, terms: DataFrame, text: str = "str") -> DataFrame:
     """Items that hold a term (table ``terms``: term), whatever its case: item columns, term, hits."""
-    one = F.broadcast(terms.select(F.lower("term").alias("term")).where("term <> ''").distinct())
-    low = F.lower(F.col(text))
-    return items.join(one, F.contains(low, F.col("term"))).withColumn("hits", F.size(F.split(low, F.concat(F.lit("\\Q"), F.col("term"), F.lit("\\E")), -1)) - 1)
+    low = terms.select(F.lower("term").alias("term"))
+    return held_terms(items.withColumn("_low", F.lower(F.col(text))), low, "_low").drop("_low")
 
 
 def check_pattern(pattern: str) -> str:

@@ -1,26 +1,58 @@
-"""Trees as adjacency lists (doc_id, id, parent_id): depths, paths, filters and reachability, one join a level."""
+"""Trees as adjacency lists (doc_id, id, parent_id): depths, paths, filters and reachability, one join a level, each written before the next, until a level has no rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import Tables
 
-def levels(tree: DataFrame, depth: int = 8) -> DataFrame:
-    """Adds depth (roots 0) to nodes under a root, to ``depth`` levels; nodes of a cycle have no root and are left out."""
-    level = tree.where("parent_id is null").withColumn("depth", F.lit(0))
-    out, rest = level, tree.where("parent_id is not null")
-    for d in range(1, depth + 1):
-        level = rest.join(level.select("doc_id", F.col("id").alias("parent_id")), ["doc_id", "parent_id"]).select(*tree.columns).withColumn("depth", F.lit(d))
+#: Levels at which outlines and structure trees are refused.
+OUTLINE_DEPTH, TAG_DEPTH = 32, 128
+
+
+def levels(tree: DataFrame, depth: int | None = None) -> DataFrame:
+    """Adds depth (roots 0) to nodes under a root. More than ``depth`` levels are an error, and so are nodes that hang in a cycle; nodes whose parent isn't there are left out."""
+    tables = Tables(tree.sparkSession)
+    level = tables.keep(tree.where("parent_id is null").withColumn("depth", F.lit(0)))
+    out, rest, d = level, tables.keep(tree.where("parent_id is not null")), 0
+    while level.take(1):
+        d += 1
+        up = level.select("doc_id", F.col("id").alias("parent_id"))
+        level = tables.keep(rest.join(up, ["doc_id", "parent_id"]).select(*tree.columns).withColumn("depth", F.lit(d)))
+        if depth is not None and d > depth and level.take(1):
+            raise ValueError(f"more than {depth} levels")
+        out = out.unionByName(level)
+    left = tables.keep(rest.join(out.select("doc_id", "id"), ["doc_id", "id"], "left_anti"))
+    while left.take(1):
+        held = tables.keep(left.join(left.select("doc_id", F.col("id").alias("parent_id")).distinct(), ["doc_id", "parent_id"], "left_semi").select(*tree.columns))
+        if held.count() == left.count():
+            raise ValueError("nodes hang in a cycle")
+        left = held
+    return out
+
+
+def ancestors(tree: DataFrame, depth: int = TAG_DEPTH) -> DataFrame:
+    """(doc_id, id, ancestor, distance): every node with each node above it. More than ``depth`` levels, as in a cycle, are an error."""
+    tables = Tables(tree.sparkSession)
+    edges = tables.keep(tree.where("parent_id is not null").select("doc_id", "id", F.col("parent_id").alias("ancestor")).join(tree.select("doc_id", F.col("id").alias("ancestor")), ["doc_id", "ancestor"], "left_semi").select("doc_id", "id", "ancestor"))
+    level, d = edges.withColumn("distance", F.lit(1)), 1
+    out = level
+    while level.take(1):
+        d += 1
+        if d > depth:
+            raise ValueError(f"more than {depth} levels")
+        up = edges.select("doc_id", F.col("id").alias("_at"), F.col("ancestor").alias("_up"))
+        level = tables.keep(level.withColumnRenamed("ancestor", "_at").join(up, ["doc_id", "_at"]).select("doc_id", "id", F.col("_up").alias("ancestor"), F.lit(d).alias("distance")))
         out = out.unionByName(level)
     return out
 
 
-def filtered(tree: DataFrame, hit, depth: int = 8) -> DataFrame:
+def filtered(tree: DataFrame, hit) -> DataFrame:
     """(doc_id, id, is_hit): nodes for which ``hit`` (a predicate) holds and their ancestors."""
     from .comments import with_ancestors
 
-    return with_ancestors(tree.where(hit), tree, depth)
+    return with_ancestors(tree.where(hit), tree)
 
 
 def nearest_above(nodes: DataFrame, levels_: int = 9) -> DataFrame:
@@ -30,25 +62,30 @@ def nearest_above(nodes: DataFrame, levels_: int = 9) -> DataFrame:
     return nodes.withColumn("parent_seq", F.greatest(*above))
 
 
-def role_of(tags: DataFrame, role_map: DataFrame, hops: int = 8) -> DataFrame:
-    """Adds standard_role: a tag's role followed through the role map (doc_id, role, to), which may chain, until no entry is left or a role comes again."""
-    out = tags.withColumn("standard_role", F.col("role")).withColumn("_seen", F.array("role"))
-    for _ in range(hops):
-        step = role_map.select("doc_id", F.col("role").alias("standard_role"), F.col("to").alias("_to"))
-        out = out.join(step, ["doc_id", "standard_role"], "left")
-        out = out.withColumn("_free", F.col("_to").isNotNull() & ~F.array_contains("_seen", F.col("_to")))
-        out = out.withColumn("_seen", F.when(F.col("_free"), F.array_append("_seen", F.col("_to"))).otherwise(F.col("_seen"))).withColumn("standard_role", F.when(F.col("_free"), F.col("_to")).otherwise(F.col("standard_role"))).drop("_to", "_free")
-    return out.drop("_seen")
-
-
-def reachable(objects: DataFrame, references: DataFrame, roots: DataFrame, rounds: int = 16) -> DataFrame:
-    """Objects (doc_id, obj_id) that the roots reach by references (doc_id, obj_id, to), renumbered from 1 in the old order."""
-    found = roots.select("doc_id", "obj_id").distinct()
-    edge = found
-    for _ in range(rounds):
-        edge = edge.join(references, ["doc_id", "obj_id"]).select("doc_id", F.col("to").alias("obj_id")).distinct().join(found, ["doc_id", "obj_id"], "left_anti")
-        found = found.unionByName(edge)
-    kept = objects.join(found.distinct(), ["doc_id", "obj_id"], "left_semi")
+def role_of(tags: DataFrame, role_map: DataFrame) -> DataFrame:
+    """Adds standard_role: a tag's role followed through the role map (doc_id, role, to), which may chain, until no entry is left or a role comes again. Only distinct roles are followed."""
+    tables = Tables(tags.sparkSession)
+    step = role_map.select("doc_id", F.col("role").alias("_at"), F.col("to").alias("_to"))
+    now = tables.keep(tags.select("doc_id", "role").distinct().withColumn("_at", F.col("role")).withColumn("_seen", F.array("role")))
+    while True:
+        free = F.col("_to").isNotNull() & ~F.array_contains("_seen", F.col("_to"))
+        out = now.join(step, ["doc_id", "_at"], "left").withColumn("_free", F.coalesce(free, F.lit(False)))
+        now = tables.keep(out.select("doc_id", "role", F.when(F.col("_free"), F.col("_to")).otherwise(F.col("_at")).alias("_at"), F.when(F.col("_free"), F.array_append("_seen", F.col("_to"))).otherwise(F.col("_seen")).alias("_seen"), "_free"))
+        if not now.where("_free").take(1):
+            return tags.join(now.select("doc_id", "role", F.col("_at").alias("standard_role")), ["doc_id", "role"], "left")
+        now = now.drop("_free")
+
+
+def reachable(objects: DataFrame, references: DataFrame, roots: DataFrame) -> DataFrame:
+    """Objects (doc_id, obj_id) that the roots reach by references (doc_id, obj_id, to), however far, renumbered from 1 in the old order. Each round follows only what is new."""
+    tables = Tables(objects.sparkSession)
+    edges = references.select("doc_id", "obj_id", "to")
+    new = tables.keep(roots.select("doc_id", "obj_id").distinct())
+    found = new
+    while new.take(1):
+        new = tables.keep(new.join(edges, ["doc_id", "obj_id"]).select("doc_id", F.col("to").alias("obj_id")).distinct().join(found, ["doc_id", "obj_id"], "left_anti"))
+        found = found.unionByName(new)
+    kept = objects.join(found, ["doc_id", "obj_id"], "left_semi")
     return kept.withColumn("new_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("obj_id")))
 
 

@@ -44,17 +44,17 @@ def comment_filter(spark, sf_dir):
     c = comments_of(spark, sf_dir)
     c = c.join(comments.latest_state(c), ["doc_id", "id"], "left")
     tree = c.withColumnRenamed("reply_to", "parent_id")
-    return trees.filtered(tree, comments.review_filter(c, query="click", status="none"), depth=2)
+    return trees.filtered(tree, comments.review_filter(c, query="click", status="none"))
 
 
 @query(f"""WITH {_COMMENTS}, h AS (SELECT doc_id, id, reply_to FROM comments_ WHERE type = 'purchase')
 SELECT doc_id, id, bool_or(hit) AS is_hit FROM (SELECT doc_id, id, true AS hit FROM h UNION ALL SELECT h.doc_id, h.reply_to, false FROM h JOIN comments_ p ON p.doc_id = h.doc_id AND p.id = h.reply_to) GROUP BY ALL""")
 def reply_closure(spark, sf_dir):
     tree = comments_of(spark, sf_dir).withColumnRenamed("reply_to", "parent_id")
-    return trees.filtered(tree, F.col("type") == "purchase", depth=2)
+    return trees.filtered(tree, F.col("type") == "purchase")
 
 
-@query("""WITH t AS (SELECT conv_id AS doc_id, turn, text, role FROM conversations) SELECT doc_id, turn AS depth, list_aggregate(list_transform(range(0, turn + 1), lambda i: lpad(i::VARCHAR, 10, '0')), 'string_agg', '/') AS path FROM t WHERE turn <= 8""")
+@query("""WITH t AS (SELECT conv_id AS doc_id, turn, text, role FROM conversations) SELECT doc_id, turn AS depth, list_aggregate(list_transform(range(0, turn + 1), lambda i: lpad(i::VARCHAR, 10, '0')), 'string_agg', '/') AS path FROM t""")
 def thread_paths(spark, sf_dir):
     t = table(spark, sf_dir, "conversations")
     rows = t.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.col("turn").cast("string").alias("id"), F.when(F.col("turn") > 0, (F.col("turn") - 1).cast("string")).alias("reply_to"))
@@ -324,7 +324,10 @@ def page_layout(spark, sf_dir):
     return layout.page_layout(items_of(spark, sf_dir)).drop("cells")
 
 
-@query()
+@query(f"""WITH {WORDS}, c AS (SELECT doc_id, page, ((seq - 1) // 12)::INT AS line, (54.0 + 40 * ((seq - 1) % 12) + (seq - 1) % 5)::DOUBLE AS x, str AS text FROM words_),
+x AS (SELECT doc_id, page, list_sort(list_distinct(list(x))) AS xs FROM c GROUP BY ALL),
+a AS (SELECT doc_id, page, list_reduce(list_prepend([]::DOUBLE[], list_transform(xs, lambda v: [v])), lambda r, v: CASE WHEN len(r) = 0 OR v[1] - r[-1] > 12 THEN list_concat(r, v) ELSE r END) AS anchors FROM x)
+SELECT doc_id, page, line, greatest(len(list_filter(anchors, lambda v: v <= c.x + 6)) - 1, 0)::INT AS "column", text FROM c JOIN a USING (doc_id, page)""")
 def table_rows(spark, sf_dir):
     k = F.col("seq") - 1
     cells = words(spark, sf_dir).select("doc_id", "page", F.floor(k / 12).cast("int").alias("line"), (F.lit(54.0) + 40 * (k % 12) + k % 5).alias("x"), F.col("str").alias("text"))
@@ -431,7 +434,7 @@ def archive_findings(spark, sf_dir):
 @query("""WITH t AS (SELECT 'r' || r_regionkey AS id, NULL AS parent_id, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer), h AS (SELECT id, parent_id FROM t WHERE contains(name, '7')),
 u AS (SELECT id, true AS hit FROM h UNION ALL SELECT p.id, false FROM h JOIN t p ON p.id = h.parent_id UNION ALL SELECT g.id, false FROM h JOIN t p ON p.id = h.parent_id JOIN t g ON g.id = p.parent_id) SELECT id, bool_or(hit) AS is_hit FROM u GROUP BY id""")
 def bookmark_tree_filter(spark, sf_dir):
-    return trees.filtered(_tree(spark, sf_dir), F.contains("name", F.lit("7")), depth=3).select("id", "is_hit")
+    return trees.filtered(_tree(spark, sf_dir), F.contains("name", F.lit("7"))).select("id", "is_hit")
 
 
 def _tree(spark, sf_dir):
@@ -442,7 +445,7 @@ def _tree(spark, sf_dir):
 
 @query("""SELECT 'r' || r_regionkey AS id, 0 AS depth FROM region UNION ALL SELECT 'n' || n_nationkey, 1 FROM nation UNION ALL SELECT 'c' || c_custkey, 2 FROM customer""")
 def bookmark_levels(spark, sf_dir):
-    return trees.levels(_tree(spark, sf_dir), 3).select("id", "depth")
+    return trees.levels(_tree(spark, sf_dir), trees.OUTLINE_DEPTH).select("id", "depth")
 
 
 def _versions(spark, sf_dir):

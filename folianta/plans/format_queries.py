@@ -60,7 +60,12 @@ def xml_export(spark, sf_dir):
     return exports.xml_pages(p, sizes)
 
 
-@query()
+@query(f"""WITH {PAGES}, l AS (SELECT doc_id, ((page - 1) // 10 + 1)::INT AS page, page AS line, (720 - 14 * ((page - 1) % 10))::DOUBLE AS y, 9.0::DOUBLE + 4 * (length(text) % 3 = 0)::INT AS size, text FROM pages_),
+b AS (SELECT doc_id, list_sort(list(size))[(count(*) - 1) // 2 + 1] AS body FROM l GROUP BY 1),
+n AS (SELECT *, CASE WHEN abs(lag(size) OVER w - size) < 0.5 AND lag(y) OVER w - y <= 1.8 * size THEN 0 ELSE 1 END AS new FROM l WINDOW w AS (PARTITION BY doc_id, page ORDER BY line)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, page ORDER BY line) AS p FROM n),
+s AS (SELECT *, CASE WHEN coalesce(sum(length(text)) OVER (PARTITION BY doc_id, page, p ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 THEN '' WHEN lag(text) OVER (PARTITION BY doc_id, page, p ORDER BY line) LIKE '%-' THEN '' ELSE ' ' END AS gap FROM r)
+SELECT doc_id, page, min(line)::INT AS line, string_agg(gap || text, '' ORDER BY line) AS text, CASE WHEN min(size) >= 1.6 * min(body) THEN 1 WHEN min(size) >= 1.25 * min(body) THEN 2 ELSE 0 END AS heading FROM s JOIN b USING (doc_id) GROUP BY doc_id, page, p""")
 def paragraph_merge(spark, sf_dir):
     p = pages(spark, sf_dir)
     lines = p.select("doc_id", F.expr("cast((page - 1) div 10 + 1 as int)").alias("page"), F.col("page").alias("line"), (720 - 14 * ((F.col("page") - 1) % 10)).cast("double").alias("y"), (F.lit(9.0) + 4.0 * (F.length("text") % 3 == 0).cast("int")).alias("size"), "text")
@@ -78,7 +83,7 @@ def pdf_date(spark, sf_dir):
 _URLS = "u_ AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN ' https://ex.org/' || c_custkey WHEN 1 THEN 'javascript:x' || c_custkey WHEN 2 THEN 'mailto:a@b.c' WHEN 3 THEN 'me' || c_custkey || '@mail.example' WHEN 4 THEN 'ftp://x' ELSE 'HTTP://Y.org' END AS u FROM customer)"
 
 
-@query(f"WITH {_URLS} SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN trim(u) WHEN 2 THEN u WHEN 3 THEN 'mailto:' || u WHEN 5 THEN u END AS url FROM u_")
+@query(f"WITH {_URLS} SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN trim(u) WHEN 2 THEN u WHEN 3 THEN 'mailto:' || u WHEN 5 THEN 'http://y.org/' END AS url FROM u_")
 def safe_url(spark, sf_dir):
     k = F.col("c_custkey")
     u = F.when(k % 6 == 0, F.concat(F.lit(" https://ex.org/"), k)).when(k % 6 == 1, F.concat(F.lit("javascript:x"), k)).when(k % 6 == 2, "mailto:a@b.c").when(k % 6 == 3, F.concat(F.lit("me"), k, F.lit("@mail.example"))).when(k % 6 == 4, "ftp://x").otherwise("HTTP://Y.org")

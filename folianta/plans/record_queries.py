@@ -16,14 +16,19 @@ def field_dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", names.field_date(d, "dd.mm.yy").alias("a"), names.field_date(d, "mmmm d, yyyy").alias("b"), names.parse_field_date(names.field_date(d, "mmmm d, yyyy"), "mmmm d, yyyy").alias("back"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Courier-Bold' WHEN 1 THEN 'Helvetica' WHEN 2 THEN 'Times-BoldItalic' ELSE 'Helvetica-Italic' END AS font FROM part")
+#: Names of fonts and the standard style that is nearest.
+_FONTS = {"ABCDEF+DejaVuMono-Bold": "Courier-Bold", "Arial": "Helvetica", "GeorgiaBoldItalic": "Times-BoldItalic", "Unknown-Oblique": "Helvetica-Italic", "Menlo-Regular": "Courier", "Baskerville": "Times", "BarcodeSans": "Helvetica", "Fira Code": "Courier",
+          "NotoSansSerif-Demi": "Helvetica-Bold", "XYZABC+Didot,It": "Times-Italic", "Encoder": "Helvetica", "PT Serif Slanted": "Times-Italic"}
+_KNOWN = ", ".join(f"('{a}', '{b}')" for a, b in _FONTS.items())
+
+
+@query(f"WITH f AS (SELECT *, row_number() OVER () - 1 AS k FROM (VALUES {_KNOWN}) v(name, font)) SELECT p_partkey, font FROM part JOIN f ON k = p_partkey % {len(_FONTS)}")
 def font_styles(spark, sf_dir):
-    k = F.col("p_partkey") % 4
-    n = F.when(k == 0, "ABCDEF+DejaVuMono-Bold").when(k == 1, "Arial").when(k == 2, "GeorgiaBoldItalic").otherwise("Unknown-Oblique")
+    n = F.element_at(F.array(*[F.lit(x) for x in _FONTS]), (F.col("p_partkey") % len(_FONTS) + 1).cast("int"))
     return table(spark, sf_dir, "part").select("p_partkey", names.standard_font(n).alias("font"))
 
 
-@query()
+@query("""WITH t AS (SELECT n_regionkey, n_nationkey, left(n_name, 2) AS name, row_number() OVER (PARTITION BY n_regionkey, lower(left(n_name, 2)) ORDER BY n_nationkey) AS k FROM nation) SELECT n_regionkey, n_nationkey, name, name || CASE WHEN k > 1 THEN ' ' || k ELSE '' END AS "unique" FROM t""")
 def unique_field_names(spark, sf_dir):
     t = table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", F.substring("n_name", 1, 2).alias("name"))
     return names.unique_names(t, "n_regionkey", "n_nationkey", "name")

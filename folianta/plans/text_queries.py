@@ -73,40 +73,29 @@ def regex_hits(spark, sf_dir):
     return search.find_pattern(pages(spark, sf_dir), "[A-Z][a-z]+, [a-z]+").select("doc_id", "page", "nth", "text")
 
 
-_PII = f"""{PAGES}, items_ AS (SELECT doc_id, page,
-  'Call +1 (555) 010-' || lpad((doc_id % 10000)::VARCHAR, 4, '0') || ' or mail user' || doc_id || '@mail' || page || '.example.com, id ' ||
-  lpad((doc_id % 1000)::VARCHAR, 3, '0') || '-' || lpad((page % 100)::VARCHAR, 2, '0') || '-' || lpad(((doc_id * 7) % 10000)::VARCHAR, 4, '0') ||
-  ' card 4111 1111 1111 1' || lpad((doc_id % 1000)::VARCHAR, 3, '0') || ' iban GB82WEST1234569876' || lpad(((doc_id * 13 + page) % 10000)::VARCHAR, 4, '0') ||
-  ' on 20' || lpad((doc_id % 100)::VARCHAR, 2, '0') || '-03-04' AS text FROM pages_)"""
-
-
-def pii_items(spark, sf_dir):
-    """A line of made-up personal data for each page, made from its numbers: what the queries with SQL are held against. Texts go to pii_candidates, pii_resolved and pii_masked."""
-    d, p = F.col("doc_id"), F.col("page")
-    pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
-    text = F.concat(F.lit("Call +1 (555) 010-"), pad(d % 10000, 4), F.lit(" or mail user"), d, F.lit("@mail"), p, F.lit(".example.com, id "), pad(d % 1000, 3), F.lit("-"), pad(p % 100, 2), F.lit("-"), pad((d * 7) % 10000, 4), F.lit(" card 4111 1111 1111 1"), pad(d % 1000, 3), F.lit(" iban GB82WEST1234569876"), pad((d * 13 + p) % 10000, 4), F.lit(" on 20"), pad(d % 100, 2), F.lit("-03-04"))
-    return pages(spark, sf_dir).select("doc_id", "page", text.alias("text"))
-
-
 def _found(kind):
-    return lambda spark, sf_dir: detect.candidates(pii_items(spark, sf_dir), kind).select("doc_id", "page", "match")
+    return lambda spark, sf_dir: detect.candidates(pages(spark, sf_dir), kind).select("doc_id", "page", "match")
 
 
-def _hits(pattern, test="true"):
-    return f"WITH {_PII}, h AS (SELECT doc_id, page, unnest(regexp_extract_all(text, '{pattern}')) AS match FROM items_) SELECT doc_id, page, match FROM h WHERE {test}"
+def _hits(test, *patterns):
+    every = " UNION ALL ".join(f"SELECT doc_id, page, {i} AS rule, unnest(regexp_extract_all(text, '{p}')) AS match FROM pages_" for i, p in enumerate(patterns))
+    return f"WITH {PAGES}, h AS ({every}) SELECT doc_id, page, match FROM h WHERE {test}"
 
 
 _DIGITS = "list_transform(string_split(regexp_replace(match, '[ -]', '', 'g'), ''), lambda c: c::INT)"
 _LUHN = f"""(SELECT sum(CASE WHEN i % 2 = 1 THEN d ELSE CASE WHEN d * 2 > 9 THEN d * 2 - 9 ELSE d * 2 END END) % 10 = 0 FROM (SELECT unnest(list_reverse({_DIGITS})) AS d, unnest(range(1, len({_DIGITS}) + 1)) AS i))"""
-_IBAN = """list_reduce(list_prepend(0::BIGINT, list_transform(list_filter(string_split(substring(match, 5) || substring(match, 1, 4), ''), lambda c: c <> ''), lambda c: (CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)::BIGINT)),
+_IBAN = """list_reduce(list_prepend(0::BIGINT, list_transform(list_filter(string_split(substring(upper(replace(match, ' ', '')), 5) || substring(upper(replace(match, ' ', '')), 1, 4), ''), lambda c: c <> ''), lambda c: (CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)::BIGINT)),
   lambda r, d: (CASE WHEN d >= 10 THEN r * 100 + d ELSE r * 10 + d END) % 97) = 1"""
+_EMAIL = "[A-Za-z0-9_.%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}"
+_DAY = "|".join(f"[0-9]{{1,2}}{m}[0-9]{{1,2}}{m}(?:[0-9]{{4}}|[0-9]{{2}})" for m in ("/", "\\.", "-"))
+_N = "length(regexp_replace(match, '[^0-9]', '', 'g'))"
 for _kind, _sql in {
-    "email": _hits("[A-Za-z0-9_.%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}"),
-    "ssn": _hits("\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b", "match[1:3] NOT IN ('000', '666') AND match[1:1] <> '9' AND match[5:6] <> '00' AND match[8:11] <> '0000'"),
-    "card": _hits("\\b[0-9](?:[ -]?[0-9]){12,18}\\b", _LUHN),
-    "iban": _hits("\\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\\b", f"regexp_full_match(match, '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}') AND {_IBAN}"),
-    "date": _hits("\\b[0-9]{4}-[0-9]{2}-[0-9]{2}\\b"),
-    "phone": _hits("\\+[0-9][0-9 ().-]{5,18}[0-9]\\b"),
+    "email": _hits("true", _EMAIL),
+    "ssn": _hits("match[1:3] NOT IN ('000', '666') AND match[1:1] <> '9' AND match[5:6] <> '00' AND match[8:11] <> '0000'", "\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b"),
+    "card": _hits(_LUHN, "\\b[0-9](?:[ -]?[0-9]){12,18}\\b"),
+    "iban": _hits(f"CASE WHEN regexp_full_match(upper(replace(match, ' ', '')), '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}') THEN {_IBAN} ELSE false END", "(?i)\\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\\b"),
+    "date": _hits(f"rule < 2 OR (rule = 2 AND regexp_matches(lower(match), '^({detect.MONTHS})')) OR (rule = 3 AND regexp_matches(lower(match), '^[0-9]+ ({detect.MONTHS})'))", "\\b[0-9]{4}-[0-9]{2}-[0-9]{2}\\b", f"\\b(?:{_DAY})\\b", "(?i)\\b[a-z]{3,9}\\.? [0-9]{1,2}(?:st|nd|rd|th)?,? [0-9]{4}\\b", "(?i)\\b[0-9]{1,2} [a-z]{3,9}\\.? [0-9]{4}\\b"),
+    "phone": _hits(f"(match[1:1] <> '(' OR regexp_matches(match, '^\\([0-9]{{2,4}}\\)')) AND ((match[1:1] = '+' AND {_N} BETWEEN 8 AND 15) OR ({_N} BETWEEN 10 AND 11 AND regexp_matches(match, '[ ().-]')))", "(?:\\+|\\(|\\b)[0-9][0-9 ().-]{5,18}[0-9]\\b"),
 }.items():
     _f = _found(_kind)
     _f.__name__ = f"pii_{_kind}"
@@ -130,9 +119,10 @@ def pii_masked(spark, sf_dir):
     return detect.mask(pages(spark, sf_dir)).select("doc_id", "page", "text")
 
 
-@query(f"""WITH {PAGES} SELECT doc_id, page, regexp_replace(text, '[0-9]{{3}}-[0-9]{{4}}', '████████', 'g') AS text FROM pages_""")
+@query(f"""WITH {PAGES}, m AS (SELECT doc_id, page, text, list_reverse(list_sort(list_transform(list_distinct(regexp_extract_all(text, '{_EMAIL}')), lambda x: {{'n': length(x), 'x': x}}))) AS m FROM pages_)
+SELECT doc_id, page, list_reduce(list_prepend(text, list_transform(m, lambda y: y.x)), lambda t, x: replace(t, x, repeat('█', length(x)))) AS text FROM m""")
 def pii_mask(spark, sf_dir):
-    return pages(spark, sf_dir).select("doc_id", "page", F.regexp_replace("text", "[0-9]{3}-[0-9]{4}", "████████").alias("text"))
+    return detect.mask(pages(spark, sf_dir), kinds=("email",)).select("doc_id", "page", "text")
 
 
 @query(r"""WITH h AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '(?i)\b(?:https?://|www\.)[^\s<>"''`{}|\\^]+')) AS raw FROM pages),
@@ -193,7 +183,15 @@ def otsu(spark, sf_dir):
     return insights.otsu(h)
 
 
-@query()
+_COMMON = ", ".join(f"'{w}'" for w in checks.COMMON)
+
+
+@query(f"""WITH p AS (SELECT c_custkey, c_name || '!' || c_mktsegment AS t FROM customer), c AS (SELECT *, list_transform(range(1, length(t) + 1), lambda i: ascii(t[i])) AS codes FROM p),
+b AS (SELECT c_custkey, t, 1.0 + list_sum(list_transform(range(2, len(codes) + 1), lambda i: CASE WHEN abs(codes[i] - codes[i - 1]) <= 1 THEN 0.25 ELSE 1.0 END)) AS n,
+  (CASE WHEN regexp_matches(t, '[a-z]') THEN 26 ELSE 0 END + CASE WHEN regexp_matches(t, '[A-Z]') THEN 26 ELSE 0 END + CASE WHEN regexp_matches(t, '[0-9]') THEN 10 ELSE 0 END + CASE WHEN regexp_matches(t, '[^0-9a-zA-Z]') THEN 33 ELSE 0 END) AS pool,
+  list_filter([{_COMMON}], lambda w: contains(lower(t), w)) AS words FROM c),
+s AS (SELECT c_custkey, greatest(0, floor(n::DOUBLE * log2(pool::DOUBLE) - coalesce(length(words[1]) * 3, 0) + 0.5))::INT AS bits FROM b)
+SELECT c_custkey, bits, CASE WHEN bits < 28 THEN 'Very weak' WHEN bits < 36 THEN 'Weak' WHEN bits < 60 THEN 'Fair' WHEN bits < 80 THEN 'Good' ELSE 'Strong' END AS label FROM s""")
 def password_strength(spark, sf_dir):
     t = table(spark, sf_dir, "customer").select(F.concat("c_name", F.lit("!"), F.col("c_mktsegment")).alias("password"), "c_custkey")
     return t.withColumn("bits", checks.password_bits(F.col("password"))).select("c_custkey", "bits", checks.password_label(F.col("bits")).alias("label"))

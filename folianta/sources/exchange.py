@@ -47,8 +47,9 @@ def bookmarks(files: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def xfdf_marks(files: DataFrame) -> DataFrame:
-    """Annotations of XFDF texts (doc_id, pages, body): tag, page (from 1), rect, contents. Texts with a document type or entities are refused; pages out of range are skipped."""
-    safe = files.where(~F.col("body").rlike("(?i)<!(DOCTYPE|ENTITY)") & (F.length("body") <= 10_000_000))
+    """Annotations of XFDF texts (doc_id, pages, body): tag, page (from 1), rect, contents. Texts with a document type or entities or of more than 10 MB are an error; pages out of range are skipped."""
+    bad = F.col("body").rlike("(?i)<!(DOCTYPE|ENTITY)") | (F.length("body") > 10_000_000)
+    safe = files.withColumn("body", F.when(bad, F.raise_error(F.lit("document types, entities and texts of more than 10 MB are refused"))).otherwise(F.col("body")))
     hits = safe.select("doc_id", "pages", F.explode(F.regexp_extract_all("body", F.lit(r"(?s)<(?:text|highlight|underline|strikeout|freetext)\b[^>]*>"), F.lit(0))).alias("x"))
     part = lambda name: F.regexp_extract("x", rf'\b{name}="([^"]*)"', 1)
     rect = F.transform(F.split(part("rect"), ","), lambda v: F.trim(v).try_cast("double"))

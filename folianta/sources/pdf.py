@@ -11,6 +11,7 @@ import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ITEMS = "path string, page int, seq int, str string, x double, y double, size double, font_name string, error string"
 _TOKEN = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/\[\]()<>]+|[-+]?\d*\.?\d+|[A-Za-z'\"*]+")
@@ -120,5 +121,9 @@ def items(files: DataFrame) -> DataFrame:
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
-    """Text items of the PDF files under a path; files over 1 GiB are left out."""
-    return items(spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path).where(f"length <= {MOST_BYTES}"))
+    """Text items of the PDF files under a path; a file over 1 GiB gives a row that says so."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path)
+    large = files.where(f"length > {MOST_BYTES}").select("path")
+    small = items(files.where(f"length <= {MOST_BYTES}"))
+    empty = [F.lit("larger than 1 GiB" if f.name == "error" else None).cast(f.dataType).alias(f.name) for f in small.schema.fields[1:]]
+    return small.unionByName(large.select("path", *empty))
