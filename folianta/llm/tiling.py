@@ -6,7 +6,8 @@ Karp-Rabin over the parts of the document that seeds cover. The share of the ite
 reordered passages count; at ``COVERAGE`` or more the document is contaminated.
 
 The items' seeds go to the tasks in slices by item_id of about ``SLICE_BYTES`` at most; a benchmark beyond one slice is looked up slice
-by slice, of which one at a time is gathered and sent. Texts are never shuffled.
+by slice, of which one at a time is gathered and sent; each reads the texts anew and writes only what it finds. Matches that lie within longer ones are never looked at, so words that repeat in item and text cost the
+product of their numbers at most. item_id is an integer.
 
 Cases: null or empty texts and items match nothing, nor do items of fewer than ``MIN_TILE`` tokens; repeated documents each get a row, repeated items count each; of
 items with equal coverage the smallest item_id is named; an empty table on either side gives no rows, or no contaminated ones; other columns are carried
@@ -16,6 +17,7 @@ by :func:`clean_rows`.
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textcore as tc
-from .shared import stored
+from .shared import Tables, small
 
 MIN_TILE = 5
 COVERAGE = 0.5
@@ -57,45 +59,42 @@ def _windows(seq: list[int], marked: list[bool], size: int):
             yield i - size + 1, value
 
 
+def _matches(item: list[int], p_marked: list[bool], text: list[int], t_marked: list[bool], size: int) -> list[tuple[int, int, int]]:
+    """(length, place in item, place in text) of the unmarked matches of ``size`` tokens or more that cannot be extended on either side; each pair of equal places is looked at once."""
+    at = defaultdict(list)
+    for j, h in _windows(text, t_marked, size):
+        at[h].append(j)
+    out = []
+    for i, h in _windows(item, p_marked, size):
+        for j in at.get(h, ()):
+            if i and j and item[i - 1] == text[j - 1] and not p_marked[i - 1] and not t_marked[j - 1]:
+                continue
+            k = 0
+            while i + k < len(item) and j + k < len(text) and item[i + k] == text[j + k] and not p_marked[i + k] and not t_marked[j + k]:
+                k += 1
+            if k >= size:
+                out.append((k, i, j))
+    return out
+
+
 def tiles(item: list[int], text: list[int], least: int = MIN_TILE) -> list[tuple[int, int, int]]:
     """Tiles (place in item, place in text, length), longest first. ``None`` tokens in the text match nothing."""
     p_marked, t_marked = [False] * len(item), [x is None for x in text]
     text = [0 if x is None else x for x in text]
     found, size = [], max(least, min(len(item), 32))
     while True:
-        at = defaultdict(list)
-        for j, h in _windows(text, t_marked, size):
-            at[h].append(j)
-        matches, longest = [], 0
-        for i, h in _windows(item, p_marked, size):
-            for j in at.get(h, ()):
-                k = 0
-                while i + k < len(item) and j + k < len(text) and item[i + k] == text[j + k] and not p_marked[i + k] and not t_marked[j + k]:
-                    k += 1
-                if k >= size:
-                    matches.append((k, i, j))
-                    longest = max(longest, k)
-        if longest > 2 * size:
-            size = longest
-            continue
-        for k, i, j in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            if not (p_marked[i] or t_marked[j] or p_marked[i + k - 1] or t_marked[j + k - 1]) and not any(p_marked[i : i + k]) and not any(t_marked[j : j + k]):
-                p_marked[i : i + k] = t_marked[j : j + k] = [True] * k
-                found.append((i, j, k))
-        if size > 2 * least:
-            size //= 2
-        elif size > least:
-            size = least
-        elif matches and any(True for _ in _left(item, p_marked, text, t_marked, least)):
+        hidden = False
+        for k, i, j in sorted(_matches(item, p_marked, text, t_marked, size), key=lambda m: (-m[0], m[1], m[2])):
+            if any(p_marked[i : i + k]) or any(t_marked[j : j + k]):
+                hidden = True
+                continue
+            p_marked[i : i + k] = t_marked[j : j + k] = [True] * k
+            found.append((i, j, k))
+        if hidden:
             continue
-        else:
+        if size == least:
             return found
-
-
-def _left(item, p_marked, text, t_marked, size):
-    """Windows of unmarked item tokens that still are in the unmarked text, as when a longer match was partly covered."""
-    there = {tuple(text[j : j + size]) for j, _ in _windows(text, t_marked, size)}
-    return (i for i, _ in _windows(item, p_marked, size) if tuple(item[i : i + size]) in there)
+        size = max(least, size // 2)
 
 
 class Slice:
@@ -159,45 +158,60 @@ def _slice(benchmark: DataFrame, i: int, n: int) -> Slice:
 FOUND = [T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("n_covered", T.LongType()), T.StructField("n_items", T.LongType())]
 
 
+def _findings(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
+    """doc_id, text hash and what slices of a large benchmark find, for documents that share a seed with an item: texts are read from the input for each slice, and only what is found is written."""
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"))
+    kind, tables, parts = T.StructType([own.schema["doc_id"], T.StructField("_h", T.LongType()), *FOUND]), Tables(docs.sparkSession), []
+    for i in range(n):
+        shared = docs.sparkSession.sparkContext.broadcast(_slice(benchmark, i, n))
+
+        def look(batches, shared=shared):
+            for b in batches:
+                best = shared.value.best(b.column(1))
+                some = [k for k, x in enumerate(best) if x[0] is not None]
+                columns = [pa.array([best[k][j] for k in some], t) for j, t in enumerate((pa.int64(), pa.float64(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some, pa.int64())), b.column(2).take(pa.array(some, pa.int64())), *columns], kind.names)
+
+        parts.append(tables.keep(own.mapInArrow(look, kind)))
+        shared.destroy()
+    every = reduce(DataFrame.unionByName, parts).dropDuplicates(["doc_id", "_h", "item_id"])
+    best = F.max_by(F.struct("item_id", "coverage", "n_covered"), F.struct("coverage", -F.col("item_id"))).alias("_b")
+    return tables.keep(every.groupBy("doc_id", "_h").agg(best, F.sum("n_items").alias("n_items")).select("doc_id", "_h", "_b.*", "n_items"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id (the item that the document covers most), coverage, n_covered, n_items (at or above the threshold), contaminated.
 
-    With more than one slice the rows are written after each, with what was found so far, so that only one slice is ever sent out.
+    With more than one slice one is sent out at a time, and what the slices find meets by doc_id and text.
     """
-    n, own = _n_slices(benchmark), docs.select("doc_id", "text")
-    rows = own.select("doc_id", "text", F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("coverage"), F.lit(0).cast("long").alias("n_covered"), F.lit(0).cast("long").alias("n_items"))
-    for i in range(n):
-        shared = docs.sparkSession.sparkContext.broadcast(_slice(benchmark, i, n))
-        carried = own.schema.fields if i + 1 < n else own.schema.fields[:1]
-        kind = T.StructType([*carried, *FOUND])
+    n = _n_slices(benchmark)
+    if n > 1:
+        found = _findings(docs, benchmark, n).withColumnRenamed("doc_id", "_id").withColumnRenamed("_h", "_g")
+        own = docs.select("doc_id", F.xxhash64("text").alias("_h"))
+        rows = own.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left")
+        rows = rows.select("doc_id", "item_id", F.coalesce("coverage", F.lit(0.0)).alias("coverage"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_covered", "n_items")))
+        return rows.withColumn("contaminated", F.col("n_items") > 0)
+    shared = docs.sparkSession.sparkContext.broadcast(_slice(benchmark, 0, 1))
+    kind = T.StructType([docs.schema["doc_id"], *FOUND])
 
-        def look(batches, shared=shared, k=len(carried), names=kind.names):
-            for b in batches:
-                before = zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)
-                pairs = list(zip(before, shared.value.best(b.column(1)), strict=True))
-                best = [max(p, key=lambda x: (x[1], -(x[0] or 0))) for p in pairs]
-                columns = [pa.array([x[j] for x in best], t) for j, t in enumerate((pa.int64(), pa.float64(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*b.columns[:k], *columns, pa.array([x[3] + y[3] for x, y in pairs], pa.int64())], names)
+    def look(batches):
+        for b in batches:
+            best = shared.value.best(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[j] for x in best], t) for j, t in enumerate((pa.int64(), pa.float64(), pa.int64(), pa.int64())))], kind.names)
 
-        rows = rows.mapInArrow(look, kind)
-        if i + 1 < n:
-            rows = stored(rows)
-            shared.destroy()
-    return rows.withColumn("contaminated", F.col("n_items") > 0)
+    return docs.select("doc_id", "text").mapInArrow(look, kind).withColumn("contaminated", F.col("n_items") > 0)
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows that aren't contaminated, with the input's columns."""
+    """The rows that aren't contaminated, with the input's columns. With more than one slice, texts meet the ids of contaminated documents only."""
     at, n = docs.columns.index("text"), _n_slices(benchmark)
-    for i in range(n):
-        shared = docs.sparkSession.sparkContext.broadcast(_slice(benchmark, i, n))
+    if n > 1:
+        gone = small(_findings(docs, benchmark, n).where("n_items > 0").select(F.col("doc_id").alias("_id"), F.col("_h").alias("_g")), "_id")
+        return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_g")), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(_slice(benchmark, 0, 1))
 
-        def keep(batches, shared=shared):
-            for b in batches:
-                yield b.filter(pa.array([not x[3] for x in shared.value.best(b.column(at))], pa.bool_()))
+    def keep(batches):
+        for b in batches:
+            yield b.filter(pa.array([not x[3] for x in shared.value.best(b.column(at))], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
-        if i + 1 < n:
-            docs = stored(docs)
-            shared.destroy()
-    return docs
+    return docs.mapInArrow(keep, docs.schema)
