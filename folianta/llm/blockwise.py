@@ -36,19 +36,20 @@ def from_planes(raw: bytes, kind: str | type, size: int, at: int = 0) -> np.ndar
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8, size, at).reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays side by side, each with the name of its type, compressed."""
+def pack(*arrays: np.ndarray, planar: bool = False) -> bytes:
+    """Arrays side by side, each with the name of its type, compressed; ``planar`` ones as :func:`planes`, smaller but copied when they are read."""
     heads = b"".join(struct.pack("<2sq", a.dtype.str[1:].encode(), a.nbytes) for a in arrays)
-    return zstandard.ZstdCompressor(1).compress(struct.pack("<q", len(arrays)) + heads + b"".join(planes(a) for a in arrays))
+    return zstandard.ZstdCompressor(1).compress(struct.pack("<?q", planar, len(arrays)) + heads + b"".join(planes(a) if planar else a.tobytes() for a in arrays))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    (n,), at, out = struct.unpack_from("<q", raw), 8, []
-    heads = [struct.unpack_from("<2sq", raw, 8 + 10 * i) for i in range(n)]
+    (planar, n), at, out = struct.unpack_from("<?q", raw), 9, []
+    heads = [struct.unpack_from("<2sq", raw, at + 10 * i) for i in range(n)]
     at += 10 * n
     for kind, size in heads:
-        out.append(from_planes(raw, "<" + kind.decode() if kind[1:] != b"1" else kind.decode(), size, at))
+        kind = np.dtype("<" + kind.decode())
+        out.append(from_planes(raw, kind, size, at) if planar else np.frombuffer(raw, kind, size // kind.itemsize, at))
         at += size
     return out
 

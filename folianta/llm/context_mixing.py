@@ -267,7 +267,7 @@ def pair_rows(heads: DataFrame, n_buckets: int) -> DataFrame:
                 train = np.repeat(~rows.column("held_out").to_numpy(), sizes)
                 counts = np.bincount(of[train], minlength=len(pairs)).astype(np.uint32)
                 edges = np.searchsorted(bw.bucket_of(pairs << np.uint64(64 - PAIR_BITS), n_buckets), np.arange(n_buckets + 1))
-                found = [(n_buckets + b, bw.pack(bw.gaps(pairs[x:y]), counts[x:y])) for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]
+                found = [(n_buckets + b, bw.pack(bw.gaps(pairs[x:y]), counts[x:y], planar=True)) for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int64()), pa.array([b for b, _ in found], pa.int64()), pa.array([p for _, p in found], pa.binary())], PACKED.names)
 
     return heads.select("block", "payload").mapInArrow(send, PACKED)
@@ -284,7 +284,7 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
         total = np.empty(len(h), np.int64)
         total[order] = np.add.reduceat(counts[order], np.flatnonzero(new))[np.cumsum(new) - 1]
         ends = np.cumsum([len(s[1]) for s in sent])
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "payload": pa.array([bw.pack(total[e - len(s[1]) : e]) for s, e in zip(sent, ends, strict=True)], pa.binary())})
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "payload": pa.array([bw.pack(total[e - len(s[1]) : e], planar=True) for s, e in zip(sent, ends, strict=True)], pa.binary())})
 
     return pairs.groupBy("bucket").applyInArrow(add, PACKED)
 
@@ -305,7 +305,7 @@ def word_table(packed: DataFrame) -> DataFrame:
         for _, blob in sent:
             own, _ = _unpack(blob.as_py(), np.uint32)
             places.append(np.fromiter((at[w] for w in own), np.uint32, len(own)))
-        places = bw.pack(np.array([b for b, _ in sent], np.int64), np.array([len(x) for x in places], np.int64), np.concatenate(places))
+        places = bw.pack(np.array([b for b, _ in sent], np.int64), np.array([len(x) for x in places], np.int64), np.concatenate(places), planar=True)
         return pa.table({"bucket": table.column("bucket")[:1], "payload": pa.array([_pack(words, counts)], pa.binary()), "places": pa.array([places], pa.binary()), "n": [int(counts.sum())], "v": [len({w[1:] for w, c in total.items() if c})]})
 
     return packed.groupBy("bucket").applyInArrow(merge, "bucket long, payload binary, places binary, n long, v long")
