@@ -116,6 +116,29 @@ def test_doubling_is_exact(docs, rows, empty):
     assert doubling.repeated_words(empty).count() == 0
 
 
+def test_levels_double_until_the_width():
+    assert [doubling.levels(w) for w in (13, 4, 3, 8, 50)] == [[4, 8, 13], [4], [3], [4, 8], [4, 8, 16, 32, 50]]
+
+
+@pytest.mark.parametrize("width", [1, 3, 4, 7, 30])
+def test_doubling_at_other_widths(spark, width):
+    """Also where only short runs repeat, so that no candidate survives the first levels."""
+    rng = random.Random(width)
+    rows = [(i, " ".join(rng.choices("abcdefghij", k=rng.randint(0, 60)))) for i in range(40)]
+    rows += [(40 + i, rows[i][1]) for i in range(10)]
+    first = {}
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - width + 1):
+            first.setdefault(tuple(w[i : i + width]), d)
+    want = {}
+    for d, t in rows:
+        w = t.split()
+        want[d] = len({k for i in range(len(w) - width + 1) if first[tuple(w[i : i + width])] < d for k in range(i, i + width)})
+    got = doubling.repeated_words(spark.createDataFrame(rows, "doc_id long, text string"), width).collect()
+    assert {r.doc_id: r.n_removed for r in got} == want and sum(want.values()) > 100
+
+
 def test_blocks_of_any_size_give_the_same(spark, docs, monkeypatch):
     want = sorted(map(tuple, doubling.repeated_words(docs).collect()), key=repr)
     monkeypatch.setattr(blockwise.document_blocks, "__defaults__", (3000,))
