@@ -90,3 +90,11 @@ def text_change(before: pd.Series, after: pd.Series) -> pd.DataFrame:
 
 def shown(aligned: DataFrame, hide_unchanged: bool = True) -> DataFrame:
     return aligned.where("status <> 'unchanged'") if hide_unchanged else aligned
+
+
+def listed(pairs: DataFrame, text: bool = True, visual: bool = True, only_changes: bool = False) -> DataFrame:
+    """Pairs of pages (status, before_text, after_text) with their kind of change, of the kinds asked for. Added and removed pages always stay, unchanged ones unless only changes are wanted."""
+    changed = F.col("status") == "changed"
+    same = F.coalesce("before_text", F.lit("")) == F.coalesce("after_text", F.lit(""))
+    rows = pairs.withColumn("kind", F.when(changed & same, "visual").when(changed, "text"))
+    return rows.where(F.when(F.col("status") == "unchanged", not only_changes).when(F.col("kind") == "text", text).when(F.col("kind") == "visual", visual).otherwise(True))
