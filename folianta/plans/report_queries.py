@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import compare, reports
+from ..operators import archive, compare, reports
 from .registry import query, table
 
 _LINES = """lines_ AS (SELECT l_orderkey AS doc_id, l_linenumber AS page, min(l_partkey) AS p, min(l_suppkey) AS s, min(l_returnflag) AS flag, min(l_quantity)::BIGINT AS q FROM lineitem GROUP BY ALL)"""
@@ -91,3 +91,45 @@ def compare_listed(spark, sf_dir):
     status = F.element_at(F.array(*map(F.lit, ("changed", "unchanged", "added", "removed"))), (F.col("p") % 4 + 1).cast("int"))
     t = lines_of(spark, sf_dir).select("doc_id", "page", status.alias("status"), F.col("flag").alias("before_text"), F.when(F.col("s") % 2 == 0, F.col("flag")).otherwise(F.concat("flag", F.lit("."))).alias("after_text"))
     return compare.listed(t, visual=False, only_changes=True).select("doc_id", "page", "status", "kind")
+
+
+_ANNOTATIONS = ("Text", "Popup", "Link", "3D", "Square", "Movie")
+_ACTIONS = ("GoTo", "Launch", "Named", "URI")
+_NAMED = ("NextPage", "Print", "LastPage")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey // 20 AS doc_id, o_custkey AS c FROM orders), l AS (SELECT l_orderkey // 20 AS doc_id, l_partkey AS p, l_suppkey AS s, l_linenumber AS n, l_returnflag AS f FROM lineitem),
+d AS (SELECT doc_id, max(c) AS c, min(k) AS k FROM o GROUP BY 1),
+a AS (SELECT doc_id, ['Text', 'Popup', 'Link', '3D', 'Square', 'Movie'][(p % 6 + 1)::INT] AS t, s % 8 AS fl, CASE WHEN s % 3 = 0 THEN ['N'] WHEN s % 3 = 1 THEN ['N', 'D'] ELSE [] END AS st, p % 5 AS w, n FROM l),
+x AS (SELECT doc_id, ['GoTo', 'Launch', 'Named', 'URI'][(p % 4 + 1)::INT] AS kind, ['NextPage', 'Print', 'LastPage'][(s % 3 + 1)::INT] AS named FROM l),
+r AS (SELECT doc_id, unnest([CASE WHEN c % 7 = 0 THEN 'version' END, CASE WHEN c % 3 = 0 THEN 'file-id' END, CASE WHEN c % 5 = 0 THEN 'metadata' END, CASE WHEN c % 5 > 0 AND (c % 2 = 0) THEN 'identification' END, CASE WHEN c % 11 = 0 THEN 'javascript' END,
+   CASE WHEN c % 13 = 0 THEN 'xfa' END, CASE WHEN c % 5 > 0 AND c % 4 > 0 THEN 'metadata-match' END, CASE WHEN c % 3 = 1 AND c % 2 = 1 THEN 'output-intent-colour' END, CASE WHEN c % 3 <> 1 AND c % 2 = 0 THEN 'cmyk' END, CASE WHEN c % 3 <> 1 THEN 'output-intent' END, CASE WHEN c % 6 > 0 THEN 'tagged' END, CASE WHEN c % 8 = 0 THEN 'language' END]) AS rule,
+   unnest([true, true, true, true, true, true, true, false, false, c % 2 = 1, false, false]) AS fixable, unnest([NULL, NULL, NULL, NULL, NULL, NULL, 'Title', NULL, NULL, NULL, NULL, NULL]) AS example FROM d
+ UNION ALL SELECT doc_id, unnest([CASE WHEN t IN ('3D', 'Movie') THEN 'annotation-types' END, CASE WHEN t <> 'Popup' AND (fl & 4 = 0 OR fl & 291 <> 0) THEN 'annotation-flags' END, CASE WHEN t <> 'Popup' AND list_contains(st, 'D') THEN 'appearance-states' END, CASE WHEN t NOT IN ('Popup', 'Link') AND w > 0 AND NOT list_contains(st, 'N') THEN 'annotation-appearance' END]),
+   unnest([false, true, true, false]), 'page ' || n || ': ' || t FROM a
+ UNION ALL SELECT doc_id, 'actions', true, CASE WHEN kind = 'Named' THEN kind || ' ' || named ELSE kind END FROM x WHERE kind = 'Launch' OR (kind = 'Named' AND named = 'Print')
+ UNION ALL SELECT doc_id, unnest([CASE WHEN s % 4 = 0 THEN 'lzw' END, CASE WHEN p % 3 = 0 AND s % 2 = 0 THEN 'image-interpolation' END, CASE WHEN p % 3 = 0 AND n = 1 THEN 'image-alternates' END, CASE WHEN p % 3 = 2 OR (p % 3 = 1 AND n = 1) THEN 'postscript' END]), unnest([true, true, true, false]), NULL FROM l
+ UNION ALL SELECT doc_id, unnest([CASE WHEN p % 2 = 1 AND s % 2 = 1 THEN 'fonts-embedded' END, CASE WHEN s % 5 > 0 AND (p % 2 = 0 OR n > 2) THEN 'fonts-unicode' END]), unnest([false, false]), 'F' || s FROM l
+ UNION ALL SELECT doc_id, 'associated-files', true, 'file' || p FROM l WHERE s % 3 = 0 OR n = 2),
+e AS (SELECT doc_id, rule, string_agg(example, ',' ORDER BY example) AS examples FROM (SELECT DISTINCT doc_id, rule, example FROM r WHERE rule IS NOT NULL AND example IS NOT NULL QUALIFY dense_rank() OVER (PARTITION BY doc_id, rule ORDER BY example) <= 5) GROUP BY ALL)
+SELECT r.doc_id, r.rule, count(*) AS count, bool_and(fixable) AS fixable, any_value(examples) AS examples FROM r LEFT JOIN e ON e.doc_id = r.doc_id AND e.rule = r.rule WHERE r.rule IS NOT NULL GROUP BY ALL""")
+def archive_rules(spark, sf_dir):
+    """All archive rules at part 3, level A."""
+    t = table(spark, sf_dir, "lineitem").select(F.expr("l_orderkey div 20").alias("doc_id"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("n"))
+    c, p, s, n = (F.col(x) for x in "cpsn")
+    one = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
+    d = table(spark, sf_dir, "orders").groupBy(F.expr("o_orderkey div 20").alias("doc_id")).agg(F.max("o_custkey").alias("c"))
+    xmp = F.when(c % 4 == 0, "<dc:title>A &amp; B</dc:title>").otherwise("<dc:title>C</dc:title>")
+    d = d.select(
+        "doc_id", F.when(c % 7 == 0, "2.0").otherwise("1.7").alias("version"), (c % 3 > 0).alias("has_id"), F.when(c % 5 > 0, xmp).alias("xmp"), F.lit("3").alias("xmp_part"), F.when(c % 2 == 0, "b").otherwise("a").alias("xmp_level"),
+        F.create_map(F.lit("Title"), F.lit(" A & B "), F.lit("Other"), F.lit("z")).alias("info"), F.lit(False).alias("additional_actions"), (c % 11 == 0).alias("javascript"), (c % 13 == 0).alias("xfa"), F.lit(None).cast("boolean").alias("need_appearances"), F.lit(False).alias("layers_bad"),
+        (c % 2 == 0).alias("marked"), (c % 3 == 0).alias("structure"), F.when(c % 8 > 0, "en").alias("lang"), F.when(c % 3 == 1, 4).alias("intent"), (c % 2 == 1).alias("rgb"), (c % 2 == 0).alias("cmyk"), F.lit(False).alias("gray"),
+    )
+    kind = one(_ANNOTATIONS, p % 6)
+    states = F.when(s % 3 == 0, F.array(F.lit("N"))).when(s % 3 == 1, F.array(F.lit("N"), F.lit("D"))).otherwise(F.array().cast("array<string>"))
+    a = t.select("doc_id", F.concat(F.lit("page "), n, F.lit(": "), kind).alias("example"), kind.alias("subtype"), (s % 8).alias("flags"), states.alias("states"), (p % 5).alias("width"), F.lit(1).alias("height"), F.lit(False).alias("additional_actions"))
+    x = t.select("doc_id", one(_ACTIONS, p % 4).alias("kind"), one(_NAMED, s % 3).alias("named"))
+    streams = t.select("doc_id", one(("Image", "Form", "PS"), p % 3).alias("subtype"), F.array(F.when(s % 4 == 0, "LZWDecode").otherwise("FlateDecode")).alias("filters"), (s % 2 == 0).alias("interpolate"), F.array(F.when(n == 1, "OPI").otherwise("Length")).alias("keys"))
+    fonts = t.select("doc_id", F.concat(F.lit("F"), s).alias("example"), F.when(p % 2 == 0, "Type0").otherwise("TrueType").alias("subtype"), (s % 2 == 0).alias("embedded"), (s % 5 == 0).alias("to_unicode"), F.lit(False).alias("symbolic"), (n <= 2).alias("named_encoding"))
+    files = t.select("doc_id", F.concat(F.lit("file"), p).alias("example"), F.lit(False).alias("archive"), F.lit(True).alias("relationship"), F.when(s % 3 > 0, "text/plain").otherwise("text").alias("mime"), (n != 2).alias("unicode_name"), F.lit(True).alias("listed"))
+    return archive.findings(archive.of_documents(d, 3, "A"), archive.of_annotations(a), archive.of_actions(x), archive.of_streams(streams), archive.of_fonts(fonts, "A"), archive.of_attachments(files, 3))
