@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_mixing, doubling, language_id, line_crf, minhash, mixing, sharding, suffix_dedup, tiling, weak_rules
+from . import context_mixing, doubling, language_id, line_crf, merkle, minhash, mixing, sharding, suffix_dedup, tiling, weak_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +108,59 @@ def op9_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 of a string of ASCII characters.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda s: ascii(s)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda i: i::BIGINT)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(f) for f in ("doc_id", "source", "lang", "n_chars")) + " || " + _FIELD + ")"
+
+ORACLES["op11_merkle"] = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang, {_LEAF.format("text")} AS leaf,
+         CASE WHEN {_CRC32.format("doc_id::VARCHAR")} % 3 = 0 THEN {_LEAF.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS other
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+), low AS (
+  SELECT lang, 0 AS lev, pos, n, leaf AS node FROM placed
+  UNION ALL
+  SELECT lang, lev + 1, pos // 8, any_value((n + 7) // 8), sha256(string_agg(node, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY lang, lev, pos // 8
+), subroots AS (
+  SELECT lang, node AS subroot, lev AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1
+), high AS (
+  SELECT 0 AS lev, pos, n, subroot AS node FROM subroots
+  UNION ALL
+  SELECT lev + 1, pos // 8, any_value((n + 7) // 8), sha256(string_agg(node, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY lev, pos // 8
+), low_runs AS (
+  SELECT lang, lev, pos // 8 AS run, list(node ORDER BY pos) AS nodes FROM low WHERE n > 1 GROUP BY ALL
+), high_runs AS (
+  SELECT lev, pos // 8 AS run, list(node ORDER BY pos) AS nodes FROM high WHERE n > 1 GROUP BY ALL
+), steps AS (
+  SELECT p.lang, p.pos, r.lev AS step, array_to_string(r.nodes[:p.pos // (8 ** r.lev)::BIGINT % 8], '') AS l, array_to_string(r.nodes[p.pos // (8 ** r.lev)::BIGINT % 8 + 2:], '') AS r
+  FROM placed p JOIN low_runs r ON p.lang IS NOT DISTINCT FROM r.lang AND r.run = p.pos // (8 ** (r.lev + 1))::BIGINT
+  UNION ALL
+  SELECT p.lang, p.pos, s.height + r.lev, array_to_string(r.nodes[:s.pos // (8 ** r.lev)::BIGINT % 8], ''), array_to_string(r.nodes[s.pos // (8 ** r.lev)::BIGINT % 8 + 2:], '')
+  FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang JOIN high_runs r ON r.run = s.pos // (8 ** (r.lev + 1))::BIGINT
+), fold AS (
+  SELECT lang, pos, 0 AS step, coalesce(other, leaf) AS node FROM placed
+  UNION ALL
+  SELECT f.lang, f.pos, f.step + 1, sha256(s.l || f.node || s.r) FROM fold f JOIN steps s ON f.lang IS NOT DISTINCT FROM s.lang AND f.pos = s.pos AND f.step = s.step
+), ended AS (
+  SELECT lang, pos, arg_max(node, step) AS folded_root FROM fold GROUP BY lang, pos
+), proofs AS (
+  SELECT lang, pos, sha256(string_agg(l || r, '' ORDER BY step)) AS proof FROM steps GROUP BY lang, pos
+)
+SELECT p.doc_id, p.leaf, s.subroot, h.node AS root, coalesce(q.proof, sha256('')) AS proof_sha256, e.folded_root, e.folded_root = h.node AS verified, p.lang
+FROM placed p
+JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang
+JOIN high h ON h.n = 1
+JOIN ended e ON p.lang IS NOT DISTINCT FROM e.lang AND p.pos = e.pos
+LEFT JOIN proofs q ON p.lang IS NOT DISTINCT FROM q.lang AND p.pos = q.pos
+"""
