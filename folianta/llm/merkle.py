@@ -52,6 +52,11 @@ def leaves(docs: DataFrame) -> DataFrame:
     return own.select("doc_id", "lang", "leaf", F.when(F.col("other") != F.col("leaf"), F.col("other")).alias("changed"))
 
 
+def repeated(column: pa.Array, i: int, n: int) -> pa.Array:
+    """The i-th value n times."""
+    return column.take(pa.array(np.full(n, i)))
+
+
 def height(among: int) -> int:
     """Levels of a block in a row of so many nodes: all, or as many as lead to one node."""
     up = 0
@@ -178,8 +183,7 @@ def descend(floors: list[DataFrame], above: DataFrame, group: list[str], tables:
                     up = [(p["left"], p["right"]) for p in row["path"]]
                     found = [[{"left": a, "right": b} for a, b in own + up] for own in paths(matrices(row["digests"], row["among"]))]
                     n = len(found)
-                    same_ = batch.slice(i, 1).take(pa.array([0] * n, pa.int64()))
-                    cols = {name: same_.column(name) for name in names}
+                    cols = {name: repeated(batch.column(name), i, n) for name in names}
                     cols["nth"] = pa.array(np.arange(n) + row["block"] * SPAN, pa.int64())
                     cols["path"] = pa.array(found, pa.list_(pa.struct([("left", pa.string()), ("right", pa.string())])))
                     yield pa.RecordBatch.from_arrays([cols[f.name] for f in schema.fields], [f.name for f in schema.fields])
@@ -222,7 +226,6 @@ def _proved(blocks: DataFrame, with_siblings: bool) -> DataFrame:
                         now[k] = np.frombuffer(changed.encode(), np.uint8)
                 folds = folded(mats, now, above)
                 ids = batch.column("doc_id")
-                same_ = batch.slice(i, 1).take(pa.array([0] * n, pa.int64()))
                 own = row["digests"]
                 kept = siblings(mats, b"".join(a + b for a, b in above))
                 apart = [[k[j : j + 64].decode() for j in range(0, len(k), 64)] for k in kept] if with_siblings else None
@@ -230,12 +233,12 @@ def _proved(blocks: DataFrame, with_siblings: bool) -> DataFrame:
                     [
                         ids.slice(i, 1).flatten(),
                         pa.array([own[64 * k : 64 * k + 64] for k in range(n)], pa.string()),
-                        same_.column("subroot"),
-                        same_.column("root"),
+                        repeated(batch.column("subroot"), i, n),
+                        repeated(batch.column("root"), i, n),
                         pa.array([sha256(k).hexdigest() for k in kept], pa.string()),
                         pa.array(folds, pa.string()),
                         pa.array([f == row["root"] for f in folds], pa.bool_()),
-                        same_.column("lang"),
+                        repeated(batch.column("lang"), i, n),
                         *([pa.array(apart, pa.list_(pa.string()))] if with_siblings else []),
                     ],
                     list(names),
