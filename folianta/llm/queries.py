@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_mixing, doubling, language_id, line_crf, merkle, minhash, mixing, sharding, suffix_dedup, tiling, weak_rules
+from . import collocations, context_mixing, doubling, language_id, line_crf, merkle, minhash, mixing, packing, sharding, suffix_dedup, tiling, weak_rules
 
+#: Where the vocabulary of op 12 lies on every machine.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -164,3 +167,47 @@ JOIN high h ON h.n = 1
 JOIN ended e ON p.lang IS NOT DISTINCT FROM e.lang AND p.pos = e.pos
 LEFT JOIN proofs q ON p.lang IS NOT DISTINCT FROM q.lang AND p.pos = q.pos
 """
+
+
+@query
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_collocations"] = r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts)
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang
+), sized AS (
+  SELECT lang, w, unnest([1, 2, 3, 4, 5]) AS m FROM pieces
+), placed AS (
+  SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM sized
+), f AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM placed GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+  SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM f WHERE m > 1
+), scored AS (
+  SELECT c.lang, c.m, c.phrase, c.a, c.k, l.f AS l, r.f AS r, t.n, (1000::HUGEINT * c.a * t.n // (l.f::HUGEINT * r.f)) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[:c.k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1:], ' ') JOIN totals t ON t.lang = c.lang
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), starts AS (
+  SELECT lang, m, f, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS i FROM f WHERE m > 2
+), inner_ AS (
+  SELECT lang, m, f, w, i, unnest(range(i + 1, m + 1)) AS j FROM starts
+), within AS (
+  SELECT lang, array_to_string(w[i:j], ' ') AS phrase, max(f) AS f FROM inner_ WHERE j - i + 1 < m GROUP BY ALL
+), ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank
+  FROM lowest s LEFT JOIN within w ON w.lang = s.lang AND w.phrase = s.phrase WHERE w.f IS NULL OR 100 * w.f < 100 * s.a
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
