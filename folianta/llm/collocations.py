@@ -217,7 +217,7 @@ def phrases(docs: DataFrame, tables: Tables, least: int = LEAST, max_words: int
         before, held = held, tables.keep(longer.withColumn("row", F.monotonically_increasing_id()))
         tables.drop(before, reply)
     out = None
-    for level, longer in zip(levels[1:], [*levels[2:], None], strict=True):
+    for level, longer in zip(levels[1:], [*levels[2:], None], strict=False):
         if longer is None:
             marked = level.withColumn("within", F.lit(False))
         else:
