@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .numbering import numbered
-from .shared import Tables
+from .shared import Tables, small
 
 WINDOW = 2048
 END_ID = 1
@@ -234,7 +234,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID)
 
     placed = tables.keep(counted.mapInArrow(put, schema))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    halves = placed.where(F.col("ids_crc32").isNull()).join(cut.where(F.col("length") < window).select("row", "ids", F.col("length").alias("of")), "row")
+    halves = small(placed.where(F.col("ids_crc32").isNull()), "row").join(cut.where(F.col("length") < window).select("row", "ids", F.col("length").alias("of")), "row")
     parted = T.StructType([halves.schema[c] for c in names])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
