@@ -24,10 +24,23 @@ def _phone_ok(t: Column) -> Column:
     return bracket & ((t.startswith("+") & n.between(8, 15)) | (n.between(10, 11) & t.rlike("[ ().-]")))
 
 
+#: A whole run of an address's first part with its @, and what may be its domain; each run is looked at once, so no text makes it recurse or go back.
+_ADDRESS = r"(?<![A-Za-z0-9_.%+-])[A-Za-z0-9_.%+-]++@(?=([A-Za-z0-9_.-]*+))"
+
+
+def _addresses(text: Column, rank: int) -> Column:
+    """Addresses around each @: the domain ends with a letter or digit, its labels aren't empty, and the last one is two letters or more."""
+    domains = F.transform(F.regexp_extract_all(text, F.lit(_ADDRESS), F.lit(1)), lambda d: F.rtrim(d, F.lit("_.-")))
+    both = F.arrays_zip(tx.match_starts(text, _ADDRESS).alias("m"), domains.alias("d"))
+    ok = lambda d: d.rlike("^[A-Za-z0-9.-]+$") & d.contains(".") & ~d.contains("..") & ~d.startswith(".") & F.substring_index(d, ".", -1).rlike("^[A-Za-z]{2,}$")
+    whole = F.transform(F.filter(both, lambda x: ok(x["d"])), lambda x: F.struct(x["m"]["start"].cast("int").alias("start"), F.concat(x["m"]["text"], x["d"]).alias("text")))
+    return F.transform(whole, lambda x: F.struct(F.lit(rank).alias("rank"), x["start"].alias("start"), (x["start"] + F.length(x["text"])).alias("end"), x["text"].alias("text")))
+
+
 # Patterns of the kinds, in the order in which they win.
-#: (kind, pattern, test of the matched text, a cheap text that every match has, or None), in order of precedence.
+#: (kind, pattern, or None for addresses, test of the matched text, a cheap text that every match has, or None), in order of precedence.
 RULES = (
-    ("email", r"[A-Za-z0-9_.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", lambda t: F.lit(True), "@"),
+    ("email", None, None, "@"),
     ("ssn", rf"{B}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{A}", checks.ssn, "-"),
     ("card", rf"{B}[0-9](?:[ -]?[0-9]){{12,18}}{A}", checks.luhn, None),
     ("iban", rf"(?i){B}[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{A}", checks.iban, None),
@@ -42,7 +55,7 @@ RULES = (
 def _candidates(text: Column, i: int) -> Column:
     """Array of (rank, start, end, text) of a rule's accepted matches."""
     _, pattern, accept, needs = RULES[i]
-    found = F.transform(F.filter(tx.match_starts(text, pattern), lambda m: accept(m["text"])), lambda m: F.struct(F.lit(i).alias("rank"), m["start"].cast("int").alias("start"), (m["start"] + F.length(m["text"])).cast("int").alias("end"), m["text"].alias("text")))
+    found = _addresses(text, i) if pattern is None else F.transform(F.filter(tx.match_starts(text, pattern), lambda m: accept(m["text"])), lambda m: F.struct(F.lit(i).alias("rank"), m["start"].cast("int").alias("start"), (m["start"] + F.length(m["text"])).cast("int").alias("end"), m["text"].alias("text")))
     there = text.rlike(pattern) if needs is None else F.contains(text, F.lit(needs))
     return F.when(there, found).otherwise(F.filter(F.array(F.struct(F.lit(i).alias("rank"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("text"))), lambda x: F.lit(False)))
 

@@ -86,11 +86,12 @@ _DIGITS = "list_transform(string_split(regexp_replace(match, '[ -]', '', 'g'), '
 _LUHN = f"""(SELECT sum(CASE WHEN i % 2 = 1 THEN d ELSE CASE WHEN d * 2 > 9 THEN d * 2 - 9 ELSE d * 2 END END) % 10 = 0 FROM (SELECT unnest(list_reverse({_DIGITS})) AS d, unnest(range(1, len({_DIGITS}) + 1)) AS i))"""
 _IBAN = """list_reduce(list_prepend(0::BIGINT, list_transform(list_filter(string_split(substring(upper(replace(match, ' ', '')), 5) || substring(upper(replace(match, ' ', '')), 1, 4), ''), lambda c: c <> ''), lambda c: (CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)::BIGINT)),
   lambda r, d: (CASE WHEN d >= 10 THEN r * 100 + d ELSE r * 10 + d END) % 97) = 1"""
-_EMAIL = "[A-Za-z0-9_.%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}"
+_AT = """list_filter(list_transform(range(2, len(string_split(text, '@')) + 1), lambda i: regexp_extract(string_split(text, '@')[i - 1], '[A-Za-z0-9_.%+-]+$') || '@' || regexp_replace(regexp_extract(string_split(text, '@')[i], '^[A-Za-z0-9_.-]*'), '[^A-Za-z0-9]+$', '')),
+  lambda x: regexp_full_match(x, '[A-Za-z0-9_.%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}'))"""
 _DAY = "|".join(f"[0-9]{{1,2}}{m}[0-9]{{1,2}}{m}(?:[0-9]{{4}}|[0-9]{{2}})" for m in ("/", "\\.", "-"))
 _N = "length(regexp_replace(match, '[^0-9]', '', 'g'))"
 for _kind, _sql in {
-    "email": _hits("true", _EMAIL),
+    "email": f"WITH {PAGES} SELECT doc_id, page, unnest({_AT}) AS match FROM pages_",
     "ssn": _hits("match[1:3] NOT IN ('000', '666') AND match[1:1] <> '9' AND match[5:6] <> '00' AND match[8:11] <> '0000'", "\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b"),
     "card": _hits(_LUHN, "\\b[0-9](?:[ -]?[0-9]){12,18}\\b"),
     "iban": _hits(f"CASE WHEN regexp_full_match(upper(replace(match, ' ', '')), '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}') THEN {_IBAN} ELSE false END", "(?i)\\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\\b"),
@@ -119,7 +120,7 @@ def pii_masked(spark, sf_dir):
     return detect.mask(pages(spark, sf_dir)).select("doc_id", "page", "text")
 
 
-@query(f"""WITH {PAGES}, m AS (SELECT doc_id, page, text, list_reverse(list_sort(list_transform(list_distinct(regexp_extract_all(text, '{_EMAIL}')), lambda x: {{'n': length(x), 'x': x}}))) AS m FROM pages_)
+@query(f"""WITH {PAGES}, m AS (SELECT doc_id, page, text, list_reverse(list_sort(list_transform(list_distinct({_AT}), lambda x: {{'n': length(x), 'x': x}}))) AS m FROM pages_)
 SELECT doc_id, page, list_reduce(list_prepend(text, list_transform(m, lambda y: y.x)), lambda t, x: replace(t, x, repeat('█', length(x)))) AS text FROM m""")
 def pii_mask(spark, sf_dir):
     return detect.mask(pages(spark, sf_dir), kinds=("email",)).select("doc_id", "page", "text")

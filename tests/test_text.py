@@ -1,5 +1,9 @@
 import datetime as dt
+import random
+import re
+import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,7 +43,7 @@ def test_words_and_characters(spark):
     assert one(spark, tx.n_characters(F.col("t")), t=" a b 😀") == 3
 
 
-@pytest.mark.parametrize("pattern", ["", "(?=a)b", r"(a)\1", "(a+)+", "a*", "(", "x" * 1025])
+@pytest.mark.parametrize("pattern", ["", "  ", "(?=a)b", r"(a)\1", "a*", "x?", "(?:)", "(", "x" * 1025, r"(?:\pL{1000}){1000}", "(" * 60 + "a" + ")" * 60])
 def test_patterns_that_are_refused(pattern):
     with pytest.raises(ValueError):
         search.check_pattern(pattern)
@@ -50,6 +54,57 @@ def test_pattern_places(spark):
     assert [(r.start, r.text) for r in rows] == [(4, "AB-1234"), (16, "CD-5678")]
 
 
+@pytest.mark.parametrize(("pattern", "tail", "found"), [("(a|aa)+$", "!", 0), ("((a+))+$", "!", 0), ("(a+)+$", "", 1), ("(?:[a-z]|[0-9])+", "", 1)])
+def test_no_pattern_takes_more_than_linear_time(spark, pattern, tail, found):
+    began = time.time()
+    assert search.find_pattern(page(spark, "a" * 60_000 + tail), pattern).count() == found
+    assert time.time() - began < 5
+
+
+def test_spans_equal_a_plain_matcher():
+    rng = random.Random(7)
+    for _ in range(400):
+        part = lambda: rng.choice(["a", "b", "ab", "[ab]", ".", "é", "(?:a|b)", "(a)", "b?", "a+", "a*?b", "x{1,2}"])
+        pattern = "".join(part() for _ in range(rng.randint(1, 4)))
+        pattern = rng.choice([pattern, f"{pattern}|{part()}", f"^{pattern}", f"{pattern}$", f"(?:{pattern})+"])
+        try:
+            search.check_pattern(pattern)
+        except ValueError:
+            continue
+        texts = ["".join(rng.choices("abxé \ufdd0😀", k=rng.randint(0, 12))) for _ in range(5)]
+        want = [(i, n, m.start(), m.group()) for i, t in enumerate(texts) for n, m in enumerate(re.finditer(pattern, t))]
+        assert list(search.spans(pa.array([*texts, None]), pattern)) == want, pattern
+
+
+def addresses(text):
+    """What lies around each @, by hand."""
+    out = []
+    for at in [i for i, c in enumerate(text) if c == "@"]:
+        local = re.search(r"[A-Za-z0-9_.%+-]*\Z", text[:at]).group()
+        domain = re.sub(r"[^A-Za-z0-9]+\Z", "", re.match(r"[A-Za-z0-9_.-]*", text[at + 1 :]).group())
+        if local and re.fullmatch(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", domain):
+            out.append((at - len(local), local + "@" + domain))
+    return out
+
+
+def test_addresses(spark):
+    rng = random.Random(3)
+    texts = ["jane.doe+x@example.co.uk. user@localhost and @handle and a@b", "a@b.com.c@d.org x@a.com1 y@a_b.org z@.org w@a..org v@a.org-", "é@x.org <m@x.org>;n@x-y.org..."]
+    texts += ["".join(rng.choices(["a", "b.", "@", "@", ".co", "_", "-", "1", " ", "é"], k=40)) for _ in range(60)]
+    df = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "doc_id int, page int, text string")
+    got = sorted((r.doc_id, r.start, r.match) for r in detect.candidates(df, "email").collect())
+    assert got == sorted((i, s, m) for i, t in enumerate(texts) for s, m in addresses(t)) and len(got) > 10
+
+
+@pytest.mark.parametrize("text", ["x@" + "a." * 20_000, "x@" + "a." * 20_000 + "org", "a" * 60_000 + "@", "@a" * 5_000, "1 " * 30_000, "A1" * 30_000, "(" * 50_000, "1-" * 30_000])
+def test_no_text_ends_an_executor(spark, text):
+    began = time.time()
+    one = page(spark, text)
+    assert len(detect.mask(one).first().text) == len(text)
+    detect.sensitive(one).collect()
+    assert time.time() - began < 12
+
+
 def test_urls(spark):
     rows = search.find_urls(page(spark, "See https://a.org/x_(y). or (www.b.net/z), http://nodot")).orderBy("nth").collect()
     assert [r.url for r in rows] == ["https://a.org/x_(y)", "https://www.b.net/z"]
