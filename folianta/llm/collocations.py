@@ -6,9 +6,12 @@ a list for each following word. The length of a list is the phrase's exact frequ
 blocks that hold it, one row a block and phrase, and only these lists are extended at the next level; a word's posting stays only where a frequent phrase ends, so both parts of a longer
 candidate, without its last and without its first word, are frequent before it is counted.
 
+Most words and pairs of words are rare, so before they are counted by name their counts are added up by slot of a hash, as a few packed rows a block: a slot's sum is no less than the
+count of anything in it, so what lies in a light slot is rare, and nothing frequent is lost. The slots grow with the input, and there are never more rows than there are pairs.
+
 Blocks stay whole rows with their lists (codes in the order of the text, from which a task sorts the lists again) and get smaller with each level; nothing of a word's occurrences is sent
-for itself. Words and phrases are told apart by numbers given to what is frequent, not by hashes. Parts of a candidate are found along the links to the phrases without its last and its
-first word, so all cuts come with two joins a level.
+for itself. Frequencies are of the words themselves or of numbers given to frequent phrases, not of hashes. Parts of a candidate are found along the links to the phrases without its last
+and its first word, so all cuts come with two joins a level.
 
 Cases: a null language is ``und``; null and empty texts have no words; a phrase never crosses a break or a document; repeated documents count each time; an empty table gives no rows; other
 columns of the input are left alone.
@@ -17,9 +20,11 @@ columns of the input are left alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,90 +35,126 @@ from .shared import Tables
 
 LEAST, MAX_WORDS, TOP = 100, 5, 2000
 #: Bytes of text in one block, or one longer document.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 32_000_000
+#: A range has 2^24 slots; there is one for so many bytes of text, and there are some at least.
+SLOT_BITS, RANGE_BYTES, LEAST_RANGES = 24, 64_000_000, 16
 #: Ranks are first taken within so many parts of a language.
 RANK_PARTS = 64
+#: Bits of a candidate's number in its block.
+PART_BITS = 28
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, 0x09]] = True
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?"]] = True
 _BREAK[0x0A:0x0E] = True
 
-_STATE = "block long, lang string, part int, text string, prefix long, word long, suffix long, count long, state binary"
 
 
-def _flat(arrays: list[np.ndarray]) -> bytes:
-    """Arrays of int32 in one run of bytes: how many, their lengths, their values."""
-    head = np.array([len(arrays), *(len(a) for a in arrays)], np.int32)
-    return b"".join(a.astype(np.int32).tobytes() for a in [head, *arrays])
+def _schema(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
+
+
+_LONG, _STRING, _BYTES = T.LongType(), T.StringType(), T.BinaryType()
+_BLOCK = _schema(block=_LONG, lang=_STRING, n=_LONG, range=T.IntegerType(), packed=_BYTES)
+_COUNTED = _schema(block=_LONG, at=_LONG, lang=_STRING, prefix=_LONG, first=_STRING, word=_STRING, suffix=_LONG, count=_LONG, packed=_BYTES)
+
+
+def _pack(arrays: list[np.ndarray], words: list[str] | None = None) -> bytes:
+    """Arrays of numbers from -1 on and words without line ends, compressed."""
+    small = [a.max(initial=0) < 65_535 for a in arrays]
+    body = b"".join((a + 1).astype("<u2" if s else "<u4").tobytes() for a, s in zip(arrays, small, strict=True)) + "\n".join(words or []).encode()
+    head = np.array([len(arrays), len(words or []), len(body), *small, *(len(a) for a in arrays)], np.int64)
+    return head.tobytes() + pa.compress(body, codec="zstd", asbytes=True)
 
 
-def _apart(state: memoryview) -> list[np.ndarray]:
-    flat = np.frombuffer(state, np.int32)
-    ends = np.cumsum([1 + flat[0], *flat[1 : 1 + flat[0]]])
-    return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+def _unpack(packed: bytes) -> tuple[list[np.ndarray], list[str]]:
+    n, n_words, size = np.frombuffer(packed, np.int64, 3).tolist()
+    heads = np.frombuffer(packed, np.int64, 2 * n, 24).tolist()
+    body = pa.decompress(packed[24 + 16 * n :], decompressed_size=size, codec="zstd", asbytes=True)
+    arrays, a = [], 0
+    for small, length in zip(heads[:n], heads[n:], strict=True):
+        arrays.append(np.frombuffer(body, "<u2" if small else "<u4", length, a).astype(np.int64 if not small else np.int32) - 1)
+        a += length * (2 if small else 4)
+    return arrays, body[a:].decode().split("\n") if n_words else []
 
 
-def _rows(schema: T.StructType, n: int, **cols) -> pa.RecordBatch:
-    """A batch in which columns that aren't given are null."""
-    kinds = {"block": pa.int64(), "lang": pa.string(), "part": pa.int32(), "text": pa.string(), "state": pa.binary()}
+def _rows(schema: T.StructType, n: int, /, **cols) -> pa.RecordBatch:
+    """A batch in which columns that aren't given are null and single values stand in all rows."""
+    kinds = {"long": pa.int64(), "integer": pa.int32(), "string": pa.string(), "binary": pa.binary()}
     out = []
-    for name in schema.names:
-        kind = kinds.get(name, pa.int64())
-        value = cols.get(name)
+    for field in schema:
+        kind, value = kinds[field.dataType.typeName()], cols.get(field.name)
         if value is None:
             out.append(pa.nulls(n, kind))
-        elif isinstance(value, pa.Array):
-            out.append(value.cast(kind))
         else:
-            out.append(pa.array(value if isinstance(value, (list, np.ndarray)) else [value] * n, kind))
+            out.append(value.cast(kind) if isinstance(value, pa.Array) else pa.array(value if isinstance(value, (list, np.ndarray)) else [value] * n, kind))
     return pa.RecordBatch.from_arrays(out, schema.names)
 
 
-def word_codes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """(positions, code of the word at each, the words) of documents side by side; a position is left out before each piece."""
+def word_codes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """The code of the word at each position and the words, of documents side by side; a position is left out (-1) before each piece."""
     low = textcore.LOWER[data]
     starts, ends, doc = textcore.words(low, offs, _GAP | _BREAK)
     if not len(starts):
-        return np.zeros(0, np.int32), np.zeros(0, np.int32), pa.array([], pa.string())
-    breaks = np.cumsum(_BREAK[low], dtype=np.int32)[starts]
+        return np.zeros(0, np.int32), []
+    breaks = np.searchsorted(np.flatnonzero(_BREAK[low]), starts)
     fresh = np.zeros(len(starts), bool)
     fresh[1:] = (breaks[1:] != breaks[:-1]) | (doc[1:] != doc[:-1])
-    letters = low[~(_GAP | _BREAK)[low]]
+    at = np.arange(len(starts)) + np.cumsum(fresh)
     bounds = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
-    each = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(letters)]).dictionary_encode()
-    return (np.arange(len(starts)) + np.cumsum(fresh)).astype(np.int32), each.indices.to_numpy().astype(np.int32), each.dictionary.cast(pa.string())
+    each = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(low[~(_GAP | _BREAK)[low]])]).dictionary_encode()
+    by_position = np.full(int(at[-1]) + 1, -1, np.int32)
+    by_position[at] = each.indices.to_numpy()
+    return by_position, each.dictionary.to_pylist()
 
 
-def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row with the words of each block as codes by position (``state``; ``count`` words in all), and a row with the count in the block of each of its words."""
-    schema = T.StructType.fromDDL(_STATE)
+def word_pairs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, code of the next word, times) of the pairs of neighbours."""
+    both = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0))
+    key, times = np.unique(codes[both].astype(np.int64) << 32 | codes[both + 1], return_counts=True)
+    return key >> 32, key & 0xFFFFFFFF, times
+
+
+def slots(lang: str, words: list[str], one: np.ndarray, two: np.ndarray, n_slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the words and of the pairs."""
+    data, offs = textcore.buffers(pa.array(words, pa.large_string()))
+    seed = np.uint64(crc32(lang.encode()) + 1)
+    h = textcore.mix64(textcore.span_hashes(data, offs[:-1], offs[1:]) ^ textcore.mix64(np.array([seed])))
+    pair = textcore.mix64(h[one] * np.uint64(0x9E3779B97F4A7C15) + h[two])
+    return (h % np.uint64(n_slots)).astype(np.int64), (pair % np.uint64(n_slots)).astype(np.int64)
+
+
+def blocks(docs: DataFrame, n_ranges: int, least: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row with the words of each block (``n`` in all), and a row with its counts by slot for each range of slots that it uses."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size = TaskContext.get().partitionId() << 24, [], 0
+        number, held, size = TaskContext.get().partitionId() << 12, [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal number
-            texts = pa.chunked_array([t for t, _ in held], pa.string()).cast(pa.large_string()).combine_chunks()
-            langs = pa.concat_arrays([g for _, g in held])
-            for lang in langs.unique():
-                own = texts.filter(pa.array(np.array(langs.to_pylist(), object) == lang.as_py()))
-                data, offs = textcore.buffers(own)
-                at, code, words = word_codes(data[offs[0] : offs[-1]], offs - offs[0])
-                if len(at):
-                    by_position = np.full(int(at[-1]) + 1, -1, np.int32)
-                    by_position[at] = code
-                    yield _rows(schema, 1, block=number, lang=lang.as_py(), count=len(at), state=[_flat([by_position])])
-                    counts = np.bincount(code, minlength=len(words))
-                    for a in range(0, len(words), 100_000):
-                        some = words.slice(a, 100_000)
-                        yield _rows(schema, len(some), block=number, lang=lang.as_py(), part=np.arange(a, a + len(some)), text=some, count=counts[a : a + len(some)])
+            texts = pa.concat_arrays([t for t, _ in held])
+            langs = pa.concat_arrays([g for _, g in held]).dictionary_encode()
+            for i, lang in enumerate(langs.dictionary.to_pylist()):
+                data, offs = textcore.buffers(texts.filter(pc.equal(langs.indices, i)))
+                codes, words = word_codes(data[offs[0] : offs[-1]], offs - offs[0])
+                if words:
+                    yield _rows(_BLOCK, 1, block=number, lang=lang, n=int((codes >= 0).sum()), packed=[_pack([codes], words)])
+                    one, two, times = word_pairs(codes)
+                    slot = np.concatenate(slots(lang, words, one, two, n_ranges << SLOT_BITS))
+                    used, which = np.unique(slot, return_inverse=True)
+                    sums = np.minimum(np.bincount(which, np.concatenate([np.bincount(codes[codes >= 0]), times])), least).astype(np.int64)
+                    ends = np.searchsorted(used, np.arange(n_ranges + 1) << SLOT_BITS)
+                    full = np.flatnonzero(np.diff(ends))
+                    packed = [_pack([np.diff(used[a:b], prepend=used[a]), sums[a:b], used[a : a + 1] & (1 << SLOT_BITS) - 1]) for a, b in zip(ends[full], ends[full + 1], strict=True)]
+                    yield _rows(_BLOCK, len(full), block=number, range=full, packed=packed)
                 number += 1
+                if not number & 0xFFF:
+                    raise ValueError("a partition has 4,096 blocks: use more partitions or larger blocks")
 
         for batch in batches:
             text, lang = batch.column("text"), batch.column("lang")
             for a, b, data, _ in textcore.parts(text, block_bytes // 4):
-                held.append((text.slice(a, b - a), lang.slice(a, b - a)))
+                held.append((text.slice(a, b - a).cast(pa.large_string()), lang.slice(a, b - a)))
                 size += len(data)
                 if size >= block_bytes:
                     yield from flush()
@@ -121,7 +162,67 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang")).mapInArrow(cut, schema)
+    return docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang")).mapInArrow(cut, _BLOCK)
+
+
+def heavy(held: DataFrame, least: int) -> DataFrame:
+    """For each block and range one bit for each slot that it uses there: whether the slot's sum over all blocks is ``least`` or more."""
+    schema = _schema(block=_LONG, range=T.IntegerType(), packed=_BYTES)
+
+    def weigh(rows: pa.Table) -> pa.Table:
+        sums = np.zeros(1 << SLOT_BITS, np.uint32)
+        places = []
+        for packed in rows["packed"].to_pylist():
+            step, count, first = _unpack(packed)[0]
+            places.append((np.cumsum(step) + first).astype(np.int32))
+            sums[places[-1]] += count.astype(np.uint32)
+        return pa.table({"block": rows["block"], "range": rows["range"], "packed": pa.array([np.packbits(sums[p] >= least).tobytes() for p in places], pa.binary())})
+
+    return held.where(F.col("range").isNotNull()).select("block", "range", "packed").groupBy("range").applyInArrow(weigh, schema)
+
+
+def _named(n_ranges: int, with_lists: bool):
+    """From a block and its bits to the words and pairs that may be frequent, by name, and the lists of these pairs."""
+
+    def name(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            block, lang = left["block"][0].as_py(), left["lang"][0].as_py()
+            (codes,), words = _unpack(left["packed"][0].as_py())
+            one, two, times = word_pairs(codes)
+            slot1, slot2 = slots(lang, words, one, two, n_ranges << SLOT_BITS)
+            used = np.unique(np.concatenate([slot1, slot2]))
+            size = np.diff(np.searchsorted(used, np.arange(n_ranges + 1) << SLOT_BITS))
+            bits = dict(zip(right["range"].to_pylist(), right["packed"].to_pylist(), strict=True))
+            up = np.concatenate([np.unpackbits(np.frombuffer(bits[r], np.uint8), count=n) for r, n in enumerate(size.tolist()) if n]).astype(bool)
+            good = np.flatnonzero(up[np.searchsorted(used, slot1)])
+            texts = pa.array(words, pa.string())
+            if len(good):
+                out.append(_rows(_COUNTED, len(good), block=block, lang=lang, word=texts.take(pa.array(good)), count=np.bincount(codes[codes >= 0], minlength=len(words))[good]))
+            pair = np.flatnonzero(up[np.searchsorted(used, slot2)])
+            if len(pair):
+                first, word = texts.take(pa.array(one[pair])), texts.take(pa.array(two[pair]))
+                out.append(_rows(_COUNTED, len(pair), block=block, at=(block << PART_BITS) + np.arange(len(pair)), lang=lang, first=first, word=word, count=times[pair]))
+                if with_lists:
+                    both = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0))
+                    key, want = codes[both].astype(np.int64) << 32 | codes[both + 1], one[pair] << 32 | two[pair]
+                    found = np.minimum(np.searchsorted(want, key), len(want) - 1)
+                    lists = np.full(len(codes), -1, np.int32)
+                    lists[both] = np.where(want[found] == key, found, -1)
+                    out.append(_rows(_COUNTED, 1, block=block, lang=lang, packed=[_state(codes, lists, 2, words)]))
+        return pa.Table.from_batches(out) if out else pa.Table.from_batches([_rows(_COUNTED, 0)])
+
+    return name
+
+
+def _state(codes: np.ndarray, lists: np.ndarray, k: int, words: list[str]) -> bytes:
+    """Lists of phrases of k words by position, with the postings of the words that end one of them."""
+    ends = np.zeros(len(codes), bool)
+    ends[np.flatnonzero(lists >= 0) + k - 1] = True
+    used, now = np.unique(np.where(ends, codes, -1), return_inverse=True)
+    if len(used) and used[0] < 0:
+        used, now = used[1:], now - 1
+    return _pack([now, lists], [words[i] for i in used.tolist()])
 
 
 def extended(words: np.ndarray, lists: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -149,44 +250,36 @@ def extended(words: np.ndarray, lists: np.ndarray, k: int) -> tuple[np.ndarray,
 
 def _step(k: int, last: bool):
     """From the lists of phrases of k words, of which those named by the reply are frequent, to those of one word more."""
-    schema = T.StructType.fromDDL(_STATE)
 
     def step(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows and right.num_rows:
-            block, lang = left["block"][0].as_py(), left["lang"][0].as_py()
-            arrays = _apart(left["state"][0].as_buffer())
-            part, ids = right["part"].to_numpy(), right["id"].to_numpy()
-            n = int(max(arrays[-1].max(initial=-1), part.max())) + 2
-            code = np.full(n, -1, np.int32)
-            code[part] = np.arange(len(part))
-            lists = code[arrays[-1]]
-            if k == 1:
-                words, word_ids = lists, ids
-            else:
-                words, word_ids = arrays[0].copy(), arrays[1].astype(np.int64) << 32 | arrays[2].view(np.uint32)
-                ends = np.zeros(len(words), bool)
-                ends[np.flatnonzero(lists >= 0) + k - 1] = True
-                words[~ends] = -1
-            at, number, prefix, word, suffix = extended(words, lists, k)
+            block = left["block"][0].as_py()
+            (codes, lists), words = _unpack(left["packed"][0].as_py())
+            part, ids = right["at"].to_numpy() & (1 << PART_BITS) - 1, right["id"].to_numpy()
+            index = np.full(int(max(lists.max(initial=-1), part.max())) + 2, -1, np.int64)
+            index[part] = np.arange(len(part))
+            lists = index[lists]
+            ends = np.zeros(len(codes), bool)
+            ends[np.flatnonzero(lists >= 0) + k - 1] = True
+            at, number, prefix, word, suffix = extended(np.where(ends, codes, -1), lists, k)
             if len(at):
-                rows = {"prefix": ids[prefix], "word": word_ids[word], "suffix": ids[suffix], "count": np.bincount(number)}
-                out.append(_rows(schema, len(prefix), block=block, lang=lang, part=np.arange(len(prefix)), **rows))
+                texts = pa.array(words, pa.string()).take(pa.array(word))
+                out.append(_rows(_COUNTED, len(prefix), block=block, at=(block << PART_BITS) + np.arange(len(prefix)), prefix=ids[prefix], word=texts, suffix=ids[suffix], count=np.bincount(number)))
                 if not last:
-                    longer = np.full(len(words), -1, np.int32)
+                    longer = np.full(len(codes), -1, np.int64)
                     longer[at] = number
-                    kept = [words, word_ids >> 32, (word_ids & 0xFFFFFFFF).astype(np.uint32).view(np.int32), longer]
-                    out.append(_rows(schema, 1, block=block, lang=lang, count=len(at), state=[_flat(kept)]))
-        return pa.Table.from_batches(out) if out else pa.Table.from_batches([_rows(schema, 0)])
+                    out.append(_rows(_COUNTED, 1, block=block, packed=[_state(codes, longer, k + 1, words)]))
+        return pa.Table.from_batches(out) if out else pa.Table.from_batches([_rows(_COUNTED, 0)])
 
-    return step, schema
+    return step
 
 
 def frequent(counted: DataFrame, by: list[str], least: int) -> DataFrame:
-    """Rows of what is frequent over all blocks, with ``f``, its frequency, and ``id``, one number for all its rows."""
+    """(at, keys, suffix, f, id) of the candidates that are frequent over all blocks; ``id`` is one number for all rows of a phrase."""
     one = Window.partitionBy(*by)
-    rows = counted.where(F.col("state").isNull())
-    return rows.select("*", F.sum("count").over(one).alias("f"), F.min("row").over(one).alias("id")).where(F.col("f") >= least).drop("state", "count")
+    rows = counted.where(F.col("at").isNotNull()).select("at", *by, "suffix", "count")
+    return rows.select("at", *by, "suffix", F.sum("count").over(one).alias("f"), F.min("at").over(one).alias("id")).where(F.col("f") >= least)
 
 
 def phrases(docs: DataFrame, tables: Tables, least: int = LEAST, max_words: int = MAX_WORDS, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -195,29 +288,38 @@ def phrases(docs: DataFrame, tables: Tables, least: int = LEAST, max_words: int
     A phrase has id, lang, phrase, a, ``pre`` and ``suf`` (frequencies of its first 1, 2, ... and of its last 1, 2, ... words, without itself) and ``within`` (a longer frequent phrase that
     holds it is as frequent).
     """
-    held = tables.keep(blocks(docs, block_bytes).withColumn("row", F.monotonically_increasing_id()))
-    totals = tables.keep(held.where(F.col("state").isNotNull()).groupBy("lang").agg(F.sum("count").alias("n")))
-    levels, none = [], F.array().cast("array<long>")
-    for k in range(1, max_words + 1):
-        reply = tables.keep(frequent(held, ["lang", "text"] if k == 1 else ["prefix", "word"], least))
-        own = reply.where(F.col("row") == F.col("id"))
-        if k == 1:
-            level = own.select("id", "lang", F.col("text").alias("phrase"), F.col("text").alias("last"), "f", none.alias("pre"), none.alias("suf"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_ranges = max(LEAST_RANGES, -(-size // RANGE_BYTES))
+    whole = tables.keep(blocks(docs, n_ranges, least, block_bytes))
+    totals = tables.keep(whole.where(F.col("range").isNull()).groupBy("lang").agg(F.sum("n").alias("n")))
+    bits = tables.keep(heavy(whole, least))
+    texts = whole.where(F.col("range").isNull()).select("block", "lang", "packed")
+    held = tables.keep(texts.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_named(n_ranges, max_words > 2), _COUNTED))
+    tables.drop(whole, bits)
+    words = tables.keep(held.where(F.col("at").isNull() & F.col("packed").isNull()).groupBy("lang", "word").agg(F.sum("count").alias("f")).where(F.col("f") >= least))
+    levels = []
+    for k in range(2, max_words + 1):
+        reply = tables.keep(frequent(held, ["lang", "first", "word"] if k == 2 else ["prefix", "word"], least))
+        own = reply.where(F.col("at") == F.col("id"))
+        if k == 2:
+            one = words.select("lang", F.col("word").alias("first"), F.col("f").alias("f1"))
+            two = words.select("lang", "word", F.col("f").alias("f2"))
+            both = own.join(one, ["lang", "first"]).join(two, ["lang", "word"])
+            level = both.select("id", "lang", F.concat_ws(" ", "first", "word").alias("phrase"), "f", F.array("f1").alias("pre"), F.array("f2").alias("suf"), F.lit(None).cast("long").alias("prefix"), F.lit(None).cast("long").alias("suffix"))
         else:
-            first = levels[-1].select(F.col("id").alias("prefix"), "phrase", F.col("f").alias("f1"), F.col("pre").alias("pre1"))
-            second = levels[-1].select(F.col("id").alias("suffix"), "last", F.col("f").alias("f2"), F.col("suf").alias("suf1"))
-            level = own.select("id", "lang", "f", "prefix", "suffix").join(first, "prefix").join(second, "suffix")
-            level = level.select("id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "f", F.concat("pre1", F.array("f1")).alias("pre"), F.concat("suf1", F.array("f2")).alias("suf"), "prefix", "suffix")
+            first = levels[-1].select(F.col("id").alias("prefix"), "lang", "phrase", F.concat("pre", F.array("f")).alias("pre"))
+            second = levels[-1].select(F.col("id").alias("suffix"), F.concat("suf", F.array("f")).alias("suf"))
+            level = own.join(first, "prefix").join(second, "suffix").select("id", "lang", F.concat_ws(" ", "phrase", "word").alias("phrase"), "f", "pre", "suf", "prefix", "suffix")
         levels.append(tables.keep(level))
         if k == max_words or levels[-1].isEmpty():
             break
-        step, schema = _step(k, k + 1 == max_words)
-        states = held.where(F.col("state").isNotNull()).select("block", "lang", "state")
-        longer = states.groupBy("block").cogroup(reply.select("block", "part", "id").groupBy("block")).applyInArrow(step, schema)
-        before, held = held, tables.keep(longer.withColumn("row", F.monotonically_increasing_id()))
+        lists = held.where(F.col("packed").isNotNull()).select("block", "packed")
+        asked = reply.select(F.shiftright("at", PART_BITS).alias("block"), "at", "id")
+        longer = lists.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_step(k, k + 1 == max_words), _COUNTED)
+        before, held = held, tables.keep(longer)
         tables.drop(before, reply)
     out = None
-    for level, longer in zip(levels[1:], [*levels[2:], None], strict=False):
+    for level, longer in zip(levels, [*levels[1:], None], strict=True):
         if longer is None:
             marked = level.withColumn("within", F.lit(False))
         else:
@@ -225,7 +327,7 @@ def phrases(docs: DataFrame, tables: Tables, least: int = LEAST, max_words: int
             marked = level.join(holds, "id", "left").withColumn("within", F.coalesce(F.col("most") == F.col("f"), F.lit(False)))
         rows = marked.select("id", "lang", "phrase", F.col("f").alias("a"), "pre", "suf", "within")
         out = rows if out is None else out.unionByName(rows)
-    return (out if out is not None else tables.spark.createDataFrame([], "id long, lang string, phrase string, a long, pre array<long>, suf array<long>, within boolean")), totals
+    return out, totals
 
 
 def collocations(docs: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS, top: int = TOP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
