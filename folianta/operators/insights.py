@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..tables import cut
 
 
 def page_insights(items: DataFrame) -> DataFrame:
@@ -41,11 +42,17 @@ def word_error(truth: Column, read: Column) -> Column:
     return F.levenshtein(coded(a), coded(b)) / F.greatest(F.size(a), F.lit(1))
 
 
-def word_list(lines: DataFrame, most: int = 500) -> DataFrame:
-    """Terms of a list (pos, line): trimmed, each once whatever its case, with the first spelling and in first order."""
-    t = lines.select("pos", F.trim(F.regexp_replace("line", "^\\x{FEFF}|\r", "")).alias("term")).where("term <> '' and length(term) <= 200")
-    once = t.groupBy(F.lower("term").alias("k")).agg(F.min("pos").alias("pos"), F.min_by("term", "pos").alias("term"))
-    return once.orderBy("pos").limit(most).select("pos", "term")
+def word_list(lines: DataFrame, most: int = 500, longest: int = 200) -> DataFrame:
+    """Terms of a list (pos, line): trimmed, each once whatever its case, with the first spelling. An empty list, a term of more than ``longest`` characters and more than ``most`` terms are errors."""
+    t = lines.select("pos", F.trim(F.regexp_replace("line", "^\\x{FEFF}|\r", "")).alias("term")).where("term <> ''")
+    once = cut(t.groupBy(F.lower("term").alias("k")).agg(F.min("pos").alias("pos"), F.min_by("term", "pos").alias("term")))
+    if once.isEmpty():
+        raise ValueError("the list is empty")
+    if not once.where(F.length("term") > longest).isEmpty():
+        raise ValueError(f"a term has at most {longest} characters")
+    if once.limit(most + 1).count() > most:
+        raise ValueError(f"a list has at most {most} terms")
+    return once.select("pos", "term")
 
 
 def otsu(histogram: DataFrame, by: str = "doc_id") -> DataFrame:

@@ -182,11 +182,16 @@ def in_columns(words: DataFrame, widths: DataFrame) -> DataFrame:
 
 
 def attachments(nodes: DataFrame, names: DataFrame) -> DataFrame:
-    """(doc_id, nth, name, size, description) of the names (node, seq, name, size, description) that hang below the roots of a name tree (doc_id, id, parent_id), in the order of nodes and places; unnamed ones are numbered."""
-    from .trees import OUTLINE_DEPTH, levels
+    """(doc_id, nth, name, size, description) of the names (node, seq, name, size, description) in name trees (doc_id, id, parent_id, place), as a walk from the roots meets them; unnamed ones have their number.
 
-    there = levels(nodes, OUTLINE_DEPTH).select("doc_id", F.col("id").alias("node"))
-    rows = names.join(there, ["doc_id", "node"], "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("node", "seq")))
+    A node with children has no names of its own; nodes that no root leads to, as in a cycle, are not met.
+    """
+    from .trees import walk
+
+    met = walk(nodes)
+    inner = nodes.where("parent_id is not null").select("doc_id", F.col("parent_id").alias("id")).distinct()
+    leaves = met.join(inner, ["doc_id", "id"], "left_anti").select("doc_id", F.col("id").alias("node"), "path")
+    rows = names.join(leaves, ["doc_id", "node"]).withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("path", "seq")))
     name = F.when(F.trim(F.coalesce("name", F.lit(""))) != "", F.col("name")).otherwise(F.concat(F.lit("attachment-"), F.col("nth")))
     return rows.select("doc_id", "nth", name.alias("name"), "size", "description")
 

@@ -11,41 +11,73 @@ from ..tables import Tables
 OUTLINE_DEPTH, TAG_DEPTH = 32, 128
 
 
-def levels(tree: DataFrame, depth: int | None = None) -> DataFrame:
-    """Adds depth (roots 0) to nodes under a root. More than ``depth`` levels are an error, and so are nodes that hang in a cycle; nodes whose parent isn't there are left out."""
+def levels(tree: DataFrame, depth: int | None = None, strict: bool = True) -> DataFrame:
+    """Adds depth (roots 0) to nodes under a root; nodes whose parent isn't there are left out.
+
+    More than ``depth`` levels are an error, and so are nodes that hang in a cycle. With ``strict`` it is raised; else ``error`` is added and says so on every row of that document, of which
+    the nodes within the limit and outside cycles stay, and other documents are left as they are.
+    """
     tables = Tables(tree.sparkSession)
     level = tables.keep(tree.where("parent_id is null").withColumn("depth", F.lit(0)))
-    out, rest, d = level, tables.keep(tree.where("parent_id is not null")), 0
+    out, rest, d, deep = level, tables.keep(tree.where("parent_id is not null")), 0, None
     while level.take(1):
         d += 1
         up = level.select("doc_id", F.col("id").alias("parent_id"))
         level = tables.keep(rest.join(up, ["doc_id", "parent_id"]).select(*tree.columns).withColumn("depth", F.lit(d)))
         if depth is not None and d > depth and level.take(1):
-            raise ValueError(f"more than {depth} levels")
+            if strict:
+                raise ValueError(f"more than {depth} levels")
+            deep = level.select("doc_id").distinct()
+            break
         out = out.unionByName(level)
     left = tables.keep(rest.join(out.select("doc_id", "id"), ["doc_id", "id"], "left_anti"))
+    if deep is not None:
+        left = tables.keep(left.join(deep, "doc_id", "left_anti"))
     while left.take(1):
         held = tables.keep(left.join(left.select("doc_id", F.col("id").alias("parent_id")).distinct(), ["doc_id", "parent_id"], "left_semi").select(*tree.columns))
         if held.count() == left.count():
-            raise ValueError("nodes hang in a cycle")
+            if strict:
+                raise ValueError("nodes hang in a cycle")
+            break
         left = held
-    return out
+    if strict:
+        return out
+    errors = left.select("doc_id").distinct().withColumn("error", F.lit("nodes hang in a cycle"))
+    if deep is not None:
+        errors = errors.unionByName(deep.withColumn("error", F.lit(f"more than {depth} levels")))
+    return out.join(errors, "doc_id", "left").select(*out.columns, "error")
+
+
+def walk(tree: DataFrame, place: str = "place") -> DataFrame:
+    """Nodes that hang below a root, with ``path``: the places and ids from the root down. Paths sort as a walk meets the nodes: a node before its children, children by their places, equal places by id. Nodes in a cycle aren't met."""
+    tables = Tables(tree.sparkSession)
+    own = F.struct(F.col(place).alias("place"), F.col("id").alias("id"))
+    level = tables.keep(tree.where("parent_id is null").withColumn("path", F.array(own)))
+    rest, out = tables.keep(tree.where("parent_id is not null")), level
+    while True:
+        up = level.select("doc_id", F.col("id").alias("parent_id"), F.col("path").alias("_above"))
+        level = tables.keep(rest.join(up, ["doc_id", "parent_id"]).select(*tree.columns, F.concat("_above", F.array(own)).alias("path")))
+        if not level.take(1):
+            return out
+        out = out.unionByName(level)
 
 
 def ancestors(tree: DataFrame, depth: int = TAG_DEPTH) -> DataFrame:
-    """(doc_id, id, ancestor, distance): every node with each node above it. More than ``depth`` levels, as in a cycle, are an error."""
+    """(doc_id, id, ancestor, distance, cut): every node with each node above it, up to ``depth`` - 1 levels away; ``cut`` marks documents that have more, as in a cycle."""
     tables = Tables(tree.sparkSession)
     edges = tables.keep(tree.where("parent_id is not null").select("doc_id", "id", F.col("parent_id").alias("ancestor")).join(tree.select("doc_id", F.col("id").alias("ancestor")), ["doc_id", "ancestor"], "left_semi").select("doc_id", "id", "ancestor"))
     level, d = edges.withColumn("distance", F.lit(1)), 1
-    out = level
+    out, up = level, edges.select("doc_id", F.col("id").alias("_at"), F.col("ancestor").alias("_up"))
     while level.take(1):
         d += 1
-        if d > depth:
-            raise ValueError(f"more than {depth} levels")
-        up = edges.select("doc_id", F.col("id").alias("_at"), F.col("ancestor").alias("_up"))
         level = tables.keep(level.withColumnRenamed("ancestor", "_at").join(up, ["doc_id", "_at"]).select("doc_id", "id", F.col("_up").alias("ancestor"), F.lit(d).alias("distance")))
+        if d >= depth:
+            break
         out = out.unionByName(level)
-    return out
+    deep = level.select("doc_id").distinct().withColumn("cut", F.lit(True)) if d >= depth else None
+    if deep is None:
+        return out.withColumn("cut", F.lit(False))
+    return out.join(deep, "doc_id", "left").select(*out.columns, F.coalesce("cut", F.lit(False)).alias("cut"))
 
 
 def filtered(tree: DataFrame, hit) -> DataFrame:

@@ -38,7 +38,7 @@ def structure_checks(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {_TAGS}, up AS (SELECT doc_id, id, parent_id AS ancestor, 1 AS distance FROM tags_ t WHERE EXISTS (SELECT 1 FROM tags_ p WHERE p.doc_id = t.doc_id AND p.id = t.parent_id)
-  UNION ALL SELECT u.doc_id, u.id, p.parent_id, distance + 1 FROM up u JOIN tags_ p ON p.doc_id = u.doc_id AND p.id = u.ancestor WHERE EXISTS (SELECT 1 FROM tags_ q WHERE q.doc_id = p.doc_id AND q.id = p.parent_id)) SELECT doc_id, id, ancestor, distance FROM up""")
+  UNION ALL SELECT u.doc_id, u.id, p.parent_id, distance + 1 FROM up u JOIN tags_ p ON p.doc_id = u.doc_id AND p.id = u.ancestor WHERE EXISTS (SELECT 1 FROM tags_ q WHERE q.doc_id = p.doc_id AND q.id = p.parent_id)) SELECT doc_id, id, ancestor, distance, false AS cut FROM up""")
 def tag_ancestors(spark, sf_dir):
     return trees.ancestors(tags_of(spark, sf_dir))
 
@@ -173,14 +173,25 @@ def word_columns(spark, sf_dir):
     return structure.in_columns(*_column_words(spark, sf_dir)).select("doc_id", "page", "seq", "column")
 
 
-@query("""WITH n AS (SELECT 0 AS doc_id, 'r' || r_regionkey AS id, NULL AS parent_id FROM region UNION ALL SELECT 0, 'n' || n_nationkey, CASE WHEN n_nationkey % 5 = 4 THEN 'gone' ELSE 'r' || n_regionkey END FROM nation),
-a AS (SELECT 0 AS doc_id, 'n' || c_nationkey AS node, c_custkey AS seq, CASE WHEN c_custkey % 4 > 0 THEN c_name END AS name, c_acctbal AS size FROM customer WHERE c_nationkey % 5 < 4), r AS (SELECT *, row_number() OVER (ORDER BY node, seq)::INT AS nth FROM a) SELECT doc_id, nth, coalesce(name, 'attachment-' || nth) AS name, size FROM r""")
+@query("""WITH c AS (SELECT c_custkey % 50 AS doc_id, c_custkey AS k, c_nationkey AS n, n_regionkey AS r, c_acctbal AS size FROM customer JOIN nation ON n_nationkey = c_nationkey),
+t AS (SELECT DISTINCT doc_id, 'r' || r AS id, NULL AS parent_id, (r * 3 + doc_id) % 5 AS place FROM c UNION ALL SELECT DISTINCT doc_id, 'n' || n, CASE WHEN n % 5 = 4 THEN 'gone' ELSE 'r' || r END, n * 7 % 25 FROM c UNION ALL SELECT DISTINCT doc_id, 'm' || n, CASE WHEN n % 5 = 3 THEN 'm' || n ELSE 'n' || n END, 0 FROM c WHERE n % 3 = 0),
+a AS (SELECT doc_id, CASE WHEN k % 9 = 0 THEN 'r' || r WHEN n % 3 = 0 AND k % 2 = 0 THEN 'm' || n ELSE 'n' || n END AS node, k AS seq, CASE WHEN k % 4 > 0 THEN 'c' || k END AS name, size, r FROM c),
+w AS (SELECT a.*, x.place AS p1, -1 AS p2 FROM a JOIN t x ON x.doc_id = a.doc_id AND x.id = a.node AND starts_with(x.id, 'r') WHERE NOT EXISTS (SELECT 1 FROM t k WHERE k.doc_id = a.doc_id AND k.parent_id = a.node)
+  UNION ALL SELECT a.*, x.place AS p1, y.place AS p2 FROM a JOIN t l ON l.doc_id = a.doc_id AND l.id = a.node LEFT JOIN t z ON z.doc_id = a.doc_id AND z.id = a.node AND starts_with(z.id, 'm')
+  JOIN t y ON y.doc_id = a.doc_id AND y.id = CASE WHEN starts_with(a.node, 'm') THEN z.parent_id ELSE a.node END AND starts_with(y.id, 'n') JOIN t x ON x.doc_id = a.doc_id AND x.id = y.parent_id AND starts_with(x.id, 'r')
+  WHERE NOT EXISTS (SELECT 1 FROM t k WHERE k.doc_id = a.doc_id AND k.parent_id = a.node)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p1, p2, seq)::INT AS nth FROM w)
+SELECT doc_id, nth, coalesce(name, 'attachment-' || nth) AS name, size FROM r""")
 def attachment_names(spark, sf_dir):
-    none = F.lit(None).cast("string")
-    r = table(spark, sf_dir, "region").select(F.lit(0).alias("doc_id"), F.concat(F.lit("r"), F.col("r_regionkey")).alias("id"), none.alias("parent_id"))
-    n = table(spark, sf_dir, "nation").select(F.lit(0).alias("doc_id"), F.concat(F.lit("n"), F.col("n_nationkey")).alias("id"), F.when(F.col("n_nationkey") % 5 == 4, "gone").otherwise(F.concat(F.lit("r"), F.col("n_regionkey"))).alias("parent_id"))
-    names = table(spark, sf_dir, "customer").select(F.lit(0).alias("doc_id"), F.concat(F.lit("n"), F.col("c_nationkey")).alias("node"), F.col("c_custkey").alias("seq"), F.when(F.col("c_custkey") % 4 > 0, F.col("c_name")).alias("name"), F.col("c_acctbal").alias("size"), none.alias("description"))
-    return structure.attachments(r.unionByName(n), names).drop("description")
+    none, k, n, r = F.lit(None).cast("string"), F.col("c_custkey"), F.col("c_nationkey"), F.col("n_regionkey")
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).withColumn("doc_id", k % 50)
+    name = lambda letter, x: F.concat(F.lit(letter), x.cast("string"))
+    top = c.select("doc_id", name("r", r).alias("id"), none.alias("parent_id"), ((r * 3 + F.col("doc_id")) % 5).alias("place"))
+    mid = c.select("doc_id", name("n", n).alias("id"), F.when(n % 5 == 4, "gone").otherwise(name("r", r)).alias("parent_id"), (n * 7 % 25).alias("place"))
+    low = c.where(n % 3 == 0).select("doc_id", name("m", n).alias("id"), F.when(n % 5 == 3, name("m", n)).otherwise(name("n", n)).alias("parent_id"), F.lit(0).cast("long").alias("place"))
+    node = F.when(k % 9 == 0, name("r", r)).when((n % 3 == 0) & (k % 2 == 0), name("m", n)).otherwise(name("n", n))
+    names = c.select("doc_id", node.alias("node"), k.alias("seq"), F.when(k % 4 > 0, name("c", k)).alias("name"), F.col("c_acctbal").alias("size"), none.alias("description"))
+    return structure.attachments(top.unionByName(mid).unionByName(low).distinct(), names).drop("description")
 
 
 @query("""WITH f AS (SELECT p_partkey // 10 AS doc_id, 'f' || p_partkey % 10 AS name, p_size FROM part), r AS (SELECT doc_id, name, CASE WHEN p_size % 4 = 0 THEN 'f1' WHEN p_size % 4 = 1 THEN ' ' ELSE 'g' || name END AS new_name FROM f WHERE p_size % 3 = 0 UNION ALL SELECT DISTINCT doc_id, 'h', 'i' FROM f WHERE doc_id % 2 = 0),

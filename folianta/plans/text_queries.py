@@ -136,9 +136,9 @@ def url_hits(spark, sf_dir):
 
 
 @query("""WITH t AS (SELECT item_id AS pos, trim(regexp_extract(text, '^[^ ]+')) AS term FROM benchmark), o AS (SELECT lower(term) AS k, min(pos) AS pos, arg_min(term, pos) AS term FROM t WHERE term <> '' GROUP BY 1)
-SELECT pos, term FROM o ORDER BY pos LIMIT 500""")
+SELECT pos, term FROM o""")
 def word_list(spark, sf_dir):
-    return insights.word_list(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), F.regexp_extract("text", "^[^ ]+", 0).alias("line")))
+    return insights.word_list(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), F.regexp_extract("text", "^[^ ]+", 0).alias("line")), most=1_000_000)
 
 
 @query()

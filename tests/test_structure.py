@@ -27,8 +27,29 @@ def test_cycles_are_errors_or_end(spark):
         trees.levels(tree)
     assert {r.id for r in trees.levels(tree.where("id in ('a', 'b', 'o')")).collect()} == {"a", "b"}
     assert {r.id for r in comments.with_ancestors(tree.where("id = 'y'"), tree).collect()} == {"x", "y", "z"}
-    with pytest.raises(ValueError, match="levels"):
-        trees.ancestors(tree.where("id in ('x', 'y', 'z')"), 8)
+    both = tree.where("id in ('x', 'y', 'z')").unionByName(tree.where("id in ('a', 'b')").withColumn("doc_id", F.lit(2).cast("long")))
+    got = trees.ancestors(both, 8).collect()
+    assert {r.distance for r in got if r.doc_id == 1} == set(range(1, 8)) and all(r.cut for r in got if r.doc_id == 1)
+    assert [(r.id, r.ancestor, r.distance, r.cut) for r in got if r.doc_id == 2] == [("b", "a", 1, False)]
+
+
+def test_one_bad_document_leaves_the_others(spark):
+    two = spark.createDataFrame([(2, "a", None, 0), (2, "b", "a", 1)], "doc_id long, id string, parent_id string, seq long")
+    loop = spark.createDataFrame([(3, "a", None, 0), (3, "x", "y", 1), (3, "y", "x", 2)], "doc_id long, id string, parent_id string, seq long")
+    got = trees.levels(chain(spark, 60).unionByName(two).unionByName(loop), trees.OUTLINE_DEPTH, strict=False).collect()
+    by = {d: [r for r in got if r.doc_id == d] for d in (1, 2, 3)}
+    assert len(by[1]) == 33 and {r.error for r in by[1]} == {"more than 32 levels"}
+    assert [(r.id, r.depth, r.error) for r in sorted(by[2])] == [("a", 0, None), ("b", 1, None)]
+    assert [(r.id, r.error) for r in by[3]] == [("a", "nodes hang in a cycle")]
+    deep = trees.ancestors(chain(spark, 40).unionByName(two), 16).collect()
+    assert all(r.cut == (r.doc_id == 1) for r in deep) and max(r.distance for r in deep) == 15
+
+
+def test_attachments_come_as_a_walk_meets_them(spark):
+    nodes = spark.createDataFrame([(1, "top", None, 0), (1, "z", "top", 0), (1, "b", "top", 1), (1, "c", "c", 0), (1, "deep", "z", 5), (1, "first", "z", 2)], "doc_id long, id string, parent_id string, place int")
+    names = spark.createDataFrame([(1, "b", 0, "last", 1), (1, "deep", 1, "", 2), (1, "deep", 0, "second", 3), (1, "first", 0, None, 4), (1, "z", 0, "not a leaf", 5), (1, "c", 0, "not met", 6)], "doc_id long, node string, seq int, name string, size int").withColumn("description", F.lit(""))
+    got = structure.attachments(nodes, names).orderBy("nth").collect()
+    assert [(r.nth, r.name, r.size) for r in got] == [(1, "attachment-1", 4), (2, "second", 3), (3, "attachment-3", 2), (4, "last", 1)]
 
 
 def test_far_objects_are_reached(spark):

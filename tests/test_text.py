@@ -189,6 +189,9 @@ def test_error_rates_and_word_list(spark):
     assert one(spark, insights.word_error(F.lit("the cat sat down"), F.lit("the dog sat"))) == 0.5
     lines = spark.createDataFrame([(0, "﻿Alpha"), (1, " beta\r"), (2, "ALPHA"), (3, "")], "pos int, line string")
     assert [r.term for r in insights.word_list(lines).orderBy("pos").collect()] == ["Alpha", "beta"]
+    for bad, text in ((["x" * 201], "200 characters"), ([str(i) for i in range(501)], "500 terms"), (["", " "], "empty")):
+        with pytest.raises(ValueError, match=text):
+            insights.word_list(spark.createDataFrame(list(enumerate(bad)), "pos int, line string"))
 
 
 def test_otsu_splits_two_humps(spark):
