@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import isqrt
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +19,56 @@ def page_keys(pages: DataFrame) -> DataFrame:
     return pages.withColumn("key", F.sha2(F.concat_ws(":", *cols, F.col("text")), 256))
 
 
+def common_rows(x: list, y: list) -> Iterator[tuple[int, int]]:
+    """Places (i, j) of a longest common sequence of two lists; where leaving out an item of either list is as good, that of the first goes.
+
+    The lengths for all suffixes of ``y`` fit in one whole number of as many bits for each suffix of ``x``, from which the next is made by a few operations on all bits at once. Of these
+    numbers every square-root-th is kept and those between are made again when the walk gets there, so n and m items take n * m / 64 steps and sqrt(n) * m / 4 bytes.
+    """
+    n, m, every = len(x), len(y), isqrt(len(x)) + 1
+    where: dict = {}
+    for p, key in enumerate(reversed(y)):
+        where.setdefault(key, []).append(p)
+    full = (1 << m) - 1
+
+    def before(bits: int, key) -> int:
+        hit = 0
+        for p in where.get(key, ()):
+            hit |= 1 << p
+        u = bits & hit
+        return ((bits + u) | (bits - u)) & full if u else bits
+
+    kept, bits = {n: full}, full
+    for i in range(n - 1, -1, -1):
+        bits = before(bits, x[i])
+        if i % every == 0:
+            kept[i] = bits
+    rows: dict[int, int] = {}
+
+    def length(i: int, j: int) -> int:
+        low = (1 << (m - j)) - 1
+        return (m - j) - (rows[i] & low).bit_count()
+
+    i = j = 0
+    while i < n and j < m:
+        if i + 1 not in rows or i not in rows:
+            end = min(n, (i // every + 1) * every)
+            rows = {end: kept[end]}
+            for k in range(end - 1, i - 1, -1):
+                rows[k] = before(rows[k + 1], x[k])
+        if x[i] == y[j]:
+            yield i, j
+            i, j = i + 1, j + 1
+        elif length(i + 1, j) >= length(i, j + 1):
+            i += 1
+        else:
+            j += 1
+
+
 def align(before: DataFrame, after: DataFrame, by: str = "doc_id", limit: int | None = MAX_PAGES) -> DataFrame:
     """(by, before_page, after_page, status): equal pages are matched in order by the longest common sequence, the gaps between pair up as changed, and what is left is added or removed.
 
-    Only page numbers and keys travel. A pair of documents of more than ``limit`` pages is an error (None: no limit).
+    Only page numbers and keys travel. A pair of documents of more than ``limit`` pages is an error (None: no limit); tens of thousands of pages take seconds and some megabytes.
     """
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -27,34 +76,24 @@ def align(before: DataFrame, after: DataFrame, by: str = "doc_id", limit: int |
         x, y = a["key"].tolist(), b["key"].tolist()
         if limit is not None and max(len(x), len(y)) > limit:
             raise ValueError(f"more than {limit} pages")
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i in range(len(x) - 1, -1, -1):
-            for j in range(len(y) - 1, -1, -1):
-                best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
-        anchors, i, j = [], 0, 0
-        while i < len(x) and j < len(y):
-            if x[i] == y[j]:
-                anchors.append((i, j))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
-            else:
-                j += 1
-        rows, i, j = [], 0, 0
-        for p, q in [*anchors, (len(x), len(y))]:
-            while i < p or j < q:
-                left, right = i < p, j < q
-                rows.append((i if left else None, j if right else None, "changed" if left and right else "removed" if left else "added"))
-                i, j = i + left, j + right
+        left, right, status, i, j = [], [], [], 0, 0
+        for p, q in [*common_rows(x, y), (len(x), len(y))]:
+            both = min(p - i, q - j)
+            left += [*range(i, p), *[None] * (q - j - both)]
+            right += [*range(j, q), *[None] * (p - i - both)]
+            status += ["changed"] * both + ["removed"] * (p - i - both) + ["added"] * (q - j - both)
             if p < len(x):
-                rows.append((p, q, "unchanged"))
-                i, j = p + 1, q + 1
+                left.append(p)
+                right.append(q)
+                status.append("unchanged")
+            i, j = p + 1, q + 1
         key = (a if len(a) else b)[by].iloc[0]
         m, n = a["page"].tolist(), b["page"].tolist()
-        return pd.DataFrame({by: [key] * len(rows), "before_page": pd.array([None if p is None else m[p] for p, _, _ in rows], "Int32"), "after_page": pd.array([None if q is None else n[q] for _, q, _ in rows], "Int32"), "status": [s for _, _, s in rows]})
+        return pd.DataFrame({by: [key] * len(status), "before_page": pd.array([None if p is None else m[p] for p in left], "Int32"), "after_page": pd.array([None if q is None else n[q] for q in right], "Int32"), "status": status})
 
     cut = lambda d: d.select(by, "page", "key")
-    return cut(before).groupBy(by).cogroup(cut(after).groupBy(by)).applyInPandas(pair, f"{by} long, before_page int, after_page int, status string")
+    kind = before.schema[by].dataType.simpleString()
+    return cut(before).groupBy(by).cogroup(cut(after).groupBy(by)).applyInPandas(pair, f"{by} {kind}, before_page int, after_page int, status string")
 
 
 def totals(aligned: DataFrame, by: str = "doc_id") -> DataFrame:
