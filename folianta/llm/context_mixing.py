@@ -6,7 +6,8 @@ were seen and by the place in the word, selects the weights by which the predict
 occurrence out of the counts. A last stage refines the mixed probability by what followed such probabilities in training. The sum over a word's decisions is its log10-probability by itself.
 
 From the running text comes what the word before says: with c(v, w) and c(v) the training counts of a pair and of its first word, where a document's first word follows its end, a word has the chance
-(c(v, w) + K p(w)) / (c(v) + K), p being the mix's. In training documents a token leaves its own occurrence out of both counts. K is the one of ``PULLS`` under which the training documents are likeliest so.
+(c(v, w) + K p(w)) / (c(v) + K), p being the mix's. K is the one of ``PULLS`` under which the training documents are likeliest when each token leaves its own occurrence out of both counts; the scores themselves
+leave nothing out, so equal texts have equal scores, whether they were learned from or not.
 The sum over words and the style's share is the text's log10-probability; with its bytes it gives bits per byte.
 
 Spark gathers all of it from the whole corpus. The styles come from Lloyd's iterations over all training documents' byte frequencies. Documents are packed into blocks of tokens as indices into the block's own words; the words go to buckets by hash, where their counts over all blocks meet. Contexts,
@@ -582,7 +583,7 @@ def score_documents(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
 
     replies = words.select("bucket", "payload", "places").mapInArrow(answer, PACKED).unionByName(pair_counts(pair_rows(heads, n_buckets)))
     id_type = docs.schema["doc_id"].dataType
-    kind = T.StructType([T.StructField("doc_id", id_type), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), *(T.StructField(f"score_{i}", T.DoubleType()) for i in range(len(PULLS)))])
+    kind = T.StructType([T.StructField("doc_id", id_type), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), *(T.StructField(f"{c}_{i}", T.DoubleType()) for c in ("score", "fit") for i in range(len(PULLS)))])
     arrow_id = pa.int64() if isinstance(id_type, T.LongType) else None
 
     def total_up(own: pa.Table, back: pa.Table) -> pa.Table:
@@ -599,20 +600,25 @@ def score_documents(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
         base = np.log10((counts + 0.1) / (n_train + 0.1 * (n_distinct + 1)))
         first = np.cumsum(sizes) - sizes
         ids = rows.column("doc_id") if arrow_id is None else rows.column("doc_id").cast(arrow_id)
-        left_out = np.repeat(~rows.column("held_out").to_numpy(), sizes).astype(np.int64)
-        above = every[before] - left_out
-        both = np.minimum(both - left_out, above)
+        above = every[before]
+        both = np.minimum(both, above)
         mixed, share, totals = (10 ** scores.astype(float))[tokens], np.log10(shares)[rows.column("style").to_numpy()], {}
+        learned = np.flatnonzero(np.repeat(~rows.column("held_out").to_numpy(), sizes))
+        own, under = (np.maximum(x[learned] - 1, 0).astype(np.float32) for x in (both, above))
+        by_itself = mixed[learned].astype(np.float32)
         for i, k in enumerate(PULLS):
             chance = k * mixed
             chance += both
             chance /= above + k
             totals[f"score_{i}"] = np.add.reduceat(np.log(chance, out=chance), first) / np.log(10) + share
+            fit = (own + np.float32(k) * by_itself) / (under + np.float32(k))
+            totals[f"fit_{i}"] = np.zeros(len(sizes))
+            totals[f"fit_{i}"][0] = np.log(fit, out=fit).sum(dtype=float)
         return pa.table({"doc_id": ids, "held_out": rows.column("held_out"), "n_tokens": sizes, "n_known": np.add.reduceat((counts > 0).astype(np.int64), first), "train_tokens": np.full(len(sizes), n_train), "base_score": np.add.reduceat(base, first), **totals})
 
     out = stored(heads.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(total_up, kind))
-    fits = out.where("not held_out").agg(*(F.coalesce(F.sum(f"score_{i}"), F.lit(0.0)) for i in range(len(PULLS)))).first()
-    return out.select(*kind.names[: -len(PULLS)], F.col(f"score_{int(np.argmax(fits))}").alias("score"))
+    fits = out.agg(*(F.coalesce(F.sum(f"fit_{i}"), F.lit(0.0)) for i in range(len(PULLS)))).first()
+    return out.select(*kind.names[: -2 * len(PULLS)], F.col(f"score_{int(np.argmax(fits))}").alias("score"))
 
 
 def bits_per_byte(score: Column, text: Column) -> Column:

@@ -509,6 +509,19 @@ def test_order_of_words_tells(spark):
     assert all(got[a] > got[b] + 15 for a, b in zip(ids[:10], ids[10:], strict=True))
 
 
+def test_equal_texts_have_equal_scores(spark):
+    """Whether they were learned from or not; every text once under an id of either kind."""
+    rng = random.Random(9)
+    out = [i for i in range(2_000) if zlib.crc32(str(i).encode()) % 10 == 0][:25]
+    learned = [i for i in range(2_000) if zlib.crc32(str(i).encode()) % 10][: len(out)]
+    texts = [" ".join(rng.choices(["to", "be", "or", "not", "question", "Nobler", "mind"], k=rng.randint(1, 60))) for _ in out]
+    docs = spark.createDataFrame([*zip(out, texts, strict=True), *zip(learned, texts, strict=True)], "doc_id long, text string")
+    got = {r.doc_id: r for r in context_mixing.score_documents(docs).collect()}
+    for a, b in zip(out, learned, strict=True):
+        assert got[a].held_out and not got[b].held_out
+        assert got[a].score == pytest.approx(got[b].score, rel=1e-12) and got[a].base_score == pytest.approx(got[b].base_score, rel=1e-12)
+
+
 def test_pair_counts_are_exact():
     import numpy as np
 
