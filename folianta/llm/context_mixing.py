@@ -51,6 +51,8 @@ BATCH_WORDS = 1024
 WORD_BITS, PAIR_BITS = 40, 44
 #: How much the mix counts beside a word's followers, as a number of occurrences; the best for the training documents is taken.
 PULLS = tuple(float(8**i) for i in range(6))
+#: Words whose log10-probability lies below are added in logarithms where no pair counts beside them.
+LEAST_LOG = -250.0
 
 
 def held_out(doc_id: Column, folds: int = 10, fold: int = 0) -> Column:
@@ -602,18 +604,24 @@ def score_documents(docs: DataFrame, n_buckets: int | None = None) -> DataFrame:
         ids = rows.column("doc_id") if arrow_id is None else rows.column("doc_id").cast(arrow_id)
         above = every[before]
         both = np.minimum(both, above)
-        mixed, share, totals = (10 ** scores.astype(float))[tokens], np.log10(shares)[rows.column("style").to_numpy()], {}
-        learned = np.flatnonzero(np.repeat(~rows.column("held_out").to_numpy(), sizes))
-        own, under = (np.maximum(x[learned] - 1, 0).astype(np.float32) for x in (both, above))
-        by_itself = mixed[learned].astype(np.float32)
+        mixed, share, totals = (10 ** np.maximum(scores, LEAST_LOG).astype(float))[tokens], np.log10(shares)[rows.column("style").to_numpy()], {}
+        deep = np.minimum(scores.astype(float) - LEAST_LOG, 0.0)
+        if deep.any():
+            share = share + np.add.reduceat(np.where(both == 0, deep[tokens], 0.0), first)
+        learned = np.repeat(~rows.column("held_out").to_numpy(), sizes).astype(np.float32)
+        own, under, by_itself = np.maximum(both - 1, 0).astype(np.float32), np.maximum(above - 1, 0).astype(np.float32), np.maximum(mixed, 1e-37).astype(np.float32)
         for i, k in enumerate(PULLS):
             chance = k * mixed
             chance += both
             chance /= above + k
             totals[f"score_{i}"] = np.add.reduceat(np.log(chance, out=chance), first) / np.log(10) + share
-            fit = (own + np.float32(k) * by_itself) / (under + np.float32(k))
+            fit = np.float32(k) * by_itself
+            fit += own
+            fit /= under + np.float32(k)
+            np.log(fit, out=fit)
+            fit *= learned
             totals[f"fit_{i}"] = np.zeros(len(sizes))
-            totals[f"fit_{i}"][0] = np.log(fit, out=fit).sum(dtype=float)
+            totals[f"fit_{i}"][0] = fit.sum(dtype=float)
         return pa.table({"doc_id": ids, "held_out": rows.column("held_out"), "n_tokens": sizes, "n_known": np.add.reduceat((counts > 0).astype(np.int64), first), "train_tokens": np.full(len(sizes), n_train), "base_score": np.add.reduceat(base, first), **totals})
 
     out = stored(heads.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(total_up, kind))

@@ -522,6 +522,14 @@ def test_equal_texts_have_equal_scores(spark):
         assert got[a].score == pytest.approx(got[b].score, rel=1e-12) and got[a].base_score == pytest.approx(got[b].base_score, rel=1e-12)
 
 
+def test_very_long_words_have_finite_scores(spark):
+    rng = random.Random(6)
+    long = "".join(rng.choices("abcdefghijklmnop", k=20_000))
+    docs = spark.createDataFrame([(0, "to be " + long), (1, "to be or not"), (2, long + long), (3, "to be " * 40)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in context_mixing.score_documents(docs).collect()}
+    assert all(math.isfinite(v) and v < 0 for v in got.values()) and got[2] < got[0] < -1000 < got[1]
+
+
 def test_pair_counts_are_exact():
     import numpy as np
 
