@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import document_queries, format_queries, history_queries, image_queries, record_queries, report_queries, run_queries, structure_queries, text_queries  # noqa: F401
+from . import document_queries, format_queries, history_queries, image_queries, measure_queries, record_queries, report_queries, run_queries, structure_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
