@@ -98,6 +98,16 @@ def page_layout(items: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").applyInPandas(lay, "doc_id long, page int, line int, y double, text string, cells array<string>")
 
 
+def reading_order(items: DataFrame, widths: DataFrame) -> DataFrame:
+    """Lines of pages in the order in which they are read, the left column before the right one: (doc_id, page, column, line, y, text, cells). ``widths``: doc_id, page, page_width."""
+    from .structure import in_columns
+
+    apart = in_columns(items, widths).withColumn("page", F.col("page") * 2 + F.col("column") - 1).drop("column")
+    laid = page_layout(apart).withColumn("column", F.col("page") % 2 + 1).withColumn("page", F.expr("cast(page div 2 as int)"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("column", "line"))
+    return laid.select("doc_id", "page", "column", nth.alias("line"), "y", "text", "cells")
+
+
 def paragraphs(lines: DataFrame) -> DataFrame:
     """Lines (doc_id, page, line, y, size, text) to paragraphs with a heading mark of 0, 1 or 2; a line that ends in a hyphen is joined without a space and keeps it."""
     sizes = lines.groupBy("doc_id").agg(F.sort_array(F.collect_list("size")).alias("s")).select("doc_id", F.get("s", F.floor((F.size("s") - 1) / 2).cast("int")).alias("body"))

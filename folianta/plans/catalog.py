@@ -2,5 +2,17 @@
 
 from __future__ import annotations
 
-from . import document_queries, format_queries, history_queries, image_queries, measure_queries, record_queries, report_queries, run_queries, structure_queries, text_queries  # noqa: F401
+from . import (  # noqa: F401
+    check_queries,
+    document_queries,
+    format_queries,
+    history_queries,
+    image_queries,
+    measure_queries,
+    record_queries,
+    report_queries,
+    run_queries,
+    structure_queries,
+    text_queries,
+)
 from .registry import ORACLES, QUERIES  # noqa: F401
