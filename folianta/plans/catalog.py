@@ -9,6 +9,7 @@ from . import (  # noqa: F401
     history_queries,
     image_queries,
     measure_queries,
+    object_queries,
     record_queries,
     report_queries,
     run_queries,
