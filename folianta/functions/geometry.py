@@ -76,6 +76,20 @@ def polygon_area(points: Column) -> Column:
     return F.abs(F.aggregate(F.zip_with(points, after, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda n, x: n + x)) / 2
 
 
+def units_per_point(page_inches: Column, real_value: Column) -> Column:
+    """Real units a point under a scale by which so many inches of a page stand for a real value; null unless both are positive."""
+    return F.when((page_inches > 0) & (real_value > 0), real_value / (page_inches * 72))
+
+
+def measurement_text(kind: Column, points: Column, page_inches: Column, real_value: Column, unit: Column) -> Column:
+    """A distance, perimeter or area of a path in real units, with two decimals and its unit; null for too few points (two, for areas three)."""
+    scale = units_per_point(page_inches, real_value)
+    number = lambda v: F.format_number(F.round(v, 2), 2)
+    area = F.when(F.size(points) >= 3, F.concat(number(polygon_area(points) * scale * scale), F.lit(" sq "), unit))
+    length = F.when(F.size(points) >= 2, F.concat(number(path_length(points, kind == "perimeter") * scale), F.lit(" "), unit))
+    return F.when(kind == "area", area).otherwise(length)
+
+
 def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     dx, dy = bx - ax, by - ay
     size = dx * dx + dy * dy

@@ -45,6 +45,21 @@ def link_inventory(links: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
+def broken_bookmarks(bookmarks: DataFrame, pages: DataFrame) -> DataFrame:
+    """Bookmarks (doc_id, id, has_dest, target_page) whose destination is on no page."""
+    there = pages.select("doc_id", F.col("page").alias("target_page")).distinct()
+    return bookmarks.where("has_dest").join(there, ["doc_id", "target_page"], "left_anti").select(*bookmarks.columns)
+
+
+def without_broken(bookmarks: DataFrame, pages: DataFrame) -> DataFrame:
+    """All bookmarks, with dead destinations cleared: titles and what hangs below them stay. Adds cleared."""
+    there = pages.select("doc_id", F.col("page").alias("target_page"), F.lit(True).alias("_ok")).distinct()
+    dead = F.col("has_dest") & F.col("_ok").isNull()
+    rows = bookmarks.join(there, ["doc_id", "target_page"], "left").withColumn("cleared", F.coalesce(dead, F.lit(False)))
+    fresh = {"has_dest": F.col("has_dest") & ~F.col("cleared"), "target_page": F.when(~F.col("cleared"), F.col("target_page"))}
+    return rows.select(*(fresh.get(c, F.col(c)).alias(c) for c in bookmarks.columns), "cleared")
+
+
 def without_links(links: DataFrame, pages: DataFrame, mode: str = "broken") -> DataFrame:
     """Links that stay: none for `all`; for `broken`, those whose destination is on a page."""
     if mode == "all":

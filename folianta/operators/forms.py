@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def merged(fields: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -101,3 +103,30 @@ def tab_order(pages: DataFrame) -> DataFrame:
     """(doc_id, tab_order): the one order that all pages have (null counts as one), or `mixed`."""
     one = F.count_distinct(F.coalesce("tab_order", F.lit("")))
     return pages.groupBy("doc_id").agg(F.when(one > 1, "mixed").otherwise(F.first("tab_order")).alias("tab_order"))
+
+
+def merged_fields(fields: DataFrame) -> DataFrame:
+    """Adds unique to the top fields of merged documents (bundle, source from 0, seq, name; no name is `field`): the name, or Source<n>_<name>_<k> with the first k that is free.
+
+    A name is taken by an equal one and by one that is above or below it at a dot, in the order of sources and seq. Rows are sorted by bundle and looked at once, with one bundle's names in memory.
+    """
+    schema = T.StructType([*fields.schema.fields, T.StructField("unique", T.StringType())])
+
+    def fold(batches):
+        bundle, begun, names, above = None, False, set(), set()
+        for b in batches:
+            out = []
+            for of, source, name in zip(*(b.column(c).to_pylist() for c in ("bundle", "source", "name")), strict=True):
+                if not begun or of != bundle:
+                    bundle, begun, names, above = of, True, set(), set()
+                own = "field" if name is None else name
+                unique, k = own, 0
+                while unique in names or unique in above or any(unique[:i] in names for i, c in enumerate(unique) if c == "."):
+                    k += 1
+                    unique = f"Source{source + 1}_{own}_{k}"
+                names.add(unique)
+                above.update(unique[:i] for i, c in enumerate(unique) if c == ".")
+                out.append(unique)
+            yield b.append_column("unique", pa.array(out, pa.string()))
+
+    return fields.repartition("bundle").sortWithinPartitions("bundle", "source", "seq").mapInArrow(fold, schema)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import checks, exports, forms, layout
+from ..functions import geometry as geo
+from ..operators import audit, checks, exports, forms, layout
 from .registry import ORACLES, PAGES, pages, query, table
 from .structure_queries import _column_words, tags_of
 
@@ -97,3 +98,39 @@ def nearby_labels(spark, sf_dir):
         (p * 7 % 500).cast("double").alias("x"), (F.col("l_suppkey") * 11 % 340).cast("double").alias("y"), F.col("l_quantity").cast("double").alias("width"), F.when(p % 5 == 0, 0.0).otherwise(6.0 + p % 8).alias("size"),
     )
     return forms.nearby_label(w, i)
+
+
+@query("""WITH RECURSIVE f AS (SELECT p_partkey // 25 AS bundle, p_partkey % 25 // 5 AS source, p_partkey AS seq, CASE p_size % 7 WHEN 0 THEN 'a' WHEN 1 THEN 'a.b' WHEN 2 THEN 'a.b.c' WHEN 3 THEN 'd' WHEN 4 THEN NULL WHEN 5 THEN 'e' || p_size % 3 ELSE 'd.x' END AS name FROM part),
+n AS (SELECT *, row_number() OVER (PARTITION BY bundle ORDER BY source, seq) AS k, coalesce(name, 'field') AS own FROM f),
+w AS (SELECT DISTINCT bundle, 0::BIGINT AS k, []::VARCHAR[] AS names, NULL::VARCHAR AS u FROM n UNION ALL
+SELECT bundle, k, list_append(names, u), u FROM (SELECT n.bundle, n.k, w.names, list_filter(list_prepend(n.own, list_transform(range(1, 30), lambda i: 'Source' || (n.source + 1) || '_' || n.own || '_' || i)),
+  lambda c: len(list_filter(w.names, lambda x: x = c OR starts_with(x, c || '.') OR starts_with(c, x || '.'))) = 0)[1] AS u FROM w JOIN n ON n.bundle = w.bundle AND n.k = w.k + 1))
+SELECT n.bundle, n.source, n.seq, n.name, w.u AS "unique" FROM n JOIN w ON w.bundle = n.bundle AND w.k = n.k""")
+def fields_merged(spark, sf_dir):
+    """Names of the fields of five merged documents each."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    name = F.when(s % 7 == 0, "a").when(s % 7 == 1, "a.b").when(s % 7 == 2, "a.b.c").when(s % 7 == 3, "d").when(s % 7 == 4, F.lit(None)).when(s % 7 == 5, F.concat(F.lit("e"), s % 3)).otherwise("d.x")
+    return forms.merged_fields(table(spark, sf_dir, "part").select(F.expr("p_partkey div 25").alias("bundle"), F.expr("p_partkey % 25 div 5").alias("source"), k.alias("seq"), name.alias("name")))
+
+
+@query("""WITH b AS (SELECT l_orderkey // 100 AS doc_id, l_orderkey * 10 + l_linenumber AS id, l_linenumber % 3 > 0 AS has_dest, l_partkey % 9 AS target_page FROM lineitem), p AS (SELECT DISTINCT l_orderkey // 100 AS doc_id, l_suppkey % 9 AS target_page FROM lineitem WHERE l_linenumber = 1),
+c AS (SELECT b.*, has_dest AND p.doc_id IS NULL AS cleared FROM b LEFT JOIN p USING (doc_id, target_page)) SELECT doc_id, id, has_dest AND NOT cleared AS has_dest, CASE WHEN NOT cleared THEN target_page END AS target_page, cleared FROM c""")
+def bookmarks_cleared(spark, sf_dir):
+    """Bookmarks without their dead destinations."""
+    t = table(spark, sf_dir, "lineitem")
+    d = F.expr("l_orderkey div 100").alias("doc_id")
+    marks = t.select(d, (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_linenumber") % 3 > 0).alias("has_dest"), (F.col("l_partkey") % 9).alias("target_page"))
+    return audit.without_broken(marks, t.where("l_linenumber = 1").select(d, (F.col("l_suppkey") % 9).alias("page")))
+
+
+@query("""WITH p AS (SELECT l_orderkey AS id, list(l_partkey % 600 ORDER BY l_linenumber, l_partkey, l_suppkey) AS x, list(l_suppkey % 790 ORDER BY l_linenumber, l_partkey, l_suppkey) AS y, ['distance', 'perimeter', 'area'][(l_orderkey % 3 + 1)::INT] AS kind, (l_orderkey % 5) / 2 AS inches, (l_orderkey % 7 + 1) * 25 AS real, ['ft', 'm', 'in'][(l_orderkey % 3 + 1)::INT] AS unit FROM lineitem GROUP BY l_orderkey),
+s AS (SELECT *, len(x) AS n, CASE WHEN inches > 0 THEN real / (inches * 72) END AS f, list_sum(list_transform(range(1, len(x)), lambda i: sqrt((x[i + 1] - x[i]) ** 2 + (y[i + 1] - y[i]) ** 2))) AS path, sqrt((x[1] - x[-1]) ** 2 + (y[1] - y[-1]) ** 2) AS back,
+  abs(list_sum(list_transform(range(1, len(x) + 1), lambda i: x[i] * y[i % len(x) + 1] - x[i % len(x) + 1] * y[i]))) / 2 AS area FROM p)
+SELECT id, CASE WHEN f IS NULL OR n < CASE WHEN kind = 'area' THEN 3 ELSE 2 END THEN NULL WHEN kind = 'area' THEN format('{:,.2f}', round(area * f * f, 2)) || ' sq ' || unit ELSE format('{:,.2f}', round((path + CASE WHEN kind = 'perimeter' AND n > 2 THEN back ELSE 0 END) * f, 2)) || ' ' || unit END AS text FROM s""")
+def measurements(spark, sf_dir):
+    """Paths through the places of an order's lines, as text in real units."""
+    k = F.col("id")
+    at = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")))
+    t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.transform(at, lambda p: F.struct((p["l_partkey"] % 600).cast("double").alias("x"), (p["l_suppkey"] % 790).cast("double").alias("y"))).alias("p"))
+    of = lambda *names: F.element_at(F.array(*map(F.lit, names)), (k % 3 + 1).cast("int"))
+    return t.select("id", geo.measurement_text(of("distance", "perimeter", "area"), F.col("p"), k % 5 / 2, (k % 7 + 1) * 25.0, of("ft", "m", "in")).alias("text"))
