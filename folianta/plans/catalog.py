@@ -15,5 +15,6 @@ from . import (  # noqa: F401
     run_queries,
     structure_queries,
     text_queries,
+    view_queries,
 )
 from .registry import ORACLES, QUERIES  # noqa: F401
