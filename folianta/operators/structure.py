@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,12 +104,19 @@ def resolved(links: DataFrame, names: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def document_styles(lines: DataFrame, sample: int = 40) -> DataFrame:
-    """Styles of a document's lines (doc_id, page, seq, font, size, bold, text): how many lines, the first words, and their rank by size, bold ones first, then by lines."""
-    text = F.trim(F.regexp_replace("text", r"\s+", " "))
-    first = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("page", "seq", text.alias("t")))), 1, sample), lambda s: s["t"])
-    per = lines.groupBy("doc_id", "font", "size", "bold").agg(F.count(F.lit(1)).alias("lines"), F.substring(F.trim(F.array_join(F.filter(first, lambda t: t != ""), " ")), 1, sample).alias("sample"))
+    """Styles of a document's lines (doc_id, page, seq, font, size, bold, text): how many lines, the first words, and their rank by size, bold ones first, then by lines.
+
+    Only the first ``sample`` lines with a character are gathered for the words, as they have as many characters.
+    """
+    style = ["doc_id", "font", "size", "bold"]
+    said = lines.withColumn("_t", F.trim(F.regexp_replace("text", r"\s+", " "))).where("_t <> ''")
+    early = said.withColumn("_r", F.row_number().over(Window.partitionBy(*style).orderBy("page", "seq"))).where(F.col("_r") <= sample)
+    words = early.groupBy(*style).agg(F.array_sort(F.collect_list(F.struct("_r", F.substring("_t", 1, sample).alias("t")))).alias("_w"))
+    first = words.select(*(F.col(c).alias(f"_{c}") for c in style), F.trim(F.substring(F.array_join(F.transform("_w", lambda x: x["t"]), " "), 1, sample)).alias("sample"))
+    per = lines.groupBy(*style).agg(F.count(F.lit(1)).alias("lines"))
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in style))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("size"), F.desc("bold"), F.desc("lines"), "font"))
-    return per.withColumn("rank", rank)
+    return per.join(first, same, "left").select(*style, "lines", F.coalesce("sample", F.lit("")).alias("sample"), rank.alias("rank"))
 
 
 def comments_of(annotations: DataFrame) -> DataFrame:
@@ -133,8 +142,11 @@ def capped(rows: DataFrame, order: list[str], most: int) -> DataFrame:
 
 
 def split_ranges(pages: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(doc_id, part, page, page_in_part) for ranges (doc_id, nth, first, last) of pages in their order; pages that aren't there are dropped and parts without any don't count."""
-    rows = ranges.withColumn("page", F.explode(F.sequence(F.least("first", "last"), F.greatest("first", "last")))).join(pages.select("doc_id", "page"), ["doc_id", "page"])
+    """(doc_id, part, page, page_in_part) for ranges (doc_id, nth, first, last) of pages in their order; pages that aren't there are dropped and parts without any don't count. Ranges are cut to the document before they are taken apart."""
+    ends = pages.groupBy("doc_id").agg(F.min("page").alias("_from"), F.max("page").alias("_to"))
+    low, high = F.greatest(F.least("first", "last"), "_from"), F.least(F.greatest("first", "last"), "_to")
+    within = ranges.join(ends, "doc_id").select("doc_id", "nth", low.alias("_low"), high.alias("_high")).where("_low <= _high")
+    rows = within.select("doc_id", "nth", F.explode(F.sequence("_low", "_high")).alias("page")).join(pages.select("doc_id", "page"), ["doc_id", "page"])
     part = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("nth"))
     place = F.row_number().over(Window.partitionBy("doc_id", "nth").orderBy("page"))
     return rows.select("doc_id", part.alias("part"), "page", place.alias("page_in_part"))

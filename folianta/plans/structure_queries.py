@@ -110,11 +110,11 @@ def destinations(spark, sf_dir):
 _STYLED = f"{PAGES}, s_ AS (SELECT doc_id, page AS seq, 'F' || length(text) % 3 AS font, (9 + length(text) % 4)::DOUBLE AS size, length(text) % 2 = 0 AS bold, text FROM pages_)"
 
 
-@query(f"""WITH {_STYLED}, g AS (SELECT doc_id, font, size, bold, count(*) AS lines FROM s_ GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, bold DESC, lines DESC, font)::INT AS rank FROM g""")
+@query(f"""WITH {_STYLED}, g AS (SELECT doc_id, font, size, bold, count(*) AS lines, coalesce(trim(substring(string_agg(t, ' ' ORDER BY seq) FILTER (t <> ''), 1, 40)), '') AS sample FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM s_) GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, bold DESC, lines DESC, font)::INT AS rank FROM g""")
 def document_styles(spark, sf_dir):
     n = F.length("text")
     lines = pages(spark, sf_dir).select("doc_id", F.lit(1).alias("page"), F.col("page").alias("seq"), F.concat(F.lit("F"), n % 3).alias("font"), (n % 4 + 9).cast("double").alias("size"), (n % 2 == 0).alias("bold"), "text")
-    return structure.document_styles(lines).drop("sample")
+    return structure.document_styles(lines)
 
 
 @query("""SELECT event_id // 100 AS doc_id, (event_id % 7)::INT AS page, CASE WHEN event_id % 3 = 0 THEN 'n' || event_id ELSE event_id::VARCHAR END AS id, CASE WHEN event_id % 6 = 4 AND event_id % 4 = 0 THEN 'Arrow' ELSE ['Text', 'Highlight', 'Square', 'Circle', 'Line', 'Link'][(event_id % 6 + 1)::INT] END AS type,
@@ -142,11 +142,11 @@ def first_findings(spark, sf_dir):
     return structure.capped(pages(spark, sf_dir).select("doc_id", "page"), ["page"], 3)
 
 
-@query(f"""WITH {PAGES}, r AS (SELECT DISTINCT doc_id, nth, a, b FROM pages_, (VALUES (1, 2, 4), (2, 90, 95), (3, 3, 1), (4, 6, 6)) v(nth, a, b)), p AS (SELECT r.doc_id, nth, page FROM r JOIN pages_ p ON p.doc_id = r.doc_id AND p.page BETWEEN least(a, b) AND greatest(a, b))
+@query(f"""WITH {PAGES}, r AS (SELECT DISTINCT doc_id, nth, a, b FROM pages_, (VALUES (1, 2, 4), (2, 90, 1000000000), (3, 3, 1), (4, 6, 6)) v(nth, a, b)), p AS (SELECT r.doc_id, nth, page FROM r JOIN pages_ p ON p.doc_id = r.doc_id AND p.page BETWEEN least(a, b) AND greatest(a, b))
 SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY nth)::INT AS part, page, row_number() OVER (PARTITION BY doc_id, nth ORDER BY page)::INT AS page_in_part FROM p""")
 def split_ranges(spark, sf_dir):
     p = pages(spark, sf_dir).select("doc_id", "page")
-    each = F.array(*[F.struct(F.lit(n).alias("nth"), F.lit(a).alias("first"), F.lit(b).alias("last")) for n, a, b in ((1, 2, 4), (2, 90, 95), (3, 3, 1), (4, 6, 6))])
+    each = F.array(*[F.struct(F.lit(n).alias("nth"), F.lit(a).alias("first"), F.lit(b).alias("last")) for n, a, b in ((1, 2, 4), (2, 90, 1_000_000_000), (3, 3, 1), (4, 6, 6))])
     return structure.split_ranges(p, p.select("doc_id").distinct().select("doc_id", F.explode(each).alias("r")).select("doc_id", "r.*"))
 
 

@@ -169,7 +169,9 @@ def cer(spark, sf_dir):
     return _pairs(spark, sf_dir).select("id", F.round(insights.character_error(F.col("truth"), F.col("read")), 6).alias("cer"))
 
 
-@query()
+@query(_PAIRS + r""", t AS (SELECT id, list_filter(string_split(trim(lower(regexp_replace(regexp_replace(truth, '[/._-]', ' ', 'g'), '\s+', ' ', 'g'))), ' '), lambda w: w <> '') AS a, list_filter(string_split(trim(lower(regexp_replace(regexp_replace(read, '[/._-]', ' ', 'g'), '\s+', ' ', 'g'))), ' '), lambda w: w <> '') AS b FROM p),
+k AS (SELECT *, list_distinct(a || b) AS known FROM t), c AS (SELECT id, len(a) AS n, array_to_string(list_transform(a, lambda w: chr((33 + list_position(known, w))::INT)), '') AS x, array_to_string(list_transform(b, lambda w: chr((33 + list_position(known, w))::INT)), '') AS y FROM k)
+SELECT id, round(levenshtein(x, y) / greatest(n, 1), 6) AS wer FROM c""")
 def wer(spark, sf_dir):
     slashed = _pairs(spark, sf_dir).select("id", F.regexp_replace("truth", "[/._-]", " ").alias("truth"), F.regexp_replace("read", "[/._-]", " ").alias("read"))
     return slashed.select("id", F.round(insights.word_error(F.col("truth"), F.col("read")), 6).alias("wer"))
