@@ -3,7 +3,8 @@
 Tokens are lower-cased runs of letters and digits (and of all bytes beyond ASCII). A document and a benchmark item that share a seed, ``MIN_TILE`` consecutive
 tokens, are compared by greedy string tiling: the longest matches that do not overlap earlier ones are marked, again and again, down to tiles of ``MIN_TILE`` tokens; matches are found by running
 Karp-Rabin over the parts of the document that seeds cover. The share of the item's tokens in tiles is its coverage, whatever the order of the tiles, so
-reordered passages count; at ``COVERAGE`` or more the document is contaminated.
+reordered passages count; at ``COVERAGE`` or more the document is contaminated. What common seeds cover of an item bounds its coverage: items that can neither reach
+``COVERAGE`` nor be covered most are not tiled, so a phrase in very many items costs one look a document.
 
 The items' seeds go to the tasks in slices by item_id of about ``SLICE_BYTES`` at most; a benchmark beyond one slice is looked up slice
 by slice, of which one at a time is gathered and sent; each reads the texts anew and writes only what it finds. Matches that lie within longer ones are never looked at, so words that repeat in item and text cost the
@@ -108,10 +109,45 @@ class Slice:
         seeds, whole = tc.grams(hashes, doc, MIN_TILE)
         at = np.flatnonzero(whole)
         order = np.argsort(seeds[at], kind="stable")
-        self.seeds, self.of = seeds[at][order], doc[at][order]
+        self.seeds, self.of, self.place = seeds[at][order], doc[at][order], (at - bounds[doc[at]])[order]
+        ends = np.searchsorted(doc[at], np.arange(len(items) + 1))
+        self.own = [seeds[at[x:y]] for x, y in zip(ends, ends[1:], strict=False)]
+        self.size = np.diff(bounds)
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(self.seeds & np.uint64(0xFFFF)).astype(np.int64)] = True
 
+    def _bounds(self, doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, item, the most of it that tiles can cover) for documents and items with a common seed, the best first: no tile lies outside the item's tokens that common seeds cover."""
+        order = np.lexsort((low, doc))
+        doc, low, high = doc[order], low[order], high[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (low[1:] != low[:-1])
+        doc, low, n = doc[new], low[new], (high - low)[new]
+        at = np.arange(int(n.sum())) + np.repeat(low - (np.cumsum(n) - n), n)
+        d, k, p = np.repeat(doc, n), self.of[at], self.place[at]
+        order = np.lexsort((p, k, d))
+        d, k, p = d[order], k[order], p[order]
+        same = np.zeros(len(d), bool)
+        same[:-1] = (d[1:] == d[:-1]) & (k[1:] == k[:-1])
+        reach = np.full(len(d), MIN_TILE)
+        reach[:-1] = np.where(same[:-1], np.minimum(p[1:] - p[:-1], MIN_TILE), MIN_TILE)
+        heads = np.flatnonzero(np.concatenate([[True], ~same[:-1]])) if len(d) else np.zeros(0, np.int64)
+        d, k, most = d[heads], k[heads], (np.add.reduceat(reach, heads) if len(heads) else np.zeros(0, np.int64))
+        share = most / np.maximum(self.size[k], 1)
+        order = np.lexsort((k, -share, d))
+        return d[order], k[order], share[order]
+
+    @staticmethod
+    def _parts(hashes: np.ndarray, starts: list[int]) -> list[int | None]:
+        """The tokens that seeds at these places cover, with a gap before each run."""
+        text, last = [], -1
+        for i in starts:
+            if i > last:
+                text.append(None)
+            text += [int(x) for x in hashes[max(i, last) : i + MIN_TILE]]
+            last = i + MIN_TILE
+        return text
+
     def best(self, column: pa.Array) -> list[tuple]:
         """(best item, its coverage, its tokens in tiles, items at or above the threshold) of each text."""
         out = [(None, 0.0, 0, 0)] * len(column)
@@ -123,22 +159,21 @@ class Slice:
             at = np.flatnonzero(whole & self.maybe[(seeds & np.uint64(0xFFFF)).astype(np.int64)]) if len(seeds) else np.zeros(0, np.int64)
             low, high = np.searchsorted(self.seeds, seeds[at]), np.searchsorted(self.seeds, seeds[at], side="right")
             hit = high > low
-            places = defaultdict(list)
-            for i, x, y in zip(at[hit].tolist(), low[hit].tolist(), high[hit].tolist(), strict=True):
-                for k in set(self.of[x:y].tolist()):
-                    places[int(doc[i]), k].append(i)
-            for (d, k), starts in places.items():
-                text, last = [], -1
-                for i in starts:
-                    if i > last:
-                        text.append(None)
-                    text += [int(x) for x in hashes[max(i, last) : i + MIN_TILE]]
-                    last = i + MIN_TILE
-                n = sum(t[2] for t in tiles(self.items[k], text))
-                share = n / len(self.items[k])
-                old = out[a + d]
-                better = old[0] is None or share > old[1] or (share == old[1] and self.ids[k] < old[0])
-                out[a + d] = (*((self.ids[k], share, n) if better else old[:3]), old[3] + (share >= COVERAGE))
+            at, low, high = at[hit], low[hit], high[hit]
+            of = doc[at]
+            of_doc, item, most = self._bounds(of, low, high)
+            firsts, texts = np.searchsorted(of_doc, np.arange(b - a + 1)), np.searchsorted(of, np.arange(b - a + 1))
+            for d in np.flatnonzero(np.diff(firsts)).tolist():
+                places = at[texts[d] : texts[d + 1]]
+                own = seeds[places]
+                for k, bound in zip(item[firsts[d] : firsts[d + 1]].tolist(), most[firsts[d] : firsts[d + 1]].tolist(), strict=True):
+                    old = out[a + d]
+                    if bound < COVERAGE and old[0] is not None and (bound < old[1] or (bound == old[1] and self.ids[k] >= old[0])):
+                        break
+                    n = sum(t[2] for t in tiles(self.items[k], self._parts(hashes, places[np.isin(own, self.own[k])].tolist())))
+                    share = n / len(self.items[k])
+                    better = old[0] is None or share > old[1] or (share == old[1] and self.ids[k] < old[0])
+                    out[a + d] = (*((self.ids[k], share, n) if better else old[:3]), old[3] + (share >= COVERAGE))
         return out
 
 

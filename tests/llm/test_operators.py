@@ -645,6 +645,39 @@ def test_contamination_agrees_with_all_pairs(spark):
     assert any(r.contaminated for r in got.values()) and not all(r.contaminated for r in got.values())
 
 
+def test_a_phrase_in_thousands_of_items_takes_one_look(spark):
+    import time
+
+    rng = random.Random(1)
+    item = lambda: "one shared phrase of five " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(20))
+    made = tiling.Slice([(i, item()) for i in range(4_000)])
+    began = time.time()
+    assert made.best(pa.array(["hello one shared phrase of five there"] * 50)) == [(0, 0.2, 5, 0)] * 50
+    assert time.time() - began < 1
+
+
+def test_bounds_change_no_result():
+    """The most covered item and the number of those at the threshold, against tiling with every item."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(9)]
+    for _ in range(60):
+        items = [(rng.randrange(50), " ".join(rng.choices(words, k=rng.randint(0, 25)))) for _ in range(rng.randint(1, 12))]
+        texts = [" ".join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(4)] + [" x ".join(t for _, t in rng.sample(items, min(2, len(items))))]
+        made = tiling.Slice(sorted(items))
+        for text, got in zip(texts, made.best(pa.array(texts)), strict=True):
+            seq = [int(x) for x in tiling.tokens(*tiling.tc.buffers(pa.array([text])))[0]]
+            best = (None, 0.0, 0, 0)
+            for i, own in zip(made.ids, made.items, strict=True):
+                own_seeds = {tuple(own[j : j + 5]) for j in range(len(own) - 4)}
+                starts = [j for j in range(len(seq) - 4) if tuple(seq[j : j + 5]) in own_seeds]
+                if starts:
+                    n = sum(t[2] for t in tiling.tiles(own, tiling.Slice._parts(seq, starts)))
+                    share = n / len(own)
+                    first = best[0] is None or share > best[1] or (share == best[1] and i < best[0])
+                    best = (*((i, share, n) if first else best[:3]), best[3] + (share >= tiling.COVERAGE))
+            assert got == best
+
+
 def test_repeats_take_no_cubic_time():
     import time
 
