@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..tables import Tables
 from .layout import markdown_line
 
 
@@ -62,6 +63,37 @@ def spreadsheet_rows(cells: DataFrame) -> DataFrame:
     return t.groupBy("doc_id", "page", "line").agg(F.concat(F.lit("<Row>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("column", cell.alias("x")))), lambda s: s["x"]), ""), F.lit("</Row>")).alias("xml"))
 
 
+def bookmarks_json(nodes: DataFrame) -> DataFrame:
+    """(doc_id, body): bookmarks (doc_id, id, parent_id, seq, title, page) as nested JSON, children in the order of seq. Built from the deepest level up, one grouping a level; nodes without a way to the top are left out."""
+    from .trees import OUTLINE_DEPTH, levels
+
+    tables = Tables(nodes.sparkSession)
+    rows = tables.keep(levels(nodes, OUTLINE_DEPTH))
+    own = F.to_json(F.struct("title", "page"), {"ignoreNullFields": "false"})
+    below = None
+    for depth in range(rows.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0], -1, -1):
+        here = rows.where(F.col("depth") == depth).withColumn("_x", own)
+        if below is not None:
+            here = here.join(below, ["doc_id", "id"], "left").withColumn("_x", F.when(F.col("_kids").isNotNull(), F.concat(F.expr("left(_x, length(_x) - 1)"), F.lit(',"children":['), "_kids", F.lit("]}"))).otherwise(F.col("_x")))
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "_x"))), lambda k: k["_x"]), ",").alias("_kids")
+        below = tables.keep(here.groupBy("doc_id", F.col("parent_id").alias("id")).agg(joined))
+    return below.select("doc_id", F.concat(F.lit('{"format":"bookmarks","version":1,"bookmarks":['), "_kids", F.lit("]}")).alias("body"))
+
+
+def annotations_xfdf(marks: DataFrame) -> DataFrame:
+    """(doc_id, body): marks (doc_id, seq, tag, page from 1, rect of four numbers, name, title, contents) as XFDF, for the five tags that :func:`sources.exchange.xfdf_marks` reads; marks of other tags and without four finite numbers are left out."""
+    number = lambda v: F.regexp_replace(v.cast("string"), r"\.0$", "")
+    finite = (F.size("rect") == 4) & ~F.exists("rect", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    attribute = lambda name, value: F.concat(F.lit(f' {name}="'), tx.escape_markup(F.coalesce(value, F.lit(""))), F.lit('"'))
+    one = F.concat(
+        F.lit("<"), "tag", attribute("page", (F.col("page") - 1).cast("string")), attribute("rect", F.array_join(F.transform("rect", number), ",")), attribute("name", F.col("name")), attribute("title", F.col("title")),
+        F.lit("><contents>"), tx.escape_markup(F.coalesce("contents", F.lit(""))), F.lit("</contents></"), "tag", F.lit(">"),
+    )
+    kept = marks.where(F.col("tag").isin("text", "highlight", "underline", "strikeout", "freetext") & finite & (F.col("page") >= 1))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", one.alias("x")))), lambda s: s["x"]), "")
+    return kept.groupBy("doc_id").agg(F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><xfdf xmlns="http://ns.adobe.com/xfdf/"><annots>'), body, F.lit("</annots></xfdf>")).alias("body"))
+
+
 def archive_manifest(parts: DataFrame, most: int = 1000) -> DataFrame:
     """(doc_id, part, pages, file_name) from pages with a part; documents of more than ``most`` files are an error."""
     each = parts.groupBy("doc_id", "part").agg(F.min("page").alias("a"), F.max("page").alias("b"), F.count(F.lit(1)).alias("pages"))

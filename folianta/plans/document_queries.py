@@ -288,12 +288,12 @@ def lines_of(spark, sf_dir):
     return p.select("doc_id", F.col("page").alias("seq"), F.expr("cast((page - 1) div 5 + 1 as int)").alias("page"), "text", (F.lit(9.0) + 0.5 * (F.length("text") % 20)).cast("double").alias("size"), (720 - 12 * ((F.col("page") - 1) % 5)).cast("double").alias("y"))
 
 
-@query(f"""WITH {_LINES}, h AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY size DESC) AS level FROM lines_ WHERE size >= 10 * 1.15::DOUBLE AND length(text) BETWEEN 2 AND 200 AND regexp_matches(text, '\\pL'))
+@query(f"""WITH {_LINES}, z AS (SELECT doc_id, size, sum(length(text)) AS n FROM lines_ GROUP BY ALL), b AS (SELECT doc_id, arg_max(size, (n, -size)) AS body FROM z GROUP BY 1),
+h AS (SELECT l.*, dense_rank() OVER (PARTITION BY doc_id ORDER BY size DESC) AS level FROM lines_ l JOIN b USING (doc_id) WHERE size >= body * 1.15::DOUBLE AND length(text) BETWEEN 2 AND 200 AND regexp_matches(text, '\\pL'))
 SELECT doc_id, seq, level::INT AS level FROM h WHERE level <= 6""")
 def heading_levels(spark, sf_dir):
     lines = lines_of(spark, sf_dir)
-    body = lines.select("doc_id").distinct().withColumn("body", F.lit(10.0))
-    return layout.heading_levels(lines, body).select("doc_id", "seq", "level")
+    return layout.heading_levels(lines, layout.body_size(lines.withColumnRenamed("text", "str"))).select("doc_id", "seq", "level")
 
 
 @query(f"""WITH {_LINES}, l AS (SELECT doc_id, page, seq, y, text, 9 + 0.5 * (length(text) % 2) AS size FROM lines_), f AS (SELECT *, CASE WHEN lag(size) OVER w = size AND lag(y) OVER w - y > 0 AND lag(y) OVER w - y <= size * 1.6 THEN 0 ELSE 1 END AS new FROM l WINDOW w AS (PARTITION BY doc_id, page ORDER BY seq)),

@@ -35,15 +35,15 @@ def cell_types(spark, sf_dir):
 
 
 @query(rf"""WITH {PAGES}, p AS (SELECT doc_id, page, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM pages_), e AS (SELECT doc_id, page, regexp_replace(t, '([\\`*_\[\]<>|~&!])', '\\\1', 'g') AS t FROM p WHERE t <> '')
-SELECT doc_id, page, regexp_replace(regexp_replace(t, '^(\s*)([#>+=-])', '\1\\\2'), '^(\s*\d+)([.)])', '\1\\\2') AS block FROM e""")
+SELECT doc_id, page, CASE WHEN page % 3 > 0 THEN repeat('#', page % 3 + 1) || ' ' ELSE '' END || regexp_replace(regexp_replace(t, '^(\s*)([#>+=-])', '\1\\\2'), '^(\s*\d+)([.)])', '\1\\\2') AS block FROM e""")
 def markdown_export(spark, sf_dir):
-    p = pages(spark, sf_dir).withColumn("heading", F.lit(0)).withColumn("line", F.lit(1))
+    p = pages(spark, sf_dir).withColumn("heading", F.col("page") % 3).withColumn("line", F.lit(1))
     return exports.markdown_blocks(p).select("doc_id", "page", "block")
 
 
-@query(f"""WITH {PAGES} SELECT doc_id, page, '<p>' || replace(replace(replace(replace(replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') || '</p>' AS block FROM pages_""")
+@query(f"""WITH {PAGES} SELECT doc_id, page, CASE page % 3 WHEN 0 THEN '<p>' WHEN 1 THEN '<h2>' ELSE '<h3>' END || replace(replace(replace(replace(replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') || CASE page % 3 WHEN 0 THEN '</p>' WHEN 1 THEN '</h2>' ELSE '</h3>' END AS block FROM pages_""")
 def html_export(spark, sf_dir):
-    p = pages(spark, sf_dir).withColumn("heading", F.lit(0)).withColumn("line", F.lit(1))
+    p = pages(spark, sf_dir).withColumn("heading", F.col("page") % 3).withColumn("line", F.lit(1))
     return exports.html_blocks(p).select("doc_id", "page", "block")
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import views
+from ..operators import exports, views
+from ..sources import exchange
 from .registry import query, table
 
 _LIST = lambda names: ", ".join(repr(n) for n in names)
@@ -71,3 +72,36 @@ def comments_copied(spark, sf_dir):
 @query("SELECT user_id AS doc_id, event_id % 4 AS page, event_id AS seq, (row_number() OVER (PARTITION BY user_id, event_id % 4 ORDER BY event_id) - 1)::INT * 18 AS \"offset\" FROM events")
 def paste_offsets(spark, sf_dir):
     return views.paste_offsets(table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 4).alias("page"), F.col("event_id").alias("seq")))
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_nationkey AS n, n_regionkey AS r, c_custkey % 20 AS doc_id, c_name FROM customer JOIN nation ON n_nationkey = c_nationkey),
+a AS (SELECT DISTINCT doc_id, r FROM c), b AS (SELECT DISTINCT doc_id, r, n FROM c), x AS (SELECT doc_id, r, row_number() OVER (PARTITION BY doc_id ORDER BY r DESC) - 1 AS i FROM a), y AS (SELECT doc_id, r, n, row_number() OVER (PARTITION BY doc_id, r ORDER BY n DESC) - 1 AS i FROM b),
+z AS (SELECT *, row_number() OVER (PARTITION BY doc_id, n ORDER BY k DESC) - 1 AS i FROM c)
+SELECT doc_id, i::VARCHAR AS path, 'R "' || r || '"' AS title, NULL::INT AS page FROM x UNION ALL SELECT y.doc_id, x.i || '/' || y.i, 'N ' || y.n, (y.n + 1)::INT FROM y JOIN x USING (doc_id, r)
+UNION ALL SELECT z.doc_id, x.i || '/' || y.i || '/' || z.i, c_name, CASE WHEN k % 3 > 0 THEN (k % 50 + 1)::INT END FROM z JOIN y ON y.doc_id = z.doc_id AND y.n = z.n JOIN x ON x.doc_id = z.doc_id AND x.r = z.r""")
+def bookmarks_there_and_back(spark, sf_dir):
+    """Bookmarks written as nested JSON and read again."""
+    k, n, r = F.col("c_custkey"), F.col("c_nationkey"), F.col("n_regionkey")
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == n).withColumn("doc_id", k % 20)
+    name = lambda a, v: F.concat(F.lit(a), v.cast("string"))
+    none = F.lit(None)
+    top = c.select("doc_id", name("r", r).alias("id"), none.cast("string").alias("parent_id"), (-r).cast("long").alias("seq"), F.concat(F.lit('R "'), r, F.lit('"')).alias("title"), none.cast("int").alias("page")).distinct()
+    mid = c.select("doc_id", name("n", n).alias("id"), name("r", r).alias("parent_id"), (-n).cast("long").alias("seq"), name("N ", n).alias("title"), (n + 1).cast("int").alias("page")).distinct()
+    low = c.select("doc_id", name("c", k).alias("id"), name("n", n).alias("parent_id"), (-k).cast("long").alias("seq"), F.col("c_name").alias("title"), F.when(k % 3 > 0, k % 50 + 1).cast("int").alias("page"))
+    back = exchange.bookmark_tree(exports.bookmarks_json(top.unionByName(mid).unionByName(low)))
+    return back.where("error is null").select("doc_id", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"), "title", "page")
+
+
+_TAGS = ("text", "highlight", "underline", "strikeout", "freetext", "ink")
+
+
+@query(f"""SELECT l_orderkey AS doc_id, [{_LIST(_TAGS)}][(l_partkey % 6 + 1)::INT] AS tag, (l_linenumber % 9 + 1)::INT AS page, (l_partkey % 500)::DOUBLE AS x0, l_suppkey / 4 AS y1, 'm' || l_linenumber || '-' || l_partkey AS name
+FROM lineitem WHERE l_partkey % 6 < 5 AND l_suppkey % 10 > 0 AND l_linenumber % 9 + 1 <= 5""")
+def annotations_there_and_back(spark, sf_dir):
+    """Annotations written as XFDF and read again for documents of five pages."""
+    p, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    rect = F.array((p % 500).cast("double"), F.lit(1.5), F.lit(600.0), F.when(s % 10 > 0, s / 4))
+    name = F.concat(F.lit("m"), n, F.lit("-"), p)
+    marks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), name.alias("seq"), _pick(_TAGS, p).alias("tag"), (n % 9 + 1).cast("int").alias("page"), rect.alias("rect"), name.alias("name"), F.lit('A & "B"').alias("title"), F.concat(F.lit("<b> "), "l_shipdate").alias("contents"))
+    back = exchange.xfdf_marks(exports.annotations_xfdf(marks).withColumn("pages", F.lit(5)))
+    return back.select("doc_id", "tag", "page", F.col("rect")[0].alias("x0"), F.col("rect")[3].alias("y1"), "name")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import Tables
+
 COMMENT = "struct<format:string,version:int,pages:int,comments:array<struct<id:string,page:int,type:string,text:string,rect:array<double>>>>"
 COMMENT_TYPES = ("Text", "FreeText", "Highlight", "Underline", "StrikeOut", "Square", "Circle", "Ink")
 FORM = "struct<format:string,version:int,fields:array<struct<name:string,type:string,value:string>>>"
@@ -46,6 +48,40 @@ def bookmarks(files: DataFrame, strict: bool = False) -> DataFrame:
     return _strict(out) if strict else out
 
 
+NESTED = "struct<format:string,version:int,bookmarks:array<string>>"
+ENTRY = "struct<title:string,page:int,children:array<string>>"
+#: Levels, bookmarks and bytes of a file.
+MOST_NESTED, MOST_BOOKMARKS, MOST_JSON = 32, 10_000, 2_000_000
+
+
+def bookmark_tree(files: DataFrame) -> DataFrame:
+    """Nested bookmarks of files (doc_id, body): doc_id, path (places from the top down, from 0), title, page, error.
+
+    A level of children is taken apart at a time, each as the text that it is. A file that isn't bookmarks, is too large or nests too deep, and one with a bad title or page, gives one row with the
+    error and no bookmarks.
+    """
+    tables = Tables(files.sparkSession)
+    j = F.from_json("body", NESTED)
+    good = (F.octet_length("body") <= MOST_JSON) & j["format"].eqNullSafe(F.lit("bookmarks")) & j["version"].eqNullSafe(F.lit(1)) & j["bookmarks"].isNotNull()
+    read = tables.keep(files.select("doc_id", F.monotonically_increasing_id().alias("_f"), F.when(F.coalesce(good, F.lit(False)), j["bookmarks"]).alias("_below")))
+    wrong = read.where("_below is null").select("_f", F.lit("not bookmarks").alias("error"))
+    at, out = read.where("_below is not null").select("doc_id", "_f", F.array().cast("array<int>").alias("path"), "_below"), None
+    for level in range(MOST_NESTED + 2):
+        each = at.select("doc_id", "_f", "path", F.posexplode("_below").alias("_n", "_x"))
+        entry = F.from_json("_x", ENTRY)
+        bad = ~F.coalesce(F.length(F.trim(entry["title"])).between(1, 1000) & (F.length(entry["title"]) <= 1000), F.lit(False))
+        error = F.when(F.lit(level > MOST_NESTED), "nested too deep").when(bad, "bad title").when(entry["page"] < 1, "no such page")
+        rows = tables.keep(each.select("doc_id", "_f", F.concat("path", F.array("_n")).alias("path"), entry["title"].alias("title"), entry["page"].alias("page"), entry["children"].alias("_below"), error.alias("error")))
+        out = rows if out is None else out.unionByName(rows)
+        at = rows.where("error is null and _below is not null")
+        if level > MOST_NESTED or at.isEmpty():
+            break
+    many = out.groupBy("_f").count().where(F.col("count") > MOST_BOOKMARKS).select("_f", F.lit("too many bookmarks").alias("error"))
+    first = wrong.unionByName(out.where("error is not null").select("_f", "error")).unionByName(many).groupBy("_f").agg(F.min("error").alias("error"))
+    broken = read.join(first, "_f").select("doc_id", F.lit(None).cast("array<int>").alias("path"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("page"), "error")
+    return out.join(first, "_f", "left_anti").select("doc_id", "path", "title", "page", F.lit(None).cast("string").alias("error")).unionByName(broken)
+
+
 def xfdf_marks(files: DataFrame) -> DataFrame:
     """Annotations of XFDF texts (doc_id, pages, body): tag, page (from 1), rect, contents. Texts with a document type or entities or of more than 10 MB are an error; pages out of range are skipped."""
     bad = F.col("body").rlike("(?i)<!(DOCTYPE|ENTITY)") | (F.length("body") > 10_000_000)

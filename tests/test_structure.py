@@ -126,3 +126,14 @@ def test_join_styles(spark):
     assert {s: structure.page_text(d, s).first().text for s in structure.STYLES} == {"search": "a\nb", "compare": "a \nb ", "spaced": "a  b", "filled": "a b"}
     with pytest.raises(ValueError, match="style"):
         structure.page_text(d, "other")
+
+
+def test_nested_bookmarks_of_bad_files_are_an_error(spark):
+    from folianta.sources import exchange
+
+    wrap = lambda inner: '{"format":"bookmarks","version":1,"bookmarks":[' + inner + "]}"
+    deep = '{"title":"x","page":1,"children":[' * 40 + '{"title":"x","page":1}' + "]}" * 40
+    bodies = [wrap('{"title":"a \\"b\\"","page":null,"children":[{"title":"c","page":2},{"title":"d"}]}'), wrap('{"title":" ","page":1}'), wrap('{"title":"a","page":0}'), "{}", None, wrap(deep), wrap("")]
+    got = exchange.bookmark_tree(spark.createDataFrame(list(enumerate(bodies)), "doc_id int, body string")).collect()
+    assert sorted((r.path, r.title, r.page) for r in got if r.doc_id == 0) == [([0], 'a "b"', None), ([0, 0], "c", 2), ([0, 1], "d", None)]
+    assert {r.doc_id: r.error for r in got if r.doc_id} == {1: "bad title", 2: "no such page", 3: "not bookmarks", 4: "not bookmarks", 5: "nested too deep"}
