@@ -190,9 +190,9 @@ def link_inventory(spark, sf_dir):
     return audit.link_inventory(*_links(spark, sf_dir))
 
 
-@query(f"""WITH {_LINKS} SELECT doc_id, count(*) AS n FROM links_ l WHERE NOT has_dest OR EXISTS (SELECT 1 FROM there t WHERE t.doc_id = l.doc_id AND t.target_page = l.target_page) GROUP BY doc_id""")
+@query(f"""WITH {_LINKS} SELECT doc_id, uri, has_dest, target_page, count(*) AS n FROM links_ l WHERE NOT has_dest OR EXISTS (SELECT 1 FROM there t WHERE t.doc_id = l.doc_id AND t.target_page = l.target_page) GROUP BY ALL""")
 def links_kept(spark, sf_dir):
-    return audit.without_links(*_links(spark, sf_dir)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return audit.without_links(*_links(spark, sf_dir)).groupBy("doc_id", "uri", "has_dest", "target_page").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fields_of(spark, sf_dir):
@@ -465,10 +465,16 @@ def change_counts(spark, sf_dir):
     return compare.totals(compare.align(*_versions(spark, sf_dir), limit=None))
 
 
-@query(f"WITH {PAGES} SELECT doc_id, page, 'A' || text AS prefix, 'xy' AS removed, '☃' AS added, text AS suffix FROM pages_")
+@query(f"""WITH {PAGES}, s AS (SELECT doc_id, page, text AS a, text[:length(text) // 3] || CASE WHEN page % 3 > 0 THEN '☃' || doc_id ELSE '' END || text[length(text) // 3 + 1 + page % 4:] AS b FROM pages_),
+h AS (SELECT *, coalesce(list_min(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: a[i] <> b[i])) - 1, least(length(a), length(b))) AS h FROM s),
+t AS (SELECT *, a[h + 1:] AS x, b[h + 1:] AS y FROM h), u AS (SELECT *, coalesce(list_min(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: x[length(x) - i + 1] <> y[length(y) - i + 1])) - 1, least(length(x), length(y))) AS t FROM t)
+SELECT doc_id, page, a[:h] AS prefix, x[:length(x) - t] AS removed, y[:length(y) - t] AS added, x[length(x) - t + 1:] AS suffix FROM u""")
 def text_diff(spark, sf_dir):
-    side = lambda middle: F.concat(F.lit("A"), F.col("text"), F.lit(middle), F.col("text"))
-    return pages(spark, sf_dir).select("doc_id", "page", compare.text_change(side("xy"), side("☃")).alias("c")).select("doc_id", "page", "c.*")
+    """Each line with some characters left out or put in after its first third."""
+    third = F.floor(F.length("text") / 3).cast("int")
+    middle = F.when(F.col("page") % 3 > 0, F.concat(F.lit("☃"), "doc_id")).otherwise("")
+    after = F.concat(F.substring(F.col("text"), F.lit(1), third), middle, F.substring(F.col("text"), third + 1 + F.col("page") % 4, F.length("text")))
+    return pages(spark, sf_dir).select("doc_id", "page", compare.text_change(F.col("text"), after).alias("c")).select("doc_id", "page", "c.*")
 
 
 @query("""WITH w AS (SELECT p_partkey // 20 AS "group", p_partkey AS nth, (p_partkey * 37 % 500)::DOUBLE AS x, (p_partkey % 30 + 5)::DOUBLE AS width FROM part),

@@ -64,10 +64,10 @@ def cropped(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", r.alias("r")).where("r is not null").select("p_partkey", F.col("r.x0").cast("long").alias("x0"), "r.x1")
 
 
-@query("SELECT l_orderkey // 100 AS doc_id, 'F' || l_linenumber AS font, count(DISTINCT l_partkey % 9) AS pages FROM lineitem GROUP BY ALL")
+@query("SELECT l_orderkey // 100 AS doc_id, 'F' || l_linenumber AS font, array_to_string(list_sort(list_distinct(list(l_partkey % 9))), ',') AS pages FROM lineitem GROUP BY l_orderkey // 100, l_linenumber")
 def font_inventory(spark, sf_dir):
     u = table(spark, sf_dir, "lineitem").select(F.expr("l_orderkey div 100").alias("doc_id"), (F.col("l_partkey") % 9).alias("page"), F.concat(F.lit("F"), F.col("l_linenumber")).alias("font"), F.lit(True).alias("embedded"))
-    return inventory.fonts(u).select("doc_id", "font", F.size("pages").cast("long").alias("pages"))
+    return inventory.fonts(u).select("doc_id", "font", F.array_join(F.transform(F.array_sort("pages"), lambda p: p.cast("string")), ",").alias("pages"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 3 ELSE 2 END AS n FROM customer")
@@ -118,11 +118,10 @@ def field_grid(spark, sf_dir):
     return forms.grid(f, 2, 1, 2.0).select("p_partkey", "row", "cell_name")
 
 
-@query("SELECT l_orderkey AS doc_id, CASE WHEN count(DISTINCT coalesce(CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag END, '')) > 1 THEN 'mixed' END AS tab_order FROM lineitem WHERE l_linenumber % 2 = 1 OR l_returnflag <> '' GROUP BY 1")
+@query("WITH p AS (SELECT l_orderkey // 3 AS doc_id, CASE WHEN l_orderkey % 5 > 0 THEN l_returnflag END AS o FROM lineitem) SELECT doc_id, CASE WHEN count(DISTINCT coalesce(o, '')) > 1 THEN 'mixed' ELSE coalesce(any_value(o), '') END AS tab_order FROM p GROUP BY 1")
 def tab_orders(spark, sf_dir):
-    p = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).alias("tab_order"))
-    out = forms.tab_order(p)
-    return out.withColumn("tab_order", F.when(F.col("tab_order") == "mixed", F.col("tab_order")))
+    p = table(spark, sf_dir, "lineitem").select(F.expr("l_orderkey div 3").alias("doc_id"), F.when(F.col("l_orderkey") % 5 > 0, F.col("l_returnflag")).alias("tab_order"))
+    return forms.tab_order(p).withColumn("tab_order", F.coalesce("tab_order", F.lit("")))
 
 
 @query("SELECT p_partkey, list_aggregate(list_filter([CASE WHEN (p_partkey >> 2) & 1 = 1 THEN 'print' END, CASE WHEN (p_partkey >> 3) & 1 = 1 THEN 'modify' END, CASE WHEN (p_partkey >> 4) & 1 = 1 THEN 'copy' END, CASE WHEN (p_partkey >> 5) & 1 = 1 THEN 'annotate' END, CASE WHEN (p_partkey >> 8) & 1 = 1 THEN 'fill' END, CASE WHEN (p_partkey >> 9) & 1 = 1 THEN 'extract' END, CASE WHEN (p_partkey >> 10) & 1 = 1 THEN 'assemble' END, CASE WHEN (p_partkey >> 11) & 1 = 1 THEN 'print well' END], lambda x: x IS NOT NULL), 'string_agg', ',') AS allowed FROM part")

@@ -33,10 +33,10 @@ def search_top_docs(spark, sf_dir):
     return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("matches"), F.count_distinct("page").alias("pages")).orderBy(F.desc("matches"), "doc_id").limit(20)
 
 
-@query(f"WITH {PAGES} SELECT doc_id, page, len(regexp_extract_all(lower(text), '(?:^|[^a-z0-9_])of(?:$|[^a-z0-9_])'))::INT > 0 AS found FROM pages_ WHERE regexp_matches({_FOLD}, '(^|[^a-z0-9_])of($|[^a-z0-9_])')")
+@query(f"WITH {PAGES} SELECT doc_id, page, len(list_filter(string_split_regex({_FOLD}, '[^a-z0-9_]+'), lambda w: w = 'of')) AS n FROM pages_ WHERE regexp_matches({_FOLD}, '(^|[^a-z0-9_])of($|[^a-z0-9_])')")
 def search_whole_word(spark, sf_dir):
     hits = search.find_text(pages(spark, sf_dir), "of", whole_word=True)
-    return hits.select("doc_id", "page", F.lit(True).alias("found")).distinct()
+    return hits.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {PAGES} SELECT doc_id, page, {_SNIP.replace('start', 'least(100, length(text))')} AS snippet FROM pages_")
