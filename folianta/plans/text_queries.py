@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import checks
 from ..functions import text as tx
 from ..operators import detect, insights, search
-from .registry import PAGES, WORDS, pages, query, table, words
+from .registry import ORACLES, PAGES, WORDS, pages, query, table, words
 
 _FOLD = "lower(translate(text, 'áàâäãåçéèêëíìîïñóòôöõúùûüýÿÁÀÂÄÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY'))"
 _SNIP = """CASE WHEN greatest(0, start - 36) > 0 THEN '…' ELSE '' END
@@ -103,6 +103,30 @@ for _kind, _sql in {
     query(_sql)(_f)
 
 
+_MADE = """pages_ AS (SELECT c_custkey AS doc_id, 1 AS page, 'no ' || (100 + c_custkey % 890) || '-' || lpad((c_custkey % 60)::VARCHAR, 2, '0') || '-' || lpad((c_custkey * 7 % 9000)::VARCHAR, 4, '0') || ', DE' || lpad(((CASE WHEN c_custkey % 3 > 0 THEN 98 ELSE 97 END - (b % 97 * 1000000 + 131400) % 97))::VARCHAR, 2, '0')
+  || CASE WHEN c_custkey % 2 = 0 THEN ' ' || (b::VARCHAR)[1:4] || ' ' || (b::VARCHAR)[5:8] || ' ' || (b::VARCHAR)[9:12] || ' ' || (b::VARCHAR)[13:16] || ' ' || (b::VARCHAR)[17:18] ELSE b::VARCHAR END || '; 4' || lpad((c_custkey * 31)::VARCHAR, 15, '0') AS text FROM (SELECT c_custkey, 370400440532013000 + c_custkey * 7919 AS b FROM customer))"""
+
+
+def _made(spark, sf_dir):
+    """A social security number, a bank account with right or wrong check digits and a card number for each customer."""
+    k = F.col("c_custkey")
+    t = table(spark, sf_dir, "customer").select(k, (F.lit(370400440532013000) + k * 7919).alias("b"))
+    digits = F.when(k % 3 > 0, 98).otherwise(97) - (F.col("b") % 97 * 1000000 + 131400) % 97
+    s = F.col("b").cast("string")
+    spaced = F.concat(F.lit(" "), F.concat_ws(" ", *(F.substring(s, i, 4) for i in (1, 5, 9, 13)), F.substring(s, 17, 2)))
+    text = F.concat(F.lit("no "), (100 + k % 890).cast("string"), F.lit("-"), F.lpad((k % 60).cast("string"), 2, "0"), F.lit("-"), F.lpad((k * 7 % 9000).cast("string"), 4, "0"), F.lit(", DE"), F.lpad(digits.cast("string"), 2, "0"), F.when(k % 2 == 0, spaced).otherwise(s), F.lit("; 4"), F.lpad((k * 31).cast("string"), 15, "0"))
+    return t.select(k.alias("doc_id"), F.lit(1).alias("page"), text.alias("text"))
+
+
+for _kind in ("ssn", "iban", "card"):
+
+    def _f(spark, sf_dir, kind=_kind):
+        return detect.candidates(_made(spark, sf_dir), kind).select("doc_id", "page", "match")
+
+    _f.__name__ = f"pii_made_{_kind}"
+    query(ORACLES[f"pii_{_kind}"].replace(PAGES, _MADE))(_f)
+
+
 @query()
 def pii_resolved(spark, sf_dir):
     return detect.sensitive(pages(spark, sf_dir)).select("doc_id", "page", "kind", "start", "end", "match")
