@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import versions
 from .shared import Tables, stored
 
 N_SLOTS = 4096
@@ -84,24 +85,27 @@ def next_map(spark: SparkSession, loads: DataFrame, path: str | None = None, n_s
     ``path`` is where the versions lie; a new one begins with version 0. Without a path they lie in the cluster's shared folder and go with the session.
     """
     at = path or f"{Tables(spark).at}/slot-map"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(at)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    if versions.latest(spark, at) is None:
         save_map(first_map(spark, n_shards, n_slots), at)
     save_map(rebalance(load_map(spark, at), loads, n_shards), at)
     return load_map(spark, at)
 
 
 def save_map(slot_map: DataFrame, path: str) -> None:
-    """Append one version to the table of versions."""
-    slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    """Add one version to the stored map, by one rename after it was written whole; where another writer has added this version, or it isn't the next one, that is an error and nothing stays."""
+    kept = stored(slot_map)
+    n, slots, shards = kept.agg(F.max("version"), F.count_distinct("vslot"), F.count("shard")).first()
+
+    def whole(rows: DataFrame) -> str | None:
+        return None if rows.agg(F.count_distinct("vslot"), F.count("shard")).first() == (slots, slots) and slots == shards else "a map has one shard for each slot"
+
+    versions.commit(kept.select("vslot", "shard").coalesce(1), path, n - 1 if n else None, whole)
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """A version of the stored map, the latest by default."""
-    every = spark.read.parquet(path)
-    if version is None:
-        version = every.agg(F.max("version")).first()[0]
-    return every.where(F.col("version") == version).select("version", "vslot", "shard")
+    n = versions.latest(spark, path) if version is None else version
+    return versions.load(spark, path, n).select(F.lit(n).alias("version"), "vslot", "shard")
 
 
 def assign(docs: DataFrame, slot_map: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:

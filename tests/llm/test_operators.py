@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folianta.llm import blockwise, components, context_mixing, doubling, language_id, line_crf, minhash, mixing, sharding, suffix_dedup, tiling, weak_rules
+from folianta.sources import versions
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, kept string, shard string, votes string, _row string, taken int, held_out string"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -162,6 +163,11 @@ def test_sharding_law_places_and_growth(spark, docs, rows, empty, tmp_path):
     assert moved < 256
     sharding.save_map(v0, str(tmp_path / "m"))
     sharding.save_map(v1, str(tmp_path / "m"))
+    with pytest.raises(versions.Conflict):
+        sharding.save_map(v1, str(tmp_path / "m"))
+    with pytest.raises(ValueError, match="one shard"):
+        sharding.save_map(v1.withColumn("version", F.lit(2)).withColumn("shard", F.when(F.col("vslot") > 0, F.col("shard"))), str(tmp_path / "m"))
+    assert sorted(os.listdir(tmp_path / "m")) == ["version=0", "version=1"]
     assert sharding.load_map(spark, str(tmp_path / "m")).first().version == 1 and sharding.load_map(spark, str(tmp_path / "m"), 0).count() == 512
     assert sharding.shard_documents(empty).count() == 0
     first = sharding.shard_documents(plain, 8, 512, str(tmp_path / "kept")).select("doc_id", "shard", "map_version").collect()
