@@ -105,6 +105,20 @@ def tab_order(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.when(one > 1, "mixed").otherwise(F.first("tab_order")).alias("tab_order"))
 
 
+def aligned(widgets: DataFrame) -> DataFrame:
+    """Widgets (group, nth, x, y, width, height, operation) arranged by their group's first one, which stays: `left`, `right`, `top`, `bottom`, `center-horizontal`, `center-vertical`, `match-width`, `match-height` or `match-size`. Adds new_x, new_y, new_width, new_height, to hundredths."""
+    first = lambda c: F.first(c).over(Window.partitionBy("group").orderBy("nth"))
+    op, x, y, w, h = (F.col(c) for c in ("operation", "x", "y", "width", "height"))
+    ax, ay, aw, ah = (first(c) for c in ("x", "y", "width", "height"))
+    new = {
+        "new_x": F.when(op == "left", ax).when(op == "right", ax + aw - w).when(op == "center-horizontal", ax + (aw - w) / 2).otherwise(x),
+        "new_y": F.when(op == "top", ay).when(op == "bottom", ay + ah - h).when(op == "center-vertical", ay + (ah - h) / 2).otherwise(y),
+        "new_width": F.when(op.isin("match-width", "match-size"), aw).otherwise(w),
+        "new_height": F.when(op.isin("match-height", "match-size"), ah).otherwise(h),
+    }
+    return widgets.select("*", *((F.floor(c * 100 + 0.5) / 100).alias(n) for n, c in new.items()))
+
+
 def merged_fields(fields: DataFrame) -> DataFrame:
     """Adds unique to the top fields of merged documents (bundle, source from 0, seq, name; no name is `field`): the name, or Source<n>_<name>_<k> with the first k that is free.
 

@@ -129,18 +129,42 @@ def table_rows(cells: DataFrame, gap: float = 12.0, slack: float = 6.0) -> DataF
     return cells.join(anchors, ["doc_id", "page"]).withColumn("column", F.greatest(F.size(F.filter("anchors", lambda a: a <= F.col("x") + slack)) - 1, F.lit(0))).select("doc_id", "page", "line", "column", "text")
 
 
-def ocr_lines(tsv: DataFrame) -> DataFrame:
-    """Recognised words (doc_id, page, seq, line: twelve tab-separated columns) to lines (doc_id, page, nth, text, confidence): runs of equal block, paragraph and line."""
-    c = F.split("line", "\t", -1)
+def ocr_words(tsv: DataFrame) -> DataFrame:
+    """Recognised words (doc_id, page, seq, line: twelve tab-separated columns, the last one with what tabs it has) with their place in the image: doc_id, page, seq, nth (the line's number on its page), word, confidence (0 to 1), left, top, width, height.
+
+    Rows of another level, without text, with a negative confidence or without an extent are left out; a line goes on while block, paragraph and line are equal.
+    """
+    c = F.split("line", "\t", 12)
     n = lambda i: F.get(c, F.lit(i)).try_cast("double")
-    rows = tsv.where(F.size(c) == 12).where((F.get(c, F.lit(0)) == "5") & (F.trim(F.get(c, F.lit(11))) != "") & (n(10) >= 0) & (n(8) > 0) & (n(9) > 0))
+    text = F.trim(F.get(c, F.lit(11)))
+    rows = tsv.where(F.size(c) == 12).where((F.get(c, F.lit(0)) == "5") & (text != "") & (n(10) >= 0) & (n(8) > 0) & (n(9) > 0) & n(6).isNotNull() & n(7).isNotNull())
     key = F.concat_ws(":", F.get(c, F.lit(2)), F.get(c, F.lit(3)), F.get(c, F.lit(4)))
-    words = rows.select("doc_id", "page", "seq", key.alias("key"), F.get(c, F.lit(11)).alias("word"), (n(10) / 100).alias("conf"))
+    words = rows.select("doc_id", "page", "seq", key.alias("_key"), text.alias("word"), F.least(n(10) / 100, F.lit(1.0)).alias("confidence"), n(6).alias("left"), n(7).alias("top"), n(8).alias("width"), n(9).alias("height"))
     w = Window.partitionBy("doc_id", "page").orderBy("seq")
-    new = F.when(F.lag("key").over(w).eqNullSafe(F.col("key")), 0).otherwise(1)
-    runs = words.withColumn("_n", new).withColumn("nth", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    new = F.when(F.lag("_key").over(w).eqNullSafe(F.col("_key")), 0).otherwise(1)
+    return words.withColumn("_n", new).withColumn("nth", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_n", "_key")
+
+
+def ocr_lines(tsv: DataFrame) -> DataFrame:
+    """Recognised words (see :func:`ocr_words`) to lines: (doc_id, page, nth, text, confidence), the mean of the line's words."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "word"))), lambda s: s["word"]), " ")
-    return runs.groupBy("doc_id", "page", "nth").agg(text.alias("text"), F.avg("conf").alias("confidence"))
+    return ocr_words(tsv).groupBy("doc_id", "page", "nth").agg(text.alias("text"), F.avg("confidence").alias("confidence"))
+
+
+def ocr_boxes(tsv: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(doc_id, page, nth, x, y, width, height): the box around each line's words as parts of the image (doc_id, page, image_width, image_height), from the lower left; words are cut to it."""
+    part = lambda v: F.greatest(F.lit(0.0), F.least(v, F.lit(1.0)))
+    w, h = F.col("image_width"), F.col("image_height")
+    each = ocr_words(tsv).join(sizes, ["doc_id", "page"]).select("doc_id", "page", "nth", part(F.col("left") / w).alias("_x"), part(1 - (F.col("top") + F.col("height")) / h).alias("_y"), part(F.col("width") / w).alias("_w"), part(F.col("height") / h).alias("_h"))
+    x, y = F.min("_x"), F.min("_y")
+    return each.groupBy("doc_id", "page", "nth").agg(x.alias("x"), y.alias("y"), (F.max(F.col("_x") + F.col("_w")) - x).alias("width"), (F.max(F.col("_y") + F.col("_h")) - y).alias("height"))
+
+
+def ocr_pages(tsv: DataFrame) -> DataFrame:
+    """(doc_id, page, words, lines, confidence): the mean over all words of each page of the input; 0 for pages without any."""
+    per = ocr_words(tsv).groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("words"), F.max("nth").alias("lines"), F.avg("confidence").alias("confidence"))
+    none = F.lit(0).cast("long")
+    return tsv.select("doc_id", "page").distinct().join(per, ["doc_id", "page"], "left").select("doc_id", "page", F.coalesce("words", none).alias("words"), F.coalesce("lines", none).alias("lines"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
 def markdown_line(text: Column, heading: Column) -> Column:

@@ -129,6 +129,12 @@ def bates(files: DataFrame, start: int, width: int, prefix: str = "", suffix: st
     return rows.withColumn("first_label", label(F.col("_f"))).withColumn("last_label", label(F.col("_f") + F.col("pages") - 1)).drop("_f")
 
 
+def label_ranges(ranges: DataFrame, documents: DataFrame) -> DataFrame:
+    """Ranges of labels (doc_id, start_page, ...) that begin on a page of their document (doc_id, pages), numbered in the order of their pages as nth."""
+    there = ranges.join(documents.select("doc_id", F.col("pages").alias("_pages")), "doc_id").where(F.col("start_page") <= F.col("_pages")).drop("_pages")
+    return there.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("start_page")))
+
+
 def labels_as_of(pages: DataFrame, ranges: DataFrame) -> DataFrame:
     """Each page's label from the latest range that starts at or before it; plain numbers before the first. One sort a document, no join of pages with ranges."""
     from ..functions.text import page_label

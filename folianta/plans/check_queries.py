@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..operators import audit, checks, exports, forms, layout
+from ..operators import pages as page_ops
 from .registry import ORACLES, PAGES, pages, query, table
 from .structure_queries import _column_words, tags_of
 
@@ -134,3 +135,52 @@ def measurements(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.transform(at, lambda p: F.struct((p["l_partkey"] % 600).cast("double").alias("x"), (p["l_suppkey"] % 790).cast("double").alias("y"))).alias("p"))
     of = lambda *names: F.element_at(F.array(*map(F.lit, names)), (k % 3 + 1).cast("int"))
     return t.select("id", geo.measurement_text(of("distance", "perimeter", "area"), F.col("p"), k % 5 / 2, (k % 7 + 1) * 25.0, of("ft", "m", "in")).alias("text"))
+
+
+_TSV = """g AS (SELECT l_orderkey AS doc_id, l_linenumber AS seq, min(l_partkey) AS p, min(l_suppkey) AS s, min(l_quantity)::BIGINT AS q FROM lineitem GROUP BY ALL),
+r AS (SELECT doc_id, (seq % 2 + 1)::INT AS page, seq, s % 2 AS block, p * 7 % 900 AS l, s * 11 % 700 AS t, p % 90 + CASE WHEN p % 13 = 0 THEN -89 ELSE 1 END AS w, s % 40 + 1 AS h, CASE WHEN p % 11 = 0 THEN -1 ELSE q * 3 END AS c, CASE WHEN s % 9 = 0 THEN ' ' ELSE 'w' || p END AS word, CASE WHEN p % 17 = 0 THEN 4 ELSE 5 END AS level FROM g),
+k AS (SELECT *, least(c / 100, 1) AS conf FROM r WHERE level = 5 AND trim(word) <> '' AND c >= 0 AND w > 0),
+n AS (SELECT *, CASE WHEN lag(block) OVER (PARTITION BY doc_id, page ORDER BY seq) = block THEN 0 ELSE 1 END AS new FROM k), m AS (SELECT *, (sum(new) OVER (PARTITION BY doc_id, page ORDER BY seq))::BIGINT AS nth FROM n)"""
+
+
+def _tsv(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("seq")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_quantity").cast("long").alias("q"))
+    p, s = F.col("p"), F.col("s")
+    cells = [F.when(p % 17 == 0, 4).otherwise(5), F.lit(1), s % 2, F.lit(1), F.lit(1), F.col("seq"), p * 7 % 900, s * 11 % 700, p % 90 + F.when(p % 13 == 0, -89).otherwise(1), s % 40 + 1, F.when(p % 11 == 0, -1).otherwise(F.col("q") * 3), F.when(s % 9 == 0, " ").otherwise(F.concat(F.lit("w"), p))]
+    return t.select("doc_id", (F.col("seq") % 2 + 1).cast("int").alias("page"), "seq", F.concat_ws("\t", *(c.cast("string") for c in cells)).alias("line"))
+
+
+@query(f"""WITH {_TSV}, z AS (SELECT doc_id, page, nth, least(l / 800, 1) AS x, greatest(0, 1 - (t + h) / 600) AS y, w / 800 AS w, h / 600 AS h FROM m)
+SELECT doc_id, page, nth, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS width, max(y + h) - min(y) AS height FROM z GROUP BY ALL""")
+def ocr_boxes(spark, sf_dir):
+    """Boxes of recognised lines in images of 800 x 600."""
+    tsv = _tsv(spark, sf_dir)
+    return layout.ocr_boxes(tsv, tsv.select("doc_id", "page").distinct().withColumn("image_width", F.lit(800.0)).withColumn("image_height", F.lit(600.0)))
+
+
+@query(f"""WITH {_TSV}, a AS (SELECT DISTINCT doc_id, page FROM r), b AS (SELECT doc_id, page, count(*) AS words, max(nth)::BIGINT AS lines, avg(conf) AS confidence FROM m GROUP BY ALL)
+SELECT a.doc_id, a.page, coalesce(words, 0) AS words, coalesce(lines, 0) AS lines, coalesce(confidence, 0) AS confidence FROM a LEFT JOIN b ON a.doc_id = b.doc_id AND a.page = b.page""")
+def ocr_pages(spark, sf_dir):
+    return layout.ocr_pages(_tsv(spark, sf_dir))
+
+
+_ARRANGE = ("left", "right", "top", "bottom", "center-horizontal", "center-vertical", "match-width", "match-height", "match-size")
+
+
+@query(f"""WITH w AS (SELECT p_partkey // 7 AS "group", p_partkey AS nth, (p_partkey * 37 % 500)::DOUBLE AS x, (p_size * 13 % 700) / 4 AS y, (p_partkey % 30 + 5) / 2 AS width, (p_size % 20 + 3)::DOUBLE AS height, [{", ".join(repr(a) for a in _ARRANGE)}][(p_partkey // 7 % 9 + 1)::INT] AS o FROM part),
+a AS (SELECT *, first_value(x) OVER g AS ax, first_value(y) OVER g AS ay, first_value(width) OVER g AS aw, first_value(height) OVER g AS ah FROM w WINDOW g AS (PARTITION BY "group" ORDER BY nth))
+SELECT nth, floor(100 * CASE o WHEN 'left' THEN ax WHEN 'right' THEN ax + aw - width WHEN 'center-horizontal' THEN ax + (aw - width) / 2 ELSE x END + 0.5) / 100 AS new_x, floor(100 * CASE o WHEN 'top' THEN ay WHEN 'bottom' THEN ay + ah - height WHEN 'center-vertical' THEN ay + (ah - height) / 2 ELSE y END + 0.5) / 100 AS new_y,
+  floor(100 * CASE WHEN o IN ('match-width', 'match-size') THEN aw ELSE width END + 0.5) / 100 AS new_width, floor(100 * CASE WHEN o IN ('match-height', 'match-size') THEN ah ELSE height END + 0.5) / 100 AS new_height FROM a""")
+def widgets_aligned(spark, sf_dir):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    g = F.expr("p_partkey div 7")
+    op = F.element_at(F.array(*map(F.lit, _ARRANGE)), (g % 9 + 1).cast("int"))
+    w = table(spark, sf_dir, "part").select(g.alias("group"), k.alias("nth"), (k * 37 % 500).cast("double").alias("x"), (s * 13 % 700 / 4).alias("y"), ((k % 30 + 5) / 2).alias("width"), (s % 20 + 3).cast("double").alias("height"), op.alias("operation"))
+    return forms.aligned(w).select("nth", "new_x", "new_y", "new_width", "new_height")
+
+
+@query("""WITH r AS (SELECT l_orderkey AS doc_id, l_linenumber * 3 - 2 AS start_page, min(l_returnflag) AS style FROM lineitem GROUP BY ALL), d AS (SELECT o_orderkey AS doc_id, o_custkey % 18 AS pages FROM orders)
+SELECT r.doc_id, start_page, style, row_number() OVER (PARTITION BY r.doc_id ORDER BY start_page)::INT AS nth FROM r JOIN d USING (doc_id) WHERE start_page <= pages""")
+def label_ranges(spark, sf_dir):
+    r = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 3 - 2).alias("start_page")).agg(F.min("l_returnflag").alias("style"))
+    return page_ops.label_ranges(r, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 18).alias("pages")))

@@ -44,7 +44,7 @@ SELECT w.doc_id, o.seq, CASE WHEN o.op IN ('transform', 'formBegin') THEN {_TIME
   CASE WHEN o.op = 'beginText' THEN [1, 0, 0, 1, 0, 0]::DOUBLE[] WHEN o.op = 'textMatrix' THEN o.m ELSE w.tm END,
   CASE WHEN o.op IN ('save', 'formBegin') THEN list_append(w.stack, {_NOW}) WHEN {_POPS} THEN w.stack[:-2] ELSE w.stack END, o.op, o.str
 FROM w JOIN ops o ON o.doc_id = w.doc_id AND o.seq = w.seq + 1),
-seen AS (SELECT doc_id, 1 AS page, seq, str, font, floor(size * sqrt((tm[3] * c[1] + tm[4] * c[3]) ** 2 + (tm[3] * c[2] + tm[4] * c[4]) ** 2) * 2 + 0.5) / 2 AS size, fill AS colour,
+seen AS (SELECT doc_id, 1 AS page, seq::INT AS seq, str, font, floor(size * sqrt((tm[3] * c[1] + tm[4] * c[3]) ** 2 + (tm[3] * c[2] + tm[4] * c[4]) ** 2) * 2 + 0.5) / 2 AS size, fill AS colour,
   tm[5] * c[1] + tm[6] * c[3] + c[5] AS x, tm[5] * c[2] + tm[6] * c[4] + c[6] AS y FROM w WHERE starts_with(op, 'show') AND mode <> 3 AND font <> '' AND trim(str) <> ''),
 runs AS (SELECT * FROM seen WHERE size > 0) {rest}"""
 
@@ -55,6 +55,6 @@ def visible_runs(spark, sf_dir):
 
 
 @query(_walk(""", g2 AS (SELECT doc_id, page, font, size, colour, sum(length(str))::BIGINT AS characters, min(seq) AS f FROM runs GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY characters DESC, f) AS rank FROM g2) SELECT doc_id, page, rank, font, size, colour, characters FROM r WHERE rank <= 12"""))
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY characters DESC, f)::INT AS rank FROM g2) SELECT doc_id, page, rank, font, size, colour, characters FROM r WHERE rank <= 12"""))
 def run_styles(spark, sf_dir):
     return runs.styles(runs.visible_runs(operators(spark, sf_dir)))
