@@ -9,8 +9,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PAGE = ("doc_id", "page")
 #: A pixel below is ink. A page with a shorter side or with less ink isn't measured; a skew is looked for up to so many degrees and must beat no skew by this factor.
@@ -47,27 +49,34 @@ def despeckle(rows: DataFrame, dark: int = DARK) -> DataFrame:
     return rows.withColumn("_up", near(1)).withColumn("_down", near(-1)).withColumn("pixels", clean("_up", "pixels", "_down")).drop("_up", "_down")
 
 
-def _profile(dark: int):
-    """For each angle and each line of a page sheared by it, how much ink of this row falls there."""
-
-    @F.pandas_udf("array<struct<degrees:double,line:int,n:int>>")
-    def shear(y: pd.Series, row: pd.Series, angles: pd.Series) -> pd.Series:
-        out = []
-        for at, r, degrees in zip(y, row, angles, strict=True):
-            x = np.flatnonzero(_ink(r, dark))
-            found = []
-            for d in degrees if len(x) else ():
-                line, n = np.unique(np.floor(at + x * np.tan(np.pi * d / 180) + 0.5).astype(np.int64), return_counts=True)
-                found += [{"degrees": d, "line": int(k), "n": int(c)} for k, c in zip(line, n, strict=True)]
-            out.append(found)
-        return pd.Series(out)
-
-    return shear
+def _scores(rows: DataFrame, angles: Column, dark: int) -> DataFrame:
+    """(doc_id, page, degrees, score): how sharply the ink's profile changes from line to line, after a shear. ``angles``, one list a page, is as long for all.
 
+    For each angle, a task counts in one go how much ink of a batch of rows falls on which line of which page; these counts are added up by page, angle and line.
+    """
+    schema = T.StructType([rows.schema["doc_id"], rows.schema["page"], T.StructField("degrees", T.DoubleType()), T.StructField("line", T.LongType()), T.StructField("n", T.LongType())])
 
-def _scores(rows: DataFrame, angles: Column, dark: int) -> DataFrame:
-    """(doc_id, page, degrees, score): how sharply the ink's profile changes from line to line, after a shear."""
-    each = rows.select(*PAGE, F.explode(_profile(dark)("y", "pixels", angles)).alias("p")).select(*PAGE, "p.*").groupBy(*PAGE, "degrees", "line").agg(F.sum("n").cast("long").alias("n"))
+    def shear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            inked = [np.flatnonzero(_ink(r, dark)) for r in b.column("pixels").to_pylist()]
+            x, row = np.concatenate([*inked, np.zeros(0, np.int64)]), np.repeat(np.arange(len(inked)), [len(i) for i in inked])
+            if not len(x):
+                continue
+            known: dict = {}
+            page = np.array([known.setdefault(k, len(known)) for k in zip(b.column("doc_id").to_pylist(), b.column("page").to_pylist(), strict=True)])
+            first = np.zeros(len(known), np.int64)
+            first[page[::-1]] = np.arange(len(page))[::-1]
+            y, degrees = b.column("y").to_numpy(zero_copy_only=False), np.array(b.column("angles").to_pylist(), float)
+            for j in range(degrees.shape[1]):
+                line = np.floor(y[row] + x * np.tan(np.pi * degrees[row, j] / 180) + 0.5).astype(np.int64)
+                low = line.min()
+                span = line.max() - low + 1
+                key, n = np.unique(page[row] * span + line - low, return_counts=True)
+                at = first[key // span]
+                keys = b.select(["doc_id", "page"]).take(pa.array(at)).columns
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(degrees[at, j]), pa.array(key % span + low), pa.array(n.astype(np.int64))], schema.names)
+
+    each = rows.select(*PAGE, "y", "pixels", angles.alias("angles")).mapInArrow(shear, schema).groupBy(*PAGE, "degrees", "line").agg(F.sum("n").alias("n"))
     order = Window.partitionBy(*PAGE, "degrees").orderBy("line")
     before = F.when(F.lag("line").over(order) == F.col("line") - 1, F.lag("n").over(order)).otherwise(0)
     return each.withColumn("_b", before).groupBy(*PAGE, "degrees").agg((2 * F.sum(F.col("n") * (F.col("n") - F.col("_b")))).alias("score"))
