@@ -88,7 +88,7 @@ def bookmarks_there_and_back(spark, sf_dir):
     top = c.select("doc_id", name("r", r).alias("id"), none.cast("string").alias("parent_id"), (-r).cast("long").alias("seq"), F.concat(F.lit('R "'), r, F.lit('"')).alias("title"), none.cast("int").alias("page")).distinct()
     mid = c.select("doc_id", name("n", n).alias("id"), name("r", r).alias("parent_id"), (-n).cast("long").alias("seq"), name("N ", n).alias("title"), (n + 1).cast("int").alias("page")).distinct()
     low = c.select("doc_id", name("c", k).alias("id"), name("n", n).alias("parent_id"), (-k).cast("long").alias("seq"), F.col("c_name").alias("title"), F.when(k % 3 > 0, k % 50 + 1).cast("int").alias("page"))
-    back = exchange.bookmark_tree(exports.bookmarks_json(top.unionByName(mid).unionByName(low)))
+    back = exchange.bookmark_tree(exports.bookmarks_json(top.unionByName(mid).unionByName(low)), most=None, most_bytes=None)
     return back.where("error is null").select("doc_id", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"), "title", "page")
 
 

@@ -54,15 +54,16 @@ ENTRY = "struct<title:string,page:int,children:array<string>>"
 MOST_NESTED, MOST_BOOKMARKS, MOST_JSON = 32, 10_000, 2_000_000
 
 
-def bookmark_tree(files: DataFrame) -> DataFrame:
+def bookmark_tree(files: DataFrame, most: int | None = MOST_BOOKMARKS, most_bytes: int | None = MOST_JSON) -> DataFrame:
     """Nested bookmarks of files (doc_id, body): doc_id, path (places from the top down, from 0), title, page, error.
 
     A level of children is taken apart at a time, each as the text that it is. A file that isn't bookmarks, is too large or nests too deep, and one with a bad title or page, gives one row with the
-    error and no bookmarks.
+    error and no bookmarks. Files from elsewhere have at most ``most`` bookmarks and ``most_bytes``; None, for what one has written oneself, is no limit.
     """
     tables = Tables(files.sparkSession)
     j = F.from_json("body", NESTED)
-    good = (F.octet_length("body") <= MOST_JSON) & j["format"].eqNullSafe(F.lit("bookmarks")) & j["version"].eqNullSafe(F.lit(1)) & j["bookmarks"].isNotNull()
+    fits = F.octet_length("body") <= most_bytes if most_bytes is not None else F.lit(True)
+    good = fits & j["format"].eqNullSafe(F.lit("bookmarks")) & j["version"].eqNullSafe(F.lit(1)) & j["bookmarks"].isNotNull()
     read = tables.keep(files.select("doc_id", F.monotonically_increasing_id().alias("_f"), F.when(F.coalesce(good, F.lit(False)), j["bookmarks"]).alias("_below")))
     wrong = read.where("_below is null").select("_f", F.lit("not bookmarks").alias("error"))
     at, out = read.where("_below is not null").select("doc_id", "_f", F.array().cast("array<int>").alias("path"), "_below"), None
@@ -76,8 +77,10 @@ def bookmark_tree(files: DataFrame) -> DataFrame:
         at = rows.where("error is null and _below is not null")
         if level > MOST_NESTED or at.isEmpty():
             break
-    many = out.groupBy("_f").count().where(F.col("count") > MOST_BOOKMARKS).select("_f", F.lit("too many bookmarks").alias("error"))
-    first = wrong.unionByName(out.where("error is not null").select("_f", "error")).unionByName(many).groupBy("_f").agg(F.min("error").alias("error"))
+    faults = wrong.unionByName(out.where("error is not null").select("_f", "error"))
+    if most is not None:
+        faults = faults.unionByName(out.groupBy("_f").count().where(F.col("count") > most).select("_f", F.lit("too many bookmarks").alias("error")))
+    first = faults.groupBy("_f").agg(F.min("error").alias("error"))
     broken = read.join(first, "_f").select("doc_id", F.lit(None).cast("array<int>").alias("path"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("page"), "error")
     return out.join(first, "_f", "left_anti").select("doc_id", "path", "title", "page", F.lit(None).cast("string").alias("error")).unionByName(broken)
 

@@ -137,3 +137,14 @@ def test_nested_bookmarks_of_bad_files_are_an_error(spark):
     got = exchange.bookmark_tree(spark.createDataFrame(list(enumerate(bodies)), "doc_id int, body string")).collect()
     assert sorted((r.path, r.title, r.page) for r in got if r.doc_id == 0) == [([0], 'a "b"', None), ([0, 0], "c", 2), ([0, 1], "d", None)]
     assert {r.doc_id: r.error for r in got if r.doc_id} == {1: "bad title", 2: "no such page", 3: "not bookmarks", 4: "not bookmarks", 5: "nested too deep"}
+
+
+def test_own_bookmarks_are_read_whole(spark):
+    from folianta.sources import exchange
+
+    body = '{"format":"bookmarks","version":1,"bookmarks":[' + ",".join('{"title":"t%d","page":1}' % i for i in range(10_001)) + "]}"
+    files = spark.createDataFrame([(1, body)], "doc_id int, body string")
+    assert [r.error for r in exchange.bookmark_tree(files).collect()] == ["too many bookmarks"]
+    assert [r.error for r in exchange.bookmark_tree(files, most_bytes=1000).collect()] == ["not bookmarks"]
+    got = exchange.bookmark_tree(files, most=None, most_bytes=None).collect()
+    assert len(got) == 10_001 and all(r.error is None and r.title == f"t{r.path[0]}" for r in got)
