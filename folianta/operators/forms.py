@@ -64,7 +64,7 @@ def nearest_label(widgets: DataFrame, items: DataFrame, reach: float = 200.0, sl
 def nearby_label(widgets: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, page, widget, label): for each widget (x0, y0, x1, y1) the text of the item (seq, str, x, y, width, size) that ends nearest to its left on its line, or else of the lowest one just above it, or nothing.
 
-    Left: within 150 points, at most 2 of them inside, its middle within 0.6 of the larger of its size and the widget's height. Above: less than 24 points higher, over the widget. Of equally near ones the first counts.
+    Left: within 150 points, at most 2 of them inside, its middle within 0.6 of the larger of its size and the widget's height. Above: less than 24 points higher, over the widget. Of equally near ones the first counts, of those with one number too the one whose text sorts first.
     """
     i = items.where(F.trim("str") != "").select("doc_id", "page", "seq", "str", F.col("x").alias("_x"), F.col("y").alias("_y"), (F.col("x") + F.col("width")).alias("_end"), F.coalesce(F.nullif(F.abs("size"), F.lit(0.0)), F.lit(10.0)).alias("_size"))
     both = widgets.select("doc_id", "page", "widget", "x0", "y0", "x1", "y1").join(i, ["doc_id", "page"])
@@ -72,7 +72,7 @@ def nearby_label(widgets: DataFrame, items: DataFrame) -> DataFrame:
     left = (F.col("_end") <= F.col("x0") + 2) & (F.col("x0") - F.col("_end") < 150) & middle
     above = (F.col("_y") > F.col("y1")) & (F.col("_y") - F.col("y1") < 24) & (F.col("_x") < F.col("x1")) & (F.col("_end") > F.col("x0") - 2)
     near = both.where(left | above).groupBy("doc_id", "page", "widget").agg(
-        F.min_by("str", F.when(left, F.struct((-F.col("_end")).alias("d"), F.col("seq")))).alias("_left"), F.min_by("str", F.when(above, F.struct(F.col("_y").alias("d"), F.col("seq")))).alias("_above")
+        F.min_by("str", F.when(left, F.struct((-F.col("_end")).alias("d"), "seq", "str"))).alias("_left"), F.min_by("str", F.when(above, F.struct(F.col("_y").alias("d"), "seq", "str"))).alias("_above")
     )
     return widgets.select("doc_id", "page", "widget").join(near, ["doc_id", "page", "widget"], "left").select("doc_id", "page", "widget", F.coalesce("_left", "_above", F.lit("")).alias("label"))
 

@@ -26,6 +26,14 @@ def test_labels_left_win_over_labels_above(spark):
     assert {r.widget: r.label for r in got} == {"a": "near", "b": "lower", "c": ""}
 
 
+def test_equally_near_labels_of_one_number_go_by_text(spark):
+    widgets = spark.createDataFrame([(1, 1, "a", 100.0, 50.0, 160.0, 64.0), (1, 1, "b", 300.0, 150.0, 360.0, 164.0)], "doc_id int, page int, widget string, x0 double, y0 double, x1 double, y1 double")
+    items = [(1, 1, 1, t, 60.0, 52.0, 38.0, 10.0) for t in ("y", "x", "z")] + [(1, 1, 2, t, 300.0, 170.0, 38.0, 10.0) for t in ("q", "p", "r")]
+    for rows in (items, items[::-1]):
+        got = forms.nearby_label(widgets, spark.createDataFrame(rows, "doc_id int, page int, seq int, str string, x double, y double, width double, size double").coalesce(1)).collect()
+        assert {r.widget: r.label for r in got} == {"a": "x", "b": "p"}
+
+
 def test_the_left_column_is_read_first(spark):
     items = [(1, 1, i, f"w{i}", 50.0 if i % 2 else 350.0, 700.0 - 12 * (i // 2), 100.0, 10.0) for i in range(40)]
     df = spark.createDataFrame(items, "doc_id long, page int, seq int, str string, x double, y double, width double, size double")
