@@ -16,6 +16,12 @@ def plain_text(lines: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id", "page").agg(F.concat(F.format_string("--- Page %d ---\n", F.col("page")), body).alias("text"))
 
 
+def plain_pages(pages: DataFrame) -> DataFrame:
+    """:func:`plain_text` for pages that hold their lines in order (doc_id, page, lines)."""
+    body = F.array_join(F.transform("lines", lambda s: s["text"]), "\n")
+    return pages.where(F.size("lines") > 0).select("doc_id", "page", F.concat(F.format_string("--- Page %d ---\n", F.col("page")), body).alias("text"))
+
+
 def csv_lines(rows: DataFrame, columns: list[str], rule=tx.csv_field) -> Column:
     """One CSV line of columns under a rule for fields."""
     return F.concat_ws(",", *[rule(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns])

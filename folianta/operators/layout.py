@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import paged
 
 
 def half_points(size: Column) -> Column:
@@ -44,68 +44,35 @@ def merge_wrapped(lines: DataFrame, reach: float = 1.6) -> DataFrame:
 
 
 def merge_items(items: DataFrame, tolerance: float = 0.2) -> DataFrame:
-    """Items to lines: an item goes on with the line while its size is equal and its baseline near the line's first one. A fold over one page's items, since each is compared with its line's first."""
+    """Items to lines (doc_id, page, seq, size, y, text): an item goes on with the line while its size is equal and its baseline near the line's first one."""
+    return merged_lines(paged.gathered(items, "seq", "str", "y", "size"), tolerance)
 
-    def fold(doc: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        doc = doc.sort_values(["page", "seq"])
-        for d, p, k, t, y, z in zip(*(doc[c].tolist() for c in ("doc_id", "page", "seq", "str", "y", "size_")), strict=True):
-            size = int(z * 2 + 0.5) / 2
-            if out and out[-1][1] == p and out[-1][3] == size and abs(out[-1][4] - y) <= tolerance * size:
-                out[-1][5].append(t)
-            elif t.strip():
-                out.append([d, p, k, size, y, [t]])
-        return pd.DataFrame([(d, p, k, z, y, " ".join(t)) for d, p, k, z, y, t in out], columns=["doc_id", "page", "seq", "size", "y", "text"])
 
-    rows = items.select("doc_id", "page", "seq", "str", "y", F.col("size").alias("size_"))
-    return rows.groupBy("doc_id").applyInPandas(fold, "doc_id long, page int, seq int, size double, y double, text string")
+def merged_lines(pages: DataFrame, tolerance: float = 0.2) -> DataFrame:
+    """:func:`merge_items` for pages that hold their items (doc_id, page, items)."""
+    return pages.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), paged.merged(F.col("items"), tolerance).alias("_l")).select("doc_id", "page", F.inline("_l"))
 
 
 def page_layout(items: DataFrame) -> DataFrame:
     """Reading order of a page: (doc_id, page, line, y, text, cells). Words from top to bottom and left to right join the first line within half their size; wide gaps part cells."""
+    return laid_pages(paged.gathered(items, *paged.KINDS))
 
-    def rows_of(words: list[tuple], doc_id: int, page: int) -> list[tuple]:
-        lines: list[list] = []
-        for w in sorted(words, key=lambda w: (-w[1], w[0], w[4])):
-            home = next((n for n in lines if abs(n[0] - w[1]) <= 0.5 * w[3]), None)
-            if home is None:
-                lines.append([w[1], [w]])
-            else:
-                home[1].append(w)
-        out = []
-        for k, (y, ws) in enumerate(sorted(lines, key=lambda n: -n[0]), 1):
-            cells: list[list[str]] = []
-            end = None
-            for x, _, width, size, _, text in sorted(ws, key=lambda w: (w[0], w[4])):
-                gap = None if end is None else x - end
-                if gap is None or gap > 1.5 * size:
-                    cells.append([text])
-                else:
-                    cells[-1].append((" " if gap > 0.15 * size else "") + text)
-                end = x + width
-            joined = ["".join(c) for c in cells]
-            out.append((doc_id, page, k, y, " ".join(joined), joined))
-        return out
-
-    def lay(doc: pd.DataFrame) -> pd.DataFrame:
-        by: dict[int, list[tuple]] = {}
-        for p, *w in zip(*(doc[c].tolist() for c in ("page", "x", "y", "width", "size_", "seq", "str")), strict=True):
-            by.setdefault(p, []).append(tuple(w))
-        rows = [r for p in sorted(by) for r in rows_of(by[p], doc["doc_id"].iloc[0], p)]
-        return pd.DataFrame(rows, columns=["doc_id", "page", "line", "y", "text", "cells"])
-
-    rows = items.select("doc_id", "page", "seq", "str", "x", "y", "width", F.col("size").alias("size_"))
-    return rows.groupBy("doc_id").applyInPandas(lay, "doc_id long, page int, line int, y double, text string, cells array<string>")
+
+def laid_pages(pages: DataFrame) -> DataFrame:
+    """:func:`page_layout` for pages that hold their items (doc_id, page, items)."""
+    return pages.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), paged.laid(F.col("items")).alias("_l")).select("doc_id", "page", F.inline("_l")).drop("column")
 
 
 def reading_order(items: DataFrame, widths: DataFrame) -> DataFrame:
     """Lines of pages in the order in which they are read, the left column before the right one: (doc_id, page, column, line, y, text, cells). ``widths``: doc_id, page, page_width."""
-    from .structure import in_columns
+    pages = paged.gathered(items, *paged.KINDS).join(widths.select("doc_id", "page", "page_width"), ["doc_id", "page"], "left")
+    return read_pages(pages).select("doc_id", "page", F.inline("lines"))
+
 
-    apart = in_columns(items, widths).withColumn("page", F.col("page") * 2 + F.col("column") - 1).drop("column")
-    laid = page_layout(apart).withColumn("column", F.col("page") % 2 + 1).withColumn("page", F.expr("cast(page div 2 as int)"))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("column", "line"))
-    return laid.select("doc_id", "page", "column", nth.alias("line"), "y", "text", "cells")
+def read_pages(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, lines): pages that hold their items (doc_id, page, items, page_width) with their lines as :func:`reading_order` has them, as one list."""
+    with_gutter = pages.withColumn("_gutter", paged.gutter(F.col("items"), F.col("page_width")))
+    return with_gutter.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), paged.laid(F.col("items"), F.col("_gutter")).alias("lines"))
 
 
 def paragraphs(lines: DataFrame) -> DataFrame:

@@ -7,14 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import paged
 from .trees import ancestors
 
 # Roles that may stand in lists, tables and rows, and subtypes of annotations that are comments.
 ITEM_PARTS, TABLE_PARTS, ROW_PARTS = ("Lbl", "LBody"), ("TR", "THead", "TBody", "TFoot", "Caption"), ("TH", "TD")
 COMMENTS = ("Text", "Highlight", "Underline", "StrikeOut", "Square", "Circle", "Line", "PolyLine", "Polygon", "Stamp")
 STYLES = ("search", "compare", "spaced", "filled")
-#: Bins of a page's histogram are so many points wide; a gutter has so many empty ones in the middle of the page.
-BIN, GUTTER, LEAST_WORDS, LEAST_SIDE = 2, 6, 20, 5
 
 
 def structure_checks(tags: DataFrame) -> DataFrame:
@@ -167,24 +166,9 @@ def split_by_size(pages: DataFrame, most: int) -> DataFrame:
 
 
 def column_gutters(words: DataFrame, widths: DataFrame) -> DataFrame:
-    """(doc_id, page, gutter): where a page's words (doc_id, page, x, width) part into two columns: the middle of the longest run of empty bins of two points between 30 and 70 percent of the page's width.
-
-    Pages with fewer than twenty words, or fewer than five on a side, have one column and no row. The histogram is a distinct list of bins a page; runs are gaps between neighbours.
-    """
-    w = words.join(widths.select("doc_id", "page", F.greatest(F.lit(1), F.ceil(F.col("page_width") / BIN)).cast("int").alias("_bins")), ["doc_id", "page"])
-    low, high = F.floor(F.col("_bins") * 0.3).cast("int"), F.floor(F.col("_bins") * 0.7).cast("int")
-    bins = F.sequence(F.greatest(F.lit(0), F.floor(F.col("x") / BIN)), F.least(F.col("_bins") - 1, F.floor((F.col("x") + F.col("width")) / BIN)))
-    ok = F.greatest(F.lit(0), F.floor(F.col("x") / BIN)) <= F.least(F.col("_bins") - 1, F.floor((F.col("x") + F.col("width")) / BIN))
-    held = w.where(ok).select("doc_id", "page", F.explode(bins).alias("bin"), low.alias("_low"), high.alias("_high")).where("bin >= _low and bin < _high").select("doc_id", "page", F.col("bin").cast("int").alias("bin"))
-    edges = w.select("doc_id", "page", F.explode(F.array(low - 1, high)).alias("bin"))
-    every = held.unionByName(edges).distinct()
-    after = F.lead("bin").over(Window.partitionBy("doc_id", "page").orderBy("bin"))
-    runs = every.withColumn("_n", after).withColumn("length", F.col("_n") - F.col("bin") - 1).where(F.col("length") >= GUTTER)
-    best = runs.groupBy("doc_id", "page").agg(F.max_by(F.struct(F.col("_n").alias("n"), "length"), F.struct("length", -F.col("bin"))).alias("b"))
-    gutters = best.select("doc_id", "page", ((F.col("b.n") - 1 - F.col("b.length") / 2) * BIN).alias("gutter"))
-    left = F.count_if(F.col("x") + F.col("width") / 2 < F.col("gutter"))
-    sides = words.join(gutters, ["doc_id", "page"]).groupBy("doc_id", "page", "gutter").agg(F.count(F.lit(1)).alias("n"), left.alias("l"))
-    return sides.where((F.col("n") >= LEAST_WORDS) & (F.col("l") >= LEAST_SIDE) & (F.col("n") - F.col("l") >= LEAST_SIDE)).select("doc_id", "page", "gutter")
+    """(doc_id, page, gutter): where a page's words (doc_id, page, x, width) part into two columns, for pages that have two; see :func:`paged.gutter`. ``widths``: doc_id, page, page_width."""
+    pages = paged.gathered(words, "x", "width").join(widths.select("doc_id", "page", "page_width"), ["doc_id", "page"])
+    return pages.select("doc_id", "page", paged.gutter(F.col("items"), F.col("page_width")).alias("gutter")).where("gutter is not null")
 
 
 def in_columns(words: DataFrame, widths: DataFrame) -> DataFrame:
@@ -193,6 +177,13 @@ def in_columns(words: DataFrame, widths: DataFrame) -> DataFrame:
     return words.join(column_gutters(words, widths), ["doc_id", "page"], "left").withColumn("column", F.when(F.coalesce(right, F.lit(False)), 2).otherwise(1)).drop("gutter")
 
 
+def columns_of(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, seq, column): :func:`in_columns` for pages that hold their items (doc_id, page, items, page_width)."""
+    with_gutter = pages.withColumn("_gutter", paged.gutter(F.col("items"), F.col("page_width")))
+    each = F.transform("items", lambda i: F.struct(i["seq"].alias("seq"), paged.column_of(i, F.col("_gutter")).alias("column")))
+    return with_gutter.select("doc_id", "page", F.inline(each))
+
+
 def attachments(nodes: DataFrame, names: DataFrame) -> DataFrame:
     """(doc_id, nth, name, size, description) of the names (node, seq, name, size, description) in name trees (doc_id, id, parent_id, place), as a walk from the roots meets them; unnamed ones have their number.
 
