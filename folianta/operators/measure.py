@@ -34,23 +34,34 @@ def text_width(text: Column, other: int = OTHER) -> Column:
     return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), lambda n, c: n + each(c))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def range_rect(transform: Column, text: Column, width: Column, start: Column, end: Column, measure: Callable[[Column], Column] | None = text_width, height: Column | None = None) -> Column:
     """The box around characters start..end of a text item in any direction (its six-number transform): their measured share of the item's width with a third of a character around, from below
     the baseline to above the letters. Null for empty items. Without a measure, all characters are as wide."""
     m = lambda i: F.get(transform, F.lit(i))
     scale = lambda x, y: F.nullif(F.hypot(x, y), F.lit(0.0))
     along = F.coalesce(scale(m(0), m(1)), F.lit(1.0))
-    ux, uy = m(0) / along, m(1) / along
     tall = F.coalesce(scale(m(2), m(3)), F.nullif(height, F.lit(0.0)) if height is not None else F.lit(None), F.lit(10.0))
     chars = F.length(text)
     step = width / chars
-    whole = measure(text) if measure else F.lit(0)
-    offset = lambda n: F.when(whole > 0, measure(F.substring(text, F.lit(1), n)) / whole * width).otherwise(n * step) if measure else n * step
-    a, b = offset(start) - 0.35 * step, offset(end) + 0.35 * step
-    low, high = -0.3 * tall, 1.1 * tall
-    xs = [m(4) + ux * s - uy * t for s in (a, b) for t in (low, high)]
-    ys = [m(5) + uy * s + ux * t for s in (a, b) for t in (low, high)]
-    return F.when((chars > 0) & (width > 0), geo.rect(F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)))
+    part = lambda n: (measure(F.substring(text, F.lit(1), n)) if measure else F.lit(0)).cast("long")
+    sums = F.struct((measure(text) if measure else F.lit(0)).cast("long").alias("whole"), part(start).alias("start"), part(end).alias("end"))
+
+    def box(w: Column) -> Column:
+        offset = lambda n, sum_: F.when(w["whole"] > 0, sum_ / w["whole"] * width).otherwise(n * step)
+        line = F.struct((offset(start, w["start"]) - 0.35 * step).alias("a"), (offset(end, w["end"]) + 0.35 * step).alias("b"), (m(0) / along).alias("ux"), (m(1) / along).alias("uy"), (-0.3 * tall).alias("low"), (1.1 * tall).alias("high"))
+        return _once(line, corners)
+
+    def corners(v: Column) -> Column:
+        xs = [m(4) + v["ux"] * v[s] - v["uy"] * v[t] for s in ("a", "b") for t in ("low", "high")]
+        ys = [m(5) + v["uy"] * v[s] + v["ux"] * v[t] for s in ("a", "b") for t in ("low", "high")]
+        return geo.rect(F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys))
+
+    return F.when((chars > 0) & (width > 0), _once(sums, box))
 
 
 def wrap(text: str, width_of: Callable[[str], int], most: float) -> list[str]:

@@ -74,3 +74,10 @@ def test_copied_runs_keep_their_shape(spark):
     assert [r.html for r in got] == [
         '<p><span style="font-size:12pt;font-family:Serif">One</span><span style="font-size:12.3pt"> more</span><br>two<br>three</p>\n<p><span style="font-family:Ax">far &lt;b&gt;</span></p>\n<p>up</p>\n<p>page</p>'
     ]
+
+
+def test_a_range_is_measured_once(spark):
+    box = measure.range_rect(F.array(*map(F.lit, (1.0, 0.0, 0.0, 1.0, 0.0, 0.0))), F.col("t"), F.lit(50.0), F.lit(1), F.lit(3))
+    df = spark.createDataFrame([("abcde",)], "t string").select(box.alias("r"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") <= 3
