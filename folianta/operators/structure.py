@@ -83,11 +83,19 @@ def page_text(items: DataFrame, style: str = "search") -> DataFrame:
     between all items, `filled` a space between those that aren't empty."""
     if style not in STYLES:
         raise ValueError(f"style is one of {', '.join(STYLES)}")
-    rows = items.where("str <> ''") if style == "filled" else items
-    parts = F.array_sort(F.collect_list(F.struct("seq", "str", "eol")))
+    each = items.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("seq", "str", "eol"))).alias("items"))
+    return text_of_pages(each, style)
+
+
+def text_of_pages(pages: DataFrame, style: str = "search") -> DataFrame:
+    """:func:`page_text` for pages that hold their items in order (doc_id, page, items: seq, str, eol)."""
+    if style not in STYLES:
+        raise ValueError(f"style is one of {', '.join(STYLES)}")
     end = {"search": lambda s: F.when(s["eol"], "\n").otherwise(""), "compare": lambda s: F.when(s["eol"], "\n").otherwise(" ")}.get(style)
-    text = F.array_join(F.transform(parts, lambda s: F.concat(s["str"], end(s))), "") if end else F.array_join(F.transform(parts, lambda s: s["str"]), " ")
-    return rows.groupBy("doc_id", "page").agg(text.alias("text"))
+    text = F.array_join(F.transform("items", lambda s: F.concat(s["str"], end(s))), "") if end else F.array_join(F.transform("items", lambda s: s["str"]), " ")
+    if style == "filled":
+        pages = pages.withColumn("items", F.filter("items", lambda s: s["str"] != "")).where(F.size("items") > 0)
+    return pages.select("doc_id", "page", text.alias("text"))
 
 
 def resolved(links: DataFrame, names: DataFrame, refs: DataFrame) -> DataFrame:

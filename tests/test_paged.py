@@ -66,7 +66,7 @@ def test_lines_are_those_of_a_walk(spark):
 
 
 def test_pages_need_no_shuffle(spark):
-    for name in ("column_text", "word_columns", "page_layout", "line_merge"):
+    for name in ("column_text", "word_columns", "page_layout", "line_merge", "page_text_search", "page_text_compare", "page_text_spaced", "page_text_filled"):
         plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "FlatMapGroups" not in plan, name
 
