@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from math import isqrt
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,29 +72,35 @@ def align(before: DataFrame, after: DataFrame, by: str = "doc_id", limit: int |
     Only page numbers and keys travel. A pair of documents of more than ``limit`` pages is an error (None: no limit); tens of thousands of pages take seconds and some megabytes.
     """
 
-    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("page"), b.sort_values("page")
-        x, y = a["key"].tolist(), b["key"].tolist()
-        if limit is not None and max(len(x), len(y)) > limit:
-            raise ValueError(f"more than {limit} pages")
-        left, right, status, i, j = [], [], [], 0, 0
+    def pair(x: list, y: list) -> Iterator[tuple[int | None, int | None, str]]:
+        i = j = 0
         for p, q in [*common_rows(x, y), (len(x), len(y))]:
             both = min(p - i, q - j)
-            left += [*range(i, p), *[None] * (q - j - both)]
-            right += [*range(j, q), *[None] * (p - i - both)]
-            status += ["changed"] * both + ["removed"] * (p - i - both) + ["added"] * (q - j - both)
+            for k in range(max(p - i, q - j)):
+                yield (i + k if i + k < p else None), (j + k if j + k < q else None), "changed" if k < both else "removed" if p - i > both else "added"
             if p < len(x):
-                left.append(p)
-                right.append(q)
-                status.append("unchanged")
+                yield p, q, "unchanged"
             i, j = p + 1, q + 1
-        key = (a if len(a) else b)[by].iloc[0]
-        m, n = a["page"].tolist(), b["page"].tolist()
-        return pd.DataFrame({by: [key] * len(status), "before_page": pd.array([None if p is None else m[p] for p in left], "Int32"), "after_page": pd.array([None if q is None else n[q] for q in right], "Int32"), "status": status})
 
-    cut = lambda d: d.select(by, "page", "key")
-    kind = before.schema[by].dataType.simpleString()
-    return cut(before).groupBy(by).cogroup(cut(after).groupBy(by)).applyInPandas(pair, f"{by} {kind}, before_page int, after_page int, status string")
+    @F.arrow_udf("array<struct<before_page:int,after_page:int,status:string>>")
+    def paired(before: pa.Array, after: pa.Array) -> pa.Array:
+        ends, left, right, status = [0], [], [], []
+        for a, b in zip(before, after, strict=True):
+            (m, x), (n, y) = ((v.values.field("page").to_pylist(), v.values.field("key").to_pylist()) for v in (a, b))
+            if limit is not None and max(len(x), len(y)) > limit:
+                raise ValueError(f"more than {limit} pages")
+            for p, q, s in pair(x, y):
+                left.append(None if p is None else m[p])
+                right.append(None if q is None else n[q])
+                status.append(s)
+            ends.append(len(status))
+        fields = [pa.array(left, pa.int32()), pa.array(right, pa.int32()), pa.array(status, pa.string())]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["before_page", "after_page", "status"]))
+
+    cut = lambda d, own: d.select(by, F.lit(own).alias("_own"), F.struct("page", "key").alias("_p"))
+    of = lambda own: F.array_sort(F.collect_list(F.when(F.col("_own") == own, F.col("_p"))))
+    sides = cut(before, True).unionByName(cut(after, False)).groupBy(by).agg(of(True).alias("_a"), of(False).alias("_b"))
+    return sides.select(by, paired("_a", "_b").alias("_r")).select(by, F.inline("_r"))
 
 
 def totals(aligned: DataFrame, by: str = "doc_id") -> DataFrame:

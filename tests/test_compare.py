@@ -52,3 +52,13 @@ def test_gaps_pair_up(spark):
         (1, 1, "unchanged"), (2, 2, "changed"), (3, 3, "unchanged"), (4, 4, "changed"), (None, 5, "added"), (5, 6, "unchanged"), (None, 7, "added"),
     ]
     assert [r.status for r in compare.align(rows("ab"), rows("")).collect()] == ["removed", "removed"]
+
+
+def test_documents_are_paired_in_batches(spark):
+    rows = lambda text, of: spark.createDataFrame([(of, i, c) for i, c in enumerate(text, 1)], "doc_id int, page int, key string")
+    before = rows("abc", 1).unionByName(rows("xy", 2)).unionByName(rows("k", None))
+    after = rows("bdc", 1).unionByName(rows("z", 3)).unionByName(rows("kl", None))
+    out = compare.align(before, after)
+    assert "CoGroup" not in out._jdf.queryExecution().executedPlan().toString()
+    want = [(1, 1, None, "removed"), (1, 2, 1, "unchanged"), (1, None, 2, "added"), (1, 3, 3, "unchanged"), (2, 1, None, "removed"), (2, 2, None, "removed"), (3, None, 1, "added"), (None, 1, 1, "unchanged"), (None, None, 2, "added")]
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
