@@ -7,43 +7,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import paged
-from .trees import ancestors
+from . import paged, tagged
 
-# Roles that may stand in lists, tables and rows, and subtypes of annotations that are comments.
-ITEM_PARTS, TABLE_PARTS, ROW_PARTS = ("Lbl", "LBody"), ("TR", "THead", "TBody", "TFoot", "Caption"), ("TH", "TD")
+# Subtypes of annotations that are comments.
 COMMENTS = ("Text", "Highlight", "Underline", "StrikeOut", "Square", "Circle", "Line", "PolyLine", "Polygon", "Stamp")
 STYLES = ("search", "compare", "spaced", "filled")
 
 
 def structure_checks(tags: DataFrame) -> DataFrame:
     """(doc_id, check, bad): how many tags (doc_id, id, parent_id, seq, role, alt, actual_text) break each rule of headings, lists, tables and alternate texts."""
-    kids = tags.where("parent_id is not null").groupBy("doc_id", F.col("parent_id").alias("id")).agg(F.collect_list("role").alias("_kids"))
-    rows = tags.join(kids, ["doc_id", "id"], "left").withColumn("_kids", F.coalesce("_kids", F.array().cast("array<string>")))
-    level = F.regexp_extract("role", "^H([1-6])$", 1).try_cast("int")
-    last = F.last(level, ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    above = ancestors(tags)
-    with_alt = lambda d: d.where("coalesce(alt, '') <> ''")
-    named = lambda d, c: d.select("doc_id", F.col("id").alias("ancestor"), F.lit(True).alias(c))
-    covered = above.join(named(with_alt(tags), "_a"), ["doc_id", "ancestor"]).select("doc_id", "id").distinct().withColumn("_nested", F.lit(True))
-    near = above.join(tags.where("role = 'Table'").select("doc_id", F.col("id").alias("ancestor")), ["doc_id", "ancestor"], "left_semi").join(tags.where("role = 'TH'").select("doc_id", "id"), ["doc_id", "id"], "left_semi")
-    headed = near.groupBy("doc_id", "id").agg(F.min_by("ancestor", "distance").alias("t")).select("doc_id", F.col("t").alias("id")).distinct().withColumn("_headed", F.lit(True))
-    rows = rows.withColumn("_level", level).withColumn("_last", F.coalesce(last, F.lit(0))).join(covered, ["doc_id", "id"], "left").join(headed, ["doc_id", "id"], "left")
-    other = lambda allowed: F.exists("_kids", lambda r: ~r.isin(*allowed))
-    none = F.size("_kids") == 0
-    said = F.coalesce("alt", F.lit("")) != ""
-    rules = {
-        "heading-nesting": F.col("_level") > F.col("_last") + 1,
-        "list-items": (F.col("role") == "L") & (none | other(["LI"])),
-        "list-bodies": (F.col("role") == "LI") & ((F.size(F.filter("_kids", lambda r: r == "LBody")) != 1) | other(ITEM_PARTS)),
-        "table-rows": (F.col("role") == "Table") & (none | other(TABLE_PARTS)),
-        "table-cells": (F.col("role") == "TR") & (none | other(ROW_PARTS)),
-        "table-headers": (F.col("role") == "Table") & F.col("_headed").isNull(),
-        "nested-alt": said & F.col("_nested").isNotNull(),
-        "other-alt": (F.col("role") == "Formula") & ~said & (F.coalesce("actual_text", F.lit("")) == ""),
-    }
-    one = rows.groupBy("doc_id").agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in rules.items()))
-    return one.select("doc_id", F.explode(F.array(*(F.struct(F.lit(n).alias("check"), F.col(f"`{n}`").alias("bad")) for n in rules))).alias("c")).select("doc_id", "c.*")
+    return rules_of(tagged.looked_at(tags))
+
+
+def rules_of(looked: DataFrame) -> DataFrame:
+    """(doc_id, check, bad) of documents as :func:`tagged.looked_at` gives them."""
+    return looked.select("doc_id", F.inline(F.array(*(F.struct(F.lit(n).alias("check"), F.col(f"`{n}`").alias("bad")) for n in tagged.RULES))))
 
 
 def accessibility_checks(documents: DataFrame, pages: DataFrame, fields: DataFrame, links: DataFrame) -> DataFrame:

@@ -18,9 +18,7 @@ SELECT doc_id, "check", CASE WHEN bad > 0 THEN 'failed' WHEN odd THEN 'warning'
 UNION ALL SELECT doc_id, 'structure-integrity', CASE WHEN odd THEN 'failed' ELSE 'passed' END, odd::BIGINT FROM o UNION ALL SELECT doc_id, 'table-regularity', 'manual', 0 FROM o""")
 def structure_report(spark, sf_dir):
     """Outcomes of the structure checks; some lines of an order have no role."""
-    t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("id")).agg(F.min("l_partkey").alias("_p"))
-    tags = tags_of(spark, sf_dir).join(t, ["doc_id", "id"]).withColumn("role", F.when(F.col("_p") % 41 == 0, "").otherwise(F.col("role"))).drop("_p")
-    return checks.structure_report(tags)
+    return checks.structure_report(tags_of(spark, sf_dir, bare=True))
 
 
 def _parts(spark, sf_dir):

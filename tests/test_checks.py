@@ -41,3 +41,70 @@ def test_the_left_column_is_read_first(spark):
     assert [r.text for r in got] == [f"w{i}" for i in range(1, 40, 2)] + [f"w{i}" for i in range(0, 40, 2)] and [r.line for r in got] == list(range(1, 41))
     one = layout.reading_order(df.where("seq < 10"), spark.createDataFrame([(1, 1, 612.0)], "doc_id long, page int, page_width double")).orderBy("line").collect()
     assert [r.text for r in one] == [f"w{i + 1} w{i}" for i in range(0, 10, 2)]
+
+
+def plain_report(rows):
+    """What breaks which rule, and whether the tree is whole, by walks from each tag."""
+    out = {r: 0 for r in ("heading-nesting", "list-items", "list-bodies", "table-rows", "table-cells", "table-headers", "nested-alt", "other-alt")}
+    last, headed, nested, broken = 0, set(), set(), False
+    at = {t[1]: t for t in rows}
+    for _, id_, up, _, role, alt, _ in rows:
+        seen, found, n = [], False, 0
+        while up in at and n < 127:
+            n += 1
+            if at[up][5]:
+                nested.add(id_)
+            if role == "TH" and not found and at[up][4] == "Table":
+                found = headed.add(up) is None
+            seen.append(up)
+            up = at[up][2]
+        broken |= up in at
+    for _, id_, _, _, role, alt, actual in sorted(rows, key=lambda t: t[3]):
+        kids = [t[4] for t in rows if t[2] == id_ and t[4] is not None]
+        other = lambda *ok: not kids or any(k not in ok for k in kids)  # noqa: E731, B023
+        level = int(role[1]) if role in ("H1", "H2", "H3") else 0
+        out["heading-nesting"] += level > last + 1
+        last = level or last
+        out["list-items"] += role == "L" and other("LI")
+        out["list-bodies"] += role == "LI" and (kids.count("LBody") != 1 or other("Lbl", "LBody"))
+        out["table-rows"] += role == "Table" and other("TR", "Caption")
+        out["table-cells"] += role == "TR" and other("TH", "TD")
+        out["table-headers"] += role == "Table" and id_ not in headed
+        out["nested-alt"] += bool(alt) and id_ in nested
+        out["other-alt"] += role == "Formula" and not alt and not actual
+    return out, broken or any(not (t[4] or "").strip() for t in rows)
+
+
+def test_documents_are_checked_where_their_tags_are(spark):
+    """One shuffle, whatever the depth; the counts are those of plain walks, with cycles, long chains and parents that aren't there."""
+    import random
+
+    rng, docs = random.Random(3), {}
+    for doc in range(40):
+        ids = rng.sample(range(100), rng.randint(1, 30))
+        docs[doc] = [
+            (doc, i, rng.choice([None, *ids[: n + doc % 2], *([999] if doc % 5 == 0 else [])]), n, rng.choice(["Table", "TR", "TH", "TD", "L", "LI", "LBody", "Lbl", "Caption", "H1", "H2", "H3", "Formula", "P", *([None, " "] if doc % 7 == 0 else [])]), rng.choice([None, "", "alt"]), rng.choice([None, "", "x"]))
+            for n, i in enumerate(ids)
+        ]
+    for doc, n in ((50, 128), (51, 131)):
+        docs[doc] = [(doc, i, i - 1 if i else None, i, "P", "alt" if i == 0 else None, None) for i in range(n)]
+    tags = spark.createDataFrame([t for rows in docs.values() for t in rows], "doc_id long, id long, parent_id long, seq int, role string, alt string, actual_text string").repartition(3)
+    report = checks.structure_report(tags)
+    assert report._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
+    got = {(r.doc_id, r.check): (r.status, r.bad) for r in report.collect()}
+    for doc, rows in docs.items():
+        rules, odd = plain_report(rows)
+        assert {r: got[doc, r][1] for r in rules} == rules and got[doc, "structure-integrity"] == (("failed", 1) if odd else ("passed", 0)), doc
+    assert len({got[d, "structure-integrity"] for d in docs}) == 2 and any(got[d, "nested-alt"][1] for d in docs)
+
+
+def test_documents_are_whole_in_a_batch():
+    import pyarrow as pa
+
+    from folianta.operators import grouped
+
+    keys = [None, None, 1, 2, 2, 2, 2, 3, 4, 4]
+    for size in (1, 2, 3, 10):
+        parts = [pa.RecordBatch.from_pydict({"k": pa.array(keys[i : i + size], pa.int64()), "v": list(range(i, min(10, i + size)))}) for i in range(0, 10, size)]
+        got = [b.to_pydict() for b in grouped.whole(iter(parts), "k")]
+        assert [v for b in got for v in b["v"]] == list(range(10)) and sum(len(set(b["k"])) for b in got) == 5
