@@ -1,20 +1,19 @@
 """Text runs that a page shows, from its drawing operators (doc_id, page, seq, op, nums, str).
 
-Operators are rows, and the state at an operator is resolved over the table: save and restore make levels, the frame of an operator is the last one opened at its level, what a frame has
-set is a running last value in it, and its transforms are a running product. What a frame begins with is what its opener had in the frame around it, so levels are resolved one after
-another, outermost first, each by one join, as many as the deepest page needs. A page of any length is sorted, never collected.
+Operators are dealt by page and sorted once, and each page is walked as its rows come by, with the graphics state, the stack of saved ones and one batch in memory: a page of any length is never collected.
+Operators that change nothing don't travel.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import geometry as geo
 from ..functions import text as tx
-from ..tables import Tables
 from .layout import half_points
 
 # Names of the operators, the colour at first, and the rendering mode that shows nothing.
@@ -22,70 +21,68 @@ OPENS, CLOSES = ("save", "formBegin"), ("restore", "formEnd")
 SHOWS = ("showText", "showSpacedText", "nextLineShowText", "nextLineSetSpacingShowText")
 BLACK, INVISIBLE = "#000000", 3
 PAGE = ("doc_id", "page")
-
-
-def _same() -> Column:
-    return F.array(*(F.lit(float(x)) for x in (1, 0, 0, 1, 0, 0)))
-
-
-def framed(ops: DataFrame) -> DataFrame:
-    """Adds ``level`` and ``frame`` (seq of the operator that opened it; null on the page itself). An opener is there twice: as the first row of its frame (``starts``) and as a row of the frame around it."""
-    step = F.when(F.col("op").isin(*OPENS), 1).when(F.col("op").isin(*CLOSES), -1).otherwise(0)
-    order = Window.partitionBy(*PAGE).orderBy("seq")
-    sums = ops.withColumn("_sum", F.sum(step).over(order))
-    after = F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(order))
-    opens = F.col("op").isin(*OPENS)
-    rows = sums.withColumn("_after", after).where(~F.col("op").isin(*CLOSES))
-    sides = F.explode(F.when(opens, F.array(F.struct(F.col("_after").alias("level"), F.lit(True).alias("starts")), F.struct((F.col("_after") - 1).alias("level"), F.lit(False).alias("starts")))).otherwise(F.array(F.struct(F.col("_after").alias("level"), F.lit(False).alias("starts")))))
-    each = rows.withColumn("_s", sides).select(*ops.columns, F.col("_s.level").cast("int").alias("level"), "_s.starts")
-    inside = Window.partitionBy(*PAGE, "level").orderBy("seq")
-    return each.withColumn("frame", F.last(F.when(F.col("starts"), F.col("seq")), ignorenulls=True).over(inside))
-
-
-def own_state(rows: DataFrame) -> DataFrame:
-    """Adds what the frame has set so far: font, size, colour, mode (null: nothing), and ``matrix``, the product of its transforms, the last one first."""
-    so_far = Window.partitionBy(*PAGE, "frame", "level").orderBy("seq", F.col("starts").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    op, here = F.col("op"), ~F.col("starts")
-    last = lambda when, value: F.last(F.when(here & when, value), ignorenulls=True).over(so_far)
-    moves = (F.size("nums") == 6) & ((here & (op == "transform")) | (F.col("starts") & (op == "formBegin")))
-    out = rows.withColumn("font", last(op == "font", F.coalesce("str", F.lit("")))).withColumn("size", last(op == "font", F.abs(F.coalesce(F.get("nums", F.lit(0)), F.lit(0.0)))))
-    out = out.withColumn("colour", last(op == "fill", F.col("str"))).withColumn("mode", last(op == "render", F.coalesce(F.get("nums", F.lit(0)), F.lit(0.0)).cast("int")))
-    out = out.withColumn("_moves", F.coalesce(moves, F.lit(False))).withColumn("_n", F.count_if("_moves").over(so_far))
-    key = [*PAGE, "level", "frame"]
-    lists = out.where("_moves").groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "nums"))), lambda x: x["nums"]).alias("_all"))
-    grown = F.aggregate("_all", F.array(_same()), lambda done, m: F.concat(done, F.array(geo.matrix_multiply(m, F.element_at(done, -1)))))
-    products = lists.select(*(F.col(c).alias(f"_{c}") for c in key), grown.alias("_products"))
-    on = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key))
-    joined = out.join(products, on, "left").withColumn("matrix", F.coalesce(F.get("_products", F.col("_n").cast("int")), _same()))
-    return joined.drop("_moves", "_n", "_products", *(f"_{c}" for c in key))
+TELLS = (*OPENS, *CLOSES, *SHOWS, "transform", "fill", "font", "render", "beginText", "textMatrix")
+SAME = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+
+
+def _times(a: tuple, b: tuple) -> tuple:
+    """The matrix that does a first, then b."""
+    return a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5]
+
+
+def _shown(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int], list[tuple]]]:
+    """Of each batch of sorted operators, which ones show a text, and the state they do so in: font, size, colour, and the matrix over that of the text."""
+    page = stack = state = text = None
+    for b in batches:
+        doc, nums, words = (b.column(c).to_pylist() for c in ("doc_id", "nums", "str"))
+        at, out = [], []
+        for i, (key, op, n, s) in enumerate(zip(zip(doc, b.column("page").to_pylist(), strict=True), b.column("op").to_pylist(), nums, words, strict=True)):
+            if key != page:
+                page, stack, state, text = key, [], ("", 0.0, BLACK, 0, SAME), SAME
+            font, size, colour, mode, matrix = state
+            if op in SHOWS:
+                if mode != INVISIBLE and font:
+                    at.append(i)
+                    out.append((font, size, colour, *_times(text, matrix)[2:]))
+            elif op in CLOSES:
+                state = stack.pop() if stack else state
+            elif op in OPENS:
+                stack.append(state)
+                if op == "formBegin" and n is not None and len(n) == 6:
+                    state = font, size, colour, mode, _times(n, matrix)
+            elif op == "transform":
+                if n is not None and len(n) == 6:
+                    state = font, size, colour, mode, _times(n, matrix)
+            elif op == "font":
+                state = s or "", abs((n[0] if n else None) or 0.0), colour, mode, matrix
+            elif op == "fill":
+                state = font, size, colour if s is None else s, mode, matrix
+            elif op == "render":
+                state = font, size, colour, int((n[0] if n else None) or 0), matrix
+            elif op == "beginText":
+                text = SAME
+            elif n is not None and len(n) == 6:
+                text = tuple(n)
+        yield b, at, out
 
 
 def visible_runs(ops: DataFrame) -> DataFrame:
     """(doc_id, page, seq, str, font, size, colour, x, y): texts shown with a font, in a size above 0 and not in the invisible mode, with the size and place after all transforms."""
-    tables = Tables(ops.sparkSession)
-    order = Window.partitionBy(*PAGE).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    op = F.col("op")
-    text_matrix = F.last(F.when(op == "beginText", _same()).when((op == "textMatrix") & (F.size("nums") == 6), F.col("nums")), ignorenulls=True).over(order)
-    kept = tables.keep(own_state(framed(ops.select(*PAGE, "seq", "op", "nums", "str").withColumn("text_matrix", F.coalesce(text_matrix, _same())))))
-    state, found, level = ("font", "size", "colour", "mode"), None, 0
-    above = kept.where("level = 0").select(*PAGE, F.lit(None).cast(kept.schema["seq"].dataType).alias("frame")).distinct().select(
-        *PAGE, "frame", F.lit("").alias("font0"), F.lit(0.0).alias("size0"), F.lit(BLACK).alias("colour0"), F.lit(0).alias("mode0"), _same().alias("matrix0")
-    )
-    while True:
-        other = above.select(F.col("doc_id").alias("_d"), F.col("page").alias("_p"), F.col("frame").alias("_f"), *(f"{c}0" for c in (*state, "matrix")))
-        here = kept.where(F.col("level") == level).join(other, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("page").eqNullSafe(F.col("_p")) & F.col("frame").eqNullSafe(F.col("_f")))
-        full = here.select(*PAGE, "seq", "op", "str", "starts", "text_matrix", *(F.coalesce(c, f"{c}0").alias(c) for c in state), geo.matrix_multiply(F.col("matrix"), F.col("matrix0")).alias("matrix"))
-        full = tables.keep(full.where(F.col("op").isin(*OPENS, *SHOWS) & ~F.col("starts")))
-        shown = full.where(F.col("op").isin(*SHOWS)).drop("starts")
-        found = shown if found is None else found.unionByName(shown)
-        above = full.where(F.col("op").isin(*OPENS)).select(*PAGE, F.col("seq").alias("frame"), *(F.col(c).alias(f"{c}0") for c in (*state, "matrix")))
-        if above.isEmpty():
-            break
-        level += 1
-    whole = geo.matrix_multiply(F.col("text_matrix"), F.col("matrix"))
-    sized = found.withColumn("_m", whole).withColumn("size", half_points(F.col("size") * F.hypot(F.col("_m")[2], F.col("_m")[3])))
-    seen = sized.where((F.col("mode") != INVISIBLE) & (F.col("font") != "") & (F.length(F.trim(tx.collapse(F.coalesce("str", F.lit(""))))) > 0) & (F.col("size") > 0))
-    return seen.select(*PAGE, "seq", "str", "font", "size", "colour", F.col("_m")[4].alias("x"), F.col("_m")[5].alias("y"))
+    states = [*(T.StructField(c, k) for c, k in (("font", T.StringType()), ("size", T.DoubleType()), ("colour", T.StringType()), ("_c", T.DoubleType()), ("_d", T.DoubleType()), ("x", T.DoubleType()), ("y", T.DoubleType())))]
+    keys = ["doc_id", "page", "seq", "str"]
+    schema = T.StructType([*(ops.schema[c] for c in keys), *states])
+    kinds = [pa.string(), pa.float64(), pa.string(), *[pa.float64()] * 4]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, at, out in _shown(batches):
+            if at:
+                yield pa.RecordBatch.from_arrays([*b.select(keys).take(pa.array(at)).columns, *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], schema.names)
+
+    tells = ops.where(F.col("op").isin(*TELLS)).select(*PAGE, "seq", "op", F.col("nums").cast("array<double>").alias("nums"), "str")
+    found = tells.repartition(*PAGE).sortWithinPartitions(*PAGE, "seq").mapInArrow(walk, schema)
+    sized = found.withColumn("size", half_points(F.col("size") * F.hypot("_c", "_d")))
+    seen = sized.where((F.length(F.trim(tx.collapse(F.coalesce("str", F.lit(""))))) > 0) & (F.col("size") > 0))
+    return seen.select(*PAGE, "seq", "str", "font", "size", "colour", "x", "y")
 
 
 def styles(runs: DataFrame, top: int = 12) -> DataFrame:

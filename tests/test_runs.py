@@ -69,3 +69,11 @@ def test_deep_frames_hand_their_state_on(spark):
     ops += [(1, 1, 50, "showText", None, "in"), *((1, 1, 51 + i, "restore", None, None) for i in range(25)), (1, 1, 90, "showText", None, "out")]
     got = sorted(tuple(r)[2:] for r in runs.visible_runs(spark.createDataFrame(ops, SCHEMA)).collect())
     assert got == [(50, "in", "F", 10.0, "#000000", 20.0, 0.0), (90, "out", "F", 10.0, "#000000", 0.0, 0.0)]
+
+
+def test_pages_are_sorted_once_and_walked(spark):
+    """One shuffle and no table a level, also for pages whose rows lie in several batches."""
+    ops = [(1, 1, i, "save", None, None) for i in range(6_000)] + [(1, 1, 6_000, "font", [10.0], "F")] + [(1, 1, 6_001 + i, "showText" if i % 2 else "other", None, "x") for i in range(6_000)] + [(1, 2, 0, "showText", None, "no font")]
+    found = runs.visible_runs(spark.createDataFrame(ops, SCHEMA))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 1
+    assert found.count() == 3_000
