@@ -5,13 +5,11 @@ from __future__ import annotations
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-from ..tables import stored
 
 # The namespace of XFDF, its elements beside the fields, and the limits of form data.
 XFDF = "http://ns.adobe.com/xfdf/"
@@ -92,73 +90,68 @@ def form_xfdf(fields: DataFrame) -> DataFrame:
     return fields.groupBy("doc_id").agg(F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?><xfdf xmlns="{XFDF}" xml:space="preserve"><fields>'), body, F.lit("</fields></xfdf>")).alias("xml"))
 
 
-_ELEMENT = T.StructType(
-    [T.StructField(n, T.IntegerType()) for n in ("at", "up", "depth")] + [T.StructField(n, T.StringType()) for n in ("tag", "over", "part", "text", "problem")] + [T.StructField("names", T.ArrayType(T.StringType()))]
-)
-
-
-def _elements(body: str | None) -> list[tuple]:
-    """The elements of an XML text as rows in the order of ``_ELEMENT``: number, that of the element around it, depth, its tag, the tag around it and the one of depth 2, text, names from depth 3 on."""
-    parser, open_, rows, n = ElementTree.XMLPullParser(("start", "end")), [], [], 0
+def _fields(body: str | None) -> tuple[list[tuple[str, list[str]]], str | None]:
+    """The fields that hold values in an XFDF text, with their values, and the first (as texts sort) of what is wrong with it."""
     try:
-        parser.feed(body or "")
-        parser.close()
+        root = ElementTree.fromstring(body or "")
     except ElementTree.ParseError:
-        return [(0, None, 0, None, None, None, None, "not XML", None)]
-    for event, element in parser.read_events():
-        if event == "start":
-            n += 1
-            open_.append((n, element))
-            continue
-        tags, numbers = [e.tag for _, e in open_], [0, *(i for i, _ in open_)]
-        rows.append((numbers[-1], numbers[-2], len(open_), tags[-1], ([None] + tags)[-2], (tags + [None])[1], element.text, None, [e.get("name") for _, e in open_[2:] if e.tag == _FIELD]))
-        open_.pop()
-        element.clear()
-    return rows
+        return [], "not XML"
+    leaves, wrong, n, rest = [], set(), 0, [(root, 1, None, None, ())]
+    while rest:
+        e, depth, over, part, names = rest.pop()
+        tag = e.tag
+        if depth == 1:
+            if tag != _ROOT:
+                wrong.add("not XFDF")
+        elif depth == 2:
+            part, n = tag, n + (tag == _FIELDS)
+            if tag not in _BESIDE:
+                wrong.add("more than form data")
+        elif part == _FIELDS and tag == _FIELD:
+            name = e.get("name")
+            names = names if len(names) > MOST_LEVELS + 1 else (*names, name)
+            if over not in (_FIELDS, _FIELD):
+                wrong.add("only plain values")
+            elif not 1 <= len(name or "") <= LONGEST_NAME:
+                wrong.add("bad field name")
+            elif len(names) > MOST_LEVELS + 1:
+                wrong.add("fields are nested too deeply")
+            nested = [k.tag == _FIELD for k in e]
+            if not any(nested):
+                leaves.append((".".join(x for x in names if x is not None), [k.text or "" for k in e if k.tag == _VALUE]))
+            elif not all(nested):
+                wrong.add("values and fields are mixed")
+        elif part == _FIELDS and over == _FIELDS:
+            wrong.add("not a field")
+        elif part == _FIELDS and (over != _FIELD or tag != _VALUE):
+            wrong.add("only plain values")
+        rest += [(k, depth + 1, tag, part, names) for k in reversed(e)]
+    if n != 1:
+        wrong.add("not one element of fields")
+    if len(leaves) > min(MOST_FIELDS, len({name for name, _ in leaves})):
+        wrong.add("fields twice or too many")
+    return leaves, min(wrong, default=None)
 
 
 def xfdf_values(files: DataFrame) -> DataFrame:
     """(doc_id, name, values, error): the fields of XFDF texts (doc_id, body), nested names joined by dots. A text that breaks a rule gives one row with the error and no fields.
 
-    Texts become a table of elements; every rule is a predicate on it, and a leaf's values are those of the elements right below it.
+    Each text, of two million bytes at most, is read where it is; nothing is shuffled.
     """
     refused = (F.octet_length("body") > MOST_BYTES) | F.col("body").rlike("(?i)<!(DOCTYPE|ENTITY)")
-    texts = files.select("doc_id", F.when(refused, None).otherwise(F.col("body")).alias("body"), refused.alias("refused"))
-    schema = T.StructType([files.schema["doc_id"], T.StructField("file", T.LongType()), *_ELEMENT.fields])
+    texts = files.select("doc_id", F.when(refused, None).otherwise(F.col("body")).alias("body"), F.coalesce(refused, F.lit(False)).alias("refused"))
+    schema = T.StructType([files.schema["doc_id"], T.StructField("name", T.StringType()), T.StructField("values", T.ArrayType(T.StringType())), T.StructField("error", T.StringType())])
 
     def read(batches):
-        file = TaskContext.get().partitionId() << 33
         for batch in batches:
-            rows, at = [], []
+            at, names, values, errors = [], [], [], []
             for i, (body, no) in enumerate(zip(batch.column("body").to_pylist(), batch.column("refused").to_pylist(), strict=True)):
-                found = [(0, None, 0, None, None, None, None, "too large, or with document types or entities", None)] if no else _elements(body)
-                rows += [(file + i, *row) for row in found]
-                at += [i] * len(found)
-            file += batch.num_rows
-            kinds = [pa.int64(), *[pa.int32()] * 3, *[pa.string()] * 5, pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], schema.names)
-
-    every = stored(texts.mapInArrow(read, schema))
-    tag, over, name = F.col("tag"), F.col("over"), F.try_element_at("names", F.lit(-1))
-    below = F.col("depth").isNotNull() & (F.col("part") == _FIELDS) & (F.col("depth") > 2)
-    broken = (
-        F.when(F.col("problem").isNotNull(), F.col("problem"))
-        .when((F.col("depth") == 1) & (tag != _ROOT), "not XFDF")
-        .when((F.col("depth") == 2) & ~tag.isin(*_BESIDE), "more than form data")
-        .when(below & (over == _FIELDS) & (tag != _FIELD), "not a field")
-        .when(below & (tag == _FIELD) & ~over.isin(_FIELDS, _FIELD), "only plain values")
-        .when(below & (tag == _FIELD) & ~F.coalesce(F.length(name).between(1, LONGEST_NAME), F.lit(False)), "bad field name")
-        .when(below & (tag == _FIELD) & (F.size("names") > MOST_LEVELS + 1), "fields are nested too deeply")
-        .when(below & (tag != _FIELD) & ((over != _FIELD) | (tag != _VALUE)), "only plain values")
-    )
-    around = every.where(below).groupBy("file", F.col("up").alias("at")).agg(
-        F.bool_or(tag == _FIELD).alias("nested"), F.bool_or(tag != _FIELD).alias("plain"), F.array_sort(F.collect_list(F.when(tag == _VALUE, F.struct("at", F.coalesce("text", F.lit("")).alias("v"))))).alias("held")
-    )
-    fields = every.where(below & (tag == _FIELD)).select("doc_id", "file", "at", F.array_join("names", ".").alias("name")).join(around, ["file", "at"], "left")
-    leaves = fields.where(~F.coalesce("nested", F.lit(False))).select("doc_id", "file", "name", F.coalesce(F.transform("held", lambda x: x["v"]), F.array().cast("array<string>")).alias("values"))
-    one = every.groupBy("file").agg(F.count(F.when((F.col("depth") == 2) & (tag == _FIELDS), 1)).alias("n")).where("n <> 1").select("file", F.lit("not one element of fields").alias("error"))
-    twice = leaves.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("name").alias("m")).where((F.col("n") > F.col("m")) | (F.col("n") > MOST_FIELDS)).select("file", F.lit("fields twice or too many").alias("error"))
-    mixed = fields.where("nested and plain").select("file", F.lit("values and fields are mixed").alias("error"))
-    first = every.select("file", broken.alias("error")).where("error is not null").unionByName(one).unionByName(twice).unionByName(mixed).groupBy("file").agg(F.min("error").alias("error"))
-    bad = every.select("doc_id", "file").distinct().join(first, "file").select("doc_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("array<string>").alias("values"), "error")
-    return leaves.join(first, "file", "left_anti").select("doc_id", "name", "values", F.lit(None).cast("string").alias("error")).unionByName(bad)
+                leaves, error = ([], "not one element of fields") if no else _fields(body)
+                for name, held in leaves if error is None else [(None, None)]:
+                    at.append(i)
+                    names.append(name)
+                    values.append(held)
+                    errors.append(error)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(values, pa.list_(pa.string())), pa.array(errors, pa.string())], schema.names)
+
+    return texts.mapInArrow(read, schema)

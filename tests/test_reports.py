@@ -49,3 +49,12 @@ def test_contrast_range(spark):
     rows = [(1, 0, 1), (1, 10, 99), (1, 200, 99), (1, 255, 1), (2, 7, 5)]
     got = reports.contrast_range(spark.createDataFrame(rows, "doc_id int, bin int, n long")).collect()
     assert sorted(tuple(r) for r in got) == [(1, 10, 200, True), (2, 7, 7, False)]
+
+
+def test_forms_are_read_where_they_are(spark):
+    """No table between and no shuffle, also with texts that break rules beside others."""
+    bodies = [xfdf('<field name="a"><value>1</value></field>'), "<a", xfdf(""), xfdf("", "<annots/><fields/>"), xfdf("<x><y/></x>"), xfdf('<field name="a"><field name="b"><x/></field></field><field name="c"/>')]
+    found = reports.xfdf_values(spark.createDataFrame(list(enumerate(bodies)), "doc_id long, body string").coalesce(1))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "tables-" not in plan
+    assert sorted(tuple(r) for r in found.collect()) == [(0, "a", ["1"], None), (1, None, None, "not XML"), (3, None, None, "more than form data"), (4, None, None, "not a field"), (5, None, None, "only plain values")]
