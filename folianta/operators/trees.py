@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,17 +96,34 @@ def nearest_above(nodes: DataFrame, levels_: int = 9) -> DataFrame:
 
 
 def role_of(tags: DataFrame, role_map: DataFrame) -> DataFrame:
-    """Adds standard_role: a tag's role followed through the role map (doc_id, role, to), which may chain, until no entry is left or a role comes again. Only distinct roles are followed."""
-    tables = Tables(tags.sparkSession)
-    step = role_map.select("doc_id", F.col("role").alias("_at"), F.col("to").alias("_to"))
-    now = tables.keep(tags.select("doc_id", "role").distinct().withColumn("_at", F.col("role")).withColumn("_seen", F.array("role")))
-    while True:
-        free = F.col("_to").isNotNull() & ~F.array_contains("_seen", F.col("_to"))
-        out = now.join(step, ["doc_id", "_at"], "left").withColumn("_free", F.coalesce(free, F.lit(False)))
-        now = tables.keep(out.select("doc_id", "role", F.when(F.col("_free"), F.col("_to")).otherwise(F.col("_at")).alias("_at"), F.when(F.col("_free"), F.array_append("_seen", F.col("_to"))).otherwise(F.col("_seen")).alias("_seen"), "_free"))
-        if not now.where("_free").take(1):
-            return tags.join(now.select("doc_id", "role", F.col("_at").alias("standard_role")), ["doc_id", "role"], "left")
-        now = now.drop("_free")
+    """Adds standard_role: a tag's role followed through the role map (doc_id, role, to), which may chain, until no entry is left or a role comes again. Of two entries of one role the first ``to`` counts.
+
+    A document's entries are followed once, in one list, which its tags are joined with.
+    """
+
+    @F.arrow_udf("map<string,string>")
+    def ends(entries: pa.Array) -> pa.Array:
+        out, known = [], {}
+        for pairs in entries.to_pylist():
+            key = tuple((p["role"], p["to"]) for p in pairs)
+            if key not in known:
+                to = dict(reversed(key))
+                found = {}
+                for role in to:
+                    at, seen = role, {role}
+                    while (then := to.get(at)) is not None and then not in seen:
+                        seen.add(at := then)
+                    found[role] = at
+                if len(known) > 1_000:
+                    known.clear()
+                known[key] = list(found.items())
+            out.append(known[key])
+        return pa.array(out, pa.map_(pa.string(), pa.string()))
+
+    entry = F.when(F.col("role").isNotNull() & F.col("to").isNotNull(), F.struct("role", "to"))
+    maps = role_map.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("_entries")).select("doc_id", ends("_entries").alias("_ends"))
+    joined = tags.join(maps, "doc_id", "left").withColumn("standard_role", F.coalesce(F.try_element_at("_ends", "role"), F.col("role")))
+    return joined.select(*tags.columns, "standard_role")
 
 
 def reachable(objects: DataFrame, references: DataFrame, roots: DataFrame) -> DataFrame:

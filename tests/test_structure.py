@@ -148,3 +148,13 @@ def test_own_bookmarks_are_read_whole(spark):
     assert [r.error for r in exchange.bookmark_tree(files, most_bytes=1000).collect()] == ["not bookmarks"]
     got = exchange.bookmark_tree(files, most=None, most_bytes=None).collect()
     assert len(got) == 10_001 and all(r.error is None and r.title == f"t{r.path[0]}" for r in got)
+
+
+def test_roles_take_one_join(spark):
+    """No round of joins a step; entries that occur twice or lead nowhere, roles that are missing, and documents without a map."""
+    tags = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, None), (2, 4, "a"), (1, 5, "d")], "doc_id long, id long, role string")
+    roles = spark.createDataFrame([(1, "a", "c"), (1, "a", "b"), (1, "b", "d"), (1, "d", None), (3, "a", "x")], "doc_id long, role string, to string")
+    found = trees.role_of(tags, roles)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "tables-" not in plan
+    assert {r.id: r.standard_role for r in found.collect()} == {1: "d", 2: "d", 3: None, 4: "a", 5: "d"}
