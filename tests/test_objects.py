@@ -30,3 +30,16 @@ def test_shared_images(spark):
     drawn = objects.placed(spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "doc_id long, page int, stream string"), spark.createDataFrame(items, ITEM))
     got = {(r.page, r.seq): (r.ref, r.pixel_width, r.shared) for r in objects.inventory(drawn, spark.createDataFrame([(1, "i", 7, 8)], "doc_id long, ref string, width int, height int")).collect()}
     assert got == {(1, 0): ("i", 7, True), (1, 1): ("j", None, True), (1, 2): ("j", None, True), (2, 1): ("k", None, False), (2, 3): (None, None, False)}
+
+
+def test_forms_are_followed_after_one_shuffle(spark, monkeypatch):
+    """No join or table a level; a few drawings at a time give the same as many."""
+    items = [item("p", i, "form", f"f{i % 3}", (1, 0, 0, 1, i, 0)) for i in range(6)] + [item(f"f{i}", j, "form", f"f{i + 1}", None or (2, 0, 0, 2, 0, j)) for i in range(3) for j in range(2)] + [item("f3", 7, "text", text="end")]
+    frames = spark.createDataFrame([(1, 1, "p"), (1, 2, "f3"), (2, 1, "p")], "doc_id long, page int, stream string"), spark.createDataFrame(items, ITEM)
+    drawn = objects.placed(*frames)
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 1 and "Join" not in plan
+    got = sorted(tuple(r) for r in drawn.collect())
+    assert len([r for r in got if r[5] == "end"]) == 2 * (8 + 4 + 2) + 1 and {r[0] for r in got} == {1}
+    monkeypatch.setattr(objects, "AT_ONCE", 3)
+    assert sorted(tuple(r) for r in objects.placed(*frames).collect()) == got
