@@ -3,11 +3,13 @@
 Texts of one language lie in blocks of some megabytes. In its block a word or phrase has a list of the positions at which it begins; between pieces (parts of a text between break
 characters) a position is left out, so neighbours are always words of one piece. The list of a phrase is extended by merge-joining its positions with the postings of the words that follow:
 a list for each following word. The length of a list is the phrase's exact frequency in the block, and frequencies of all blocks are added up by phrase. What is frequent goes back to the
-blocks that hold it, one row a block and phrase, and only these lists are extended at the next level; a word's posting stays only where a frequent phrase ends, so both parts of a longer
-candidate, without its last and without its first word, are frequent before it is counted.
+blocks that hold it, and only these lists are extended at the next level; a word's posting stays only where a frequent phrase ends, so both parts of a longer candidate, without its last
+and without its first word, are frequent before it is counted. Phrases are dealt over ranges of a hash, as many as the text is long: a block sends what it counted as one packed row a range,
+with the words themselves, and gets one packed row a range back, so a task adds up one range of all blocks.
 
 Most words and pairs of words are rare, so before they are counted by name their counts are added up by slot of a hash, as a few packed rows a block: a slot's sum is no less than the
-count of anything in it, so what lies in a light slot is rare, and nothing frequent is lost. The slots grow with the input, and there are never more rows than there are pairs.
+count of anything in it, so what lies in a light slot is rare, and nothing frequent is lost. The slots grow with the input. What the packed rows hold is never more than each block's
+different pairs.
 
 Blocks stay whole rows with their lists (codes in the order of the text, from which a task sorts the lists again) and get smaller with each level; nothing of a word's occurrences is sent
 for itself. Frequencies are of the words themselves or of numbers given to frequent phrases, not of hashes. Parts of a candidate are found along the links to the phrases without its last
@@ -40,8 +42,6 @@ BLOCK_BYTES = 32_000_000
 SLOT_BITS, RANGE_BYTES, LEAST_RANGES = 24, 64_000_000, 16
 #: Ranks are first taken within so many parts of a language.
 RANK_PARTS = 64
-#: Bits of a candidate's number in its block.
-PART_BITS = 28
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, 0x09]] = True
 _BREAK = np.zeros(256, bool)
@@ -56,26 +56,34 @@ def _schema(**kinds: T.DataType) -> T.StructType:
 
 _LONG, _STRING, _BYTES = T.LongType(), T.StringType(), T.BinaryType()
 _BLOCK = _schema(block=_LONG, lang=_STRING, n=_LONG, range=T.IntegerType(), packed=_BYTES)
-_COUNTED = _schema(block=_LONG, at=_LONG, lang=_STRING, prefix=_LONG, first=_STRING, word=_STRING, suffix=_LONG, count=_LONG, packed=_BYTES)
+_COUNTED = _schema(block=_LONG, lang=_STRING, range=T.IntegerType(), packed=_BYTES)
+_FREQUENT = _schema(id=_LONG, lang=_STRING, prefix=_LONG, first=_STRING, word=_STRING, suffix=_LONG, f=_LONG, block=_LONG, packed=_BYTES)
 
 
 def _pack(arrays: list[np.ndarray], words: list[str] | None = None) -> bytes:
     """Arrays of numbers from -1 on and words without line ends, compressed."""
-    small = [a.max(initial=0) < 65_535 for a in arrays]
-    body = b"".join((a + 1).astype("<u2" if s else "<u4").tobytes() for a, s in zip(arrays, small, strict=True)) + "\n".join(words or []).encode()
-    head = np.array([len(arrays), len(words or []), len(body), *small, *(len(a) for a in arrays)], np.int64)
+    most = [a.max(initial=0) for a in arrays]
+    width = [2 if m < 65_535 else 4 if m < 0xFFFFFFFF else 8 for m in most]
+    body = b"".join((a + 1).astype(f"<u{w}").tobytes() for a, w in zip(arrays, width, strict=True)) + "\n".join(words or []).encode()
+    head = np.array([len(arrays), len(words or []), len(body), *width, *(len(a) for a in arrays)], np.int64)
     return head.tobytes() + pa.compress(body, codec="zstd", asbytes=True)
 
 
-def _unpack(packed: bytes) -> tuple[list[np.ndarray], list[str]]:
+def _unpacked(packed: bytes) -> tuple[list[np.ndarray], int, bytes]:
+    """The arrays, the number of words and the words, one a line."""
     n, n_words, size = np.frombuffer(packed, np.int64, 3).tolist()
     heads = np.frombuffer(packed, np.int64, 2 * n, 24).tolist()
     body = pa.decompress(packed[24 + 16 * n :], decompressed_size=size, codec="zstd", asbytes=True)
     arrays, a = [], 0
-    for small, length in zip(heads[:n], heads[n:], strict=True):
-        arrays.append(np.frombuffer(body, "<u2" if small else "<u4", length, a).astype(np.int64 if not small else np.int32) - 1)
-        a += length * (2 if small else 4)
-    return arrays, body[a:].decode().split("\n") if n_words else []
+    for width, length in zip(heads[:n], heads[n:], strict=True):
+        arrays.append(np.frombuffer(body, f"<u{width}", length, a).astype(np.int64 if width > 2 else np.int32) - 1)
+        a += length * width
+    return arrays, n_words, body[a:]
+
+
+def _unpack(packed: bytes) -> tuple[list[np.ndarray], list[str]]:
+    arrays, n_words, lines = _unpacked(packed)
+    return arrays, lines.decode().split("\n") if n_words else []
 
 
 def _rows(schema: T.StructType, n: int, /, **cols) -> pa.RecordBatch:
@@ -181,6 +189,18 @@ def heavy(held: DataFrame, least: int) -> DataFrame:
     return held.where(F.col("range").isNotNull()).select("block", "range", "packed").groupBy("range").applyInArrow(weigh, schema)
 
 
+def _dealt(block: int, lang: str | None, ranges: np.ndarray, prefix: np.ndarray, word: np.ndarray, suffix: np.ndarray, count: np.ndarray, words: list[str], first: bool) -> pa.RecordBatch:
+    """A row for each range with what a block counted there, in order of ranges: number of the first, prefixes (codes of ``words`` if ``first``), words, suffixes, counts."""
+    cut = np.flatnonzero(np.diff(ranges, prepend=-1))
+    packed = []
+    for a, b in zip(cut, [*cut[1:], len(ranges)], strict=True):
+        own, codes = np.unique(np.concatenate([word[a:b], prefix[a:b]]) if first else word[a:b], return_inverse=True)
+        codes -= int(own[0] < 0)
+        names = [words[i] for i in own[own >= 0].tolist()]
+        packed.append(_pack([np.array([a]), codes[b - a :] if first else prefix[a:b], codes[: b - a], suffix[a:b], count[a:b]], names))
+    return _rows(_COUNTED, len(cut), block=block, lang=lang, range=ranges[cut], packed=packed)
+
+
 def _named(n_ranges: int, with_lists: bool):
     """From a block and its bits to the words and pairs that may be frequent, by name, and the lists of these pairs."""
 
@@ -195,21 +215,22 @@ def _named(n_ranges: int, with_lists: bool):
             size = np.diff(np.searchsorted(used, np.arange(n_ranges + 1) << SLOT_BITS))
             bits = dict(zip(right["range"].to_pylist(), right["packed"].to_pylist(), strict=True))
             up = np.concatenate([np.unpackbits(np.frombuffer(bits[r], np.uint8), count=n) for r, n in enumerate(size.tolist()) if n]).astype(bool)
-            good = np.flatnonzero(up[np.searchsorted(used, slot1)])
-            texts = pa.array(words, pa.string())
-            if len(good):
-                out.append(_rows(_COUNTED, len(good), block=block, lang=lang, word=texts.take(pa.array(good)), count=np.bincount(codes[codes >= 0], minlength=len(words))[good]))
-            pair = np.flatnonzero(up[np.searchsorted(used, slot2)])
-            if len(pair):
-                first, word = texts.take(pa.array(one[pair])), texts.take(pa.array(two[pair]))
-                out.append(_rows(_COUNTED, len(pair), block=block, at=(block << PART_BITS) + np.arange(len(pair)), lang=lang, first=first, word=word, count=times[pair]))
-                if with_lists:
-                    both = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0))
-                    key, want = codes[both].astype(np.int64) << 32 | codes[both + 1], one[pair] << 32 | two[pair]
-                    found = np.minimum(np.searchsorted(want, key), len(want) - 1)
-                    lists = np.full(len(codes), -1, np.int32)
-                    lists[both] = np.where(want[found] == key, found, -1)
-                    out.append(_rows(_COUNTED, 1, block=block, lang=lang, packed=[_state(codes, lists, 2, words)]))
+            good, pair = np.flatnonzero(up[np.searchsorted(used, slot1)]), np.flatnonzero(up[np.searchsorted(used, slot2)])
+            if len(good) + len(pair):
+                ranges = np.concatenate([slot1[good], slot2[pair]]) >> SLOT_BITS
+                order = np.argsort(ranges, kind="stable")
+                prefix, word = np.concatenate([np.full(len(good), -1), one[pair]])[order], np.concatenate([good, two[pair]])[order]
+                count = np.concatenate([np.bincount(codes[codes >= 0], minlength=len(words))[good], times[pair]])[order]
+                out.append(_dealt(block, lang, ranges[order], prefix, word, np.full(len(order), -1), count, words, True))
+            if len(pair) and with_lists:
+                number = np.empty(len(order), np.int32)
+                number[order] = np.arange(len(order))
+                both = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0))
+                key, want = codes[both].astype(np.int64) << 32 | codes[both + 1], one[pair] << 32 | two[pair]
+                found = np.minimum(np.searchsorted(want, key), len(want) - 1)
+                lists = np.full(len(codes), -1, np.int32)
+                lists[both] = np.where(want[found] == key, number[len(good) + found], -1)
+                out.append(_rows(_COUNTED, 1, block=block, lang=lang, packed=[_state(codes, lists, 2, words)]))
         return pa.Table.from_batches(out) if out else pa.Table.from_batches([_rows(_COUNTED, 0)])
 
     return name
@@ -248,7 +269,7 @@ def extended(words: np.ndarray, lists: np.ndarray, k: int) -> tuple[np.ndarray,
     return at, np.cumsum(head) - 1, lists[one], words[one + k], lists[one + 1]
 
 
-def _step(k: int, last: bool):
+def _step(k: int, n_ranges: int, last: bool):
     """From the lists of phrases of k words, of which those named by the reply are frequent, to those of one word more."""
 
     def step(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -256,7 +277,7 @@ def _step(k: int, last: bool):
         if left.num_rows and right.num_rows:
             block = left["block"][0].as_py()
             (codes, lists), words = _unpack(left["packed"][0].as_py())
-            part, ids = right["at"].to_numpy() & (1 << PART_BITS) - 1, right["id"].to_numpy()
+            part, ids = (np.concatenate(x) for x in zip(*(_unpack(p)[0] for p in right["packed"].to_pylist()), strict=True))
             index = np.full(int(max(lists.max(initial=-1), part.max())) + 2, -1, np.int64)
             index[part] = np.arange(len(part))
             lists = index[lists]
@@ -264,22 +285,66 @@ def _step(k: int, last: bool):
             ends[np.flatnonzero(lists >= 0) + k - 1] = True
             at, number, prefix, word, suffix = extended(np.where(ends, codes, -1), lists, k)
             if len(at):
-                texts = pa.array(words, pa.string()).take(pa.array(word))
-                out.append(_rows(_COUNTED, len(prefix), block=block, at=(block << PART_BITS) + np.arange(len(prefix)), prefix=ids[prefix], word=texts, suffix=ids[suffix], count=np.bincount(number)))
+                data, offs = textcore.buffers(pa.array(words, pa.large_string()))
+                h = textcore.mix64(textcore.span_hashes(data, offs[:-1], offs[1:])[word] ^ textcore.mix64(ids[prefix].astype(np.uint64)))
+                ranges = (h % np.uint64(n_ranges)).astype(np.int64)
+                order = np.argsort(ranges, kind="stable")
+                out.append(_dealt(block, None, ranges[order], ids[prefix][order], word[order], ids[suffix][order], np.bincount(number)[order], words, False))
                 if not last:
+                    place = np.empty(len(order), np.int64)
+                    place[order] = np.arange(len(order))
                     longer = np.full(len(codes), -1, np.int64)
-                    longer[at] = number
+                    longer[at] = place[number]
                     out.append(_rows(_COUNTED, 1, block=block, packed=[_state(codes, longer, k + 1, words)]))
         return pa.Table.from_batches(out) if out else pa.Table.from_batches([_rows(_COUNTED, 0)])
 
     return step
 
 
-def frequent(counted: DataFrame, by: list[str], least: int) -> DataFrame:
-    """(at, keys, suffix, f, id) of the candidates that are frequent over all blocks; ``id`` is one number for all rows of a phrase."""
-    one = Window.partitionBy(*by)
-    rows = counted.where(F.col("at").isNotNull()).select("at", *by, "suffix", "count")
-    return rows.select("at", *by, "suffix", F.sum("count").over(one).alias("f"), F.min("at").over(one).alias("id")).where(F.col("f") >= least)
+def frequent(counted: DataFrame, n_ranges: int, least: int, first: bool) -> DataFrame:
+    """The phrases that are frequent over all blocks, a row each, and a packed row with the numbers of these phrases in a block, and their ids, for each block and range.
+
+    ``first``: the phrases are words (without ``first``) and pairs of words; otherwise a prefix's id and a word.
+    """
+
+    def add(rows: pa.Table) -> pa.Table:
+        each = [_unpacked(p) for p in rows["packed"].to_pylist()]
+        begin, prefix, word, suffix, count = (np.concatenate(x) for x in zip(*(arrays for arrays, _, _ in each), strict=True))
+        size = np.array([len(arrays[1]) for arrays, _, _ in each])
+        names = pc.split_pattern(pa.array([lines for _, _, lines in each], pa.large_binary()).cast(pa.large_string()), "\n").flatten().dictionary_encode()
+        ahead = np.repeat(np.cumsum([0, *(n for _, n, _ in each[:-1])]), size)
+        name = names.indices.to_numpy().astype(np.int64)
+        word = name[word + ahead]
+        if first:
+            prefix = np.where(prefix < 0, -1, name[np.maximum(prefix, 0) + ahead])
+        langs = rows["lang"].combine_chunks().dictionary_encode()
+        lang = np.repeat(langs.indices.fill_null(0).to_numpy().astype(np.int64), size)
+        key = word * max(1, len(langs.dictionary)) + lang
+        order = np.lexsort((key, prefix))
+        head = np.ones(len(order), bool)
+        head[1:] = (np.diff(key[order]) != 0) | (np.diff(prefix[order]) != 0)
+        at = np.flatnonzero(head)
+        f = np.add.reduceat(count[order].astype(np.int64), at)
+        good = f >= least
+        ids = np.cumsum(good) * n_ranges + rows["range"][0].as_py()
+        of = np.empty(len(order), np.int64)
+        of[order] = np.where(good, ids, -1)[np.cumsum(head) - 1]
+        one = order[at[good]]
+        texts, out = names.dictionary.cast(pa.string()), []
+        if len(one):
+            parts = {"first": texts.take(pa.array(prefix[one], mask=prefix[one] < 0)), "lang": langs.dictionary.take(pa.array(lang[one]))} if first else {"prefix": prefix[one], "suffix": suffix[one]}
+            out.append(_rows(_FREQUENT, len(one), id=ids[good], word=texts.take(pa.array(word[one])), f=f[good], **parts))
+            if first:
+                of[prefix < 0] = -1
+            blocks, packed = rows["block"].to_pylist(), []
+            for a, b, start in zip(np.cumsum(size) - size, np.cumsum(size), begin, strict=True):
+                there = np.flatnonzero(of[a:b] >= 0)
+                packed.append(_pack([there + start, of[a:b][there]]) if len(there) else None)
+            kept = [i for i, p in enumerate(packed) if p]
+            out.append(_rows(_FREQUENT, len(kept), block=[blocks[i] for i in kept], packed=[packed[i] for i in kept]))
+        return pa.Table.from_batches(out) if out else pa.Table.from_batches([_rows(_FREQUENT, 0)])
+
+    return counted.where(F.col("range").isNotNull()).groupBy("range").applyInArrow(add, _FREQUENT)
 
 
 def phrases(docs: DataFrame, tables: Tables, least: int = LEAST, max_words: int = MAX_WORDS, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -296,26 +361,26 @@ def phrases(docs: DataFrame, tables: Tables, least: int = LEAST, max_words: int
     texts = whole.where(F.col("range").isNull()).select("block", "lang", "packed")
     held = tables.keep(texts.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_named(n_ranges, max_words > 2), _COUNTED))
     tables.drop(whole, bits)
-    words = tables.keep(held.where(F.col("at").isNull() & F.col("packed").isNull()).groupBy("lang", "word").agg(F.sum("count").alias("f")).where(F.col("f") >= least))
     levels = []
     for k in range(2, max_words + 1):
-        reply = tables.keep(frequent(held, ["lang", "first", "word"] if k == 2 else ["prefix", "word"], least))
-        own = reply.where(F.col("at") == F.col("id"))
+        reply = tables.keep(frequent(held, n_ranges, least, k == 2))
+        own = reply.where(F.col("id").isNotNull())
         if k == 2:
+            words = own.where(F.col("first").isNull())
             one = words.select("lang", F.col("word").alias("first"), F.col("f").alias("f1"))
             two = words.select("lang", "word", F.col("f").alias("f2"))
-            both = own.join(one, ["lang", "first"]).join(two, ["lang", "word"])
+            both = own.where(F.col("first").isNotNull()).select("id", "lang", "first", "word", "f").join(one, ["lang", "first"]).join(two, ["lang", "word"])
             level = both.select("id", "lang", F.concat_ws(" ", "first", "word").alias("phrase"), "f", F.array("f1").alias("pre"), F.array("f2").alias("suf"), F.lit(None).cast("long").alias("prefix"), F.lit(None).cast("long").alias("suffix"))
         else:
             first = levels[-1].select(F.col("id").alias("prefix"), "lang", "phrase", F.concat("pre", F.array("f")).alias("pre"))
             second = levels[-1].select(F.col("id").alias("suffix"), F.concat("suf", F.array("f")).alias("suf"))
-            level = own.join(first, "prefix").join(second, "suffix").select("id", "lang", F.concat_ws(" ", "phrase", "word").alias("phrase"), "f", "pre", "suf", "prefix", "suffix")
+            level = own.drop("lang").join(first, "prefix").join(second, "suffix").select("id", "lang", F.concat_ws(" ", "phrase", "word").alias("phrase"), "f", "pre", "suf", "prefix", "suffix")
         levels.append(tables.keep(level))
         if k == max_words or levels[-1].isEmpty():
             break
-        lists = held.where(F.col("packed").isNotNull()).select("block", "packed")
-        asked = reply.select(F.shiftright("at", PART_BITS).alias("block"), "at", "id")
-        longer = lists.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_step(k, k + 1 == max_words), _COUNTED)
+        lists = held.where(F.col("range").isNull()).select("block", "packed")
+        asked = reply.where(F.col("block").isNotNull()).select("block", "packed")
+        longer = lists.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_step(k, n_ranges, k + 1 == max_words), _COUNTED)
         before, held = held, tables.keep(longer)
         tables.drop(before, reply)
     out = None

@@ -234,6 +234,25 @@ def test_phrases_equal_brute_force(docs, rows, empty, least, top, size):
     assert collocations.collocations(empty).count() == 0
 
 
+def test_blocks_send_packed_rows_not_one_a_phrase(spark, monkeypatch):
+    rng = random.Random(5)
+    names = [f"w{i}" for i in range(24)]
+    rows = [(i, "en", " ".join(rng.choices(names, k=400))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(4)
+    made, keep = [], collocations.Tables.keep
+
+    def counted(self, df):
+        out = keep(self, df)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(collocations.Tables, "keep", counted)
+    found, _ = collocations.phrases(docs, collocations.Tables(spark), 20, 3, 1_500)
+    n_blocks, n_phrases = 60, found.count()
+    assert n_phrases > 500
+    assert max(made) <= n_blocks * (collocations.LEAST_RANGES + 1) + n_phrases + len(names)
+
+
 def test_scores_pass_64_bits(spark):
     d = "decimal(15,0)"
     a, n, left, right = 9 * 10**14, 10**15 - 1, 7, 3 * 10**14 + 1
