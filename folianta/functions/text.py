@@ -27,17 +27,35 @@ def literal(term: str) -> str:
     return "\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+#: A running fold first fills arrays of so many states, as an array that grows is copied with each element.
+_SCAN = 64
+
+
+def let(value: Column, use) -> Column:
+    """What ``use`` makes of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def scan(items: Column, zero: Column, step) -> Column:
+    """The state after each item of an array, ``zero`` being the one before the first."""
+
+    def chunk(begin: Column, some: Column) -> Column:
+        return F.aggregate(some, F.array(begin), lambda done, x: F.concat(done, F.array(step(F.element_at(done, -1), x))))
+
+    def whole(x: Column) -> Column:
+        cuts = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(x) - 1, F.lit(0)) / _SCAN).cast("int")), lambda i: F.slice(x, i * _SCAN + 1, F.lit(_SCAN)))
+        return F.aggregate(cuts, F.array(F.array(zero)), lambda done, some: F.concat(done, F.array(chunk(F.element_at(F.element_at(done, -1), -1), some))))
+
+    return F.flatten(F.transform(let(items, whole), lambda states: F.slice(states, F.lit(2), F.lit(_SCAN))))
+
+
 def match_starts(text: Column, pattern: str) -> Column:
     """Places (from 0) and texts of all matches, in one pass: the gaps between matches tell where each begins."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(hits, F.split(text, pattern, -1), lambda h, g: F.struct(h.alias("h"), F.length(g).alias("g")))
-    none = F.filter(F.array(F.struct(F.lit(0).alias("start"), F.lit("").alias("text"))), lambda x: F.lit(False))
-
-    def put(state: Column, x: Column) -> Column:
-        start = state["at"] + x["g"]
-        return F.struct((start + F.coalesce(F.length(x["h"]), F.lit(0))).alias("at"), F.when(x["h"].isNull(), state["out"]).otherwise(F.concat(state["out"], F.array(F.struct(start.alias("start"), x["h"].alias("text"))))).alias("out"))
-
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), put, lambda s: s["out"])
+    zero = F.struct(F.lit(0).alias("start"), F.lit(None).cast("string").alias("text"))  # a type in which the text may be missing
+    places = scan(pairs, zero, lambda last, x: F.struct((last["start"] + F.coalesce(F.length(last["text"]), F.lit(0)) + x["g"]).alias("start"), x["h"].alias("text")))
+    return F.filter(places, lambda x: x["text"].isNotNull())
 
 
 def snippet(text: Column, start: Column, size: Column) -> Column:

@@ -68,22 +68,39 @@ def candidates(items: DataFrame, kind: str, text: str = "text") -> DataFrame:
     return items.withColumn("_m", F.explode(each)).withColumn("start", F.col("_m.start")).withColumn("match", F.col("_m.text")).drop("_m")
 
 
-def sensitive(items: DataFrame, kinds: tuple[str, ...] = KINDS, text: str = "text") -> DataFrame:
-    """Matches without overlaps: the items' columns, kind, start, end, match."""
-    each = F.flatten(F.array(*[_candidates(F.col(text), i) for i, r in enumerate(RULES) if r[0] in kinds]))
-    ordered = F.array_sort(each)
-    none = F.filter(ordered, lambda m: F.lit(False))
+def _free(kept: Column, found: Column) -> Column:
+    """What is kept and the matches of the next rule that overlap nothing that is kept, neither before them nor after them; both are in the order of starts."""
+    event = lambda old: lambda m: F.struct(m["start"].alias("start"), F.lit(not old).alias("new"), m["end"].alias("end"), m["rank"].alias("rank"), m["text"].alias("text"))
+    both = F.array_sort(F.concat(F.transform(kept, event(True)), F.transform(found, event(False))))
+    none = F.lit(2**31 - 1)
+    last = F.struct(none.alias("next"), F.struct(F.lit(0).alias("start"), F.lit(True).alias("new"), F.lit(0).alias("end"), F.lit(0).alias("rank"), F.lit("").alias("text")).alias("m"))
+    ahead = F.reverse(tx.scan(F.reverse(both), last, lambda s, m: F.struct(F.when(m["new"], s["next"]).otherwise(m["start"]).alias("next"), m.alias("m"))))
+    ok = lambda s, x: ~x["m"]["new"] | ((s["reach"] <= x["m"]["start"]) & (x["next"] >= x["m"]["end"]))
+    first = F.struct(F.lit(0).alias("reach"), F.lit(False).alias("ok"), last["m"].alias("m"))
+    seen = tx.scan(ahead, first, lambda s, x: F.struct(F.when(ok(s, x), F.greatest(s["reach"], x["m"]["end"])).otherwise(s["reach"]).alias("reach"), ok(s, x).alias("ok"), x["m"].alias("m")))
+    return F.transform(F.filter(seen, lambda x: x["ok"]), lambda x: F.struct(x["m"]["rank"].alias("rank"), x["m"]["start"].alias("start"), x["m"]["end"].alias("end"), x["m"]["text"].alias("text")))
 
-    def put(kept: Column, m: Column) -> Column:
-        return F.when(F.exists(kept, lambda k: (k["start"] < m["end"]) & (m["start"] < k["end"])), kept).otherwise(F.concat(kept, F.array(m)))
 
+def sensitive(items: DataFrame, kinds: tuple[str, ...] = KINDS, text: str = "text") -> DataFrame:
+    """Matches without overlaps: the items' columns, kind, start, end, match."""
+    each = F.array(*[_candidates(F.col(text), i) for i, r in enumerate(RULES) if r[0] in kinds])
+    none = F.filter(F.element_at(each, 1), lambda m: F.lit(False))
+    kept = F.aggregate(each, none, lambda kept, found: F.when(F.size(found) == 0, kept).otherwise(_free(kept, found)))
     names = F.array(*[F.lit(r[0]) for r in RULES])
-    rows = items.where(F.col(text).rlike("[0-9@]")).withColumn("_m", F.explode(F.aggregate(ordered, none, put)))
+    rows = items.where(F.col(text).rlike("[0-9@]")).withColumn("_m", F.explode(F.array_sort(kept)))
     return rows.withColumn("kind", F.element_at(names, F.col("_m.rank") + 1)).withColumn("start", F.col("_m.start")).withColumn("end", F.col("_m.end")).withColumn("match", F.col("_m.text")).drop("_m")
 
 
 def mask(items: DataFrame, text: str = "text", mark: str = "█", kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """The items with each sensitive character replaced by a mark."""
-    each = F.array_sort(F.flatten(F.array(*[_candidates(F.col(text), i) for i, r in enumerate(RULES) if r[0] in kinds])))
-    hidden = F.aggregate(each, F.col(text), lambda t, m: F.concat(F.substring(t, 1, m["start"]), F.repeat(F.lit(mark), m["end"] - m["start"]), F.substring(t, m["end"] + 1, F.length(t))))
-    return items.withColumn(text, hidden)
+    each = F.flatten(F.array(*[_candidates(F.col(text), i) for i, r in enumerate(RULES) if r[0] in kinds]))
+    spans = F.array_sort(F.transform(each, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))))
+    zero = F.struct(F.lit(0).alias("from"), F.lit(0).alias("start"), F.lit(0).alias("end"))
+    cuts = tx.scan(spans, zero, lambda s, m: F.struct(s["end"].alias("from"), F.greatest(m["start"], s["end"]).alias("start"), F.greatest(m["end"], s["end"]).alias("end")))
+
+    def put(cuts: Column) -> Column:
+        parts = F.transform(cuts, lambda c: F.concat(F.substring(F.col(text), c["from"] + 1, c["start"] - c["from"]), F.repeat(F.lit(mark), c["end"] - c["start"])))
+        rest = F.substring(F.col(text), F.coalesce(F.try_element_at(cuts, F.lit(-1))["end"], F.lit(0)) + 1, F.length(F.col(text)))
+        return F.concat(F.array_join(parts, ""), rest)
+
+    return items.withColumn(text, tx.let(cuts, put))

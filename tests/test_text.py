@@ -105,6 +105,31 @@ def test_no_text_ends_an_executor(spark, text):
     assert time.time() - began < 12
 
 
+def test_many_matches_take_little_longer_than_one(spark):
+    took = []
+    for text in ("1/1/11 ", "1/1/11 ", "1/1/11 " * 12_000):
+        began = time.time()
+        one = page(spark, text)
+        assert detect.mask(one).first().text == text.replace("1/1/11", "█" * 6)
+        assert len(detect.sensitive(one).collect()) == len(text) // 7
+        took.append(time.time() - began)
+    assert took[2] < 6 * took[1]
+
+
+def test_overlaps_are_resolved_in_order_of_kinds(spark):
+    rng = random.Random(4)
+    bits = ["a@b.co", "@c.org", "4111 1111 1111 1111", "123-45-6789", "2024-01-02", "1/2/2024", "Jan 5, 2020", "+1 415 555 0100", "GB82WEST12345698765432", " ", "-", "1-", "é", "."]
+    df = spark.createDataFrame([(i, 1, "".join(rng.choices(bits, k=80))) for i in range(30)], "doc_id int, page int, text string")
+    each = [df.select("doc_id", F.explode(detect._candidates(F.col("text"), i)).alias("m")).collect() for i in range(len(detect.RULES))]
+    kept = {i: [] for i in range(30)}
+    for rule in each:
+        for doc, m in sorted((r.doc_id, tuple(r.m)) for r in rule):
+            if all(k[2] <= m[1] or m[2] <= k[1] for k in kept[doc]):
+                kept[doc].append(m)
+    got = sorted((r.doc_id, r.start, r.end, r.kind, r.match) for r in detect.sensitive(df).collect())
+    assert got == sorted((i, m[1], m[2], detect.RULES[m[0]][0], m[3]) for i, ms in kept.items() for m in ms) and len(got) < sum(map(len, each))
+
+
 def test_urls(spark):
     rows = search.find_urls(page(spark, "See https://a.org/x_(y). or (www.b.net/z), http://nodot")).orderBy("nth").collect()
     assert [r.url for r in rows] == ["https://a.org/x_(y)", "https://www.b.net/z"]
