@@ -17,9 +17,8 @@ def plain_text(lines: DataFrame) -> DataFrame:
 
 
 def plain_pages(pages: DataFrame) -> DataFrame:
-    """:func:`plain_text` for pages that hold their lines in order (doc_id, page, lines)."""
-    body = F.array_join(F.transform("lines", lambda s: s["text"]), "\n")
-    return pages.where(F.size("lines") > 0).select("doc_id", "page", F.concat(F.format_string("--- Page %d ---\n", F.col("page")), body).alias("text"))
+    """:func:`plain_text` for pages that are one text already (doc_id, page, text)."""
+    return pages.select("doc_id", "page", F.concat(F.lit("--- Page "), F.col("page").cast("string"), F.lit(" ---\n"), "text").alias("text"))
 
 
 def csv_lines(rows: DataFrame, columns: list[str], rule=tx.csv_field) -> Column:

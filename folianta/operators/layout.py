@@ -75,6 +75,11 @@ def read_pages(pages: DataFrame) -> DataFrame:
     return with_gutter.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), paged.laid(F.col("items"), F.col("_gutter")).alias("lines"))
 
 
+def read_texts(pages: DataFrame, places: paged.Places) -> DataFrame:
+    """(doc_id, page, text): pages whose items are the words of a text (doc_id, page, text, page_width), at ``places``, in the order in which :func:`read_pages` has them, see :func:`paged.read`. Pages without words are left out before they are read: a test of what comes back would read them twice."""
+    return pages.where(F.trim("text") != "").select(F.col("doc_id").cast("long"), F.col("page").cast("int"), paged.read(F.col("text"), F.col("page_width"), places).alias("text"))
+
+
 def paragraphs(lines: DataFrame) -> DataFrame:
     """Lines (doc_id, page, line, y, size, text) to paragraphs with a heading mark of 0, 1 or 2; a line that ends in a hyphen is joined without a space and keeps it."""
     sizes = lines.groupBy("doc_id").agg(F.sort_array(F.collect_list("size")).alias("s")).select("doc_id", F.get("s", F.floor((F.size("s") - 1) / 2).cast("int")).alias("body"))

@@ -8,7 +8,7 @@ from ..functions import geometry as geo
 from ..operators import audit, checks, exports, forms, layout
 from ..operators import pages as page_ops
 from .registry import ORACLES, PAGES, pages, query, table
-from .structure_queries import column_pages, tags_of
+from .structure_queries import PAGE_WIDTH, column_places, tags_of
 
 _ODD = ORACLES["structure_checks"].replace("['Table', 'TR', 'TH'", "CASE WHEN l_partkey % 41 = 0 THEN '' ELSE ['Table', 'TR', 'TH'").replace("% 12 + 1)::INT] AS role", "% 12 + 1)::INT] END AS role")
 
@@ -73,7 +73,7 @@ SELECT w.doc_id, w.page, w.seq, w.str, k."column" AS c, 700 - 12 * (w.seq // 14)
 FROM (SELECT doc_id, page, unnest(range(1, len(w) + 1))::INT AS seq, unnest(w) AS str FROM (SELECT doc_id, page, regexp_extract_all(text, '[^ ]+') AS w FROM (WITH {PAGES} SELECT * FROM pages_))) w JOIN ({ORACLES["word_columns"]}) k ON k.doc_id = w.doc_id AND k.page = w.page AND k.seq = w.seq) GROUP BY ALL) GROUP BY doc_id, page""")
 def column_text(spark, sf_dir):
     """Pages of words in one or two columns as plain text, the left column first."""
-    return exports.plain_pages(layout.read_pages(column_pages(spark, sf_dir)))
+    return exports.plain_pages(layout.read_texts(pages(spark, sf_dir).withColumn("page_width", F.lit(PAGE_WIDTH)), column_places))
 
 
 @query("""WITH w AS (SELECT o_orderkey // 10 AS doc_id, 1 AS page, o_orderkey AS widget, o_custkey % 400 + 100.0 AS x0, o_orderkey % 10 * 30 + 20.0 AS y0, o_custkey % 400 + 160.0 AS x1, o_orderkey % 10 * 30 + 34.0 AS y1 FROM orders),

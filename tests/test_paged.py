@@ -81,3 +81,44 @@ def test_columns_of_pages_are_those_of_words(spark):
     each = {(r.page, r.seq): r.column for r in structure.columns_of(pages).collect()}
     assert each == {(r.page, r.seq): r.column for r in structure.in_columns(items, widths).collect()}
     assert {k: c for k, c in each.items() if k[0] == 2} == {(2, k): 1 for k in range(12)} and {c for (p, k), c in each.items() if p == 1 and k % 2 == 0} == {2}
+
+
+def test_words_of_texts_are_read_as_items_are(spark):
+    from folianta.plans.structure_queries import column_places
+
+    rough = lambda k, n: (54 + 290 * (k % 2) + 37 * k % 150, 700 - 12 * (k - k % 14) / 14 - 3.0 * (k % 3), k * 0 + 4.0 + 3 * (n % 3), n * 5.0)
+    r = random.Random(5)
+    texts = [" ".join(r.choice(["a", "bé", "", "x\ty", "日本語", "w" * r.randrange(1, 30)]) for _ in range(r.choice([1, 3, 19, 20, 60, 300]))) for _ in range(120)]
+    texts += ["", " ", "   ", "\t", " one", "one ", None]
+    rows = [(k // 5, k % 5 + 1, t, 612.0 if k % 7 else None) for k, t in enumerate(texts)]
+    pages = spark.createDataFrame(rows, "doc_id long, page int, text string, page_width double").repartition(3)
+    for places in (column_places, rough):
+        words = [(d, p, k, w, *(float(v) for v in places(k, len(w))), across) for d, p, t, across in rows for k, w in enumerate((w for w in (t or "").split(" ") if w), 1)]
+        items = spark.createDataFrame(words, "doc_id long, page int, seq int, str string, x double, y double, size double, width double, across double")
+        lines = layout.reading_order(items, items.select("doc_id", "page", "across").distinct().withColumnRenamed("across", "page_width")).collect()
+        want = {}
+        for line in sorted(lines, key=lambda x: (x.doc_id, x.page, x.column, x.line)):
+            want.setdefault((line.doc_id, line.page), []).append(line.text)
+        got = {(x.doc_id, x.page): x.text for x in layout.read_texts(pages, places).collect()}
+        assert got == {k: "\n".join(t) for k, t in want.items()}
+        assert any(x.column == 2 for x in lines)
+
+
+def test_texts_are_parted_some_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    from folianta.operators import paged
+
+    monkeypatch.setattr(paged, "AT_ONCE", 3)
+    texts = ["aa  bb", "", None, " ", "é", "c" * 40, " d e ", "f"]
+    parts = list(paged._words(pa.array(texts)))
+    assert len(parts) > 2 and [k for n, _ in parts for k in n.tolist()] == [2, 0, 0, 0, 1, 1, 2, 1]
+    assert [w for _, words in parts for w in words.to_pylist()] == [w for t in texts for w in (t or "").split()]
+
+
+def test_pages_are_worked_out_once(spark):
+    plan = catalog.QUERIES["column_text"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_extract_all" not in plan
+    for name in ("word_columns", "page_text_spaced"):
+        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("regexp_extract_all") == 1 and plan.count("ArrowEvalPython") <= 1, name
