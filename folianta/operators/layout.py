@@ -50,7 +50,7 @@ def merge_items(items: DataFrame, tolerance: float = 0.2) -> DataFrame:
 
 def merged_lines(pages: DataFrame, tolerance: float = 0.2) -> DataFrame:
     """:func:`merge_items` for pages that hold their items (doc_id, page, items)."""
-    return pages.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), paged.merged(F.col("items"), tolerance).alias("_l")).select("doc_id", "page", F.inline("_l"))
+    return paged.inlined(pages.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), paged.merged(F.col("items"), tolerance).alias("_l")), F.col("_l"), "seq")
 
 
 def page_layout(items: DataFrame) -> DataFrame:
@@ -60,13 +60,13 @@ def page_layout(items: DataFrame) -> DataFrame:
 
 def laid_pages(pages: DataFrame) -> DataFrame:
     """:func:`page_layout` for pages that hold their items (doc_id, page, items)."""
-    return pages.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), paged.laid(F.col("items")).alias("_l")).select("doc_id", "page", F.inline("_l")).drop("column")
+    return paged.inlined(pages.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), paged.laid(F.col("items")).alias("_l")), F.col("_l"), "line").drop("column")
 
 
 def reading_order(items: DataFrame, widths: DataFrame) -> DataFrame:
     """Lines of pages in the order in which they are read, the left column before the right one: (doc_id, page, column, line, y, text, cells). ``widths``: doc_id, page, page_width."""
     pages = paged.gathered(items, *paged.KINDS).join(widths.select("doc_id", "page", "page_width"), ["doc_id", "page"], "left")
-    return read_pages(pages).select("doc_id", "page", F.inline("lines"))
+    return paged.inlined(read_pages(pages), F.col("lines"), "line")
 
 
 def read_pages(pages: DataFrame) -> DataFrame:

@@ -167,7 +167,7 @@ def columns_of(pages: DataFrame) -> DataFrame:
     """(doc_id, page, seq, column): :func:`in_columns` for pages that hold their items (doc_id, page, items, page_width)."""
     with_gutter = pages.withColumn("_gutter", paged.gutter(F.col("items"), F.col("page_width")))
     each = F.transform("items", lambda i: F.struct(i["seq"].alias("seq"), paged.column_of(i, F.col("_gutter")).alias("column")))
-    return with_gutter.select("doc_id", "page", F.inline(each))
+    return paged.inlined(with_gutter, each, "column")
 
 
 def attachments(nodes: DataFrame, names: DataFrame) -> DataFrame:

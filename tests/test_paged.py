@@ -119,6 +119,6 @@ def test_texts_are_parted_some_at_a_time(monkeypatch):
 def test_pages_are_worked_out_once(spark):
     plan = catalog.QUERIES["column_text"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "regexp_extract_all" not in plan
-    for name in ("word_columns", "page_text_spaced"):
+    for name in ("word_columns", "page_layout", "line_merge", "page_text_spaced"):
         plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("regexp_extract_all") == 1 and plan.count("ArrowEvalPython") <= 1, name
